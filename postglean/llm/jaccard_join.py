@@ -1,7 +1,7 @@
 """N-gram Jaccard join by prefixes of token combinations.
 
 Sets of word shingles are put in one order for all documents, rare shingles
-first. Two sets whose Jaccard similarity reaches the threshold differ in few
+first: by the frequencies of their words, and last those known to be frequent. Two sets whose Jaccard similarity reaches the threshold differ in few
 shingles, so prefixes long enough to outlast these share an index entry: one
 rare shingle, or two frequent shingles of one class. Entries that two documents
 share make candidates; exact intersections decide.
@@ -9,11 +9,14 @@ share make candidates; exact intersections decide.
 Equal sets are one representative from the start. Candidates are first an
 entry's documents with its least one, which is linear in the index; only where
 an entry then still spans several components are its other pairs compared.
+Counts of hashes bound an intersection from above and spare most pairs the
+exact one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,17 @@ from .components import components
 WORDS = 3
 #: Similarity in hundredths.
 LEAST = 90
-#: A shingle in this share of all documents, and FEW at least, is frequent. There are at most (mean set size) / share of them.
+#: A shingle as often as this share of all documents, and FEW times at least, is frequent. There are at most (mean words) / share of them.
 FREQUENT = 1 / 5000
 FEW = 64
+#: A word in this share of all words has a weight of its own, others have the least. There are at most 1 / share of them.
+WORD_SHARE = 1e-6
 #: Hash classes of frequent shingles; a prefix has up to one more shingle for each.
 CLASSES = 8
 #: Sets of fewer shingles are indexed by single shingles alone, those within the threshold above it both ways.
 SHORT = 64
+#: Counts in a set's sketch; of two sets, the lesser counts sum to no less than their intersection.
+SKETCH = 256
 #: Documents compared with one hub in one task's run.
 SALT = 256
 _MOST = 1_000_000
@@ -51,40 +58,80 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+class _Weights(dict):
+    """Words to the logarithm of their frequency in eighths; words that aren't frequent have 0."""
+
+    def __init__(self, keys: np.ndarray, shares: np.ndarray):
+        super().__init__()
+        eighths = np.maximum(1, 8 * np.log2(shares / WORD_SHARE)).astype(int) if len(shares) else shares
+        self.known = dict(zip(keys.tolist(), eighths.tolist()))
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _MOST:
+            self.clear()
+        out = self[word] = self.known.get(_hashes[word], 0)
+        return out
+
+
+class Order:
+    """What the corpus says of shingles' frequency: sorted hashes of frequent ones, and weights of words."""
+
+    def __init__(self, frequent: np.ndarray, words: np.ndarray, shares: np.ndarray):
+        self.frequent, self.words, self.shares, self.weights = frequent, words, shares, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"weights": None}
+
+    def ranked(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        """A text's shingles, sorted by hash; the same in the common order; how many of these aren't frequent."""
+        if self.weights is None:
+            self.weights = _Weights(self.words, self.shares)
+        found = text.lower().split()
+        items = _rolled(_hashed(found))
+        weights = np.fromiter(map(self.weights.__getitem__, found), np.int32, len(found))
+        weights = weights[: len(items)] if len(found) < WORDS else np.lib.stride_tricks.sliding_window_view(weights, WORDS).sum(axis=1)
+        items, first = np.unique(items, return_index=True)
+        at = np.searchsorted(self.frequent, items)
+        often = self.frequent[np.minimum(at, len(self.frequent) - 1)] == items if len(self.frequent) else np.zeros(len(items), bool)
+        return items, items[np.lexsort((items, weights[first], often))], len(items) - int(often.sum())
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M[3]
     x = (x ^ (x >> np.uint64(27))) * _M[4]
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Distinct shingles as sorted 64-bit hashes. ``bytes`` lower-cases A-Z and splits at 0x20 and 0x09-0x0D alone."""
-    found = text.lower().split()
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(h))
+def _hashed(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+
+
+def _rolled(h: np.ndarray) -> np.ndarray:
+    width = min(WORDS, len(h))
     if not width:
         return h
     out = np.full(len(h) - width + 1, np.uint64(width))
     for k in range(width):
         out = _mix(out * _M[0] + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Distinct shingles as sorted 64-bit hashes. ``bytes`` lower-cases A-Z and splits at 0x20 and 0x09-0x0D alone."""
+    return np.unique(_rolled(_hashed(text.lower().split())))
 
 
-def entries(items: np.ndarray, frequent: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Index entries of a set. frequent: sorted hashes.
+def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
+    """Index entries of a set in the common order, of which the first ``rare`` aren't frequent.
 
-    Of ``items`` at most ``spare`` are missing from any set as similar. A
+    At most ``spare`` of its shingles are missing from any set as similar. A
     prefix in which the rare shingles, and in each class the frequent ones less
     one, number more than that keeps a rare one or two of a class in common.
     """
-    n = len(items)
+    n = len(order)
     if not n:
-        return items
+        return order
     spare = n - -(-least * n // 100)
-    at = np.searchsorted(frequent, items)
-    often = np.zeros(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == items
-    order = np.concatenate([items[~often], items[often]])  # each part by hash: one order for all
-    rare = n - int(often.sum())
     out = []
     if 100 * SHORT > least * n:
         out.append(_mix(order[: spare + 1] + _M[1]))
@@ -104,22 +151,36 @@ def entries(items: np.ndarray, frequent: np.ndarray, least: int = LEAST) -> np.n
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts within each batch, without what is rare in it: enough to tell what is frequent in all."""
+    """Counts of shingles and of words within each batch, without what is rare in it: enough to tell what is frequent in all."""
     for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch["bytes"]]
-        found, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(found[n >= 3].astype(np.int64)), pa.array(n[n >= 3])], ["item", "n"])
+        words = _hashed(list(chain.from_iterable(x.as_py().lower().split() for x in batch["bytes"])))
+        out = []
+        for kind, all_ in enumerate((_rolled(words), words)):  # shingles across two texts are too few to matter
+            found, n = np.unique(all_, return_counts=True)
+            out.append((np.full((n >= 3).sum(), kind, np.int32), found[n >= 3].astype(np.int64), n[n >= 3]))
+        out.append((np.array([2], np.int32), np.array([0]), np.array([len(words)])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["kind", "item", "n"])
+
+
+def build_order(texts: DataFrame) -> Order:
+    """Frequent shingles and words of all texts; both lists have a bounded share of the corpus."""
+    often = written(texts.select("bytes").mapInArrow(_often, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")), "often")
+    total = often.where("kind = 2").agg(F.sum("n")).first()[0] or 1
+    found = often.where((F.col("kind") == 0) & (F.col("n") >= max(FEW, FREQUENT * texts.count()))).select("item").toArrow()["item"].to_numpy()
+    words = often.where((F.col("kind") == 1) & (F.col("n") >= WORD_SHARE * total)).select("item", "n").toArrow()
+    return Order(np.sort(found.astype(np.uint64)), words["item"].to_numpy().astype(np.uint64), words["n"].to_numpy() / total)
 
 
-def _indexed(batches: Iterator[pa.RecordBatch], frequent, least: int) -> Iterator[pa.RecordBatch]:
+def _indexed(batches: Iterator[pa.RecordBatch], order, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch["bytes"]]
-        found = [entries(s, frequent.value, least).astype(np.int64) for s in sets]
+        ranked = [order.value.ranked(x.as_py()) for x in batch["bytes"]]
+        found = [entries(ranks, rare, least).astype(np.int64) for _, ranks, rare in ranked]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         flat = np.concatenate(found) if found else np.empty(0, np.int64)
-        digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
-        columns = [batch["row"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), digests, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "digest", "entries"])
+        digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s, *_ in ranked], pa.binary())
+        sketches = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes() for s, *_ in ranked]
+        columns = [batch["row"], batch["doc_id"], pa.array([len(s) for s, *_ in ranked], pa.int64()), digests, pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "digest", "sketch", "entries"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +206,22 @@ def _verified(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _possible(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches leave the threshold open. A full count leaves its part open."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int64) for c in ("sketch_a", "sketch_b"))
+        sizes = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+        same = np.minimum(a, b).sum(axis=1)
+        keep = (100 * same >= least * (sizes - same)) | ((a == 255) & (b == 255)).any(axis=1)
+        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("hub", "row")], ["hub", "row"])
+
+
+def _verify(pairs: DataFrame, index: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     """Those of ``pairs`` (hub, row) that reach the threshold, as (a, b). A hub of many pairs is dealt to several runs."""
+    a, b = (index.select(F.col("row").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for c, x in (("hub", "a"), ("row", "b")))
+    pairs = written(pairs.join(a, "hub").join(b, "row").mapInArrow(lambda it: _possible(it, least), "hub long, row long"), "possible")
+    wanted = pairs.select("row").unionAll(pairs.select("hub")).distinct()
+    sets = written(texts.select("row", "bytes").join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, items binary"), "sets")
     runs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).alias("runs"))
     members = pairs.join(runs, "hub").select("hub", F.pmod("row", "runs").alias("run"), "row")
     hubs = runs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.col("hub").alias("row"))
@@ -176,25 +251,21 @@ def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["hub", "row"])
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, first.
 
     Two documents link when ``100 * |A & B| >= least * |A | B|`` for their sets
-    of distinct ``words``-word shingles; a text of fewer words is one shingle.
+    of distinct ``WORDS``-word shingles; a text of fewer words is one shingle.
     Texts that are null, empty or without words have no shingles and no links.
     component_id is the least doc_id that links reach (ids that are null don't
     count; null if there's no other); ``first`` marks one row of each
     component, of that id where there is one. Repeated rows link as any equal
     texts do. Other columns are left out; an empty table gives no rows.
     """
-    if words != WORDS:
-        raise ValueError(f"shingles have {WORDS} words here")
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_bytes().alias("bytes"))
-    often = texts.select("bytes").mapInArrow(_often, "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
-    found = often.where(F.col("n") >= max(FEW, FREQUENT * texts.count())).select("item").toArrow()["item"].to_numpy()
-    frequent = spark.sparkContext.broadcast(np.sort(found.astype(np.uint64)))
-    index = written(texts.mapInArrow(lambda it: _indexed(it, frequent, least), "row long, doc_id long, n long, digest binary, entries array<long>"), "index")
+    order = spark.sparkContext.broadcast(build_order(texts))
+    index = written(texts.mapInArrow(lambda it: _indexed(it, order, least), "row long, doc_id long, n long, digest binary, sketch binary, entries array<long>"), "index")
 
     same = index.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"))
     reps = index.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
@@ -204,16 +275,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST) ->
     shared = written(posted.where("docs > 1").select("entry", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least
     pairs = written(shared.where((F.col("hub") != F.col("row")) & near).select("hub", "row").distinct(), "pairs")
-    active = shared.select("row").distinct()
-    sets = written(texts.select("row", "bytes").join(active, "row", "left_semi").mapInArrow(_sets, "row long, items binary"), "sets")
-    links = _verify(pairs, sets, least)
+    links = _verify(pairs, index, texts, least)
 
     roots = components(links)
     open_ = shared.select("entry", "row", "n").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     spans = open_.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("entry")
     open_ = open_.join(spans, "entry", "left_semi").repartition("entry").sortWithinPartitions("entry", "row")
     across = open_.mapInArrow(lambda it: _across(it, least), "hub long, row long").distinct().join(pairs, ["hub", "row"], "left_anti")
-    more = _verify(written(across, "across"), sets, least)
+    more = _verify(written(across, "across"), index, texts, least)
     roots = components(links.unionAll(more))
 
     own = index.select("row", "doc_id", "n", "digest").join(same, "digest", "left")
