@@ -24,7 +24,7 @@ from .common import text_bytes, written
 WIDTH = 200
 GRAM = 64
 #: Bytes of text hashed at a time, if documents allow.
-_RUN = 1 << 22
+_RUN = 1 << 20
 #: Snippets in one suffix array, about.
 SNIPPETS = 3000
 #: An anchor with more different snippets is sorted in parts, by the windows' places about it.
