@@ -40,6 +40,13 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most ``rows``: bounds what Python objects of a batch take."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def text_bytes(text: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

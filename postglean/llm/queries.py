@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, jaccard_join, mixing, packing, suffix_dedup, token_files, vector_search
+from . import imatch, jaccard_join, lm_trie, mixing, packing, suffix_dedup, token_files, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -42,7 +46,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_imatch, op3_jaccard_join, op4_token_files, op6_pack, op7_suffix_dedup, op9_top_k, op10_mix_sources)
+    found = (op1_imatch, op3_jaccard_join, op4_token_files, op6_pack, op7_suffix_dedup, op8_lm_trie, op9_top_k, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
