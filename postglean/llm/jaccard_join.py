@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import slices, text_bytes, written
 from .components import components
 
 WORDS = 3
@@ -152,7 +152,7 @@ def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of shingles and of words within each batch, without what is rare in it: enough to tell what is frequent in all."""
-    for batch in batches:
+    for batch in slices(batches, 5000):
         words = _hashed(list(chain.from_iterable(x.as_py().lower().split() for x in batch["bytes"])))
         out = []
         for kind, all_ in enumerate((_rolled(words), words)):  # shingles across two texts are too few to matter
