@@ -43,7 +43,7 @@ SHORT = 64
 SKETCH = 256
 #: Documents compared with one hub in one task's run.
 SALT = 256
-_MOST = 1_000_000
+_MOST = 300_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -152,7 +152,7 @@ def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of shingles and of words within each batch, without what is rare in it: enough to tell what is frequent in all."""
-    for batch in slices(batches, 5000):
+    for batch in slices(batches, 2000):
         words = _hashed(list(chain.from_iterable(x.as_py().lower().split() for x in batch["bytes"])))
         out = []
         for kind, all_ in enumerate((_rolled(words), words)):  # shingles across two texts are too few to matter
@@ -172,7 +172,7 @@ def build_order(texts: DataFrame) -> Order:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], order, least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ranked = [order.value.ranked(x.as_py()) for x in batch["bytes"]]
         found = [entries(ranks, rare, least).astype(np.int64) for _, ranks, rare in ranked]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -184,7 +184,7 @@ def _indexed(batches: Iterator[pa.RecordBatch], order, least: int) -> Iterator[p
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array([shingles(x.as_py()).tobytes() for x in batch["bytes"]], pa.binary())], ["row", "items"])
 
 
