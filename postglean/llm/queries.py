@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, jaccard_join, lm_trie, mixing, packing, suffix_dedup, token_files, vector_search
+from . import imatch, jaccard_join, lm_trie, mixing, packing, preference, quality, suffix_dedup, token_files, vector_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "quality_weak", "quality_score", "quality_keep")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -25,6 +30,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -46,9 +55,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_imatch, op3_jaccard_join, op4_token_files, op6_pack, op7_suffix_dedup, op8_lm_trie, op9_top_k, op10_mix_sources)
+    found = (op1_imatch, op2_quality, op3_jaccard_join, op4_token_files, op5_preference, op6_pack, op7_suffix_dedup, op8_lm_trie, op9_top_k, op10_mix_sources)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_preference": preference.SQL}
