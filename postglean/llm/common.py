@@ -32,12 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the tables of ``written``; only for callers that have stored what was derived from them."""
+def scratch_tables() -> list[str]:
+    """Paths of the tables that ``written`` has made and that are still there."""
+    return list(_scratch)
+
+
+def clear_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``written``; only for callers that have stored what was derived from them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for name in paths:
+        if name in _scratch:
+            _scratch.remove(name)
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def slices(batches, rows: int = 1000):

@@ -76,8 +76,8 @@ class _Weights(dict):
 class Order:
     """What the corpus says of shingles' frequency: sorted hashes of frequent ones, and weights of words."""
 
-    def __init__(self, frequent: np.ndarray, words: np.ndarray, shares: np.ndarray):
-        self.frequent, self.words, self.shares, self.weights = frequent, words, shares, None
+    def __init__(self, width: int, frequent: np.ndarray, words: np.ndarray, shares: np.ndarray):
+        self.width, self.frequent, self.words, self.shares, self.weights = width, frequent, words, shares, None
 
     def __getstate__(self):
         return self.__dict__ | {"weights": None}
@@ -87,9 +87,9 @@ class Order:
         if self.weights is None:
             self.weights = _Weights(self.words, self.shares)
         found = text.lower().split()
-        items = _rolled(_hashed(found))
+        items = _rolled(_hashed(found), self.width)
         weights = np.fromiter(map(self.weights.__getitem__, found), np.int32, len(found))
-        weights = weights[: len(items)] if len(found) < WORDS else np.lib.stride_tricks.sliding_window_view(weights, WORDS).sum(axis=1)
+        weights = weights[: len(items)] if len(found) < self.width else np.lib.stride_tricks.sliding_window_view(weights, self.width).sum(axis=1)
         items, first = np.unique(items, return_index=True)
         at = np.searchsorted(self.frequent, items)
         often = self.frequent[np.minimum(at, len(self.frequent) - 1)] == items if len(self.frequent) else np.zeros(len(items), bool)
@@ -106,8 +106,8 @@ def _hashed(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
 
 
-def _rolled(h: np.ndarray) -> np.ndarray:
-    width = min(WORDS, len(h))
+def _rolled(h: np.ndarray, words: int) -> np.ndarray:
+    width = min(words, len(h))
     if not width:
         return h
     out = np.full(len(h) - width + 1, np.uint64(width))
@@ -116,9 +116,9 @@ def _rolled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingles(text: bytes) -> np.ndarray:
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Distinct shingles as sorted 64-bit hashes. ``bytes`` lower-cases A-Z and splits at 0x20 and 0x09-0x0D alone."""
-    return np.unique(_rolled(_hashed(text.lower().split())))
+    return np.unique(_rolled(_hashed(text.lower().split()), words))
 
 
 def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
@@ -150,25 +150,26 @@ def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _often(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Counts of shingles and of words within each batch, without what is rare in it: enough to tell what is frequent in all."""
     for batch in slices(batches, 2000):
         words = _hashed(list(chain.from_iterable(x.as_py().lower().split() for x in batch["bytes"])))
         out = []
-        for kind, all_ in enumerate((_rolled(words), words)):  # shingles across two texts are too few to matter
+        for kind, all_ in enumerate((_rolled(words, width), words)):  # shingles across two texts are too few to matter
             found, n = np.unique(all_, return_counts=True)
             out.append((np.full((n >= 3).sum(), kind, np.int32), found[n >= 3].astype(np.int64), n[n >= 3]))
         out.append((np.array([2], np.int32), np.array([0]), np.array([len(words)])))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["kind", "item", "n"])
 
 
-def build_order(texts: DataFrame) -> Order:
+def build_order(texts: DataFrame, words: int = WORDS) -> Order:
     """Frequent shingles and words of all texts; both lists have a bounded share of the corpus."""
-    often = written(texts.select("bytes").mapInArrow(_often, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")), "often")
+    width = words
+    often = written(texts.select("bytes").mapInArrow(lambda it: _often(it, width), "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")), "often")
     total = often.where("kind = 2").agg(F.sum("n")).first()[0] or 1
     found = often.where((F.col("kind") == 0) & (F.col("n") >= max(FEW, FREQUENT * texts.count()))).select("item").toArrow()["item"].to_numpy()
     words = often.where((F.col("kind") == 1) & (F.col("n") >= WORD_SHARE * total)).select("item", "n").toArrow()
-    return Order(np.sort(found.astype(np.uint64)), words["item"].to_numpy().astype(np.uint64), words["n"].to_numpy() / total)
+    return Order(width, np.sort(found.astype(np.uint64)), words["item"].to_numpy().astype(np.uint64), words["n"].to_numpy() / total)
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], order, least: int) -> Iterator[pa.RecordBatch]:
@@ -183,9 +184,9 @@ def _indexed(batches: Iterator[pa.RecordBatch], order, least: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "digest", "sketch", "entries"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch["row"], pa.array([shingles(x.as_py()).tobytes() for x in batch["bytes"]], pa.binary())], ["row", "items"])
+        yield pa.RecordBatch.from_arrays([batch["row"], pa.array([shingles(x.as_py(), words).tobytes() for x in batch["bytes"]], pa.binary())], ["row", "items"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -216,12 +217,12 @@ def _possible(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("hub", "row")], ["hub", "row"])
 
 
-def _verify(pairs: DataFrame, index: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+def _verify(pairs: DataFrame, index: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
     """Those of ``pairs`` (hub, row) that reach the threshold, as (a, b). A hub of many pairs is dealt to several runs."""
     a, b = (index.select(F.col("row").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for c, x in (("hub", "a"), ("row", "b")))
     pairs = written(pairs.join(a, "hub").join(b, "row").mapInArrow(lambda it: _possible(it, least), "hub long, row long"), "possible")
     wanted = pairs.select("row").unionAll(pairs.select("hub")).distinct()
-    sets = written(texts.select("row", "bytes").join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, items binary"), "sets")
+    sets = written(texts.select("row", "bytes").join(wanted, "row", "left_semi").mapInArrow(lambda it: _sets(it, words), "row long, items binary"), "sets")
     runs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).alias("runs"))
     members = pairs.join(runs, "hub").select("hub", F.pmod("row", "runs").alias("run"), "row")
     hubs = runs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.col("hub").alias("row"))
@@ -251,11 +252,11 @@ def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["hub", "row"])
 
 
-def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, first.
+def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row: str | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): row (column ``row`` if given, else a number), doc_id, n_shingles, component_id, first.
 
     Two documents link when ``100 * |A & B| >= least * |A | B|`` for their sets
-    of distinct ``WORDS``-word shingles; a text of fewer words is one shingle.
+    of distinct ``words``-word shingles; a text of fewer words is one shingle.
     Texts that are null, empty or without words have no shingles and no links.
     component_id is the least doc_id that links reach (ids that are null don't
     count; null if there's no other); ``first`` marks one row of each
@@ -263,8 +264,8 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     texts do. Other columns are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_bytes().alias("bytes"))
-    order = spark.sparkContext.broadcast(build_order(texts))
+    texts = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", text_bytes().alias("bytes"))
+    order = spark.sparkContext.broadcast(build_order(texts, words))
     index = written(texts.mapInArrow(lambda it: _indexed(it, order, least), "row long, doc_id long, n long, digest binary, sketch binary, entries array<long>"), "index")
 
     same = index.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"))
@@ -275,14 +276,14 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     shared = written(posted.where("docs > 1").select("entry", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least
     pairs = written(shared.where((F.col("hub") != F.col("row")) & near).select("hub", "row").distinct(), "pairs")
-    links = _verify(pairs, index, texts, least)
+    links = _verify(pairs, index, texts, words, least)
 
     roots = components(links)
     open_ = shared.select("entry", "row", "n").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     spans = open_.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("entry")
     open_ = open_.join(spans, "entry", "left_semi").repartition("entry").sortWithinPartitions("entry", "row")
     across = open_.mapInArrow(lambda it: _across(it, least), "hub long, row long").distinct().join(pairs, ["hub", "row"], "left_anti")
-    more = _verify(written(across, "across"), index, texts, least)
+    more = _verify(written(across, "across"), index, texts, words, least)
     roots = components(links.unionAll(more))
 
     own = index.select("row", "doc_id", "n", "digest").join(same, "digest", "left")

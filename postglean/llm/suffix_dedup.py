@@ -241,9 +241,10 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     for batch in batches:
         out = []
-        for doc_id, row, data, spans in zip(batch["doc_id"].to_pylist(), batch["row"].to_pylist(), batch["bytes"], batch["spans"]):
+        for data, spans in zip(batch["bytes"], batch["spans"]):
             data, spans = data.as_py(), spans.as_py()
             kept, removed, n_spans = data, 0, 0
             if spans:
@@ -252,19 +253,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(change, [s["b"] - 1 + WIDTH for s in spans], -1)
                 gone = np.cumsum(change)[:-1] > 0
                 kept, removed, n_spans = np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), len(_spans(gone)[0])
-            out.append((row, doc_id, len(data), removed, n_spans, sha256(kept).hexdigest(), kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        names = ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)
+            out.append((len(data), removed, n_spans, sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        rest = batch.drop_columns(["row", "bytes", "spans"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds))], [*rest.schema.names, *names])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Removes from each text of ``docs`` (doc_id, text) the bytes of every ``WIDTH``-byte string that starts more than once in the table.
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Removes from each text of ``docs`` (text, ``carry``) the bytes of every ``WIDTH``-byte string that starts more than once in the table.
 
-    Returns row (a number of the row), doc_id, n_bytes, n_removed, n_spans
-    (maximal removed runs), kept_sha256, kept (the remaining bytes: they may
-    not be UTF-8 where a run ends within a character). Strings are judged on
-    the input. Null texts are empty; texts of fewer bytes lose nothing; rows
+    Returns ``carry``, n_bytes, n_removed, n_spans (maximal removed runs),
+    kept_sha256 (of the remaining bytes), kept_text (their text, without what
+    is left of a character in which a run ends). Strings are judged on the
+    input. Null texts are empty; texts of fewer bytes lose nothing; rows
     that repeat a longer text lose it all. Other columns are left out; an empty
     table gives no rows.
 
@@ -272,7 +273,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     can be split where an anchor is hot. One copy of each different snippet of
     an anchor is read and sorted, however often it occurs.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_bytes().alias("bytes"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("bytes"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
     places = written(texts.select("row", "bytes").mapInArrow(_found, "row long, at long, shape long, anchor long, digest long"), "places")
     stats = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
     again = written(places.join(stats.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "again")
@@ -288,5 +289,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     plain = again.where("not mixed").select("row", F.col("at").alias("a"), (F.col("at") + F.shiftright("shape", 8)).alias("b"))
     sorted_ = again.where("mixed").join(alike, ["anchor", "digest"]).select("row", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
     spans = plain.unionAll(sorted_).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    out = texts.join(spans, "row", "left")
-    return out.mapInArrow(_removed, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    kinds = [f"carry_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)]
+    out = texts.join(spans, "row", "left").mapInArrow(_removed, ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"]))
+    return out.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})
