@@ -41,6 +41,8 @@ CLASSES = 8
 SHORT = 64
 #: Counts in a set's sketch; of two sets, the lesser counts sum to no less than their intersection.
 SKETCH = 256
+#: Rows of a block, about; two blocks are compared at a time.
+BLOCK = 1024
 #: Documents compared with one hub in one task's run.
 SALT = 256
 _MOST = 300_000
@@ -217,10 +219,13 @@ def _possible(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("hub", "row")], ["hub", "row"])
 
 
-def _verify(pairs: DataFrame, index: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
-    """Those of ``pairs`` (hub, row) that reach the threshold, as (a, b). A hub of many pairs is dealt to several runs."""
+def _open_pairs(pairs: DataFrame, index: DataFrame, least: int) -> DataFrame:
     a, b = (index.select(F.col("row").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for c, x in (("hub", "a"), ("row", "b")))
-    pairs = written(pairs.join(a, "hub").join(b, "row").mapInArrow(lambda it: _possible(it, least), "hub long, row long"), "possible")
+    return written(pairs.join(a, "hub").join(b, "row").mapInArrow(lambda it: _possible(it, least), "hub long, row long"), "possible")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
+    """Those of ``pairs`` (hub, row) that reach the threshold, as (a, b). A hub of many pairs is dealt to several runs."""
     wanted = pairs.select("row").unionAll(pairs.select("hub")).distinct()
     sets = written(texts.select("row", "bytes").join(wanted, "row", "left_semi").mapInArrow(lambda it: _sets(it, words), "row long, items binary"), "sets")
     runs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALT).alias("runs"))
@@ -231,25 +236,49 @@ def _verify(pairs: DataFrame, index: DataFrame, texts: DataFrame, words: int, le
 
 
 def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within an entry that are in different components and near enough in size. Rows come by entry."""
-    entry, held = None, [[], [], []]
+    """Pairs of a cell's two blocks that are in different components and whose sizes and sketches leave the threshold open. Rows come by cell, the first block first."""
+
+    def pairs(first: list[tuple], second: list[tuple], one: bool) -> pa.RecordBatch:
+        found = [np.empty((2, 0), np.int64)]
+        rows, sizes, roots = (np.array([r[k] for r in second], np.int64) for k in range(3))
+        sketches = np.frombuffer(b"".join(r[3] for r in second), np.uint8).reshape(-1, SKETCH)
+        for k, (row, n, root, sketch) in enumerate(first):
+            near = (roots != root) & (100 * np.minimum(sizes, n) >= least * np.maximum(sizes, n))
+            if one:
+                near[: k + 1] = False
+            near = np.flatnonzero(near)
+            own = np.frombuffer(sketch, np.uint8)
+            same = np.minimum(sketches[near], own).sum(axis=1, dtype=np.int64)
+            full = (sketches[near] == 255).any(axis=1) & bool((own == 255).any())
+            near = near[(100 * same >= least * (sizes[near] + n - same)) | full]
+            found.append(np.stack([np.minimum(rows[near], row), np.maximum(rows[near], row)]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["hub", "row"])
+
+    cell, held = None, ([], [])
     for batch in batches:
-        a, b = [], []
-        for e, row, n, root in zip(*(batch[c].to_pylist() for c in ("entry", "row", "n", "root"))):
-            if e != entry:
-                entry, held = e, [[], [], []]
-            if held[0]:
-                rows, sizes, roots = (np.array(x) for x in held)
-                near = (roots != root) & (100 * np.minimum(sizes, n) >= least * np.maximum(sizes, n))
-                a += np.minimum(rows[near], row).tolist()
-                b += np.maximum(rows[near], row).tolist()
-            for x, v in zip(held, (row, n, root)):
-                x.append(v)
-            if len(a) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(np.array([a, b]), axis=1)], ["hub", "row"])
-                a, b = [], []
-        found = np.unique(np.array([a, b], np.int64), axis=1) if a else np.empty((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["hub", "row"])
+        columns = (batch[c].to_pylist() for c in ("cluster", "i", "j", "second", "row", "n", "root", "sketch"))
+        for cluster, i, j, second, *row in zip(*columns):
+            if (cluster, i, j) != cell:
+                if cell and held[0]:
+                    yield pairs(held[0], held[1] or held[0], cell[1] == cell[2])
+                cell, held = (cluster, i, j), ([], [])
+            held[second].append(tuple(row))
+    if cell and held[0]:
+        yield pairs(held[0], held[1] or held[0], cell[1] == cell[2])
+
+
+def _cells(open_: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows of entries that still span components, dealt to cells: what entries link is a cluster, a cluster's rows are in blocks, each two blocks meet in one cell."""
+    hubs = open_.groupBy("entry").agg(F.min("row").alias("a"))
+    star = open_.join(hubs, "entry").where(F.col("a") != F.col("row")).select("a", F.col("row").alias("b")).distinct()
+    clusters = components(star).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+    rows = open_.select("row", "n", "root").distinct().join(clusters, "row").join(index.select("row", "sketch"), "row")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = rows.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = [F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), (F.col("b") > F.col("x")).cast("int").alias("second")]
+    rows = rows.select("cluster", *cell, "row", "n", "root", "sketch")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "second")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row: str | None = None) -> DataFrame:
@@ -275,15 +304,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     posted = posted.withColumn("hub", F.min(F.struct("row", "n")).over(by_entry)).withColumn("docs", F.count("*").over(by_entry))
     shared = written(posted.where("docs > 1").select("entry", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least
-    pairs = written(shared.where((F.col("hub") != F.col("row")) & near).select("hub", "row").distinct(), "pairs")
-    links = _verify(pairs, index, texts, words, least)
+    pairs = _open_pairs(shared.where((F.col("hub") != F.col("row")) & near).select("hub", "row").distinct(), index, least)
+    links = _verify(pairs, texts, words, least)
 
     roots = components(links)
     open_ = shared.select("entry", "row", "n").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     spans = open_.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("entry")
-    open_ = open_.join(spans, "entry", "left_semi").repartition("entry").sortWithinPartitions("entry", "row")
-    across = open_.mapInArrow(lambda it: _across(it, least), "hub long, row long").distinct().join(pairs, ["hub", "row"], "left_anti")
-    more = _verify(written(across, "across"), index, texts, words, least)
+    open_ = written(open_.join(spans, "entry", "left_semi"), "open")
+    across = _cells(open_, index).mapInArrow(lambda it: _across(it, least), "hub long, row long")
+    more = _verify(written(across, "across"), texts, words, least)
     roots = components(links.unionAll(more))
 
     own = index.select("row", "doc_id", "n", "digest").join(same, "digest", "left")

@@ -39,6 +39,7 @@ def brute(rows):
 def test_components(spark, monkeypatch, frequent):
     if frequent:
         monkeypatch.setattr(J, "FEW", 3)
+        monkeypatch.setattr(J, "BLOCK", 4)
     random.seed(5)
     words = [f"w{k}" for k in range(3000)]
     bases = [[random.choice(words) for _ in range(random.choice([1, 2, 3, 9, 12, 30, 62, 66, 70, 75, 200, 400]))] for _ in range(60)]
