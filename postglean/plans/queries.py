@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import postings as fn
 from ..operators import board as B
-from ..operators import ingest, liveness, merge, selection, vacancy
+from ..operators import cohort, globe, ingest, liveness, merge, selection, vacancy
 from .views import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,3 +397,100 @@ def link_status(spark, d):
 def max_years_band(spark, d):
     band = fn.years_band("p_size")
     return table(spark, d, "part").groupBy("p_size", band["label"].alias("label"), band["weight"].alias("weight")).agg(F.count("*").alias("n"))
+
+
+@query(" SELECT source, min(doc_id) AS at, max_by(id, doc_id) AS last_id FROM v_postings GROUP BY 1", ("v_postings",))
+def unique_by_id(spark, d):
+    rows = view(spark, d, "v_postings").select(F.col("source").alias("id"), F.col("doc_id").alias("at"), F.col("id").alias("last_id"))
+    return cohort.unique_by_id(rows).withColumnRenamed("id", "source")
+
+
+@query(" SELECT coalesce(o.id, n.id) AS id, o.id IS NULL AS is_new, coalesce(n.status, o.status) AS state FROM v_old o FULL JOIN v_new n ON n.id = o.id WHERE coalesce(o.id, n.id) NOT IN (SELECT id FROM v_new WHERE checked_at = 5)", SPLIT)
+def retained_cohort(spark, d):
+    old, new = view(spark, d, "v_old"), view(spark, d, "v_new")
+    return cohort.retained(old.select("id", F.col("checked_at").alias("at"), F.col("status").alias("state")), new.select("id", F.col("status").alias("state")), new.where("checked_at = 5"))
+
+
+@query(" SELECT o.id, coalesce(n.status, o.status) AS status FROM v_old o LEFT JOIN v_new n ON n.id = o.id WHERE n.id IS NULL OR n.status <> 'P'", SPLIT)
+def status_overlay(spark, d):
+    return cohort.overlaid(view(spark, d, "v_old").select("id", "status"), view(spark, d, "v_new").select("id", F.expr("nullif(status, 'P')").alias("status")))
+
+
+@query("SELECT place, s.source, count(d.doc_id) AS n FROM (VALUES (0, 'src3'), (1, 'src1'), (2, 'none')) s(place, source) LEFT JOIN documents d ON d.source = s.source GROUP BY ALL")
+def counts_by_source(spark, d):
+    return cohort.counts_by_source(table(spark, d, "documents"), ("src3", "src1", "none"))
+
+
+@query(" SELECT count(*) FILTER (remote) AS alive, count(*) FILTER (NOT remote) AS dead, count(*) FILTER (remote IS NULL) AS unknown FROM v_postings", ("v_postings",))
+def liveness_counts(spark, d):
+    return cohort.liveness_counts(view(spark, d, "v_postings").select(F.col("remote").alias("alive")))
+
+
+@query("SELECT user_id, count(*) AS attempted, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'error') * 2 > count(*) AS degraded FROM events GROUP BY 1")
+def degraded_runs(spark, d):
+    by = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("attempted"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    return by.withColumn("degraded", cohort.degraded("attempted", "failed"))
+
+
+@query("SELECT id, CASE WHEN posted BETWEEN 10957 AND observed + 1 THEN posted END AS posted_at FROM (SELECT event_id AS id, event_id % 40000 AS posted, 19000 + event_id % 3 AS observed FROM events)")
+def publication_plausible(spark, d):
+    rows = table(spark, d, "events").selectExpr("event_id AS id", "event_id % 40000 AS posted", "19000 + event_id % 3 AS observed")
+    return rows.select("id", cohort.plausible_publication("posted", "observed").alias("posted_at"))
+
+
+@query("SELECT m, CASE WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' WHEN m < 10080 THEN (m // 1440) || 'd' WHEN m < 43200 THEN (m // 10080) || 'w' ELSE (m // 43200) || 'mo' END AS age FROM (SELECT DISTINCT event_id * 17 % 99991 AS m FROM events)")
+def age_buckets(spark, d):
+    return table(spark, d, "events").selectExpr("event_id * 17 % 99991 AS m").distinct().withColumn("age", cohort.age_bucket("m"))
+
+
+@query(" SELECT o.status AS was, n.status AS now, count(*) AS n FROM v_old o JOIN v_new n ON n.id = o.id GROUP BY ALL", SPLIT)
+def transition_report(spark, d):
+    state = lambda name: view(spark, d, name).select("id", F.col("status").alias("state"))
+    return cohort.transitions(state("v_old"), state("v_new"))
+
+
+@query(" SELECT id, first_seen FROM v_postings WHERE first_seen > 30000 ORDER BY first_seen, id LIMIT 101", ("v_postings",))
+def new_roles_poll(spark, d):
+    return cohort.new_since(view(spark, d, "v_postings").select("id", "first_seen"), 30000)
+
+
+@query(" SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND coalesce(o.checked_at, -1) <= 400 THEN 415 ELSE o.checked_at END AS until, CASE WHEN n.id IS NOT NULL AND coalesce(o.checked_at, -1) <= 400 THEN coalesce(o.last_seen_at, 0) + 1 ELSE o.last_seen_at END AS attempts FROM v_old o FULL JOIN v_new n ON n.id = o.id", SPLIT)
+def lease_claim(spark, d):
+    leases = view(spark, d, "v_old").select("id", F.col("checked_at").alias("until"), F.col("last_seen_at").alias("attempts"))
+    return cohort.claimed(leases, view(spark, d, "v_new"), 400)
+
+
+@query(" SELECT id, posted_at AS applied, last_seen_at AS recorded FROM v_old WHERE title = 'Title 3' ORDER BY applied DESC NULLS LAST, recorded DESC, id LIMIT 20", SPLIT)
+def application_history(spark, d):
+    events = view(spark, d, "v_old").select("id", F.col("title").alias("company"), F.col("posted_at").alias("applied"), F.col("last_seen_at").alias("recorded"))
+    return cohort.history_listed(events, " TITLE 3 ").select("id", "applied", "recorded")
+
+
+_POINTS = "SELECT c_custkey AS id, c_nationkey AS group_id, c_mktsegment AS title, c_custkey % 101 AS score, CAST((c_nationkey * 7 + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END) % 200 - 95 AS DOUBLE) AS lat, CAST((c_nationkey * 13) % 361 - 180 AS DOUBLE) AS lng FROM customer"
+
+
+def _points(spark, d):
+    return spark.sql(_POINTS.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer"))
+
+
+@query(f"WITH p AS ({_POINTS}), ok AS (SELECT * FROM p WHERE lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180), spots AS (SELECT group_id, CAST(lat * 100 AS BIGINT) AS y, CAST(lng * 100 AS BIGINT) AS x, count(*) AS n FROM ok GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, y, x) AS r, sum(n) OVER (PARTITION BY group_id) AS \"rows\", count(*) OVER (PARTITION BY group_id) AS places FROM spots) SELECT r.group_id, (SELECT max(score) FROM ok WHERE ok.group_id = r.group_id) AS best, (SELECT count(DISTINCT title) FROM ok WHERE ok.group_id = r.group_id) AS roles, places, CAST(\"rows\" AS BIGINT) AS \"rows\", CASE WHEN n * 10 >= \"rows\" * 6 THEN y END AS modal_y, CASE WHEN n * 10 >= \"rows\" * 6 THEN x END AS modal_x FROM ranked r WHERE r.r = 1")
+def map_clusters(spark, d):
+    rows = _points(spark, d)
+    return globe.place_summary(globe.on_map(rows.select("id", "group_id", "title", "score"), rows.select("id", "lat", "lng")))
+
+
+@query(f"SELECT min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east FROM ({_POINTS}) WHERE group_id < 9 HAVING max(lng) - min(lng) < 150")
+def map_bounds(spark, d):
+    return globe.bounding_box(_points(spark, d).where("group_id < 9"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (lat > 0) AS mapped, count(*) FILTER (lat <= 0) AS unmapped FROM ({_POINTS})")
+def map_counts(spark, d):
+    rows = _points(spark, d)
+    return globe.mapped_counts(rows.select("id"), rows.where("lat > 0"))
+
+
+@query("SELECT a, b, (b - a + 540) % 360 - 180 AS delta FROM (SELECT DISTINCT s_suppkey % 181 AS a, s_nationkey * 7 % 180 AS b FROM supplier)")
+def longitude_delta(spark, d):
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey % 181 AS a", "s_nationkey * 7 % 180 AS b").distinct()
+    return rows.withColumn("delta", globe.longitude_delta(F.col("a"), F.col("b")))
