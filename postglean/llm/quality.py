@@ -29,6 +29,7 @@ KEEP = 0.5
 _MOST = 300_000
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
+_DIGITS = bytes(range(48, 58))
 _UPPER = bytes(range(65, 91))
 _SYMBOLS = b"%$&#*|@^~_=+<>{}[]\\/!?"
 _ENDS = b".,;:"
@@ -39,7 +40,7 @@ def measures(text: bytes, words: list[bytes]) -> dict[str, float]:
     n, size = max(1, len(words)), max(1, len(text))
     letters = len(text) - len(text.translate(None, _LETTERS))
     return {
-        "words": len(words), "letters": letters / size,
+        "words": len(words), "letters": (len(text) - len(text.translate(None, _LETTERS + _DIGITS))) / size,
         "upper": (len(text) - len(text.translate(None, _UPPER))) / max(1, letters),
         "symbols": (len(text) - len(text.translate(None, _SYMBOLS))) / size,
         "distinct": len(set(words)) / n, "again": sum(map(eq, words, words[1:])) / n,
@@ -55,13 +56,13 @@ def _vote(bad: bool, good: bool) -> int:
 #: Each heuristic sees one side of a text and abstains between its two bounds.
 LABELLERS = {
     "symbols": lambda m: _vote(m["symbols"] > 0.05, m["symbols"] < 0.01),
-    "letters": lambda m: _vote(m["letters"] < 0.72, m["letters"] > 0.78),
-    "upper": lambda m: _vote(m["upper"] > 0.4, m["upper"] < 0.15),
-    "repeats": lambda m: _vote(m["again"] > 0.15, False),
+    "letters": lambda m: _vote(m["words"] >= 10 and m["letters"] < 0.72, m["words"] >= 10 and m["letters"] > 0.78),
+    "upper": lambda m: _vote(m["words"] >= 5 and m["upper"] > 0.4, m["words"] >= 5 and m["upper"] < 0.15),
+    "repeats": lambda m: _vote(m["again"] > 0.15, m["words"] >= 10 and m["again"] < 0.05),
     "variety": lambda m: _vote(m["words"] >= 40 and m["distinct"] < 3 / m["words"] ** 0.5 * 0.8, m["words"] >= 40 and m["distinct"] > 6 / m["words"] ** 0.5 * 0.8),
-    "bars": lambda m: _vote(m["bars"] > 0.1, False),
+    "bars": lambda m: _vote(m["bars"] > 0.1, m["words"] >= 10 and m["bars"] == 0),
     "sentences": lambda m: _vote(m["words"] >= 20 and m["ends"] < 0.01, 0.02 < m["ends"] < 0.5),
-    "words": lambda m: _vote(m["words"] >= 5 and not 2.2 < m["length"] < 12, 3 < m["length"] < 9),
+    "words": lambda m: _vote(m["words"] >= 10 and not 2.2 < m["length"] < 12, 3 < m["length"] < 9),
 }
 
 
@@ -79,7 +80,7 @@ def votes_of(patterns: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """rates[k, c, v]: how often heuristic k votes v on texts of class c (0 bad, 1 good); prior: the share of good texts."""
+    """rates[k, c, v]: how often heuristic k, if it votes, votes v on texts of class c (0 bad, 1 good); prior: the share of good texts. To abstain says nothing."""
 
     def __init__(self, rates: np.ndarray, prior: float):
         self.rates, self.prior = rates, prior
@@ -95,7 +96,9 @@ class LabelModel:
             for c, weight in enumerate((counts * (1 - post), counts * post)):
                 for v in range(3):
                     rates[:, c, v] = ((votes == v) * weight[:, None]).sum(axis=0) + 0.1
+            rates[:, :, NONE] = 0
             rates /= rates.sum(axis=2, keepdims=True)
+            rates[:, :, NONE] = 1
             model = cls(rates, float(np.clip((counts * post).sum() / max(1, counts.sum()), 0.02, 0.98)))
             before, post = post, model.posterior(patterns)
             if np.abs(before - post).max(initial=0) < 1e-6:
