@@ -256,29 +256,31 @@ def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
     cell, held = None, ([], [])
     for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("cluster", "i", "j", "second", "row", "n", "root", "sketch"))
-        for cluster, i, j, second, *row in zip(*columns):
-            if (cluster, i, j) != cell:
+        columns = (batch[c].to_pylist() for c in ("entry", "i", "j", "second", "row", "n", "root", "sketch"))
+        for entry, i, j, second, *row in zip(*columns):
+            if (entry, i, j) != cell:
                 if cell and held[0]:
                     yield pairs(held[0], held[1] or held[0], cell[1] == cell[2])
-                cell, held = (cluster, i, j), ([], [])
+                cell, held = (entry, i, j), ([], [])
             held[second].append(tuple(row))
     if cell and held[0]:
         yield pairs(held[0], held[1] or held[0], cell[1] == cell[2])
 
 
 def _cells(open_: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows of entries that still span components, dealt to cells: what entries link is a cluster, a cluster's rows are in blocks, each two blocks meet in one cell."""
-    hubs = open_.groupBy("entry").agg(F.min("row").alias("a"))
-    star = open_.join(hubs, "entry").where(F.col("a") != F.col("row")).select("a", F.col("row").alias("b")).distinct()
-    clusters = components(star).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-    rows = open_.select("row", "n", "root").distinct().join(clusters, "row").join(index.select("row", "sketch"), "row")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(blocks, "cluster").withColumn("b", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cell = [F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), (F.col("b") > F.col("x")).cast("int").alias("second")]
-    rows = rows.select("cluster", *cell, "row", "n", "root", "sketch")
-    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "second")
+    """Rows of entries that still span components, dealt to cells: an entry's rows are in blocks, each two blocks meet in one cell.
+
+    Entries with the same rows, as those of one shared passage, are one. Rows
+    are told by two hashes of all of them, so no entry is gathered.
+    """
+    rows_of = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+    spans = open_.groupBy("entry").agg(*rows_of, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    groups = written(spans.groupBy("rows", "x", "y").agg(F.min("entry").alias("entry")).select("entry", F.ceil(F.col("rows") / BLOCK).alias("blocks")), "groups")
+    rows = open_.join(groups, "entry").withColumn("b", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = [F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), (F.col("b") > F.col("other")).cast("int").alias("second")]
+    rows = rows.join(index.select("row", "sketch"), "row").select("entry", *cell, "row", "n", "root", "sketch")
+    return rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "second")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row: str | None = None) -> DataFrame:
@@ -308,10 +310,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     links = _verify(pairs, texts, words, least)
 
     roots = components(links)
-    open_ = shared.select("entry", "row", "n").join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    spans = open_.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("entry")
-    open_ = written(open_.join(spans, "entry", "left_semi"), "open")
-    across = _cells(open_, index).mapInArrow(lambda it: _across(it, least), "hub long, row long")
+    rest = shared.where(F.col("hub") != F.col("row")).select("entry", "row", "n")  # the hub has met all others
+    open_ = written(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "open")
+    across = _cells(open_, index).mapInArrow(lambda it: _across(it, least), "hub long, row long").distinct()
     more = _verify(written(across, "across"), texts, words, least)
     roots = components(links.unionAll(more))
 
