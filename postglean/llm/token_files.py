@@ -38,15 +38,20 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    take = np.ones(n, np.uint8)  # of the word that starts here: the selector
-    take[:] = len(COUNTS) - 1
+    take = np.full(n, len(COUNTS) - 1, np.uint8)  # of the word that starts here: the selector
     open_ = np.ones(n, bool)
+    top = int(values.max())
+    narrow = values.astype(np.uint32) if top < 1 << 32 else values
+    wide = np.zeros(n + 1 + COUNTS[0], np.int32)
     for s, (count, bits, spare) in enumerate(zip(COUNTS, BITS, ESCAPES)):
-        wide = np.concatenate([[0], np.cumsum(values >= np.uint64((1 << bits) - 1), dtype=np.int64)])
-        last = np.minimum(np.arange(n) + count, n)
-        fits = open_ & (wide[last] - wide[:n] <= spare)
+        if top < (1 << bits) - 1:  # all the rest fit
+            take[open_] = s
+            break
+        np.cumsum(narrow >= (1 << bits) - 1, dtype=np.int32, out=wide[1 : n + 1])
+        wide[n + 1 :] = wide[n]
+        fits = open_ & (wide[count : count + n] - wide[:n] <= spare)
         take[fits] = s
-        open_ &= ~fits
+        open_ ^= fits
     steps = np.array(COUNTS)[take].tolist()
     starts, at = [], 0
     while at < n:
@@ -59,12 +64,14 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in np.unique(chosen):
         count, bits = COUNTS[s], BITS[s]
         own, top = np.flatnonzero(chosen == s), np.uint64((1 << bits) - 1)
-        at = starts[own][:, None] + np.arange(count)
-        block = padded[at]
-        over = block >= top
-        marked[at[over & (at < n)]] = True
-        slots = np.where(over, top, block) << (np.arange(count, dtype=np.uint64) * np.uint64(bits))
-        words[own] = np.bitwise_or.reduce(slots, axis=1) | np.uint64(int(s) << 60)
+        at, word = starts[own], np.full(len(own), np.uint64(int(s) << 60))
+        for k in range(count):
+            slot = padded[at + k]
+            if ESCAPES[s] or count == 1:  # the widest word takes any value
+                marked[at[slot >= top] + k] = True
+                slot = np.minimum(slot, top)
+            word |= slot << np.uint64(k * bits)
+        words[own] = word
     return words, values[marked]
 
 
