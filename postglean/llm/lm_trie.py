@@ -1,51 +1,49 @@
-"""An n-gram language model in an Elias-Fano trie, and the scores it gives.
-
-The base is a smoothed unigram model of all training tokens. On it stand the
-bigrams and trigrams that make up at least ``SHARE`` of the training tokens:
-``1 / SHARE`` of each order at most, whatever the corpus. Their words are as
-frequent, and so are a trigram's bigrams. Rarer words have the base's
-probability, weighed by the context; their counts are joined in.
-
-A level of the trie holds the successors of each context in order. A bigram's
-is a word; a trigram's is its rank among the successors of the middle word.
-With each range raised above the one before it a level is one rising sequence,
-kept in Elias-Fano blocks, with quantised log probabilities and context weights
-beside it. Executors map the file into memory.
+"""An n-gram language model in an Elias-Fano trie of shards, and the scores it gives.
+
+The base is a smoothed unigram model of all training tokens. On it stand all
+bigrams and trigrams of the training texts, counted in full by shuffle, so the
+trie grows with the corpus. A shard is built in one task from the contexts that
+fall to it by hash, and has about ``SHARD`` n-grams; no process holds more than
+one shard.
+
+A level of a shard holds the successors of each context in order. A bigram's
+context is a word; a trigram's is a bigram, and so is its successor, the last
+two words. With each range raised above the one before it a level is one rising
+sequence, kept in Elias-Fano blocks, with quantised log probabilities and
+context weights beside it.
+
+Texts are read once, into batches of hashed words. Each batch asks every shard
+for its different n-grams there, and puts its scores together from the answers.
 """
 
 from __future__ import annotations
 
-import atexit
 import math
-import os
-import shutil
-import tempfile
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, written
 
-#: Least share of training tokens of a kept n-gram and of a word with an id; ids have ID_BITS bits.
-ID_BITS = 20
-SHARE = 2.0**-ID_BITS
+#: Least share of training tokens of a kept bigram or trigram; at 0 all are kept.
+SHARE = 0.0
 DISCOUNT = 0.75
 ADD = 0.1
 #: Log probabilities and weights are stored in steps of this, as 16 bits.
 STEP = 1 / 2048
-#: Hash buckets that bigrams and trigrams are first counted in, each; only those of buckets that reach SHARE are counted themselves.
-BUCKETS = 1 << 22
-PIECE = 1 << 16
+#: In place of a log probability: no such n-gram.
+NONE = 65535
+#: N-grams in one shard, about.
+SHARD = 300_000
+#: Tokens in a batch, about.
+RUN = 1_000_000
 END = b"\n"  # no word holds it
 BLOCK = 64
-_FLUSH = 300_000
 _MOST = 300_000
 
 
@@ -55,6 +53,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    return _mix(_mix(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
+
+
 class EliasFano:
     """A rising sequence in blocks of 64: a base, low bits packed, high bits in unary. Places of low bits rise too."""
 
@@ -117,112 +120,82 @@ class EliasFano:
 
 
 def _quantised(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(-np.log10(x) / STEP), 0, 65535).astype(np.uint16)
+    return np.clip(np.round(x / -STEP), 0, NONE - 1).astype(np.uint16)
+
+
+class Level:
+    """Contexts by hash, each with its weight and its successors by hash, each with its log probability."""
+
+    def __init__(self, context: np.ndarray, successor: np.ndarray, p: np.ndarray, weight: np.ndarray):
+        """Rows by (context, successor); p and weight are log10."""
+        self.contexts, first, place = np.unique(context, return_index=True, return_inverse=True)
+        self.words, word = np.unique(successor, return_inverse=True)
+        self.weight, self.p = _quantised(weight[first]), _quantised(p)
+        self.sequence = EliasFano.of(place * len(self.words) + word)
+
+    @staticmethod
+    def _place(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+        return np.where(known[at] == asked, at, -1) if len(known) else np.full(len(asked), -1)
+
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each successor after its context, or NONE; the context's weight, or 0."""
+        place, word = self._place(self.contexts, context), self._place(self.words, successor)
+        p, weight = np.full(len(context), NONE, np.uint16), np.zeros(len(context), np.uint16)
+        weight[place >= 0] = self.weight[place[place >= 0]]
+        own = np.flatnonzero((place >= 0) & (word >= 0))
+        keys, back = np.unique(place[own] * len(self.words) + word[own], return_inverse=True)
+        found = self.sequence.find(keys)[back] if len(keys) else keys
+        p[own[found >= 0]] = self.p[found[found >= 0]]
+        return p, weight
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.contexts, self.words, self.weight, self.p, *self.sequence.parts()]
+
+    @classmethod
+    def read(cls, parts: list[np.ndarray]) -> Level:
+        out = cls.__new__(cls)
+        out.contexts, out.words, out.weight, out.p = parts[:4]
+        out.sequence = EliasFano(int(parts[4][0]), *parts[5:10])
+        return out
 
 
-class Model:
-    """words: sorted hashes of words with an id, their place; counts: theirs. first: ids with kept bigrams."""
+_KINDS = (np.int64, np.uint16, np.uint8)
 
-    def __init__(self, total, distinct, words, counts, first, levels, starts, p2, p3, weight1, weight2, span3):
-        self.total, self.distinct, self.words, self.counts, self.first = int(total), int(distinct), words, counts, first
-        (self.level2, self.level3), self.starts2, self.p2, self.p3, self.weight1, self.weight2, self.span3 = levels, starts, p2, p3, weight1, weight2, int(span3)
-        self.scale = math.log10(self.total + ADD * (self.distinct + 1))
-        self.base = np.log10(self.counts + ADD) - self.scale
 
-    @classmethod
-    def build(cls, total: int, distinct: int, words, counts, bigrams, n2, trigrams, n3) -> Model:
-        """words: sorted. bigrams, trigrams: sorted ids, packed ID_BITS each, with counts n2, n3."""
-        base = (counts + ADD) / (total + ADD * (distinct + 1))
-        mask = (1 << ID_BITS) - 1
-        f, w = bigrams >> ID_BITS, bigrams & mask
-        first = np.unique(f)
-        context = np.searchsorted(first, f)
-        kept = np.bincount(context, np.maximum(n2 - DISCOUNT, 0), len(first))
-        weight1 = np.maximum(1 - kept / counts[first], 1e-9)
-        p2 = np.maximum(n2 - DISCOUNT, 0) / counts[f] + weight1[context] * base[w]
-        starts = np.searchsorted(context, np.arange(len(first) + 1))
-        own, last = np.searchsorted(bigrams, trigrams >> ID_BITS), np.searchsorted(bigrams, trigrams & ((1 << 2 * ID_BITS) - 1))
-        rank = last - starts[context[last]] if len(last) else last
-        kept = np.bincount(own, np.maximum(n3 - DISCOUNT, 0), len(bigrams))
-        weight2 = np.maximum(1 - kept / np.maximum(n2, 1), 1e-9)
-        p3 = np.maximum(n3 - DISCOUNT, 0) / n2[own] + weight2[own] * p2[last]
-        span3 = int(rank.max(initial=0)) + 1
-        levels = EliasFano.of((context << ID_BITS) + w), EliasFano.of(own * span3 + rank)
-        return cls(total, distinct, words, counts, first, levels, EliasFano.of(starts), *map(_quantised, (p2, p3, weight1, weight2)), span3)
-
-    def save(self, path: str) -> None:
-        parts = [np.array([self.total, self.distinct, self.span3]), self.words, self.counts, self.first, self.p2, self.p3, self.weight1, self.weight2]
-        parts += [x for level in (self.level2, self.level3, self.starts2) for x in level.parts()]
-        kinds = (np.int64, np.uint64, np.uint16, np.uint8)
-        head, at = [], 8 + 24 * len(parts)
-        for x in parts:
-            head.append((kinds.index(x.dtype), at, len(x)))
-            at += -(-x.nbytes // 8) * 8
-        with open(path, "wb") as file:
-            file.write(np.array([len(parts)]).tobytes() + np.array(head).tobytes())
-            for x in parts:
-                file.write(x.tobytes() + bytes(-x.nbytes % 8))
+def _packed(parts: list[np.ndarray]) -> bytes:
+    head = np.array([len(parts), *chain.from_iterable((_KINDS.index(x.dtype), len(x)) for x in parts)], np.int64)
+    return b"".join([head.tobytes(), *(x.tobytes() + bytes(-x.nbytes % 8) for x in parts)])
 
-    @classmethod
-    def load(cls, path: str) -> Model:
-        data = np.memmap(path, np.uint8, "r")
-        head = data[8 : 8 + 24 * int(data[:8].view(np.int64)[0])].view(np.int64).reshape(-1, 3)
-        sizes = (8, 8, 2, 1)
-        parts = [data[at : at + n * sizes[k]].view((np.int64, np.uint64, np.uint16, np.uint8)[k]) for k, at, n in head.tolist()]
-        (total, distinct, span3), words, counts, first, p2, p3, weight1, weight2 = parts[:8]
-        level2, level3, starts = (EliasFano(int(parts[k][0]), *parts[k + 1 : k + 6]) for k in (8, 14, 20))
-        return cls(total, distinct, words, counts, first, (level2, level3), starts, p2, p3, weight1, weight2, span3)
 
-    _kept: dict[str, Model] = {}
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    head, at, out = np.frombuffer(data, np.int64, 2 * n, 8).reshape(-1, 2), 8 + 16 * n, []
+    for kind, size in head.tolist():
+        out.append(np.frombuffer(data, _KINDS[kind], size, at))
+        at += -(-out[-1].nbytes // 8) * 8
+    return out
+
+
+class Shard:
+    """Counts of the words and successors of the contexts of one hash class."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, levels: list[Level]):
+        self.words, self.counts, self.levels = words, counts, levels
+
+    def save(self) -> bytes:
+        return _packed([self.words, self.counts, *chain.from_iterable(x.parts() for x in self.levels)])
 
     @classmethod
-    def of(cls, path: str) -> Model:
-        """One a worker and file."""
-        if path not in cls._kept:
-            cls._kept.clear()
-            cls._kept[path] = cls.load(path)
-        return cls._kept[path]
-
-    def ids_of(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of words by hash, -1 for words without one."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-    def scores(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per token of texts that lie end to end: log10 base, and log10 of the model; for a token without id what its context adds to its base."""
-        base = np.where(ids >= 0, self.base[np.maximum(ids, 0)] if len(self.base) else 0.0, 0.0)
-        out = base.copy()
-        opens = np.zeros(len(ids) + 2, bool)
-        opens[np.concatenate([[0], ends])] = True
-        at = np.flatnonzero(~opens[: len(ids)])
-        at = at[ids[at - 1] >= 0]
-        if not len(at) or not len(self.first):
-            return base, out
-        # the context's place among first words; its weight
-        place = np.minimum(np.searchsorted(self.first, ids[at - 1]), len(self.first) - 1)
-        there = self.first[place] == ids[at - 1]
-        at, place = at[there], place[there]
-        out[at] -= self.weight1[place] * STEP
-        own = ids[at] >= 0
-        at, place = at[own], place[own]
-        keys, back = np.unique((place << ID_BITS) + ids[at], return_inverse=True)
-        found = self.level2.find(keys)
-        ranks = np.where(found >= 0, found - self.starts2.at(keys >> ID_BITS), -1) if len(keys) else found
-        bigram, rank = (np.full(len(ids), -1, np.int64) for _ in range(2))
-        bigram[at], rank[at] = found[back], ranks[back]
-        hit = np.flatnonzero(bigram >= 0)
-        out[hit] = -(self.p2[bigram[hit]] * STEP)
-        # trigrams: the bigram before, then the rank of this word after the last
-        at = np.flatnonzero(~opens[: len(ids)])
-        at = at[bigram[at - 1] >= 0]
-        out[at] -= self.weight2[bigram[at - 1]] * STEP
-        at = at[rank[at] >= 0]
-        keys, back = np.unique(bigram[at - 1] * self.span3 + rank[at], return_inverse=True)
-        found = self.level3.find(keys)[back] if len(keys) else keys
-        out[at[found >= 0]] = -(self.p3[found[found >= 0]] * STEP)
-        return base, out
+    def load(cls, data: bytes) -> Shard:
+        words, counts, *rest = _unpacked(data)
+        return cls(words, counts, [Level.read(rest[:10]), Level.read(rest[10:])])
+
+    def answer(self, asked: list[np.ndarray]) -> list[np.ndarray]:
+        """asked: words, contexts and successors of bigrams, then of trigrams. Counts of words, 0 for others; probabilities and weights of either level."""
+        place = Level._place(self.words, asked[0])
+        counts = np.where(place >= 0, self.counts[np.maximum(place, 0)] if len(self.counts) else 0, 0).astype(np.int64)
+        return [counts, *self.levels[0].find(*asked[1:3]), *self.levels[1].find(*asked[3:])]
 
 
 def _tokens(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
@@ -242,134 +215,224 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def _grams(tokens: list[bytes], ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Hashes of tokens; where bigrams and trigrams end that lie within a text; their buckets."""
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
-    opens = np.zeros(len(h) + 2, bool)
-    opens[np.concatenate([[0], ends])] = True
-    at2 = np.flatnonzero(~opens[: len(h)])
-    at3 = at2[~opens[at2 - 1]]
-    two = _mix(h[at2 - 1] * np.uint64(0x9E3779B97F4A7C15) + h[at2])
-    three = _mix(_mix(h[at3 - 2] * np.uint64(0x9E3779B97F4A7C15) + h[at3 - 1]) * np.uint64(0xD1342543DE82EF95) + h[at3])
-    return h, [at2, at3], [(x % np.uint64(BUCKETS)).astype(np.int64) for x in (two, three)]
-
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about RUN tokens: ids and flags of their texts, their different words' hashes, tokens as places among these, ends of texts."""
+    from pyspark import TaskContext
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words (kind 1: key is the hash) and of buckets (kinds 2 and 3: key is a piece, data its counts)."""
-    words: Counter = Counter()
-    tables = np.zeros((2, BUCKETS), np.int32)
+    number, held, n = TaskContext.get().partitionId() << 32, [], 0
 
     def flush() -> pa.RecordBatch:
-        keys = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).astype(np.int64)
-        out = [pa.array(np.ones(len(words), np.int32)), pa.array(keys), pa.array(np.fromiter(words.values(), np.int64, len(words))), pa.nulls(len(words), pa.binary())]
-        words.clear()
-        return pa.RecordBatch.from_arrays(out, ["kind", "key", "n", "data"])
+        nonlocal number, n
+        words, ids = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
+        ends = np.cumsum(np.concatenate([k for _, k, _ in held]))
+        docs = [pa.array([list(chain.from_iterable(d[c].to_pylist() for _, _, d in held))], pa.list_(kind)) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+        out = [pa.array([number]), *docs, *(pa.array([x.tobytes()], pa.binary()) for x in (words.astype(np.int64), ids.astype(np.int32), ends.astype(np.int64)))]
+        number, n = number + 1, 0
+        held.clear()
+        return pa.RecordBatch.from_arrays(out, ["batch", "doc_id", "held_out", "words", "ids", "ends"])
 
     for batch in slices(batches):
+        if not batch.num_rows:
+            continue
         tokens, ends = _tokens(batch["bytes"])
-        words.update(tokens)
-        for table, buckets in zip(tables, _grams(tokens, ends)[2]):
-            table += np.bincount(buckets, minlength=BUCKETS).astype(np.int32)
-        if len(words) >= _FLUSH:
+        h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens)).view(np.int64)
+        held.append((h, np.diff(np.concatenate([[0], ends])), batch.select(["doc_id", "held_out"])))
+        n += len(h)
+        if n >= RUN:
             yield flush()
-    yield flush()
-    for kind, table in enumerate(tables, 2):
-        if table.any():
-            data = [table[a : a + PIECE].tobytes() for a in range(0, BUCKETS, PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), kind, np.int32)), pa.array(np.arange(len(data))), pa.nulls(len(data), pa.int64()), pa.array(data, pa.binary())], ["kind", "key", "n", "data"])
+    if held:
+        yield flush()
+
+
+BATCH = "batch long, doc_id array<long>, held_out array<boolean>, words binary, ids binary, ends binary"
+
+
+class _Grams:
+    """Of one row of the table of batches: the places where n-grams of each order end within a text, their contexts and successors."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int, training: bool = False):
+        words, ids, self.ends = (np.frombuffer(batch[c][k].as_py(), kind) for c, kind in (("words", np.int64), ("ids", np.int32), ("ends", np.int64)))
+        h = words[ids]
+        self.sizes = np.diff(np.concatenate([[0], self.ends]))
+        if training:
+            own = ~np.array(batch["held_out"][k].as_py(), bool)
+            h = h[np.repeat(own, self.sizes)]
+            self.sizes = self.sizes[own]
+            self.ends = np.cumsum(self.sizes)
+        opens = np.zeros(len(h) + 2, bool)
+        opens[np.concatenate([[0], self.ends]).astype(np.int64)] = True
+        at2 = np.flatnonzero(~opens[: len(h)])
+        at3 = at2[~opens[at2 - 1]]
+        two = np.zeros(len(h), np.int64)
+        two[at2] = _pair(h[at2 - 1], h[at2])
+        self.at = [np.arange(len(h)), at2, at3]
+        self.context = [h, h[at2 - 1], two[at3 - 1]]
+        self.successor = [np.zeros(len(h), np.int64), h[at2], two[at3]]
+
+    def different(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts and successors of the different n-grams of an order, which of them each n-gram is, their counts."""
+        a, b = self.context[order], self.successor[order]
+        _, first, back, n = np.unique(_pair(a, b), return_index=True, return_inverse=True, return_counts=True)
+        return a[first], b[first], back, n
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts within each batch of training texts: words (kind 0), bigrams (1), trigrams (2)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            grams = _Grams(batch, k, training=True)
+            for order in range(3):
+                a, b, _, n = grams.different(order)
+                for lo in range(0, len(a), 100_000):
+                    part = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), order, np.int32)), *(pa.array(x[part]) for x in (a, b, n))], ["kind", "a", "b", "n"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With each bigram's own hash."""
+    for batch in batches:
+        yield batch.append_column("key", pa.array(_pair(batch["a"].to_numpy(), batch["b"].to_numpy())))
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (shard, kind, a, b): a file for each shard."""
+    held: list[pa.RecordBatch] = []
+    shard = None
+
+    def done() -> pa.RecordBatch:
+        rows = {c: np.concatenate([x[c].to_numpy(zero_copy_only=False) for x in held]) for c in held[0].schema.names}
+        own = lambda k, *names: [rows[c][rows["kind"] == k] for c in names]
+        levels = [Level(*own(k, "a", "b", "p", "weight")) for k in (1, 2)]
+        held.clear()
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "data": pa.array([Shard(*own(0, "a", "n"), levels).save()], pa.binary())})
 
-def _summed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (kind, key): which buckets of each piece reach ``least``, as bits."""
-    key, held = None, None
-    done = lambda: pa.RecordBatch.from_pydict({"kind": pa.array([key[0]], pa.int32()), "key": [key[1]], "data": [np.packbits(held >= least).tobytes()]})
     for batch in batches:
-        for kind, piece, data in zip(batch["kind"].to_pylist(), batch["key"].to_pylist(), batch["data"]):
-            if (kind, piece) != key:
-                if key:
-                    yield done()
-                key, held = (kind, piece), np.zeros(PIECE, np.int64)
-            held += np.frombuffer(data.as_py(), np.int32)
-    if key:
+        shards = batch["shard"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and shards[a] != shard:
+                yield done()
+            shard = int(shards[a])
+            held.append(batch.slice(a, b - a))
+    if held:
         yield done()
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], words, open_) -> Iterator[pa.RecordBatch]:
-    """Counts within each batch of n-grams in open buckets, as packed ids."""
-    words, open_ = words.value, open_.value
-    for batch in slices(batches):
-        tokens, ends = _tokens(batch["bytes"])
-        h, places, buckets = _grams(tokens, ends)
-        ids = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-        ids = np.where(words[ids] == h, ids, -1) if len(words) else np.full(len(h), -1)
-        for order, at, bucket in zip((2, 3), places, buckets):
-            at = at[open_[order - 2][bucket]]
-            packed, known = np.zeros(len(at), np.int64), np.ones(len(at), bool)
-            for back in range(order - 1, -1, -1):
-                packed = packed << ID_BITS | np.maximum(ids[at - back], 0)
-                known &= ids[at - back] >= 0
-            found, n = np.unique(packed[known], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), order, np.int32)), pa.array(found), pa.array(n)], ["order", "gram", "n"])
-
-
-def train(texts: DataFrame, unigrams_to: list) -> Model:
-    """The model of all ``texts`` (bytes). Appends to ``unigrams_to`` the table of all words' counts (key, n).
-
-    Words are counted in full and stay distributed; what reaches the driver
-    are words and n-grams of SHARE, and two bit maps of BUCKETS.
-    """
-    sc = texts.sparkSession.sparkContext
-    counted = written(texts.mapInArrow(_counted, "kind int, key long, n long, data binary"), "counted")
-    unigrams = written(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
-    unigrams_to.append(unigrams)
-    distinct, total = unigrams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(1.0, SHARE * total)
-    found = unigrams.where(F.col("n") >= least).toArrow()
-    keys, counts = found["key"].to_numpy().astype(np.uint64), found["n"].to_numpy()
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    sums = counted.where("kind > 1").select("kind", "key", "data").repartition("kind", "key").sortWithinPartitions("kind", "key")
-    open_ = np.zeros((2, BUCKETS), bool)
-    for r in sums.mapInArrow(lambda it: _summed(it, least), "kind int, key long, data binary").toLocalIterator():
-        open_[r.kind - 2, r.key * PIECE : (r.key + 1) * PIECE] = np.unpackbits(np.frombuffer(r.data, np.uint8)).astype(bool)
-    words, buckets = sc.broadcast(keys), sc.broadcast(open_)
-    grams = texts.mapInArrow(lambda it: _frequent(it, words, buckets), "order int, gram long, n long").groupBy("order", "gram").agg(F.sum("n").alias("n"))
-    grams = grams.where(F.col("n") >= least).toArrow()
-    kept = []
-    for k in (2, 3):
-        own = grams["order"].to_numpy() == k
-        packed, n = grams["gram"].to_numpy()[own], grams["n"].to_numpy()[own]
-        kept += [packed[at := np.argsort(packed)], n[at]]
-    return Model.build(total, distinct, keys, counts, *kept)
-
-
-def shared(spark: SparkSession, model: Model) -> str:
-    """Hands the model's file to all executors, those to come too; returns its name there."""
-    folder = tempfile.mkdtemp(prefix="postglean-lm-")
-    atexit.register(shutil.rmtree, folder, True)
-    name = f"{os.path.basename(folder)}.trie"
-    model.save(f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
-
-
-def _scored(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def train(batches: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """The shards of the model of all training texts in ``batches``, their number, the number of training tokens and that of their different words."""
+    counted = batches.mapInArrow(_counted, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    counted = written(counted, "grams")
+    n_grams, total, distinct = counted.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)), F.count_if(F.col("kind") == 0)).first()
+    n_shards = max(1, -(-n_grams // SHARD))
+    words = counted.where("kind = 0").select("a", "n")
+    kept = counted.where(F.col("n") >= max(1.0, SHARE * total))
+    two, three = kept.where("kind = 1").drop("kind"), kept.where("kind = 2").drop("kind")
+    gain = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
+    weight = F.greatest(1 - F.col("gains") / F.col("of"), F.lit(1e-9)).alias("weight")
+    gains = lambda grams: grams.groupBy("a").agg(F.sum(gain).alias("gains"))
+    base = (F.col("last") + ADD) / (total + ADD * (distinct + 1))
+    contexts = gains(two).join(words.withColumnRenamed("n", "of"), "a").select("a", "of", weight)
+    two = two.join(contexts, "a").join(words.select(F.col("a").alias("b"), F.col("n").alias("last")), "b")
+    two = two.select("a", "b", "n", (gain / F.col("of") + F.col("weight") * base).alias("p"), "weight")
+    two = written(two.mapInArrow(_keyed, "a long, b long, n long, p double, weight double, key long"), "bigrams")
+    contexts = gains(three).join(two.select(F.col("key").alias("a"), F.col("n").alias("of")), "a").select("a", "of", weight)
+    three = three.join(contexts, "a").join(two.select(F.col("key").alias("b"), F.col("p").alias("low")), "b")
+    three = three.select("a", "b", (gain / F.col("of") + F.col("weight") * F.col("low")).alias("p"), "weight")
+    none = F.lit(0.0)
+    logs = [F.log10("p").alias("p"), F.log10("weight").alias("weight")]
+    rows = words.select(F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "n", none.alias("p"), none.alias("weight"))
+    for kind, grams in ((1, two), (2, three)):
+        rows = rows.unionAll(grams.select(F.lit(kind), "a", "b", F.lit(0).cast("long"), *logs))
+    rows = rows.withColumn("shard", F.pmod("a", F.lit(n_shards)).cast("int")).repartition("shard").sortWithinPartitions("shard", "kind", "a", "b")
+    shards = rows.mapInArrow(_built, "shard int, data binary")
+    return written(shards, "shards"), n_shards, total, distinct
+
+
+class _Asked:
+    """What a batch asks: different n-grams of each order by shard; ``cuts`` are where each shard's begin, ``back`` tells which of them each n-gram is."""
+
+    def __init__(self, grams: _Grams, n_shards: int):
+        self.pairs, self.back, self.cuts = [], [], []
+        for order in range(3):
+            a, b, back, _ = grams.different(order)
+            shard = a % n_shards
+            by = np.argsort(shard, kind="stable")
+            at = np.empty(len(by), np.int64)
+            at[by] = np.arange(len(by))
+            self.pairs.append((a[by], b[by]))
+            self.back.append(at[back])
+            self.cuts.append(np.searchsorted(shard[by], np.arange(n_shards + 1)))
+
+
+def _asked(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            asked, number = _Asked(_Grams(batch, k), n_shards), batch["batch"][k].as_py()
+            shards, data = [], []
+            for s in range(n_shards):
+                own = [slice(c[s], c[s + 1]) for c in asked.cuts]
+                if any(x.start < x.stop for x in own):
+                    shards.append(s)
+                    data.append(_packed([asked.pairs[0][0][own[0]], *(x[own[j]] for j in (1, 2) for x in asked.pairs[j])]))
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([number] * len(shards), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (shard, batch): the shard itself as batch -1, then what batches ask."""
+    at, shard = None, None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own, number, data = (batch[c][k].as_py() for c in ("shard", "batch", "data"))
+            if number < 0:
+                at, shard = own, Shard.load(data)
+                continue
+            if at != own:  # nothing was counted there
+                at, shard = own, Shard(*[np.empty(0, np.int64)] * 2, [Level(*[np.empty(0, np.int64)] * 4) for _ in range(2)])
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([number]), pa.array([_packed(shard.answer(_unpacked(data)))], pa.binary())], ["shard", "batch", "data"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], n_shards: int, scale: float) -> Iterator[pa.RecordBatch]:
+    """Rows by (batch, shard): the batch itself as shard -1, then its answers."""
+    held, answers, docs = None, [], []
+
+    def done() -> pa.RecordBatch:
+        back = held[1].back
+        sizes = [len(x[0]) for x in held[1].pairs]
+        counts = np.zeros(sizes[0], np.int64)
+        p, weight = ([np.zeros(n, np.uint16) for n in sizes[1:]] for _ in range(2))
+        for s, data in answers:
+            found = _unpacked(data)
+            own = [slice(c[s], c[s + 1]) for c in held[1].cuts]
+            counts[own[0]] = found[0]
+            for j in (0, 1):
+                p[j][own[j + 1]], weight[j][own[j + 1]] = found[1 + 2 * j : 3 + 2 * j]
+        counts = counts[back[0]]
+        base = np.log10(counts + ADD) - scale
+        out = base.copy()
+        for j, at in enumerate(held[0].at[1:]):  # what is missing backs off to what the order below gave
+            own, more = p[j][back[j + 1]], weight[j][back[j + 1]]
+            out[at] = np.where(own == NONE, out[at] - more * STEP, -(own * STEP))
+        starts = held[0].ends - held[0].sizes
+        per = lambda x: pa.array(np.add.reduceat(x, starts))
+        columns = [*docs, pa.array(held[0].sizes), per((counts > 0).astype(np.int64)), per(base), per(out)]
+        answers.clear()
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    model, seen = Model.of(SparkFiles.get(name)), TaskContext.get().partitionId() << 40
-    for batch in slices(batches):
-        tokens, ends = _tokens(batch["bytes"])
-        h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
-        ids = model.ids_of(h)
-        base, score = model.scores(ids, ends)
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        per = lambda x: np.add.reduceat(x, starts) if len(starts) else x
-        rare = np.flatnonzero(ids < 0)
-        hashes = h[rare].astype(np.int64)
-        offsets = np.searchsorted(rare, np.concatenate([[0], ends])).astype(np.int32)
-        columns = [pa.array(seen + np.arange(len(ends))), batch["doc_id"], batch["held_out"], *(pa.array(x) for x in (np.diff(np.concatenate([[0], ends])), per((ids >= 0).astype(np.int64)), per(base), per(score)))]
-        seen += len(ends)
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+    for batch in batches:
+        for k in range(batch.num_rows):
+            shard = batch["shard"][k].as_py()
+            if shard >= 0:
+                answers.append((shard, batch["data"][k].as_py()))
+                continue
+            if held:
+                yield done()
+            grams = _Grams(batch, k)
+            held = grams, _Asked(grams, n_shards)
+            docs = [pa.array(batch[c][k].as_py(), kind) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+    if held:
+        yield done()
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -381,15 +444,16 @@ def score(docs: DataFrame) -> DataFrame:
     null id counts as empty text and so is held out. Repeated rows are scored
     each. Other columns are left out; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     texts = docs.select("doc_id", held.alias("held_out"), text_bytes().alias("bytes"))
-    kept: list[DataFrame] = []
-    model = train(texts.where("not held_out").select("bytes"), kept)
-    name, scale = shared(spark, model), model.scale
-    rows = written(texts.mapInArrow(lambda it: _scored(it, name), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "scored")
-    rare = rows.select("row", F.explode("rare").alias("key")).join(kept[0], "key", "left")
-    log = F.log10(F.coalesce("n", F.lit(0)) + ADD) - scale
-    rare = rare.groupBy("row").agg(F.sum(log).alias("more"), F.count("n").alias("known"))
-    out = rows.drop("rare").join(rare, "row", "left").fillna(0, ["more", "known"])
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.col("more")).alias("base_score"), (F.col("score") + F.col("more")).alias("score"))
+    batches = written(texts.mapInArrow(_batched, BATCH), "batches")
+    shards, n_shards, total, distinct = train(batches)
+    scale = math.log10(total + ADD * (distinct + 1))
+    asked = batches.mapInArrow(lambda it: _asked(it, n_shards), "shard int, batch long, data binary")
+    both = shards.select("shard", F.lit(-1).cast("long").alias("batch"), "data").unionAll(asked)
+    both = both.repartition("shard").sortWithinPartitions("shard", "batch")
+    answers = both.mapInArrow(_answered, "shard int, batch long, data binary")
+    both = batches.withColumn("shard", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+    both = both.repartition("batch").sortWithinPartitions("batch", "shard")
+    out = both.mapInArrow(lambda it: _scored(it, n_shards, scale), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -79,3 +79,20 @@ def test_scores(spark, monkeypatch, bits):
 
 def test_nothing(spark):
     assert L.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_all_kept(spark, monkeypatch):
+    """N-grams count however small their share of the training tokens, in many shards and batches."""
+    monkeypatch.setattr(L, "SHARD", 500, raising=False)
+    monkeypatch.setattr(L, "RUN", 2000, raising=False)
+    random.seed(10)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(500, "a " * 1_200_000, ""), (501, None, "")] + [(k, " ".join(random.choices(words, k=40)), None) for k in range(200)]
+    rows += [(k, rows[k - 198][1], "") for k in range(200, 230)]
+    got = L.score(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute(rows, 0)
+    assert len(got) == len(rows) and got[0].train_tokens > 1 << 20
+    for r in got:
+        n, known, total, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert abs(r.base_score - base) < 1e-9 * max(1, abs(base)) and abs(r.score - score) < 2e-3 * n
