@@ -6,13 +6,14 @@ places, so only windows of one anchor can be equal, and an anchor that occurs
 once has no repeats. Neighbouring windows of one anchor make a snippet. Equal
 snippets are counted; where an anchor has several different ones, their windows
 are sorted as suffixes, in two stages, and common prefixes of neighbours in
-that order tell which windows repeat.
+that order tell which windows repeat. Windows of an anchor with too many
+different snippets for one array are counted by a digest of their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,12 @@ WIDTH = 200
 GRAM = 64
 #: Bytes of text hashed at a time, if documents allow.
 _RUN = 1 << 20
+#: Rows in a batch of cut snippets and windows, about.
+_ROWS = 50_000
 #: Snippets in one suffix array, about.
 SNIPPETS = 3000
-#: An anchor with more different snippets is sorted in parts, by the windows' places about it.
+#: Of an anchor with more different snippets each window is counted by its digest; no task has to hold them together.
 HOT = 2000
-STEP = 8
 _PLACE = np.uint64((1 << 28) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _BASE = 0xD1342543DE82EF95
@@ -195,47 +197,58 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the snippets to be sorted; those of a hot anchor in parts of STEP places about it."""
-    names = ["part", "anchor", "digest", "skip", "n", "data"]
+    """Bytes of the snippets to be sorted; of those of a hot anchor, a digest of each window (its number is ``skip``)."""
+    names = ["anchor", "digest", "skip", "n", "data", "window"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     for batch in batches:
-        out = []
+        out: list[tuple] = []
+        record = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names)
         for data, wanted in zip(batch["bytes"], batch["wanted"].to_pylist()):
             data = data.as_py()
             for w in wanted:
-                n, place, at = w["shape"] >> 8, w["shape"] & 255, w["at"]
-                if not w["hot"]:
-                    out.append((0, w["anchor"], w["digest"], 0, n, data[at : at + n - 1 + WIDTH]))
-                    continue
-                skip = 0
-                while skip < n:  # windows at places place - skip and below, to the next multiple of STEP
-                    take = min(n - skip, (place - skip) % STEP + 1)
-                    out.append((1 + (place - skip) // STEP, w["anchor"], w["digest"], skip, take, data[at + skip : at + skip + take - 1 + WIDTH]))
-                    skip += take
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names)
+                n, at = w["shape"] >> 8, w["at"]
+                if w["hot"]:
+                    out += [(w["anchor"], w["digest"], k, 1, None, blake2b(data[at + k : at + k + WIDTH], digest_size=16).digest()) for k in range(n)]
+                else:
+                    out.append((w["anchor"], w["digest"], 0, n, data[at : at + n - 1 + WIDTH], None))
+                if len(out) >= _ROWS:
+                    yield record()
+                    out = []
+        yield record()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the windows ``skips`` of each snippet."""
+    for batch in batches:
+        out = []
+        for anchor, digest, skips in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "skips"))):
+            flags = np.zeros(max(skips) + 1, bool)
+            flags[skips] = True
+            out += [(anchor, digest, int(a), int(b)) for a, b in zip(*_spans(flags))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["anchor", "digest", "a", "b"])
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by (bucket, part, anchor): suffix arrays of whole anchors, several together."""
+    """Rows by anchor, none of them hot: suffix arrays of whole anchors, several together."""
     held: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        flags = repeated([h[4] for h in held], [h[3] for h in held])
-        ends = np.cumsum([h[3] for h in held])
+        flags = repeated([h[3] for h in held], [h[2] for h in held])
+        ends = np.cumsum([h[2] for h in held])
         out: list[tuple] = []
-        for (anchor, digest, skip, n, _), end in zip(held, ends):
+        for (anchor, digest, n, _), end in zip(held, ends):
             for a, b in zip(*_spans(flags[end - n : end])):
-                out.append((anchor, digest, skip + int(a), skip + int(b)))
+                out.append((anchor, digest, int(a), int(b)))
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["anchor", "digest", "a", "b"])
 
     before = None
     for batch in batches:
-        for part, *row in zip(*(batch[c].to_pylist() for c in ("part", "anchor", "digest", "skip", "n", "data"))):
-            if before != (part, row[0]) and len(held) >= SNIPPETS:
+        for row in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "n", "data"))):
+            if before != row[0] and len(held) >= SNIPPETS:
                 yield flush()
-            before = (part, row[0])
-            held.append(tuple(row))
+            before = row[0]
+            held.append(row)
     if held:
         yield flush()
 
@@ -271,7 +284,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Dat
 
     Counts per anchor are partial before they move, and joins back to places
     can be split where an anchor is hot. One copy of each different snippet of
-    an anchor is read and sorted, however often it occurs.
+    an anchor is read and sorted, however often it occurs. Windows of a hot
+    anchor are counted by digest, partially before they move, and joined back.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("bytes"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
     places = written(texts.select("row", "bytes").mapInArrow(_found, "row long, at long, shape long, anchor long, digest long"), "places")
@@ -281,9 +295,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Dat
     mixed = written(mixed.select("anchor", "digest", "n", "one.*"), "mixed")
     hot = mixed.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     wanted = mixed.join(hot, "anchor", "left").groupBy("row").agg(F.collect_list(F.struct("at", "shape", "anchor", "digest", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    cut = texts.select("row", "bytes").join(wanted, "row").mapInArrow(_cut_out, "part int, anchor long, digest long, skip int, n int, data binary")
-    dealt = cut.repartition("part", "anchor").sortWithinPartitions("part", "anchor")
+    cut = texts.select("row", "bytes").join(wanted, "row").mapInArrow(_cut_out, "anchor long, digest long, skip int, n int, data binary, window binary")
+    cut = written(cut, "cut")
+    dealt = cut.where("window is null").select("anchor", "digest", "n", "data").repartition("anchor").sortWithinPartitions("anchor")
     alike = dealt.mapInArrow(_sorted, "anchor long, digest long, a long, b long")
+    windows = cut.where("window is not null").select("anchor", "digest", "skip", "window")
+    twice = windows.groupBy("window").count().where("count > 1").select("window")
+    skips = windows.join(twice, "window").groupBy("anchor", "digest").agg(F.collect_list("skip").alias("skips"))
+    alike = alike.unionAll(skips.mapInArrow(_runs, "anchor long, digest long, a long, b long"))
     copies = mixed.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("a"), F.shiftright("shape", 8).alias("b"))
     alike = written(alike.unionAll(copies), "alike")
     plain = again.where("not mixed").select("row", F.col("at").alias("a"), (F.col("at") + F.shiftright("shape", 8)).alias("b"))

@@ -55,6 +55,26 @@ def test_remove(spark, monkeypatch, hot):
     assert all(sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got if r.n_removed == 0)
 
 
+def test_hot_anchor_is_split(spark, monkeypatch):
+    """No suffix array takes more than HOT snippets of an anchor, though one line has many contexts."""
+    monkeypatch.setattr(S, "HOT", 20)
+    inner = S._sorted
+
+    def bounded(batches):
+        for batch in batches:
+            groups = Counter(zip(*(batch[c].to_pylist() for c in batch.schema.names if c in ("part", "anchor"))))
+            assert max(groups.values(), default=0) <= 20, "a hot anchor in one array"
+            yield from inner(iter([batch]))
+
+    monkeypatch.setattr(S, "_sorted", bounded)
+    random.seed(11)
+    noise = lambda n: "".join(random.choices("abcdefgh ", k=n))
+    line = noise(230)
+    rows = [(k, noise(150) + line + noise(150), None) for k in range(90)] + [(90 + k, noise(300), None) for k in range(5)]
+    got = S.remove_repeats(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == brute(rows)
+
+
 def test_order():
     """Suffixes of each piece in order of their first bytes; pieces' ends first."""
     random.seed(8)
