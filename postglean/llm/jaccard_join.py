@@ -8,20 +8,22 @@ share make candidates; exact intersections decide.
 
 Equal sets are one representative from the start. Candidates are first an
 entry's documents with its least one, which is linear in the index; only where
-an entry then still spans several components are its other pairs compared.
-Counts of hashes bound an intersection from above and spare most pairs the
-exact one.
+an entry then still spans several components are its other pairs compared, in
+cells of two blocks. Counts of hashes bound an intersection from above and spare
+most pairs the exact one. A cell gives the rows that have an open pair, and once
+their sets are there, the links of a forest over them, never its pairs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, written
@@ -41,8 +43,11 @@ CLASSES = 8
 SHORT = 64
 #: Counts in a set's sketch; of two sets, the lesser counts sum to no less than their intersection.
 SKETCH = 256
-#: Rows of a block, about; two blocks are compared at a time.
+#: Rows of a block and shingles in all its sets, about; two blocks are compared at a time.
 BLOCK = 1024
+ITEMS = 1 << 20
+#: Hash buckets in which shingles are counted, and chunks in which their table travels.
+BUCKETS, CHUNKS = 1 << 22, 64
 #: Documents compared with one hub in one task's run.
 SALT = 256
 _MOST = 300_000
@@ -152,25 +157,67 @@ def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _often(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Counts of shingles and of words within each batch, without what is rare in it: enough to tell what is frequent in all."""
+def _tallied(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Counts of words by batch (kind 1; kind 2 holds their sum), and of shingles by hash bucket over the whole task, in compressed chunks (kind 0)."""
+    table = np.zeros(BUCKETS, np.uint32)
+    names = ["kind", "item", "n", "data"]
     for batch in slices(batches, 2000):
         words = _hashed(list(chain.from_iterable(x.as_py().lower().split() for x in batch["bytes"])))
-        out = []
-        for kind, all_ in enumerate((_rolled(words, width), words)):  # shingles across two texts are too few to matter
-            found, n = np.unique(all_, return_counts=True)
-            out.append((np.full((n >= 3).sum(), kind, np.int32), found[n >= 3].astype(np.int64), n[n >= 3]))
-        out.append((np.array([2], np.int32), np.array([0]), np.array([len(words)])))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["kind", "item", "n"])
+        np.add.at(table, (_rolled(words, width) % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))  # shingles across two texts are too few to matter
+        found, n = np.unique(words, return_counts=True)
+        kinds, items, counts = np.append(np.ones(len(found), np.int32), np.int32(2)), np.append(found.astype(np.int64), 0), np.append(n, len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(items), pa.array(counts), pa.nulls(len(kinds), pa.binary())], names)
+    chunks = [zlib.compress(c.tobytes(), 1) for c in table.reshape(CHUNKS, -1)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(CHUNKS, np.int32)), pa.array(np.arange(CHUNKS)), pa.array(np.zeros(CHUNKS, np.int64)), pa.array(chunks, pa.binary())], names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by chunk: one a chunk, the sum."""
+    chunk, total = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["item", "data"])
+
+    for batch in batches:
+        for item, data in zip(batch["item"].to_pylist(), batch["data"]):
+            own = np.frombuffer(zlib.decompress(data.as_py()), np.uint32 if len(batch.schema) == 3 else np.int64)
+            if item != chunk and chunk is not None:
+                yield row()
+            total = own.astype(np.int64) if item != chunk else total + own
+            chunk = item
+    if chunk is not None:
+        yield row()
+
+
+def _in_heavy(batches: Iterator[pa.RecordBatch], width: int, heavy) -> Iterator[pa.RecordBatch]:
+    """Counts, by batch, of the shingles whose bucket is heavy."""
+    for batch in slices(batches, 2000):
+        items = _rolled(_hashed(list(chain.from_iterable(x.as_py().lower().split() for x in batch["bytes"]))), width)
+        found, n = np.unique(items[heavy.value[(items % np.uint64(BUCKETS)).astype(np.int64)]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], ["item", "n"])
 
 
 def build_order(texts: DataFrame, words: int = WORDS) -> Order:
-    """Frequent shingles and words of all texts; both lists have a bounded share of the corpus."""
-    width = words
-    often = written(texts.select("bytes").mapInArrow(lambda it: _often(it, width), "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")), "often")
-    total = often.where("kind = 2").agg(F.sum("n")).first()[0] or 1
-    found = often.where((F.col("kind") == 0) & (F.col("n") >= max(FEW, FREQUENT * texts.count()))).select("item").toArrow()["item"].to_numpy()
-    words = often.where((F.col("kind") == 1) & (F.col("n") >= WORD_SHARE * total)).select("item", "n").toArrow()
+    """Frequent shingles and words of all texts; both lists have a bounded share of the corpus.
+
+    Words are counted in full. Shingles are counted by hash bucket first, in a
+    table of fixed size a task, added up in two steps; those in buckets as heavy
+    as a frequent shingle are then counted in full.
+    """
+    spark, width = texts.sparkSession, words
+    least = max(FEW, FREQUENT * texts.count())
+    tallied = written(texts.select("bytes").mapInArrow(lambda it: _tallied(it, width), "kind int, item long, n long, data binary").withColumn("part", F.spark_partition_id()), "tallied")
+    parts = tallied.where("kind = 0").select("item", F.pmod("part", F.lit(64)).alias("salt"), "data")
+    sums = parts.repartition("item", "salt").sortWithinPartitions("item", "salt").mapInArrow(_summed, "item long, data binary")
+    sums = sums.repartition("item").sortWithinPartitions("item").select("item", "data").mapInArrow(_summed, "item long, data binary")
+    heavy = np.zeros((CHUNKS, BUCKETS // CHUNKS), bool)
+    for row in sums.toLocalIterator():
+        heavy[row.item] = np.frombuffer(zlib.decompress(row.data), np.int64) >= least
+    shared = spark.sparkContext.broadcast(heavy.ravel())
+    counts = texts.select("bytes").mapInArrow(lambda it: _in_heavy(it, width, shared), "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= least).select("item").toArrow()["item"].to_numpy()
+    total = tallied.where("kind = 2").agg(F.sum("n")).first()[0] or 1
+    words = tallied.where("kind = 1").groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD_SHARE * total).toArrow()
     return Order(width, np.sort(found.astype(np.uint64)), words["item"].to_numpy().astype(np.uint64), words["n"].to_numpy() / total)
 
 
@@ -235,36 +282,80 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataF
     return written(dealt.select("hub", "row", "items").mapInArrow(lambda it: _verified(it, least), "a long, b long"), "verified")
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell's two blocks that are in different components and whose sizes and sketches leave the threshold open. Rows come by cell, the first block first."""
-
-    def pairs(first: list[tuple], second: list[tuple], one: bool) -> pa.RecordBatch:
-        found = [np.empty((2, 0), np.int64)]
-        rows, sizes, roots = (np.array([r[k] for r in second], np.int64) for k in range(3))
-        sketches = np.frombuffer(b"".join(r[3] for r in second), np.uint8).reshape(-1, SKETCH)
-        for k, (row, n, root, sketch) in enumerate(first):
-            near = (roots != root) & (100 * np.minimum(sizes, n) >= least * np.maximum(sizes, n))
-            if one:
-                near[: k + 1] = False
-            near = np.flatnonzero(near)
-            own = np.frombuffer(sketch, np.uint8)
-            same = np.minimum(sketches[near], own).sum(axis=1, dtype=np.int64)
-            full = (sketches[near] == 255).any(axis=1) & bool((own == 255).any())
-            near = near[(100 * same >= least * (sizes[near] + n - same)) | full]
-            found.append(np.stack([np.minimum(rows[near], row), np.maximum(rows[near], row)]))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["hub", "row"])
+CELL = ["entry", "i", "j", "second", "row", "n", "root", "sketch"]
+
 
+def _by_cell(batches: Iterator[pa.RecordBatch], last: str) -> Iterator[tuple[tuple, list[tuple], list[tuple]]]:
+    """Rows (row, n, root, sketch, ``last``) of each cell's two blocks, of which one is empty where the cell has a single block. Rows come by cell, the first block first."""
     cell, held = None, ([], [])
     for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("entry", "i", "j", "second", "row", "n", "root", "sketch"))
-        for entry, i, j, second, *row in zip(*columns):
+        for entry, i, j, second, *row in zip(*(batch[c].to_pylist() for c in [*CELL, *([last] if last else [])])):
             if (entry, i, j) != cell:
                 if cell and held[0]:
-                    yield pairs(held[0], held[1] or held[0], cell[1] == cell[2])
+                    yield cell, *held
                 cell, held = (entry, i, j), ([], [])
             held[second].append(tuple(row))
     if cell and held[0]:
-        yield pairs(held[0], held[1] or held[0], cell[1] == cell[2])
+        yield cell, *held
+
+
+class _Block:
+    def __init__(self, rows: list[tuple]):
+        self.rows, self.sizes, self.roots = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        self.sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, SKETCH)
+
+    def open(self, n: int, sketch: np.ndarray, near: np.ndarray, least: int) -> np.ndarray:
+        """Of the places ``near``, those whose size and sketch leave the threshold with a set of ``n`` open. A full count leaves its part open."""
+        near = near[100 * np.minimum(self.sizes[near], n) >= least * np.maximum(self.sizes[near], n)]
+        same = np.minimum(self.sketches[near], sketch).sum(axis=1, dtype=np.int64)
+        full = (self.sketches[near] == 255).any(axis=1) & bool((sketch == 255).any())
+        return near[(100 * same >= least * (self.sizes[near] + n - same)) | full]
+
+
+def _open_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of each cell that have an open pair there across components."""
+    for (entry, i, j), first, second in _by_cell(batches, ""):
+        if i != j and not second:
+            continue
+        one, a = i == j, _Block(first)
+        b = a if one else _Block(second)
+        marks = np.zeros(len(a.rows), bool), np.zeros(len(b.rows), bool)
+        for k in range(len(a.rows)):
+            near = np.flatnonzero(b.roots != a.roots[k])
+            near = b.open(int(a.sizes[k]), a.sketches[k], near[near > k] if one else near, least)
+            if len(near):
+                marks[0][k] = True
+                marks[1][near] = True
+        found = [(a, 0, marks[0] | marks[1])] if one else [(a, 0, marks[0]), (b, 1, marks[1])]
+        for block, side, mark in found:
+            rows, roots = block.rows[mark], block.roots[mark]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), x)) for x in (entry, i, j)] + [pa.array(np.full(len(rows), side, np.int32)), pa.array(rows), pa.array(roots)], ["entry", "i", "j", "second", "row", "root"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Links of each cell that join two of its components, verified: fewer than its rows."""
+    for (_, i, j), first, second in _by_cell(batches, "items"):
+        one, a = i == j, _Block(first)
+        b = a if one else _Block(second)
+        sets = [[np.frombuffer(r[4], np.uint64) for r in block] for block in ((first, first) if one else (first, second))]
+        roots, left, right = (a.roots.copy(), b.roots.copy()), [], []
+        if one:
+            roots = roots[0], roots[0]
+        for k in range(len(a.rows)):
+            near = np.flatnonzero(roots[1] != roots[0][k])
+            near = b.open(int(a.sizes[k]), a.sketches[k], near[near > k] if one else near, least)
+            for m in near.tolist():
+                if roots[1][m] == roots[0][k]:
+                    continue
+                x, y = sets[0][k], sets[1][m]
+                same = len(x) + len(y) - len(np.union1d(x, y))
+                if 100 * same >= least * (len(x) + len(y) - same):
+                    left.append(int(a.rows[k]))
+                    right.append(int(b.rows[m]))
+                    old, new = roots[1][m], roots[0][k]
+                    for side in roots:
+                        side[side == old] = new
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
 def _cells(open_: DataFrame, index: DataFrame) -> DataFrame:
@@ -273,14 +364,18 @@ def _cells(open_: DataFrame, index: DataFrame) -> DataFrame:
     Entries with the same rows, as those of one shared passage, are one. Rows
     are told by two hashes of all of them, so no entry is gathered.
     """
-    rows_of = [F.count("*").alias("rows"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
+    rows_of = [F.count("*").alias("rows"), F.sum("n").alias("items"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")]
     spans = open_.groupBy("entry").agg(*rows_of, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    groups = written(spans.groupBy("rows", "x", "y").agg(F.min("entry").alias("entry")).select("entry", F.ceil(F.col("rows") / BLOCK).alias("blocks")), "groups")
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("items") / ITEMS)).alias("blocks")
+    groups = written(spans.groupBy("rows", "items", "x", "y").agg(F.min("entry").alias("entry")).select("entry", blocks), "groups")
     rows = open_.join(groups, "entry").withColumn("b", F.pmod(F.xxhash64("row"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = [F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), (F.col("b") > F.col("other")).cast("int").alias("second")]
-    rows = rows.join(index.select("row", "sketch"), "row").select("entry", *cell, "row", "n", "root", "sketch")
-    return rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "second")
+    return rows.join(index.select("row", "sketch"), "row").select("entry", *cell, "row", "n", "root", "sketch")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "second", "row")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row: str | None = None) -> DataFrame:
@@ -292,19 +387,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     component_id is the least doc_id that links reach (ids that are null don't
     count; null if there's no other); ``first`` marks one row of each
     component, of that id where there is one. Repeated rows link as any equal
-    texts do. Other columns are left out; an empty table gives no rows.
+    texts do, and of rows of the same least id the least row is first. Very
+    long texts are read whole; one text's set must fit in a task. Other columns
+    are left out, whatever their names; an empty table gives no rows. A ``row``
+    column must be stored, so that its numbers are the same at each reading.
     """
     spark = docs.sparkSession
-    texts = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "doc_id", text_bytes().alias("bytes"))
+    texts = docs.select(F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"), "doc_id", text_bytes().alias("bytes"))
+    if not row:
+        texts = written(texts, "texts")  # numbers must not change when a part is computed again
     order = spark.sparkContext.broadcast(build_order(texts, words))
     index = written(texts.mapInArrow(lambda it: _indexed(it, order, least), "row long, doc_id long, n long, digest binary, sketch binary, entries array<long>"), "index")
 
     same = index.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"))
     reps = index.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
     posted = reps.select("row", "n", F.explode("entries").alias("entry"))
-    by_entry = Window.partitionBy("entry")
-    posted = posted.withColumn("hub", F.min(F.struct("row", "n")).over(by_entry)).withColumn("docs", F.count("*").over(by_entry))
-    shared = written(posted.where("docs > 1").select("entry", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
+    stats = posted.groupBy("entry").agg(F.min(F.struct("row", "n")).alias("hub"), F.count("*").alias("docs")).where("docs > 1")
+    shared = written(posted.join(stats, "entry").select("entry", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least
     pairs = _open_pairs(shared.where((F.col("hub") != F.col("row")) & near).select("hub", "row").distinct(), index, least)
     links = _verify(pairs, texts, words, least)
@@ -312,9 +411,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     roots = components(links)
     rest = shared.where(F.col("hub") != F.col("row")).select("entry", "row", "n")  # the hub has met all others
     open_ = written(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "open")
-    across = _cells(open_, index).mapInArrow(lambda it: _across(it, least), "hub long, row long").distinct()
-    more = _verify(written(across, "across"), texts, words, least)
-    roots = components(links.unionAll(more))
+    found = _dealt(_cells(open_, index)).mapInArrow(lambda it: _open_rows(it, least), "entry long, i long, j long, second int, row long, root long")
+    found = written(found, "across")
+    sets = written(texts.select("row", "bytes").join(found.select("row").distinct(), "row", "left_semi").mapInArrow(lambda it: _sets(it, words), "row long, items binary"), "across-sets")
+    again = found.join(index.select("row", "n", "sketch"), "row").join(sets, "row").select(*CELL, "items")
+    more = _dealt(again).mapInArrow(lambda it: _forest(it, least), "a long, b long")
+    roots = components(links.unionAll(written(more, "more")))
 
     own = index.select("row", "doc_id", "n", "digest").join(same, "digest", "left")
     own = own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep", "row"))
