@@ -10,16 +10,15 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postglean.llm import jaccard_join, mixing, packing, quality, suffix_dedup
-from postglean.llm.common import clear_scratch, scratch_tables, shared_dir
+from postglean.llm.common import clear_scratch, scratch_tables, shared_dir, written
 
 #: Near-duplicate stages take five words and a similarity of 0.8.
 NEAR_WORDS, NEAR_LEAST = 5, 80
-
-
+#: Scratch tables of the stage that ran last.
 _left: list[str] = []
 
 
@@ -37,20 +36,40 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     return stage
 
 
+def _whole(docs: DataFrame) -> Column:
+    """All columns of a document as one, so that none can clash with those of a stage."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+
+
+def _numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """Documents as (row, whole, ``more``), stored, so that numbers are the same at each reading."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), _whole(docs), *more), "numbered")
+
+
 @_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    judged = quality.classify(docs)
-    return judged.where("quality_keep").select(docs.columns)
+    """Documents that the quality classifier doesn't reject.
+
+    Null and empty texts are judged as empty ones, equal texts and repeated
+    rows alike, very long texts whole. Columns of any name pass unchanged; an
+    empty table gives no rows.
+    """
+    judged = quality.classify(docs.select("text", _whole(docs)))
+    return judged.where("quality_keep").select("whole.*")
 
 
 @_stage
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; documents without words stay."""
-    rows = docs.withColumn("near_row", F.monotonically_increasing_id())
-    found = jaccard_join.near_duplicates(rows, words=NEAR_WORDS, least=NEAR_LEAST, row="near_row")
-    kept = found.where(F.col("first")).select(F.col("row").alias("near_row"))
-    return rows.join(kept, "near_row", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates, that of the least id.
+
+    Documents without words, null and empty texts among them, stay. Of rows of
+    the same least id, and of repeated rows, one stays; if no row of the group
+    has an id, any one. Very long texts are compared whole. Columns of any name
+    pass unchanged; an empty table gives no rows.
+    """
+    rows = _numbered(docs)
+    found = jaccard_join.near_duplicates(rows.select("row", "whole.doc_id", "whole.text"), words=NEAR_WORDS, least=NEAR_LEAST, row="row")
+    return rows.join(found.where("first").select("row"), "row", "left_semi").select("whole.*")
 
 
 @_stage
@@ -58,29 +77,37 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without the long strings that the corpus holds more than once; a text that is all such strings goes.
 
     Where a removed run ends within a character, the character's rest goes too.
-    n_chars is counted anew; a null text stays null.
+    n_chars is counted anew; null and empty texts stay as they are. Rows that
+    repeat a longer text all go. Very long texts are read whole. Other columns
+    of any name pass unchanged; an empty table gives no rows.
     """
-    rows = docs.withColumn("text_null", F.col("text").isNull())
-    found = suffix_dedup.remove_repeats(rows, carry=tuple(c for c in rows.columns if c != "text"))
-    out = found.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
-    out = out.withColumn("text", F.when(~F.col("text_null"), F.col("kept_text")))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("whole")
+    out = suffix_dedup.remove_repeats(docs.select("text", rest, F.col("text").isNull().alias("no_text")), carry=("whole", "no_text"))
+    out = out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    text = F.when(~F.col("no_text"), F.col("kept_text"))
+    made = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        n = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        n = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("whole.n_chars"))
+        made["n_chars"] = n.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[made.get(c, F.col(f"whole.`{c}`").alias(c)) for c in docs.columns])
 
 
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    rows = docs.withColumn("mix_row", F.monotonically_increasing_id())
-    copies = mixing.mix_sources(rows, carry="mix_row").where("copies > 0").select("mix_row", "copies")
-    return rows.join(copies, "mix_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each document as often as the mix takes it.
+
+    Texts that are null or have no words are not taken; a null source is a
+    source. Equal rows are interchangeable, and any number of them may be
+    taken. Columns of any name pass unchanged; an empty table gives no rows.
+    """
+    rows = _numbered(docs)
+    copies = mixing.mix_sources(rows.select("row", "whole.doc_id", "whole.text", "whole.source"), carry="row").where("copies > 0").select("row", "copies")
+    return rows.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 ids."""
+    """Pieces of documents in sequences of 1024 ids, as op6 packs them: null and empty texts are their end id, repeated rows are packed each, long texts are cut."""
     return packing.pack(docs)
 
 

@@ -18,11 +18,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .common import slices, text_bytes
 
 BAD, NONE, GOOD = 0, 1, 2
-#: Texts that the scorer is fitted on, about; features; least score that keeps a text.
+#: Different texts that the scorer is fitted on, at most; features; least score that keeps a text.
 SAMPLE = 8000
 DIMS = 1 << 15
 KEEP = 0.5
@@ -122,7 +123,7 @@ class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MOST:
             self.clear()
-        shape = _RUNS.sub(rb"\1\1", word[:40].translate(_CLASSES))
+        shape = _RUNS.sub(rb"\1\1", word.translate(_CLASSES))
         out = self[word] = xxhash.xxh3_64_intdigest(shape) % DIMS
         return out
 
@@ -144,8 +145,8 @@ class Scorer:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, rounds: int = 200, rate: float = 0.3, ridge: float = 1e-5) -> Scorer:
-        """Logistic regression on soft labels, by gradient steps scaled to each feature's past gradients."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, times: np.ndarray, rounds: int = 200, rate: float = 0.3, ridge: float = 1e-5) -> Scorer:
+        """Logistic regression on soft labels of rows that each count ``times``, by gradient steps scaled to each feature's past gradients."""
         if not rows:
             return cls(np.zeros(DIMS), 1.0)
         at, values = (np.concatenate(x) for x in zip(*rows))
@@ -153,7 +154,7 @@ class Scorer:
         weights, bias, past, past_bias = np.zeros(DIMS), 0.0, np.full(DIMS, 1e-8), 1e-8
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(row, values * weights[at], len(rows)) + bias, -50, 50)))
-            error = (p - goal) / len(rows)
+            error = (p - goal) * times / times.sum()
             step = np.bincount(at, values * error[row], DIMS) + ridge * weights
             past, past_bias = past + step**2, past_bias + error.sum() ** 2
             weights, bias = weights - rate * step / np.sqrt(past), bias - rate * error.sum() / past_bias**0.5
@@ -173,12 +174,12 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         out = []
-        for text in (x.as_py() for x in batch["bytes"]):
+        for n, text in zip(batch["n"].to_pylist(), (x.as_py() for x in batch["bytes"])):
             m = measures(text, words := text.split())
             at, values = features(words, m)
-            out.append((pattern(m), at.tobytes(), values.tobytes()))
-        columns = zip(*out) if out else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["pattern", "at", "values"])
+            out.append((n, pattern(m), at.tobytes(), values.tobytes()))
+        columns = zip(*out) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["n", "pattern", "at", "values"])
 
 
 class QualityModel:
@@ -193,36 +194,41 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Votes are counted over all texts; about ``sample`` texts, chosen by hash, fit the scorer."""
+    """Votes are counted over all texts; the ``sample`` different texts of the least hashes fit the scorer, each weighed by its number of copies."""
     texts = docs.select(text_bytes().alias("bytes"))
     counts = texts.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
     labels = LabelModel.fit(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
-    share = min(1.0, sample / max(1, int(counts["n"].sum())))
-    chosen = texts.where(F.pmod(F.xxhash64("bytes", F.lit(11)), F.lit(1 << 40)) < int(share * (1 << 40)))
-    rows = chosen.mapInArrow(_examples, "pattern long, at binary, values binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["at"], r["values"]))
+    hashed = F.xxhash64("bytes", F.lit(11)).alias("h")
+    chosen = texts.groupBy(hashed).agg(F.count("*").alias("n")).orderBy("h").limit(sample)  # at most ``sample`` rows: small enough to broadcast
+    one = texts.withColumn("h", hashed).join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+    rows = one.select("n", "bytes").mapInArrow(_examples, "n long, pattern long, at binary, values binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["at"], r["values"], r["n"]))
     goal = labels.posterior(np.array([r["pattern"] for r in rows], np.int64))
-    return QualityModel(labels, Scorer.fit([(np.frombuffer(r["at"], np.int64), np.frombuffer(r["values"])) for r in rows], goal))
+    return QualityModel(labels, Scorer.fit([(np.frombuffer(r["at"], np.int64), np.frombuffer(r["values"])) for r in rows], goal, np.array([r["n"] for r in rows], float)))
 
 
 def _judged(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     judge = model.value.judge
     for batch in batches:
-        found = [judge(x.as_py()) for x in batch["quality_bytes"]]
-        kept = batch.drop_columns(["quality_bytes"])
+        found = [judge(x.as_py()) for x in batch["bytes"]]
         more = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[1] >= KEEP for f in found], pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*kept.schema.names, "quality_weak", "quality_score", "quality_keep"])
+        yield pa.RecordBatch.from_arrays([batch["row"], *more], ["row", *JUDGED])
+
+
+JUDGED = ["quality_weak", "quality_score", "quality_keep"]
 
 
 def classify(docs: DataFrame, model: QualityModel | None = None, text: str = "text") -> DataFrame:
     """``docs`` with quality_weak (posterior by votes), quality_score and quality_keep (score of KEEP or more).
 
-    Null texts count as empty, on which most heuristics abstain. Equal texts
-    are judged alike. All other columns stay, but for earlier ones of the three
-    names, which are replaced. An empty table gives no rows.
+    Null texts count as empty, on which most heuristics abstain. Equal texts and
+    repeated rows are judged alike; very long texts are read whole. All other
+    columns stay, but for earlier ones of the three names, which are replaced.
+    An empty table gives no rows.
     """
     model = model or fit(docs.select(F.col(text).alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("quality_weak", "quality_score", "quality_keep")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumn("quality_bytes", text_bytes(text)).mapInArrow(lambda it: _judged(it, shared), f"{schema}, quality_weak double, quality_score double, quality_keep boolean")
+    kept = [c for c in docs.columns if c not in JUDGED]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_bytes(text).alias("bytes"))
+    kinds = [StructField("row", rows.schema["row"].dataType), StructField("quality_weak", DoubleType()), StructField("quality_score", DoubleType()), StructField("quality_keep", BooleanType())]
+    return rows.mapInArrow(lambda it: _judged(it, shared), StructType(kinds)).select("row.*", *JUDGED)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import text_bytes, written
 
@@ -32,7 +33,10 @@ _ROWS = 50_000
 SNIPPETS = 3000
 #: Of an anchor with more different snippets each window is counted by its digest; no task has to hold them together.
 HOT = 2000
-_PLACE = np.uint64((1 << 28) - 1)
+#: What the removal returns of each text.
+REMOVED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+#: Places within a run, of at most _RUN bytes or of texts that end to end have no more.
+_PLACE = np.uint64((1 << 21) - 1)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _BASE = 0xD1342543DE82EF95
 _BYTES = np.random.default_rng(1).integers(1, 2**63, 256).astype(np.uint64)
@@ -59,7 +63,7 @@ class _Powers:
 
 
 def snippets(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Of texts that lie end to end in ``data``: each snippet's first window, number of windows, anchor's place in the first, anchor's hash and snippet's hash."""
+    """Of texts that lie end to end in ``data``, less than 2**21 bytes: each snippet's first window, number of windows, anchor's place in the first, anchor's hash and snippet's hash."""
     none = np.empty(0, np.int64)
     if len(data) < width:
         return none, none, none, none, none
@@ -86,25 +90,35 @@ def snippets(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, gram: int =
     return first, n, place, hashes[anchor].astype(np.int64), _mix(whole + (n * 1024 + place).astype(np.uint64) * _M[0]).astype(np.int64)
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Runs of a batch's texts: their bytes end to end, their ends, the first one's number."""
+def _texts(column: pa.Array, run: int = _RUN, width: int = WIDTH) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Runs of a batch's texts: their bytes end to end, their ends, the first one's number, the run's place in it.
+
+    A text longer than ``run`` is given in several, each ``width`` - 1 bytes
+    into the next, so that each window lies in exactly one.
+    """
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _RUN, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + run, side="right")) - 1)
         b = min(b, len(column))
-        yield data[offsets[a] : offsets[b]], (offsets[a + 1 : b + 1] - offsets[a]).astype(np.int64), a
+        lo, hi = int(offsets[a]), int(offsets[b])
+        if hi - lo <= run:
+            yield data[lo:hi], (offsets[a + 1 : b + 1] - lo).astype(np.int64), a, 0
+        else:
+            for at in range(0, hi - lo - width + 1, run):
+                part = data[lo + at : min(hi, lo + at + run + width - 1)]
+                yield part, np.array([len(part)]), a, at
         a = b
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch["row"].to_numpy()
-        for data, ends, a in _texts(batch["bytes"].cast(pa.binary())):
+        for data, ends, a, before in _texts(batch["bytes"].cast(pa.binary())):
             first, n, place, key, digest = snippets(data, ends)
             doc = np.searchsorted(ends, first, side="right")
-            at = first - np.concatenate([[0], ends])[doc]
+            at = first - np.concatenate([[0], ends])[doc] + before
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[a + doc], at, (n << 8 | place), key, digest)], ["row", "at", "shape", "anchor", "digest"])
 
 
@@ -254,7 +268,6 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     for batch in batches:
         out = []
         for data, spans in zip(batch["bytes"], batch["spans"]):
@@ -262,14 +275,16 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, removed, n_spans = data, 0, 0
             if spans:
                 change = np.zeros(len(data) + 1, np.int32)
-                np.add.at(change, [s["a"] for s in spans], 1)
-                np.add.at(change, [s["b"] - 1 + WIDTH for s in spans], -1)
+                for s in spans:
+                    for a, b in s["within"]:
+                        change[s["at"] + a] += 1
+                        change[s["at"] + b - 1 + WIDTH] -= 1
                 gone = np.cumsum(change)[:-1] > 0
                 kept, removed, n_spans = np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), len(_spans(gone)[0])
             out.append((len(data), removed, n_spans, sha256(kept).hexdigest(), kept.decode(errors="ignore")))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         rest = batch.drop_columns(["row", "bytes", "spans"])
-        yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds))], [*rest.schema.names, *names])
+        yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds))], [*rest.schema.names, *REMOVED])
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -279,15 +294,19 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Dat
     kept_sha256 (of the remaining bytes), kept_text (their text, without what
     is left of a character in which a run ends). Strings are judged on the
     input. Null texts are empty; texts of fewer bytes lose nothing; rows
-    that repeat a longer text lose it all. Other columns are left out; an empty
-    table gives no rows.
+    that repeat a longer text lose it all, none being left as the first. Very
+    long texts are hashed in runs of ``_RUN`` bytes. Other columns are left
+    out, whatever their names; columns of ``carry`` may have any but the five
+    names above. An empty table gives no rows.
 
     Counts per anchor are partial before they move, and joins back to places
     can be split where an anchor is hot. One copy of each different snippet of
     an anchor is read and sorted, however often it occurs. Windows of a hot
     anchor are counted by digest, partially before they move, and joined back.
+    What repeats in a snippet is one row, so an occurrence meets one.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("bytes"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
+    texts = written(texts, "texts")  # numbers must not change when a part is computed again
     places = written(texts.select("row", "bytes").mapInArrow(_found, "row long, at long, shape long, anchor long, digest long"), "places")
     stats = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
     again = written(places.join(stats.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "again")
@@ -304,10 +323,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Dat
     skips = windows.join(twice, "window").groupBy("anchor", "digest").agg(F.collect_list("skip").alias("skips"))
     alike = alike.unionAll(skips.mapInArrow(_runs, "anchor long, digest long, a long, b long"))
     copies = mixed.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("a"), F.shiftright("shape", 8).alias("b"))
-    alike = written(alike.unionAll(copies), "alike")
-    plain = again.where("not mixed").select("row", F.col("at").alias("a"), (F.col("at") + F.shiftright("shape", 8)).alias("b"))
-    sorted_ = again.where("mixed").join(alike, ["anchor", "digest"]).select("row", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
-    spans = plain.unionAll(sorted_).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    kinds = [f"carry_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)]
-    out = texts.join(spans, "row", "left").mapInArrow(_removed, ", ".join([*kinds, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"]))
+    span = F.array("a", "b")
+    alike = written(alike.unionAll(copies).groupBy("anchor", "digest").agg(F.collect_set(span).alias("within")), "alike")
+    plain = again.where("not mixed").select("row", "at", F.array(F.array(F.lit(0).cast("long"), F.shiftright("shape", 8))).alias("within"))
+    sorted_ = again.where("mixed").join(alike, ["anchor", "digest"]).select("row", "at", "within")
+    spans = plain.unionAll(sorted_).groupBy("row").agg(F.collect_list(F.struct("at", "within")).alias("spans"))
+    kinds = [StructField(f"carry_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)]
+    more = [StructField(c, StringType() if c.startswith("kept") else LongType()) for c in REMOVED]
+    out = texts.join(spans, "row", "left").mapInArrow(_removed, StructType([*kinds, *more]))
     return out.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})

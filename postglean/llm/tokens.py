@@ -77,7 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.marks = [x.content for x in tokenizer.get_added_tokens_decoder().values() if x.content]
         self.parts = _Parts(tokenizer)
 
     @classmethod
@@ -90,6 +90,8 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(x in text for x in self.marks):  # a mark of the vocabulary's own, which may be more than its characters
+            return np.array(self.parts.whole(text, add_special_tokens=False).ids, "<u4").tobytes()
         cut = text.replace(" ", "\0 ")
         if not text.encode().translate(None, _PLAIN) and not any(x in text for x in _RUNS):
             cut = cut.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")

@@ -10,13 +10,13 @@ from postglean.llm import jaccard_join as J
 SCHEMA = "doc_id long, text string, row string, n long"
 
 
-def shingles(text):
+def shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def brute(rows):
-    sets = [shingles(r[1]) for r in rows]
+def brute(rows, width=3, share=90):
+    sets = [shingles(r[1], width) for r in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -26,7 +26,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
@@ -35,8 +35,8 @@ def brute(rows):
     return [(r[0], len(sets[i]), least.get(find(i))) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("frequent", [False, True])
-def test_components(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, width, share", [(False, 3, 90), (True, 3, 90), (True, 5, 80)])
+def test_components(spark, monkeypatch, frequent, width, share):
     if frequent:
         monkeypatch.setattr(J, "FEW", 3)
         monkeypatch.setattr(J, "BLOCK", 4)
@@ -52,12 +52,12 @@ def test_components(spark, monkeypatch, frequent):
                 t[random.randrange(len(t))] = random.choice(words)
             texts.append(" ".join(t if random.random() < 0.7 else t + common))
         if random.random() < 0.4:
-            texts.append(" ".join(b[: int(len(b) * random.choice([0.89, 0.9, 0.91]))]))
+            texts.append(" ".join(b[: int(len(b) * random.choice([0.79, 0.8, 0.81, 0.89, 0.9, 0.91]))]))
     rows = [(k * 7 % 1009, t, "x", k) for k, t in enumerate(texts)]
     rows += [(2000, None, None, 1), (2001, "", "", 2), (None, texts[0].upper(), "", 3), (None, "alone here now", "", 4), (2002, "\t\n ", "", 5), (2003, "long " * 20000, "", 6), (2003, "long " * 20000, "", 6), (2004, "É a b", "", 7), (2005, "é a b", "", 7)]
     random.shuffle(rows)
-    got = J.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute(rows)))
+    got = J.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=width, least=share).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute(rows, width, share)))
     firsts = [r for r in got if r.first]
     assert len({r.component_id for r in got if r.component_id is not None}) == len([r for r in firsts if r.component_id is not None])
 

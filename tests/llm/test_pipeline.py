@@ -54,3 +54,20 @@ def test_empty(spark):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0)], SCHEMA)
     for name, stage in C.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, None).collect(), SCHEMA)
+
+
+def test_any_columns_pass(spark):
+    """Columns named as those that stages make, odd names, very long texts, ties and repeated rows."""
+    names = ["copies", "copy", "row", "whole", "mix_row", "near_row", "n_removed", "n_bytes", "n_spans", "kept_sha256", "kept_text", "text_null", "quality_keep", "quality_bytes", "bytes", "h", "a.b", "odd name", "the text is null"]
+    schema = SCHEMA + "".join(f", `{c}` string" for c in names)
+    said = "The river turns north here. People of the valley, {} of them, have kept boats since the first bridge fell, and {} still row across."
+    rows = [(k, said.format(k * k, k + 7), "en", "s", 1, *(f"{c} {k}" for c in names)) for k in range(12)]
+    rows += [rows[0], rows[1], (50, " ".join(f"word{k * k % 9973} of a long text, which goes on." for k in range(30000)), "en", None, 2, *names)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r["copies"] == (f"copies {r.doc_id}" if r.doc_id < 50 else "copies") and r["a.b"].startswith("a.b") for r in got), name
+        docs = spark.createDataFrame(got, schema)
+    assert docs.count() and C.STAGES[-1][1](spark, docs, None).count()
