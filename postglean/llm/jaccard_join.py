@@ -10,12 +10,14 @@ Equal sets are one representative from the start. Candidates are first an
 entry's documents with its least one, which is linear in the index; only where
 an entry then still spans several components are its other pairs compared, in
 cells of two blocks. Counts of hashes bound an intersection from above and spare
-most pairs the exact one. A cell gives the rows that have an open pair, and once
-their sets are there, the links of a forest over them, never its pairs.
+most pairs the exact one. A cell gives a forest of its open pairs, never all of
+them; rows that such forests connect then meet once, with their sets, and give
+a forest of verified links.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -207,7 +209,8 @@ def build_order(texts: DataFrame, words: int = WORDS) -> Order:
     spark, width = texts.sparkSession, words
     least = max(FEW, FREQUENT * texts.count())
     tallied = written(texts.select("bytes").mapInArrow(lambda it: _tallied(it, width), "kind int, item long, n long, data binary").withColumn("part", F.spark_partition_id()), "tallied")
-    parts = tallied.where("kind = 0").select("item", F.pmod("part", F.lit(64)).alias("salt"), "data")
+    salts = math.isqrt(tallied.agg(F.max("part")).first()[0] or 0) + 1
+    parts = tallied.where("kind = 0").select("item", F.pmod("part", F.lit(salts)).alias("salt"), "data")
     sums = parts.repartition("item", "salt").sortWithinPartitions("item", "salt").mapInArrow(_summed, "item long, data binary")
     sums = sums.repartition("item").sortWithinPartitions("item").select("item", "data").mapInArrow(_summed, "item long, data binary")
     heavy = np.zeros((CHUNKS, BUCKETS // CHUNKS), bool)
@@ -312,24 +315,31 @@ class _Block:
         return near[(100 * same >= least * (self.sizes[near] + n - same)) | full]
 
 
-def _open_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows of each cell that have an open pair there across components."""
-    for (entry, i, j), first, second in _by_cell(batches, ""):
+def _open_forest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of each cell's open pairs across components those of a spanning forest, fewer than its rows. They tell which rows must meet."""
+    for (_, i, j), first, second in _by_cell(batches, ""):
         if i != j and not second:
             continue
         one, a = i == j, _Block(first)
         b = a if one else _Block(second)
-        marks = np.zeros(len(a.rows), bool), np.zeros(len(b.rows), bool)
+        known = {x: k for k, x in enumerate(dict.fromkeys([*a.rows.tolist(), *b.rows.tolist()]))}
+        up, left, right = list(range(len(known))), [], []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
         for k in range(len(a.rows)):
             near = np.flatnonzero(b.roots != a.roots[k])
             near = b.open(int(a.sizes[k]), a.sketches[k], near[near > k] if one else near, least)
-            if len(near):
-                marks[0][k] = True
-                marks[1][near] = True
-        found = [(a, 0, marks[0] | marks[1])] if one else [(a, 0, marks[0]), (b, 1, marks[1])]
-        for block, side, mark in found:
-            rows, roots = block.rows[mark], block.roots[mark]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), x)) for x in (entry, i, j)] + [pa.array(np.full(len(rows), side, np.int32)), pa.array(rows), pa.array(roots)], ["entry", "i", "j", "second", "row", "root"])
+            for m in near.tolist():
+                x, y = top(known[int(a.rows[k])]), top(known[int(b.rows[m])])
+                if x != y:
+                    up[y] = x
+                    left.append(int(a.rows[k]))
+                    right.append(int(b.rows[m]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -411,11 +421,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     roots = components(links)
     rest = shared.where(F.col("hub") != F.col("row")).select("entry", "row", "n")  # the hub has met all others
     open_ = written(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "open")
-    found = _dealt(_cells(open_, index)).mapInArrow(lambda it: _open_rows(it, least), "entry long, i long, j long, second int, row long, root long")
-    found = written(found, "across")
-    sets = written(texts.select("row", "bytes").join(found.select("row").distinct(), "row", "left_semi").mapInArrow(lambda it: _sets(it, words), "row long, items binary"), "across-sets")
-    again = found.join(index.select("row", "n", "sketch"), "row").join(sets, "row").select(*CELL, "items")
-    more = _dealt(again).mapInArrow(lambda it: _forest(it, least), "a long, b long")
+    across = written(_dealt(_cells(open_, index)).mapInArrow(lambda it: _open_forest(it, least), "a long, b long").distinct(), "across")
+    met = components(across).select(F.col("root").alias("entry"), F.col("node").alias("row"))  # rows that open pairs connect meet once, not at each entry
+    met = met.join(index.select("row", "n"), "row").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    met = written(met.select("entry", "row", "n", F.coalesce("root", "row").alias("root")), "met")
+    sets = written(texts.select("row", "bytes").join(met.select("row"), "row", "left_semi").mapInArrow(lambda it: _sets(it, words), "row long, items binary"), "across-sets")
+    cells = _cells(met, index).join(sets, "row").select(*CELL, "items")
+    more = _dealt(cells).mapInArrow(lambda it: _forest(it, least), "a long, b long")
     roots = components(links.unionAll(written(more, "more")))
 
     own = index.select("row", "doc_id", "n", "digest").join(same, "digest", "left")
