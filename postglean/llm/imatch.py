@@ -1,9 +1,12 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
-Terms that occur in a middling share of all documents form the lexicon. Each of
-``SUBSETS`` fixed random subsets of it gives one signature of a text: the hash
-of the text's distinct terms in that subset, sorted. Subsets differ in size, so
-that short texts and long ones both have signatures that survive small edits.
+Terms that occur in a middling share of the other documents form the lexicon.
+Each of ``SUBSETS`` fixed random subsets of it gives one signature of a text: the
+hash of the text's distinct terms in that subset, sorted. Subsets differ in
+size, so that short texts and long ones both have signatures that survive
+edits, and so that the share of equal ones falls as texts have less in common.
+One signature more is that of all terms, in the band or not: it alone tells
+texts without terms of the band apart. One rule signs all texts.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from .common import text_bytes
 
 #: Band of inverse document frequency, as shares of all documents that hold a term. The lower share bounds the
 #: lexicon: it has at most (mean distinct terms of a document) / RAREST terms, however many documents there are.
-RAREST, COMMONEST = 1 / 2000, 1 / 8
-SUBSETS = 32
-#: A text with fewer terms in the band is signed by all its terms.
-FEWEST = 8
+RAREST, COMMONEST = 1 / 2000, 1 / 4
+#: How many subsets there are of a quarter of the terms, of an eighth, and so on. Most are small: they tell how much two texts share.
+SIZES = (4, 4, 4, 8, 16, 20, 20, 20)
+SUBSETS = sum(SIZES)
+RATES = np.repeat(2.0 ** -np.arange(2, 2 + len(SIZES)), SIZES)
 LONGEST_TERM = 64
 _FLUSH = 500_000
 
@@ -47,10 +51,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def members(keys: np.ndarray) -> np.ndarray:
-    """Which subsets each term is in: one row a subset. Four subsets each of a half, a quarter, and so on, of the terms."""
+    """Which subsets each term is in: one row a subset."""
     seeds = (np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    rate = np.array([2.0 ** -(1 + j // 4) for j in range(SUBSETS)])[:, None]
-    return (_mixed(keys[None, :] + seeds) >> np.uint64(11)) < rate * 2.0**53
+    return (_mixed(keys[None, :] + seeds) >> np.uint64(11)) < RATES[:, None] * 2.0**53
 
 
 def _key(term: bytes) -> int:
@@ -67,15 +70,12 @@ class Lexicon:
         self.members = members(self.keys)
 
     def fingerprint(self, text: bytes) -> str:
-        """``SUBSETS`` signatures of 8 hex digits; a subset that has no term of the text gives dashes."""
+        """Signatures of 8 hex digits: that of all terms, then one a subset; a subset that has no term of the text gives dashes."""
         own = terms(text)
         places = np.sort(np.fromiter((self.place[t] for t in self.place.keys() & own), np.int64))
-        if len(places) >= FEWEST:
-            keys, inside = self.keys[places], self.members[:, places]
-        else:
-            keys = np.array([_key(t) for t in sorted(own)], np.uint64)
-            inside = members(keys)
-        return "".join(f"{xxhash.xxh3_64_intdigest(keys[row].tobytes()) >> 32:08x}" if row.any() else _NONE for row in inside)
+        keys, inside = self.keys[places], self.members[:, places]
+        whole = xxhash.xxh3_64_intdigest(b" ".join(sorted(own)))
+        return "".join([f"{whole >> 32:08x}", *(f"{xxhash.xxh3_64_intdigest(keys[row].tobytes()) >> 32:08x}" if row.any() else _NONE for row in inside)])
 
 
 def likeness(a: str, b: str) -> float:
@@ -106,9 +106,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> Lexicon:
     """Counts the documents of every term, over all documents; tasks send partial counts. Only the band reaches the driver."""
     texts = docs.select(text_bytes().alias("bytes"))
-    n = texts.count()
+    n = texts.count()  # of the other documents a term may be in COMMONEST at most, so tables of any size have a band
     counts = texts.mapInArrow(_counted, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    band = counts.where((F.col("n") >= rarest * n) & (F.col("n") <= max(2, commonest * n))).select("term")
+    band = counts.where((F.col("n") >= rarest * n) & (F.col("n") - 1 <= commonest * (n - 1))).select("term")
     return Lexicon(band.toArrow()["term"].to_pylist())
 
 
@@ -146,8 +146,11 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     The edited text has its last half replaced by as much of the next document,
     by ascending doc_id (null ids first, rows of one id by their text's hash),
     the first after the last; a single document is its own next. Null texts are
-    empty; a text without terms has dashes alone. Equal texts have equal
-    fingerprints. An empty table gives no rows; other columns are left out.
+    empty; a text without terms of the band has the signature of all its terms
+    and dashes. Equal texts have equal fingerprints; repeated rows follow each
+    other. Very long texts are signed whole; a text and its next must fit in a
+    task. An empty table gives no rows; other columns are left out, whatever
+    their names.
 
     Texts are shuffled once, into ranges of (id, hash). The bounds are rows of
     the table: such a row is also sent to the range before its own.
@@ -167,5 +170,5 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     before = F.when(F.col("bucket") > 1, F.col("bucket") - 1).otherwise(F.lit(len(bounds)))
     places = F.when(head, F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra")), F.struct(before.alias("bucket"), F.lit(1).alias("extra"))))
     rows = rows.select("doc_id", "bytes", "key", F.inline(F.coalesce(places, F.array(F.struct(F.col("bucket"), F.lit(0).alias("extra"))))))
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "extra", "key").select("doc_id", "bytes", "bucket", "extra")
+    dealt = rows.repartitionByRange(ranges, "bucket").sortWithinPartitions("bucket", "extra", "key").select("doc_id", "bytes", "bucket", "extra")
     return dealt.mapInArrow(lambda it: _signed(it, shared), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
