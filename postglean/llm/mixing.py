@@ -34,26 +34,48 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
     Sources by code point, null last, have the weights in turn and share
     ``share`` of all words. Where that would exceed ``most`` times a source, it
-    stops there and the excess is reshared by weight. So there is a level such
-    that a target is the lesser of the bound and weight times level: sources
-    that reach their bound at the lowest levels are bounded first, and the
-    level follows from what is left. One row a source meets in these windows.
+    stops there and the excess is reshared by weight, until none is above: a
+    target is the lesser of the bound and weight times a level, and the level
+    rises with each round that bounds more sources. Sources are sorted in
+    ranges and numbered by counts of the ranges before, so no task has them all.
     """
+    spark = sizes.sparkSession
     by = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((order - 1) % len(weights) + 1).cast("int"))
-    by = by.withColumn("weight", weight.cast("double")).withColumn("bound", (F.col("source_size") * most).cast("double"))
-    everything, below = Window.partitionBy(), Window.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = below.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) * share - F.coalesce(F.sum("bound").over(before), F.lit(0.0))
-    weights_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    by = by.withColumn("level", left / weights_left)
-    open_ = F.when(F.col("bound") / F.col("weight") > F.col("level"), F.col("level"))
-    by = by.withColumn("level", F.first(open_, ignorenulls=True).over(below.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    target = F.coalesce(F.least("bound", F.col("weight") * F.col("level")), F.col("bound"))
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = by.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumn("seq", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("seq", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("k")).select("part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.col("seq") - F.shiftleft("part", 33)
+    by = ranged.withColumn("part", part).join(starts, "part").withColumn("place", place)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    by = by.select("source", "n", "source_size", weight.cast("double").alias("weight"), (F.col("source_size") * most).cast("double").alias("bound"))
+    total = (by.agg(F.sum("source_size")).first()[0] or 0) * share
+    bounded, level = -1, 0.0
+    while True:
+        over = F.col("bound") <= F.col("weight") * level
+        now, taken, open_ = by.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("bound"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if now == bounded or not open_:
+            break
+        bounded, level = now, (total - taken) / open_
+    target = F.when(F.col("bound") <= F.col("weight") * level, F.col("bound")).otherwise(F.col("weight") * level)
     return by.select("source", "n", "source_size", target.alias("target"))
 
 
+def _told_apart(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with rows of one key numbered and the number made part of the key, so that any number of equal rows part in the tree.
+
+    A row's number is its place in its task plus what earlier tasks have of the key.
+    """
+    sizes = written(sizes.withColumn("part", F.spark_partition_id()), "rows")
+    own = F.row_number().over(Window.partitionBy("key", "part").orderBy("carry"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    starts = sizes.groupBy("key", "part").agg(F.count("*").alias("k")).withColumn("start", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    told = sizes.withColumn("own", own).join(starts.select("key", "part", "start"), ["key", "part"])
+    return told.withColumn("key", F.xxhash64("key", F.col("start") + F.col("own"))).drop("part", "own", "start")
+
+
 def _meet(state: Column, b: Column, seed: int) -> Column:
     """The fold's step: the open document of ``state`` meets ``b``."""
     a = state["open"]
@@ -79,7 +101,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     depend on (doc_id, text) and ``seed`` alone, so reruns agree; rows equal in
     both are interchangeable. An empty table gives no rows.
     """
-    sizes = written(docs.select(F.col(carry).alias("carry"), "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("key")), "sizes")
+    sizes = docs.select(F.col(carry).alias("carry"), "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+    sizes = written(_told_apart(sizes), "sizes")
     targets = written(source_targets(sizes, weights, share, most), "targets")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("s")
