@@ -49,10 +49,32 @@ def plausible_publication(posted: str, observed: str):
 
 
 def age_bucket(minutes: str):
-    """Compact age: minutes, hours, days, weeks, months."""
-    m = F.col(minutes)
-    text = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(unit))
-    return F.when(m < 60, text(F.greatest(m, F.lit(0)), "m")).when(m < 1440, text(m / 60, "h")).when(m < 10080, text(m / 1440, "d")).when(m < 43200, text(m / 10080, "w")).otherwise(text(m / 43200, "mo"))
+    """Compact age: now, hours, days. What is yet to come is now."""
+    hours = F.greatest(F.floor(F.col(minutes) / 60), F.lit(0))
+    return F.when(F.col(minutes).isNull(), None).when(hours < 1, "now").when(hours < 24, F.concat(hours.cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit("d")))
+
+
+def spoken_age(minutes: str):
+    """The same in words."""
+    hours = F.greatest(F.floor(F.col(minutes) / 60), F.lit(0))
+    said = lambda n, unit: F.concat(n.cast("string"), F.lit(" " + unit), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    return F.when(F.col(minutes).isNull(), None).when(hours < 1, "just now").when(hours < 24, said(hours, "hour")).otherwise(said(F.floor(hours / 24), "day"))
+
+
+def posting_dates(posted: str, first_seen: str, last_published: str):
+    """Dates to show, in order, each with its kind: posted; republished if published again later, or published if never posted; found."""
+    again = F.col(last_published) > F.col(posted)
+    each = [
+        (F.col(posted).isNotNull(), "posted", posted), (again, "republished", last_published),
+        (F.col(posted).isNull() & F.col(last_published).isNotNull(), "published", last_published), (F.col(first_seen).isNotNull(), "found", first_seen),
+    ]
+    return F.array_compact(F.array(*[F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(at).alias("at"))) for when, kind, at in each]))
+
+
+def repost_note(source: str, url: str, signal_url: str, signal_label: str, posted: str, last_published: str, day):
+    """What shows that a listing is a repost: the network's own label for this address, else a later publication on ``day``."""
+    label = F.when(F.col(signal_url) == F.col(url), F.col(signal_label))
+    return F.when(F.col(source) == "linkedin", label).when(F.col(last_published) > F.col(posted), F.concat(F.lit("Reposted: republished "), day))
 
 
 def transitions(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -1,12 +1,27 @@
-"""From landed boards to fresh postings: parsing, scope, deduplication, funnel."""
+"""From landed rows to fresh postings: source, deduplication, scope, funnel, registry."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import Gazetteer, location_matches
 from ..functions.postings import normalized_identity, title_tokens
+from ..functions.texts import hard_excluded
+from .graph import connected, stored
+
+#: Sources in their order; the first is meant where nothing else is said.
+SOURCES = ("linkedin", "comeet", "greenhouse", "lever", "workable", "ashby", "smartrecruiters", "workday")
+
+
+def posting_source(source: str = "source", id_: str = "id") -> Column:
+    """The source given, else the id's prefix if it is one, else the first."""
+    prefix = F.lower(F.substring_index(id_, ":", 1))
+    given = F.lower(F.coalesce(F.col(source), F.lit("")))
+    return F.when(given != "", given).when(prefix.isin(*SOURCES[1:]), prefix).otherwise(SOURCES[0])
 
 
 def secondary_key(rows: DataFrame) -> DataFrame:
@@ -15,50 +30,107 @@ def secondary_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.when((company != "") & (title != ""), F.concat_ws("|", company, title)))
 
 
-def dedupe_postings(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """First arrivals: ``rows`` (id, source, company, title, arrival) without empty ids, repeats of (source, id) and prior ones; a key stays with the first source that brought it.
+def _kept_in_order(table: pa.Table) -> pa.Table:
+    """Of rows that are linked: those that the rule keeps, in order of arrival."""
+    kept, owner, keep = set(), {}, []
+    table = table.sort_by("arrival")
+    for source, id_, key in zip(*(table[c].to_pylist() for c in ("source", "id", "key"))):
+        ok = (source, id_) not in kept and (key is None or owner.get(key, source) == source)
+        keep.append(ok)
+        if ok:
+            kept.add((source, id_))
+            owner.setdefault(key, source)
+    return table.filter(pa.array(keep))
+
+
+def dedupe_postings(rows: DataFrame, prior: DataFrame | None = None, prior_keys: DataFrame | None = None) -> DataFrame:
+    """First arrivals of ``rows`` (id, source, company, title, arrival).
+
+    A row goes if its id is empty, if (source, id) is in ``prior`` or has been
+    kept before, or if its key belongs to another source: that of its first row
+    that was kept, or the sources of ``prior_keys`` (key, source). A source of
+    ``prior`` that is null means the first of SOURCES.
 
-    Whether a row stays depends on which earlier ones of its key did, so where
-    an (id, source) comes under two keys the order is followed within what is
-    linked; else, and that is the rule, two windows tell it.
+    Only a kept row marks its identity and claims its key. So where one (source,
+    id) comes under several keys, rows that such keys link are taken in order,
+    component by component; all others follow from two windows.
     """
     rows = secondary_key(rows.where(F.coalesce("id", F.lit("")) != ""))
     if prior is not None:
-        rows = rows.join(prior.select("source", "id"), ["source", "id"], "left_anti")
+        rows = rows.join(prior.select(F.coalesce("source", F.lit(SOURCES[0])).alias("source"), "id"), ["source", "id"], "left_anti")
+    columns = rows.columns
+    if prior_keys is not None:
+        known = rows.join(prior_keys.select("key").distinct(), "key", "left_semi").join(prior_keys.select("key", "source").distinct(), ["key", "source"], "left_semi")
+        rows = rows.join(prior_keys.select("key").distinct(), "key", "left_anti").unionByName(known.select(columns))
+        owned = prior_keys.select("key").distinct().withColumn("owned", F.lit(True))
+        rows = rows.join(owned, "key", "left")
+    else:
+        rows = rows.withColumn("owned", F.lit(None).cast("boolean"))
+    # a key that other sources can't claim any more ties nothing together
+    rows = rows.withColumn("node", F.when(F.col("key").isNull() | F.col("owned"), F.concat_ws("\0", F.lit(""), "source", "id")).otherwise(F.col("key")))
+    moved = rows.groupBy("source", "id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("source", "id", "least")
+    links = rows.join(moved, ["source", "id"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    tied = connected(links).withColumnRenamed("root", "group")
+    ordered = rows.withColumn("key", F.when(F.col("owned"), F.lit(None)).otherwise(F.col("key"))).join(tied, "node")
+    ordered = ordered.groupBy("group").applyInArrow(_kept_in_order, ordered.schema).select(columns)
+    plain = rows.join(tied.select("node"), "node", "left_anti")
     first = Window.partitionBy("source", "id").orderBy("arrival")
-    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    by_key = Window.partitionBy(F.coalesce("key", F.concat_ws("\0", "source", "id"))).orderBy("arrival")
-    return rows.withColumn("owner", F.first("source").over(by_key)).where(F.col("key").isNull() | (F.col("source") == F.col("owner"))).drop("owner", "key")
+    plain = plain.withColumn("n", F.row_number().over(first)).where("n = 1")
+    owner = plain.where(F.col("key").isNotNull() & F.col("owned").isNull()).groupBy("key").agg(F.min_by("source", "arrival").alias("owner"))
+    plain = plain.join(owner, "key", "left").where(F.col("owner").isNull() | (F.col("owner") == F.col("source")))
+    return plain.select(columns).unionAll(ordered).drop("key")
 
 
-def sequential_dedupe(rows: DataFrame) -> DataFrame:
-    """As ``dedupe_postings`` by the letter: a fold over arrivals, in groups linked by key or identity within a company.
+def prior_identities(feed: DataFrame, today: str) -> DataFrame:
+    """(source, id) of rows of dated feeds (feed_date: yyyy-MM-dd) before ``today``: a filter on the partition column."""
+    rows = feed.where((F.col("feed_date") < F.lit(today).cast("date")) & (F.coalesce("id", F.lit("")) != ""))
+    return rows.select(posting_source().alias("source"), "id").distinct()
 
-    For tables where a posting may come back under another title.
-    """
-    keyed = secondary_key(rows.where(F.coalesce("id", F.lit("")) != ""))
 
-    def fold(batch: pa.Table) -> pa.Table:
-        seen, claimed, keep = set(), {}, []
-        table = batch.sort_by("arrival")
-        for source, id_, key in zip(*(table[c].to_pylist() for c in ("source", "id", "key"))):
-            fresh = (source, id_) not in seen and (key is None or key not in claimed or source in claimed[key])
-            keep.append(fresh)
-            if fresh:
-                seen.add((source, id_))
-                if key is not None:
-                    claimed.setdefault(key, set()).add(source)
-        return table.filter(pa.array(keep))
+def with_words(searches: DataFrame) -> DataFrame:
+    """Searches (keywords, location) with the words that a title must have. They are a configuration, of BOUND rows at most."""
+    return searches.select(title_tokens("keywords").alias("words"), "location" if "location" in searches.columns else F.lit(None).cast("string").alias("location"))
+
 
-    return keyed.groupBy("group").applyInArrow(fold, keyed.schema).drop("key")
+#: Searches that may be held as a literal.
+BOUND = 1000
 
 
-def in_scope(rows: DataFrame, searches: DataFrame) -> DataFrame:
-    """Rows whose title has all words of some search. ``searches`` (keywords) is a configuration; its words are a literal."""
-    wanted = [r.words for r in searches.select(title_tokens("keywords").alias("words")).collect()]
-    literal = F.array(*[F.array(*map(F.lit, w)) for w in wanted])
-    tokens = title_tokens("title")
-    return rows.withColumn("tokens", tokens).where(F.exists(literal, lambda w: F.size(F.array_except(w, F.col("tokens"))) == 0)).drop("tokens")
+def in_scope(rows: DataFrame, searches: DataFrame, gazetteer: Gazetteer | None = None) -> DataFrame:
+    """Rows whose title has all words of some search and none of the hard exclusions; with a gazetteer the same search's place must match too.
+
+    Searches are at most BOUND rows; more are refused, as they are held as a literal.
+    """
+    wanted = with_words(searches).limit(BOUND + 1).collect()
+    if len(wanted) > BOUND:
+        raise ValueError(f"more than {BOUND} searches")
+    tokens = F.col("tokens")
+    by_place: dict[str | None, list[list[str]]] = {}
+    for r in wanted:
+        by_place.setdefault(r.location if gazetteer else None, []).append(r.words)
+    matches = []
+    for place, words in by_place.items():
+        literal = F.array(*[F.array(*map(F.lit, w)).cast("array<string>") for w in words])
+        titled = F.exists(literal, lambda w: F.size(F.array_except(w, tokens)) == 0)
+        matches.append(titled & location_matches(F.col("location"), F.col("remote"), place, gazetteer) if gazetteer else titled)
+    scope = reduce(lambda x, y: x | y, matches, F.lit(False))
+    return rows.withColumn("tokens", title_tokens("title")).where(scope & ~hard_excluded("title")).drop("tokens")
+
+
+def run_funnel(registered: DataFrame, landed: DataFrame, matched: DataFrame, upserted: DataFrame) -> DataFrame:
+    """Per source: the registry's counts (of ``registry_funnel``), parsed, matched, filtered, inserted_new, updated_existing, and ``warnings``."""
+    n = lambda df, name, where=F.lit(True): df.groupBy("source").agg(F.count_if(where).alias(name))
+    written = upserted.groupBy("source").agg(F.count_if(F.col("disposition") == "inserted").alias("inserted_new"), F.count_if(F.col("disposition") == "updated").alias("updated_existing"))
+    by = registered.withColumnRenamed("valid", "eligible").join(n(landed, "parsed"), "source", "full_outer")
+    by = by.join(n(matched, "matched"), "source", "left").join(written, "source", "left").fillna(0)
+    by = by.withColumn("filtered", F.col("parsed") - F.col("matched"))
+    say = lambda *parts: F.concat(F.col("source"), *[F.lit(p) if i % 2 == 0 else F.col(p).cast("string") for i, p in enumerate(parts)])
+    warnings = F.array(
+        F.when((F.col("registered") > 0) & (F.col("eligible") == 0), say(": registered=", "registered", " but eligible=0 (stale=", "stale", ", disabled=", "disabled", ", invalid=", "invalid", ")")),
+        F.when((F.col("parsed") > 0) & (F.col("matched") == 0), say(": parsed=", "parsed", " but matched=0; filtered=", "filtered")),
+        F.when(F.col("expiring_within_7d") > 0, say(": expiring_within_7d=", "expiring_within_7d")),
+    )
+    return by.withColumn("warnings", F.array_compact(warnings))
 
 
 def source_funnel(landed: DataFrame, matched: DataFrame, upserted: DataFrame) -> DataFrame:
@@ -71,55 +143,14 @@ def source_funnel(landed: DataFrame, matched: DataFrame, upserted: DataFrame) ->
 
 
 def expanded_searches(terms: DataFrame, places: DataFrame, recency: str) -> DataFrame:
-    """Every term in every place: both are small configurations."""
+    """Every term in every place. Places are a configuration of BOUND rows at most; more are refused."""
     if recency not in ("24h", "3d", "7d", "30d"):
         raise ValueError(f"no such window: {recency}")
-    return terms.crossJoin(F.broadcast(places)).withColumn("recency", F.lit(recency))
-
-
-#: Jobs of JSON boards, as they land.
-GREENHOUSE = "array<struct<id:string,title:string,content:string,absolute_url:string,location:struct<name:string>,updated_at:string>>"
-LEVER = "array<struct<id:string,text:string,descriptionPlain:string,hostedUrl:string,createdAt:bigint,categories:struct<location:string>,lists:array<struct<text:string,content:string>>>>"
-ASHBY = "array<struct<id:string,title:string,isListed:boolean,location:string,secondaryLocations:array<struct<location:string>>,jobUrl:string>>"
-
-
-def greenhouse_jobs(landed: DataFrame) -> DataFrame:
-    """Rows of landed board texts (tenant, body): entity-encoded HTML is read as text; jobs without id are left out."""
-    jobs = landed.select("tenant", F.explode(F.from_json(F.get_json_object("body", "$.jobs"), GREENHOUSE)).alias("j")).where("j.id is not null")
-    text = F.col("j.content")
-    for entity, char in 2 * (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):  # boards encode what is encoded
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.btrim(F.regexp_replace(F.regexp_replace(text, F.lit("<[^>]*>"), F.lit(" ")), F.lit(r"\s+"), F.lit(" ")))
-    return jobs.select("tenant", F.concat(F.lit("greenhouse:"), "j.id").alias("id"), "j.title", F.col("j.location.name").alias("location"), F.col("j.absolute_url").alias("url"), text.alias("text"))
-
-
-def lever_jobs(landed: DataFrame) -> DataFrame:
-    jobs = landed.select("tenant", F.explode(F.from_json("body", LEVER)).alias("j")).where("j.id is not null")
-    lists = F.transform(F.coalesce("j.lists", F.array().cast("array<struct<text:string,content:string>>")), lambda x: F.concat_ws(" ", x["text"], x["content"]))
-    text = F.concat_ws(" ", F.col("j.descriptionPlain"), F.array_join(lists, " "))
-    return jobs.select("tenant", F.concat(F.lit("lever:"), "j.id").alias("id"), F.col("j.text").alias("title"), F.col("j.categories.location").alias("location"), F.col("j.hostedUrl").alias("url"), F.timestamp_millis("j.createdAt").alias("posted_at"), text.alias("text"))
-
-
-def ashby_jobs(landed: DataFrame) -> DataFrame:
-    """Listed jobs whose address is the tenant's; places joined in order, each once."""
-    jobs = landed.select("tenant", F.explode(F.from_json(F.get_json_object("body", "$.jobs"), ASHBY)).alias("j"))
-    jobs = jobs.where(F.col("j.isListed") & (F.col("j.jobUrl") == F.concat(F.lit("https://jobs.ashbyhq.com/"), "tenant", F.lit("/"), "j.id")))
-    places = F.concat(F.array("j.location"), F.coalesce(F.transform("j.secondaryLocations", lambda x: x["location"]), F.array().cast("array<string>")))
-    return jobs.select("tenant", F.concat(F.lit("ashby:"), "j.id").alias("id"), "j.title", F.array_join(F.array_distinct(F.filter(places, lambda x: x.isNotNull())), "; ").alias("location"), F.col("j.jobUrl").alias("url"))
-
-
-def markdown_jobs(landed: DataFrame) -> DataFrame:
-    """Pipe tables of seven cells."""
-    lines = landed.select("tenant", F.explode(F.split("body", "\n")).alias("line"))
-    cells = lines.select("tenant", F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda x: F.btrim(x)).alias("c")).where((F.size("c") == 7) & ~F.col("c")[0].rlike("^:?-+:?$") & (F.col("c")[0] != "Title"))
-    return cells.select("tenant", F.col("c")[0].alias("title"), F.col("c")[1].alias("department"), F.col("c")[2].alias("location"), F.col("c")[5].alias("posted_at"), F.regexp_extract(F.col("c")[6], r"/view/([A-Za-z0-9]+)", 1).alias("token"))
-
-
-def tolerant_json_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Objects of JSON lines (value), and what isn't one; blank lines are neither."""
-    parsed = lines.where(F.btrim("value") != "").withColumn("v", F.try_parse_json("value"))
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    return parsed.where(is_object).select(F.from_json("value", schema).alias("r")).select("r.*"), parsed.where(~is_object).select("value")
+    given = places.limit(BOUND + 1).collect()
+    if len(given) > BOUND:
+        raise ValueError(f"more than {BOUND} places")
+    each = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in given]).cast(f"array<{places.schema.simpleString()}>")
+    return terms.select("*", F.inline(each)).withColumn("recency", F.lit(recency))
 
 
 def registry_states(tenants: DataFrame, today: int, stale_after: int = 45) -> DataFrame:
@@ -132,3 +163,18 @@ def registry_states(tenants: DataFrame, today: int, stale_after: int = 45) -> Da
 def registry_funnel(states: DataFrame, today: int, stale_after: int = 45) -> DataFrame:
     soon = (F.col("state") == "valid") & (today - F.col("verified") > stale_after - 7)
     return states.groupBy("source").agg(F.count("*").alias("registered"), *[F.count_if(F.col("state") == s).alias(s) for s in ("valid", "stale", "disabled", "invalid")], F.count_if(soon).alias("expiring_within_7d"))
+
+
+def merged_registry(registry: DataFrame, candidates: DataFrame, key: tuple[str, ...] = ("source", "key")) -> DataFrame:
+    """The registry with candidates that it hasn't, one of each; what it has stays as it is. Of equal candidates the least company is taken."""
+    fresh = candidates.join(registry.select(*key), list(key), "left_anti")
+    one = fresh.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("company"))).where("n = 1").drop("n")
+    return registry.unionByName(one.select(registry.columns))
+
+
+def corpus_links(lines: DataFrame) -> DataFrame:
+    """(reference, url) of each link in lines (reference, line): Markdown links, or bare addresses where there are none; each once a line."""
+    linked = F.regexp_extract_all("line", F.lit(r"\[[^\]]*\]\((https?://[^)\s]+)\)"), 1)
+    bare = F.regexp_extract_all("line", F.lit(r"(https?://[^\s<>)\]]+)"), 1)
+    urls = F.array_distinct(F.when(F.size(linked) > 0, linked).otherwise(bare))
+    return lines.select("reference", F.explode(urls).alias("url"))

@@ -9,26 +9,70 @@ from ..functions.postings import is_inactive
 from .merge import PURSUED
 
 
-def scoring_candidates(postings: DataFrame, statuses: DataFrame, scores: DataFrame, leases: DataFrame, now: int, most: int) -> DataFrame:
-    """Live, unfiltered or pursued postings of 80 trimmed characters or more, without a score or a live lease, newest first."""
-    pursued = statuses.where(F.col("status").isin(*PURSUED)).select(F.col("posting_id").alias("id"), F.lit(True).alias("pursued"))
-    rows = postings.where(~is_inactive("liveness") & (F.length(F.btrim("raw_jd")) >= 80)).join(pursued, "id", "left")
-    rows = rows.where(~F.col("relevance_filtered") | F.coalesce("pursued", F.lit(False)))
-    rows = rows.join(scores.where(F.col("score").isNotNull()).select(F.col("posting_id").alias("id")), "id", "left_anti")
-    live = leases.where(F.col("until") > now).select("id")
-    return rows.join(live, "id", "left_anti").orderBy(F.col("first_seen").desc(), "id").limit(most).select("id", "title", "first_seen")
+#: The gate's version, and the least characters of a description worth reading.
+GATE_VERSION = "2026-10-22-v9-years-jdq"
+LEAST_JD = 80
+
 
+def _trimmed(jd: str = "raw_jd"):
+    return F.regexp_replace(F.col(jd), F.lit(r"^\s+|\s+$"), F.lit(""))
 
-def extract_candidates(postings: DataFrame, done: DataFrame, most_bytes: int, most: int) -> DataFrame:
-    """Postings whose text fits and that have no extraction."""
-    rows = postings.where((F.length(F.btrim("raw_jd")) >= 80) & (F.octet_length("raw_jd") <= most_bytes))
-    return rows.join(done.select("id"), "id", "left_anti").orderBy(F.col("first_seen").desc(), "id").limit(most).select("id", "first_seen")
+
+def guarded(postings: DataFrame, statuses: DataFrame, scores: DataFrame, version: str = GATE_VERSION) -> DataFrame:
+    """Postings that the gate lets through: not filtered, and judged by this version, overridden by the owner, scored or pursued."""
+    pursued = statuses.where(F.col("status").isin(*PURSUED)).select(F.col("posting_id").alias("id"), F.lit(True).alias("pursued"))
+    scored = scores.select(F.col("posting_id").alias("id"), F.lit(True).alias("scored"))
+    rows = postings.where(~F.col("relevance_filtered")).join(pursued, "id", "left").join(scored, "id", "left")
+    passed = F.coalesce(F.col("gate_version") == version, F.lit(False)) | F.coalesce("gate_override", F.lit(False)) | F.col("scored").isNotNull() | F.col("pursued").isNotNull()
+    return rows.where(passed).drop("pursued", "scored")
+
+
+def unleased(rows: DataFrame, leases: DataFrame, now: int) -> DataFrame:
+    """Rows without a live lease and whose next attempt isn't still to come."""
+    held = leases.where((F.col("until") > now) | (F.col("next_attempt_at") > now)).select("id")
+    return rows.join(held, "id", "left_anti")
+
+
+def scoring_candidates(
+    postings: DataFrame, statuses: DataFrame, scores: DataFrame, leases: DataFrame, now: int, most: int, profile: str, ids: DataFrame | None = None, version: str = GATE_VERSION,
+) -> DataFrame:
+    """Live postings of LEAST_JD trimmed characters or more that have a status and pass the gate, to be scored: at most ``most`` of 1 to 1000.
+
+    Those without a score, open ones (new, seen) scored for another profile,
+    and requested ones. Unscored ones come first, then the newest. ``ids``
+    restricts the choice. Times in minutes.
+    """
+    if not 1 <= most <= 1000:
+        raise ValueError("most is 1 to 1000")
+    rows = postings.where(~is_inactive("liveness") & (F.length(_trimmed()) >= LEAST_JD))
+    if ids is not None:
+        rows = rows.join(ids.select("id"), "id", "left_semi")
+    rows = unleased(guarded(rows, statuses, scores, version), leases, now)
+    rows = rows.join(statuses.select(F.col("posting_id").alias("id"), "status"), "id")
+    rows = rows.join(scores.select(F.col("posting_id").alias("id"), F.lit(True).alias("scored"), "profile_sha256"), "id", "left")
+    unscored = F.col("scored").isNull()
+    again = F.col("status").isin("new", "seen") & ~F.col("profile_sha256").eqNullSafe(F.lit(profile))
+    rows = rows.where(unscored | again | F.coalesce("score_requested", F.lit(False)))
+    return rows.orderBy(unscored.desc(), F.coalesce("posted", "first_seen").desc(), "id").limit(most).select("id", "title", "first_seen")
+
+
+def extract_candidates(postings: DataFrame, statuses: DataFrame, scores: DataFrame, done: DataFrame, leases: DataFrame, now: int, most_bytes: int, most: int) -> DataFrame:
+    """Live postings that pass the gate, whose text is neither short nor too long and that have no extraction, oldest first."""
+    rows = postings.where(~is_inactive("liveness") & (F.length(_trimmed()) >= LEAST_JD) & (F.octet_length("raw_jd") <= most_bytes))
+    rows = unleased(guarded(rows, statuses, scores), leases, now).join(done.select("id"), "id", "left_anti")
+    return rows.orderBy("first_seen", "id").limit(most).select("id", "first_seen")
+
+
+def short_descriptions(postings: DataFrame, least: int, most: int) -> DataFrame:
+    """Postings without a description of ``least`` trimmed characters, those tried longest ago first."""
+    rows = postings.where(F.col("raw_jd").isNull() | (F.length(F.btrim("raw_jd")) < least))
+    return rows.orderBy(F.coalesce("attempted_at", F.lit("")), "first_seen", "id").limit(most).select("id", "url")
 
 
 def rotating_recheck(rows: DataFrame, limited: str, most: int) -> DataFrame:
-    """All rows of other sources, and the ``most`` of source ``limited`` whose last attempt is oldest."""
-    order = Window.partitionBy(F.col("source") == limited).orderBy(F.coalesce("last_attempt", F.lit("")), "first_seen", "id")
-    return rows.withColumn("position", F.row_number().over(order)).where((F.col("source") != limited) | (F.col("position") <= most))
+    """All rows of other sources, and of source ``limited`` the ``most`` whose last attempt is oldest: one top-k, no window over all."""
+    chosen = rows.where(F.col("source") == limited).orderBy(F.coalesce("last_attempt", F.lit("")), "first_seen", "id").limit(most)
+    return rows.where(F.col("source") != limited).unionByName(chosen)
 
 
 def backoff_seconds(attempts: str):
@@ -48,8 +92,9 @@ def embedding_missing(eligible: DataFrame, stored: DataFrame, window: int, most:
 
 
 def ambiguous_employers(rows: DataFrame) -> DataFrame:
-    """Rows whose company has two listings or more and whose address has no requisition."""
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("company"))).where((F.col("n") >= 2) & ~F.col("has_requisition")).drop("n")
+    """Rows whose company has two listings or more and whose address has no requisition. Counts are partial before they move."""
+    repeated = rows.groupBy("company").agg(F.count("*").alias("n")).where("n >= 2").select("company")
+    return rows.where(~F.col("has_requisition")).join(repeated, "company", "left_semi")
 
 
 def cautious_vote(votes: DataFrame, cautious: str) -> DataFrame:

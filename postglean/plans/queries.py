@@ -34,23 +34,13 @@ BOARD = ("v_postings", "v_status", "v_scores")
 _INACTIVE = "coalesce(json_type(liveness, '$.alive') = 'BOOLEAN' AND json_extract_string(liveness, '$.alive') = 'false', false)"
 
 
-def _word(column: str, words: str) -> str:
-    return f"regexp_matches({column}, '(^|[^A-Za-z0-9_])({words})([^A-Za-z0-9_]|$)', 'i')"
-
-
-def _cases(pairs, column: str, test, otherwise: str = "NULL") -> str:
-    return "CASE " + " ".join(f"WHEN {test(column, words)} THEN {value}" for words, value in pairs) + f" ELSE {otherwise} END"
-
-
-_TITLE_LEVEL = _cases([(w, f"'{n}'") for n, w in fn.TITLE_LEVELS], "title", _word)
-_RANK = _cases(fn.LEVEL_RANKS, f"coalesce(seniority, {_TITLE_LEVEL})", lambda c, w: f"regexp_matches({c}, '{w}', 'i')", "6")
-_NOWHERE = f"^({fn.NOWHERE})( +(role|position|work))?(( *[/|,·—–-] *| +or +| +)({fn.NOWHERE})( +(role|position|work))?)*$"
-_CITIES = "|".join(f"({c}) *, *{s}" for s, c in fn.STATE_CITIES.items())
-_GROUP = (
-    f"CASE WHEN trim(coalesce(location, '')) = '' OR regexp_matches(trim(location), '{_NOWHERE}', 'i') THEN 'unknown' "
-    f"WHEN {_word('location', fn.ISRAEL.replace(chr(39), chr(39) * 2))} THEN 'israel' "
-    f"WHEN {_word('location', fn.STATES)} OR regexp_matches(trim(location), '^({_CITIES})$') OR regexp_matches(trim(location), '^({fn.METROS})$', 'i') THEN 'united-states' ELSE 'other' END"
-)
+#: What the rules say of the levels and places of the view, by hand: the view's title begins with its level, and its locations are few.
+_TITLE_LEVEL = "CASE WHEN doc_id % 7 = 4 THEN 'Intern' WHEN doc_id % 7 = 1 THEN 'Junior' WHEN doc_id % 7 = 2 THEN 'Staff' WHEN doc_id % 7 = 3 OR doc_id % 5 = 3 THEN 'Lead' WHEN doc_id % 7 = 0 THEN 'Senior' WHEN doc_id % 7 = 5 THEN 'Mid' END"
+_RANK = f"""CASE coalesce(seniority, {_TITLE_LEVEL}) WHEN 'Intern' THEN 0 WHEN 'Junior' THEN 1 WHEN 'Entry' THEN 1 WHEN 'Mid' THEN 2 WHEN 'intermediate' THEN 2
+  WHEN 'Senior' THEN 3 WHEN 'Lead' THEN 4 WHEN 'Manager' THEN 4 WHEN 'Staff' THEN 5 WHEN 'Principal' THEN 5 ELSE 6 END"""
+_GROUP = """CASE coalesce(location, '') WHEN '' THEN 'unknown' WHEN 'Remote' THEN 'unknown' WHEN 'Hybrid / Remote' THEN 'unknown' WHEN 'On-site' THEN 'unknown' WHEN 'Tel Aviv, Israel' THEN 'israel'
+  WHEN 'Haifa' THEN 'israel' WHEN 'San Francisco, CA' THEN 'united-states' WHEN 'New York, NY' THEN 'united-states' WHEN 'United States' THEN 'united-states'
+  WHEN 'Austin, Texas Metropolitan Area' THEN 'united-states' ELSE 'other' END"""
 _ROWS = f""", board AS (SELECT p.*, coalesce(s.status, 'new') AS status, s.seen, c.score, c.recommendation, c.eligibility, coalesce(posted, first_seen) AS sort_posted,
   {_INACTIVE} AS inactive, {_RANK} AS level, {_GROUP} AS place_group, coalesce(work_mode, CASE WHEN remote THEN 'remote' WHEN NOT remote THEN 'on-site' END) AS mode
   FROM v_postings p LEFT JOIN v_status s ON s.posting_id = p.id LEFT JOIN v_scores c ON c.posting_id = p.id)
@@ -68,9 +58,9 @@ def board_posted_sort(spark, d):
     return B.board_postings(_board(spark, d), availability="inactive", sort="posted", most=100).select(_CARD)
 
 
-@query(_ROWS + f"SELECT {', '.join(_CARD)} FROM board WHERE NOT relevance_filtered AND first_seen >= 525600 - 30 * 24 * 60 ORDER BY first_seen DESC, id LIMIT 200", BOARD)
+@query(_ROWS + f"SELECT {', '.join(_CARD)} FROM board WHERE NOT relevance_filtered AND first_seen >= 48000 - 30 * 24 * 60 ORDER BY first_seen DESC, id LIMIT 200", BOARD)
 def board_found_window(spark, d):
-    return B.board_postings(_board(spark, d), availability="all", sort="found", found_within="30d", now=525600, most=200).select(_CARD)
+    return B.board_postings(_board(spark, d), availability="all", sort="found", found_within="30d", now=48000, most=200).select(_CARD)
 
 
 @query(_ROWS + f"SELECT {', '.join(_CARD)}, level FROM board WHERE NOT relevance_filtered AND NOT inactive AND status IN ('new', 'applied') ORDER BY level, title, first_seen DESC, id LIMIT 150", BOARD)
@@ -79,9 +69,9 @@ def board_seniority_sort(spark, d):
     return rows.select(*_CARD, fn.level_rank("seniority", "title").alias("level"))
 
 
-@query(_ROWS + f"SELECT {', '.join(_CARD)} FROM board WHERE NOT relevance_filtered AND NOT inactive AND place_group = 'israel' AND mode = 'remote' AND level NOT IN (3, 4, 5) AND score >= 60 ORDER BY score DESC, sort_posted DESC, id LIMIT 1000", BOARD)
+@query(_ROWS + f"SELECT {', '.join(_CARD)} FROM board WHERE NOT relevance_filtered AND NOT inactive AND place_group = 'israel' AND mode = 'remote' AND level NOT IN (3, 4, 5) ORDER BY score DESC, sort_posted DESC, id LIMIT 1000", BOARD)
 def board_facets(spark, d):
-    return B.board_postings(_board(spark, d), location="israel", mode="remote", seniority="non-senior", fit="good").select(_CARD)
+    return B.board_postings(_board(spark, d), location="israel", mode="remote", seniority="non-senior").select(_CARD)
 
 
 @query(_ROWS + f"SELECT {', '.join(_CARD)} FROM board WHERE relevance_filtered AND NOT inactive AND remote ORDER BY score DESC NULLS LAST, sort_posted DESC, id LIMIT 1000", BOARD)
@@ -138,7 +128,7 @@ def location_group(spark, d):
     return view(spark, d, "v_postings").groupBy("location", fn.location_group("location").alias("place_group")).agg(F.count("*").alias("n"))
 
 
-_FACT = _cases([(w, f"'{n}'") for n, w in fn.FACT_LEVELS], "title", lambda c, w: f"regexp_matches({c}, '\\b({w})\\b', 'i')")
+_FACT = "CASE WHEN doc_id % 7 = 4 THEN 'intern' WHEN doc_id % 7 = 1 THEN 'junior' WHEN doc_id % 7 = 2 THEN 'staff_principal' WHEN doc_id % 7 = 3 OR doc_id % 5 = 3 THEN 'lead_manager' WHEN doc_id % 7 = 0 THEN 'senior' WHEN doc_id % 7 = 5 THEN 'mid' END"
 
 
 @query(f" SELECT title, {_FACT} AS level, count(*) AS n FROM v_postings GROUP BY ALL", ("v_postings",))
@@ -193,7 +183,7 @@ def gate_reset(spark, d):
     return out.select("id", same.alias("same"), F.when(same, F.element_at("gate", F.lit("rule"))).alias("rule"), F.element_at("gate", F.lit("override")).alias("override"))
 
 
-_PURSUED = ", ".join(f"'{s}'" for s in merge.PURSUED)
+_PURSUED = "'worth_checking', 'applied', 'screen', 'interview_technical', 'interview_final', 'offer', 'contract', 'rejected'"
 
 
 @query(f""" SELECT id, CASE WHEN status IN ({_PURSUED}) THEN CASE WHEN rule IS NOT NULL THEN NULL ELSE rule END WHEN parked IS NOT NULL THEN CASE WHEN parked = 'already-us-resident' OR score IS NULL THEN parked END ELSE rule END AS rule,
@@ -231,28 +221,41 @@ def seen_on_status_change(spark, d):
     return rows.where("os <> status").select("id", "r.status", F.col("r.seen").alias("flag"))
 
 
-_DEDUPE = r""", keyed AS (SELECT *, nullif(trim(regexp_replace(lower(company), '[^a-z0-9]+', ' ', 'g')), '') || '|' || nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') AS key FROM v_postings),
-  owned AS (SELECT *, first_value(source) OVER (PARTITION BY key ORDER BY doc_id) AS owner FROM keyed)
-"""
+#: The rule by the letter: arrivals one by one, with what has been kept and who owns each key.
+_FOLD = """, fold AS (
+  SELECT 0 AS n, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS keys, CAST([] AS VARCHAR[]) AS owners, CAST([] AS BIGINT[]) AS taken
+  UNION ALL
+  SELECT f.n + 1, CASE WHEN x.ok THEN list_append(f.kept, x.ident) ELSE f.kept END, CASE WHEN x.ok AND x.place IS NULL THEN list_append(f.keys, x.key) ELSE f.keys END,
+    CASE WHEN x.ok AND x.place IS NULL THEN list_append(f.owners, x.source) ELSE f.owners END, CASE WHEN x.ok THEN list_append(f.taken, x.arrival) ELSE f.taken END
+  FROM fold f JOIN numbered r ON r.n = f.n + 1,
+  LATERAL (SELECT r.arrival, r.source, r.key, r.source || ':' || r.id AS ident, list_position(f.keys, r.key) AS place,
+    NOT list_contains(f.kept, r.source || ':' || r.id) AND (list_position(f.keys, r.key) IS NULL OR f.owners[list_position(f.keys, r.key)] = r.source) AS ok) x)
+SELECT arrival, id, source FROM v_arrivals WHERE arrival IN (SELECT unnest(taken) FROM (SELECT taken FROM fold ORDER BY n DESC LIMIT 1))"""
 
 
-@query(_DEDUPE + "SELECT id, source, company, title FROM owned WHERE key IS NULL OR source = owner", ("v_postings",))
+@query(_FOLD, ("v_arrivals", "numbered"))
 def dedupe_cross_source(spark, d):
-    rows = view(spark, d, "v_postings").select("id", "source", "company", "title", F.col("doc_id").alias("arrival"))
-    return ingest.dedupe_postings(rows).select("id", "source", "company", "title")
+    return ingest.dedupe_postings(view(spark, d, "v_arrivals")).select("arrival", "id", "source")
 
 
-@query(" SELECT id, title FROM v_postings WHERE (contains(title, 'Frontend') AND contains(title, 'Senior')) OR contains(title, 'Full Stack Developer') OR contains(title, 'Machine Learning')", ("v_postings",))
+@query(" SELECT id, title FROM v_postings WHERE ((contains(title, 'Frontend') AND contains(title, 'Senior')) OR contains(title, 'Full Stack Developer') OR contains(title, 'Machine Learning')) AND NOT contains(title, 'Staff') AND NOT contains(title, 'Lead')", ("v_postings",))
 def title_scope_subset(spark, d):
     searches = spark.createDataFrame([("senior front end engineer",), ("Fullstack Engineer",), ("AI engineer",)], "keywords string")
     return ingest.in_scope(view(spark, d, "v_postings").select("id", "title"), searches)
 
 
-@query(" SELECT source, count(*) AS parsed, count(*) FILTER (NOT relevance_filtered) AS matched, count(*) FILTER (relevance_filtered) AS filtered, count(*) FILTER (NOT relevance_filtered AND doc_id % 2 = 0) AS inserted, count(*) FILTER (NOT relevance_filtered AND doc_id % 2 = 1) AS updated, CASE WHEN count(*) FILTER (NOT relevance_filtered) = 0 THEN source || ': nothing matched' END AS warning FROM v_postings GROUP BY source", ("v_postings",))
+@query("""  SELECT source, registered, eligible, stale, disabled, invalid, expiring_within_7d, parsed, matched, parsed - matched AS filtered, inserted_new, updated_existing,
+    list_filter([CASE WHEN registered > 0 AND eligible = 0 THEN source || ': registered=' || registered || ' but eligible=0 (stale=' || stale || ', disabled=' || disabled || ', invalid=' || invalid || ')' END,
+      CASE WHEN parsed > 0 AND matched = 0 THEN source || ': parsed=' || parsed || ' but matched=0; filtered=' || (parsed - matched) END, CASE WHEN expiring_within_7d > 0 THEN source || ': expiring_within_7d=' || expiring_within_7d END], lambda x: x IS NOT NULL) AS warnings
+  FROM (SELECT coalesce(r.source, p.source) AS source, coalesce(registered, 0) AS registered, coalesce(eligible, 0) AS eligible, coalesce(stale, 0) AS stale, coalesce(disabled, 0) AS disabled, coalesce(invalid, 0) AS invalid,
+      coalesce(expiring_within_7d, 0) AS expiring_within_7d, coalesce(parsed, 0) AS parsed, coalesce(matched, 0) AS matched, coalesce(inserted_new, 0) AS inserted_new, coalesce(updated_existing, 0) AS updated_existing
+    FROM (SELECT 'src' || n_nationkey AS source, n_nationkey AS registered, CAST(n_nationkey > 10 AS BIGINT) AS eligible, n_nationkey % 4 AS stale, 1 AS disabled, 2 AS invalid, CAST(n_nationkey % 3 = 0 AS BIGINT) AS expiring_within_7d FROM nation) r
+    FULL JOIN (SELECT source, count(*) AS parsed, count(*) FILTER (source <> 'src3') AS matched, count(*) FILTER (source <> 'src3' AND doc_id % 2 = 0) AS inserted_new, count(*) FILTER (source <> 'src3' AND doc_id % 2 = 1) AS updated_existing FROM v_postings GROUP BY 1) p ON p.source = r.source)""", ("v_postings",))
 def source_funnel(spark, d):
-    rows = view(spark, d, "v_postings").select("source", "relevance_filtered", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'inserted' ELSE 'updated' END").alias("disposition"))
-    matched = rows.where("not relevance_filtered")
-    return ingest.source_funnel(rows, matched, matched)
+    rows = view(spark, d, "v_postings").select("source", F.expr("CASE WHEN doc_id % 2 = 0 THEN 'inserted' ELSE 'updated' END").alias("disposition"))
+    registered = table(spark, d, "nation").selectExpr("concat('src', n_nationkey) AS source", "n_nationkey AS registered", "int(n_nationkey > 10) AS valid", "n_nationkey % 4 AS stale", "1 AS disabled", "2 AS invalid", "int(n_nationkey % 3 = 0) AS expiring_within_7d")
+    matched = rows.where("source <> 'src3'")
+    return ingest.run_funnel(registered, rows, matched, matched)
 
 
 @query(" SELECT n.id, n.title FROM v_new n WHERE n.id NOT IN (SELECT id FROM v_old)", SPLIT)
@@ -260,9 +263,9 @@ def history_anti(spark, d):
     return view(spark, d, "v_new").join(view(spark, d, "v_old").select("id"), "id", "left_anti").select("id", "title")
 
 
-@query("SELECT p_name, r_name, '7d' AS recency FROM (SELECT DISTINCT p_name FROM part WHERE p_size = 1) CROSS JOIN region")
+@query("SELECT p_name, r_name, '7d' AS recency FROM (SELECT DISTINCT p_name FROM part) CROSS JOIN region")
 def search_expansion(spark, d):
-    terms = table(spark, d, "part").where("p_size = 1").select("p_name").distinct()
+    terms = table(spark, d, "part").select("p_name").distinct()
     return ingest.expanded_searches(terms, table(spark, d, "region").select("r_name"), "7d")
 
 
@@ -284,22 +287,42 @@ def registry_funnel(spark, d):
     return ingest.registry_funnel(ingest.registry_states(_tenants(spark, d), 100), 100)
 
 
-@query(f" SELECT id, title, first_seen FROM v_postings p LEFT JOIN v_status s ON s.posting_id = p.id WHERE NOT {_INACTIVE} AND length(trim(raw_jd)) >= 80 AND (NOT relevance_filtered OR s.status IN ({_PURSUED})) AND id NOT IN (SELECT posting_id FROM v_scores WHERE score IS NOT NULL) AND doc_id % 17 <> 0 ORDER BY first_seen DESC, id LIMIT 60", BOARD)
+_GATED = """, gated AS (SELECT *, CASE WHEN doc_id % 6 < 3 THEN '2026-10-22-v9-years-jdq' WHEN doc_id % 6 < 5 THEN 'old' END AS gate_version, doc_id % 10 = 0 AS gate_override, doc_id % 8 = 1 AS score_requested FROM v_postings),
+  held AS (SELECT id, CASE WHEN doc_id % 17 = 0 THEN 200 ELSE 50 END AS until, CASE WHEN doc_id % 19 = 0 THEN 150 END AS next_attempt_at FROM v_postings WHERE doc_id % 3 <> 1),
+  profiled AS (SELECT posting_id, CASE WHEN CAST(posting_id AS INT) % 3 = 0 THEN 'now' ELSE 'then' END AS profile_sha256 FROM v_scores WHERE CAST(posting_id AS INT) % 4 <> 2)"""
+_ALIVE = f"NOT {_INACTIVE} AND length(regexp_replace(raw_jd, '^\\s+|\\s+$', '', 'g')) >= 80"
+_LET_THROUGH = f"NOT relevance_filtered AND (coalesce(gate_version = '2026-10-22-v9-years-jdq', false) OR gate_override OR EXISTS (SELECT 1 FROM profiled q WHERE q.posting_id = g.id) OR EXISTS (SELECT 1 FROM v_status u WHERE u.posting_id = g.id AND u.status IN ({_PURSUED}))) AND NOT EXISTS (SELECT 1 FROM held l WHERE l.id = g.id AND (l.until > 100 OR l.next_attempt_at > 100))"
+
+
+def _gated(spark, d):
+    rows = view(spark, d, "v_postings").selectExpr("*", "CASE WHEN doc_id % 6 < 3 THEN '2026-10-22-v9-years-jdq' WHEN doc_id % 6 < 5 THEN 'old' END AS gate_version", "doc_id % 10 = 0 AS gate_override", "doc_id % 8 = 1 AS score_requested")
+    held = rows.where("doc_id % 3 <> 1").selectExpr("id", "CASE WHEN doc_id % 17 = 0 THEN 200 ELSE 50 END AS until", "CASE WHEN doc_id % 19 = 0 THEN 150 END AS next_attempt_at")
+    scores = view(spark, d, "v_scores").where("CAST(posting_id AS INT) % 4 <> 2").selectExpr("posting_id", "CASE WHEN CAST(posting_id AS INT) % 3 = 0 THEN 'now' ELSE 'then' END AS profile_sha256")
+    return rows, view(spark, d, "v_status"), scores, held
+
+
+@query(_GATED + f" SELECT g.id, title, first_seen FROM gated g JOIN v_status s ON s.posting_id = g.id LEFT JOIN profiled c ON c.posting_id = g.id WHERE {_ALIVE} AND {_LET_THROUGH} AND (c.posting_id IS NULL OR (s.status IN ('new', 'seen') AND c.profile_sha256 IS DISTINCT FROM 'now') OR score_requested) ORDER BY c.posting_id IS NULL DESC, coalesce(posted, first_seen) DESC, g.id LIMIT 60", BOARD)
 def scoring_candidates(spark, d):
-    leases = view(spark, d, "v_postings").where("doc_id % 17 = 0").select("id", F.lit(200).alias("until"))
-    return selection.scoring_candidates(view(spark, d, "v_postings"), view(spark, d, "v_status"), view(spark, d, "v_scores"), leases, 100, 60)
+    rows, statuses, scores, held = _gated(spark, d)
+    return selection.scoring_candidates(rows, statuses, scores, held, 100, 60, "now")
 
 
-@query(" SELECT id, first_seen FROM v_postings WHERE length(trim(raw_jd)) >= 80 AND strlen(raw_jd) <= 24000 AND doc_id % 3 <> 0 ORDER BY first_seen DESC, id LIMIT 60", ("v_postings",))
+@query(_GATED + f" SELECT id, first_seen FROM gated g WHERE {_ALIVE} AND strlen(raw_jd) <= 24000 AND {_LET_THROUGH} AND doc_id % 7 <> 0 ORDER BY first_seen, id LIMIT 60", BOARD)
 def extract_candidates(spark, d):
-    rows = view(spark, d, "v_postings")
-    return selection.extract_candidates(rows, rows.where("doc_id % 3 = 0"), 24_000, 60)
+    rows, statuses, scores, held = _gated(spark, d)
+    return selection.extract_candidates(rows, statuses, scores, rows.where("doc_id % 7 = 0"), held, 100, 24_000, 60)
+
+
+@query(" SELECT id, 'https://a.b/' || external_id AS url FROM v_postings WHERE length(trim(raw_jd)) < 400 ORDER BY CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 90 AS VARCHAR) ELSE '' END, first_seen, id LIMIT 40", ("v_postings",))
+def short_descriptions(spark, d):
+    rows = view(spark, d, "v_postings").withColumn("url", F.concat(F.lit("https://a.b/"), "external_id")).withColumn("attempted_at", F.expr("CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 90 AS STRING) END"))
+    return selection.short_descriptions(rows, 400, 40)
 
 
-@query(" SELECT id, source, position FROM (SELECT *, row_number() OVER (PARTITION BY source = 'src0' ORDER BY coalesce(last_attempt, ''), first_seen, id) AS position FROM (SELECT id, source, first_seen, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 90 AS VARCHAR) END AS last_attempt FROM v_postings)) WHERE source <> 'src0' OR position <= 20", ("v_postings",))
+@query(" SELECT id, source FROM (SELECT *, row_number() OVER (PARTITION BY source = 'src0' ORDER BY coalesce(last_attempt, ''), first_seen, id) AS position FROM (SELECT id, source, first_seen, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 90 AS VARCHAR) END AS last_attempt FROM v_postings)) WHERE source <> 'src0' OR position <= 20", ("v_postings",))
 def rotating_recheck(spark, d):
     rows = view(spark, d, "v_postings").withColumn("last_attempt", F.expr("CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 90 AS STRING) END"))
-    return selection.rotating_recheck(rows, "src0", 20).select("id", "source", "position")
+    return selection.rotating_recheck(rows, "src0", 20).select("id", "source")
 
 
 @query("SELECT o_orderkey AS id, least(3600, 60 * (1 << CAST(least(o_custkey % 9, 6) AS INT))) AS wait FROM orders WHERE o_orderkey % 5000 + least(3600, 60 * (1 << CAST(least(o_custkey % 9, 6) AS INT))) <= 4000")
@@ -438,7 +461,7 @@ def publication_plausible(spark, d):
     return rows.select("id", cohort.plausible_publication("posted", "observed").alias("posted_at"))
 
 
-@query("SELECT m, CASE WHEN m < 60 THEN m || 'm' WHEN m < 1440 THEN (m // 60) || 'h' WHEN m < 10080 THEN (m // 1440) || 'd' WHEN m < 43200 THEN (m // 10080) || 'w' ELSE (m // 43200) || 'mo' END AS age FROM (SELECT DISTINCT event_id * 17 % 99991 AS m FROM events)")
+@query("SELECT m, CASE WHEN m < 60 THEN 'now' WHEN m < 1440 THEN (m // 60) || 'h' ELSE (m // 1440) || 'd' END AS age FROM (SELECT DISTINCT event_id * 17 % 99991 AS m FROM events)")
 def age_buckets(spark, d):
     return table(spark, d, "events").selectExpr("event_id * 17 % 99991 AS m").distinct().withColumn("age", cohort.age_bucket("m"))
 
@@ -449,9 +472,9 @@ def transition_report(spark, d):
     return cohort.transitions(state("v_old"), state("v_new"))
 
 
-@query(" SELECT id, first_seen FROM v_postings WHERE first_seen > 30000 ORDER BY first_seen, id LIMIT 101", ("v_postings",))
+@query(" SELECT id, first_seen FROM v_postings WHERE first_seen > 3000 ORDER BY first_seen, id LIMIT 101", ("v_postings",))
 def new_roles_poll(spark, d):
-    return cohort.new_since(view(spark, d, "v_postings").select("id", "first_seen"), 30000)
+    return cohort.new_since(view(spark, d, "v_postings").select("id", "first_seen"), 3000)
 
 
 @query(" SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL AND coalesce(o.checked_at, -1) <= 400 THEN 415 ELSE o.checked_at END AS until, CASE WHEN n.id IS NOT NULL AND coalesce(o.checked_at, -1) <= 400 THEN coalesce(o.last_seen_at, 0) + 1 ELSE o.last_seen_at END AS attempts FROM v_old o FULL JOIN v_new n ON n.id = o.id", SPLIT)
@@ -473,15 +496,21 @@ def _points(spark, d):
     return spark.sql(_POINTS.replace("FROM customer", "FROM {customer}"), customer=table(spark, d, "customer"))
 
 
-@query(f"WITH p AS ({_POINTS}), ok AS (SELECT * FROM p WHERE lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180), spots AS (SELECT group_id, CAST(lat * 100 AS BIGINT) AS y, CAST(lng * 100 AS BIGINT) AS x, count(*) AS n FROM ok GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY n DESC, y, x) AS r, sum(n) OVER (PARTITION BY group_id) AS \"rows\", count(*) OVER (PARTITION BY group_id) AS places FROM spots) SELECT r.group_id, (SELECT max(score) FROM ok WHERE ok.group_id = r.group_id) AS best, (SELECT count(DISTINCT title) FROM ok WHERE ok.group_id = r.group_id) AS roles, places, CAST(\"rows\" AS BIGINT) AS \"rows\", CASE WHEN n * 10 >= \"rows\" * 6 THEN y END AS modal_y, CASE WHEN n * 10 >= \"rows\" * 6 THEN x END AS modal_x FROM ranked r WHERE r.r = 1")
+_MEMBERS = "SELECT c_custkey AS at, c_nationkey AS cluster, c_custkey // 3 AS row_id, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 101 END AS score, CASE c_custkey % 6 WHEN 0 THEN ' Haifa , Israel' WHEN 1 THEN 'Berlin' WHEN 2 THEN '' WHEN 3 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'Haifa' END ELSE 'Haifa, North' END AS location, CAST(c_nationkey + CASE WHEN c_nationkey % 3 = 0 AND c_custkey % 5 = 0 THEN 0.001 ELSE 0 END AS DOUBLE) AS lat, CAST(c_nationkey * 2 AS DOUBLE) AS lng FROM customer"
+
+
+@query(f"""WITH m AS ({_MEMBERS}), named AS (SELECT *, coalesce(nullif(trim(split_part(location, ',', 1)), ''), 'this location') AS name FROM m),
+  counted AS (SELECT cluster, name, count(*) AS n, min("at") AS first FROM named GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first) AS r FROM counted)
+  SELECT m.cluster, max(score) AS best, count(DISTINCT row_id) AS roles, count(DISTINCT printf('%.4f,%.4f', lng, lat)) = 1 AS is_stack, count(*) AS members, max(CASE WHEN b.n < 0.6 * (SELECT count(*) FROM m x WHERE x.cluster = m.cluster) THEN 'Near ' || b.name ELSE b.name END) AS place
+  FROM m JOIN best b ON b.cluster = m.cluster AND b.r = 1 GROUP BY m.cluster""")
 def map_clusters(spark, d):
-    rows = _points(spark, d)
-    return globe.place_summary(globe.on_map(rows.select("id", "group_id", "title", "score"), rows.select("id", "lat", "lng")))
+    rows = spark.sql(_MEMBERS.replace("FROM customer", "FROM {customer}").replace("//", "div"), customer=table(spark, d, "customer"))
+    return globe.place_summary(rows)
 
 
-@query(f"SELECT min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east FROM ({_POINTS}) WHERE group_id < 9 HAVING max(lng) - min(lng) < 150")
+@query(f"SELECT min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east FROM ({_POINTS}) HAVING max(lng) - min(lng) < 360")
 def map_bounds(spark, d):
-    return globe.bounding_box(_points(spark, d).where("group_id < 9"))
+    return globe.bounding_box(_points(spark, d), 360)
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (lat > 0) AS mapped, count(*) FILTER (lat <= 0) AS unmapped FROM ({_POINTS})")

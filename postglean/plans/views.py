@@ -66,10 +66,16 @@ VIEWS = {
         FROM events""",
 }
 
+VIEWS["v_arrivals"] = """
+        SELECT doc_id AS arrival, CASE doc_id % 3 WHEN 0 THEN 'lever' WHEN 1 THEN 'ashby' ELSE 'linkedin' END AS source, CAST((doc_id * 7) % 180 AS STRING) AS id, concat('Co ', CAST((doc_id * 5) % 37 AS STRING)) AS company,
+          concat('Dev ', CAST(doc_id % 4 AS STRING)) AS title
+        FROM documents"""
+#: For the oracle alone: arrivals by number, with their keys.
+VIEWS["numbered"] = "SELECT *, row_number() OVER (ORDER BY arrival) AS n, lower(company) || '|' || lower(title) AS key FROM v_arrivals"
 #: Tables that each view reads.
 TABLES = {
     "v_postings": ["documents"], "v_scores": ["documents", "labels"], "v_status": ["labels"], "v_old": ["orders"], "v_new": ["orders"],
-    "v_geo": ["supplier"], "v_hq": ["nation"], "v_observations": ["events"],
+    "v_geo": ["supplier"], "v_hq": ["nation"], "v_observations": ["events"], "v_arrivals": ["documents"],
 }
 
 
@@ -87,4 +93,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """``sql`` after the definitions of the views it reads."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names) + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names) + sql

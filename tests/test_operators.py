@@ -1,10 +1,14 @@
 """Rules that the small tables don't show."""
 
+import random
+import re
+
 import pandas as pd
 import pytest
 
 from postglean.functions import postings as fn
 from postglean.operators import board, ingest, liveness, merge, vacancy
+from postglean.sources import boards
 from pyspark.sql import functions as F
 
 
@@ -41,30 +45,44 @@ def test_job_links(spark):
     assert [r[0] for r in df.select(fn.link_status("url")).collect()] == ["invalid_url", "invalid_url", "invalid_url", "available", "invalid_url", "no_link"]
 
 
-def test_dedupe_keeps_repeats_within_a_source(spark):
-    given = [("1", "a", "Co", "Dev", 1), ("2", "a", "co!", "dev", 2), ("3", "b", "Co", "Dev", 3), ("3", "b", "Other", "Dev", 4), ("", "a", "X", "Y", 5), ("4", "b", "", "Dev", 6), ("5", "c", "", "Dev", 7), ("1", "a", "Co", "Dev", 8)]
-    df = spark.createDataFrame(given, "id string, source string, company string, title string, arrival long")
-    assert [(r.id, r.source) for r in ingest.dedupe_postings(df).orderBy("arrival").collect()] == [("1", "a"), ("2", "a"), ("4", "b"), ("5", "c")]
-    # by the letter, the dropped row doesn't claim its identity, so its other title is kept
-    fold = ingest.sequential_dedupe(df.withColumn("group", F.lit(1))).orderBy("arrival").collect()
-    assert [(r.id, r.company) for r in fold] == [("1", "Co"), ("2", "co!"), ("3", "Other"), ("4", ""), ("5", "")]
+def test_dedupe_by_the_letter(spark):
+    """Against a fold over arrivals: a row that is dropped doesn't claim its identity, so its other title is kept."""
+    given = [("1", "a", "Co", "Dev", 1), ("2", "a", "co!", "dev", 2), ("3", "b", "Co", "Dev", 3), ("3", "b", "Other", "Dev", 4), ("", "a", "X", "Y", 5), ("4", "b", "", "Dev", 6), ("5", "c", "", "Dev", 7), ("1", "a", "Co", "Dev", 8), ("4", "b", "", "Dev", 9)]
+    random.seed(3)
+    given += [(str(random.randrange(60)), random.choice("abc"), f"c{random.randrange(12)}", random.choice(["Dev", "Ops", ""]), k) for k in range(10, 400)]
+    prior, keys = [("2", "a"), ("7", None)], [("c3|dev", "b"), ("c3|dev", "c"), ("c4|ops", "a")]
+    for before, owned in (([], []), (prior, keys)):
+        kept, owner, want = {(s or "linkedin", i) for i, s in before}, {}, []
+        for k, s in owned:
+            owner.setdefault(k, set()).add(s)
+        for i, s, c, t, at in given:
+            words = [re.sub("[^a-z0-9]+", " ", x.lower()).strip() for x in (c, t)]
+            key = "|".join(words) if all(words) else None
+            if i and (s, i) not in kept and (key is None or key not in owner or s in owner[key]):
+                kept.add((s, i))
+                want.append(at)
+                if key:
+                    owner.setdefault(key, set()).add(s)
+        df = spark.createDataFrame(given, "id string, source string, company string, title string, arrival long")
+        more = (spark.createDataFrame(before, "id string, source string"), spark.createDataFrame(owned, "key string, source string")) if before else ()
+        assert sorted(r.arrival for r in ingest.dedupe_postings(df, *more).collect()) == want
 
 
 def test_boards(spark):
-    landed = spark.createDataFrame([("acme", '{"jobs": [{"id": 7, "title": "Dev", "content": "&lt;p&gt;Hi &amp;amp; bye&lt;/p&gt;", "location": {"name": "Haifa"}}, {"title": "no id"}]}')], "tenant string, body string")
-    assert [(r.id, r.location, r.text) for r in ingest.greenhouse_jobs(landed).collect()] == [("greenhouse:7", "Haifa", "Hi & bye")]
-    landed = spark.createDataFrame([("acme", '[{"id": "x", "text": "Dev", "descriptionPlain": "One.", "createdAt": 0, "lists": [{"text": "Need", "content": "two"}], "categories": {"location": "NY"}}]')], "tenant string, body string")
-    assert [(r.id, r.location, r.text) for r in ingest.lever_jobs(landed).collect()] == [("lever:x", "NY", "One. Need two")]
+    landed = spark.createDataFrame([("acme", '{"jobs": [{"id": 7, "title": "Dev", "content": "&lt;p&gt;Hi &amp;amp; bye &amp;copy; &amp;amp;eacute;&lt;/p&gt;", "location": {"name": "Haifa"}}, {"title": "no id"}]}')], "tenant string, body string")
+    assert [(r.id, r.location, r.text) for r in boards.greenhouse_jobs(landed).collect()] == [("greenhouse:acme:7", "Haifa", "Hi & bye © é")]
+    landed = spark.createDataFrame([("acme", '[{"id": "x", "text": "Dev", "descriptionPlain": "One.", "createdAt": 0, "lists": [{"text": "Need", "content": "<b>two</b>"}], "openingPlain": "", "additionalPlain": "More &amp; more.", "categories": {"location": "NY"}}]')], "tenant string, body string")
+    assert [(r.id, r.location, r.text) for r in boards.lever_jobs(landed).collect()] == [("lever:acme:x", "NY", "One. Need two More & more.")]
     body = '{"jobs": [{"id": "1", "title": "A", "isListed": true, "location": "X", "secondaryLocations": [{"location": "Y"}, {"location": "X"}], "jobUrl": "https://jobs.ashbyhq.com/acme/1"}, {"id": "2", "isListed": true, "jobUrl": "https://evil/2"}]}'
     landed = spark.createDataFrame([("acme", body)], "tenant string, body string")
-    assert [(r.id, r.location) for r in ingest.ashby_jobs(landed).collect()] == [("ashby:1", "X; Y")]
+    assert [(r.id, r.location) for r in boards.ashby_jobs(landed).collect()] == [("ashby:acme:1", "X; Y")]
     landed = spark.createDataFrame([("acme", "| Title | D | L | a | b | P | T |\n|---|---|---|---|---|---|---|\n| Dev | R | Haifa | x | y | 2024-01-02 | [v](https://a/jobs/view/ABC1.md) |\n| short | row |")], "tenant string, body string")
-    assert [(r.title, r.location, r.posted_at, r.token) for r in ingest.markdown_jobs(landed).collect()] == [("Dev", "Haifa", "2024-01-02", "ABC1")]
+    assert [(r.title, r.location, r.posted_at, r.token) for r in boards.markdown_jobs(landed).collect()] == [("Dev", "Haifa", "2024-01-02", "ABC1")]
 
 
 def test_tolerant_lines(spark):
     lines = spark.createDataFrame([('{"a": 1}',), ("",), ("  ",), ("[1]",), ("{bad",), ('{"a": null}',)], "value string")
-    good, bad = ingest.tolerant_json_lines(lines, "a int")
+    good, bad = boards.tolerant_json_lines(lines, "a int")
     assert [r.a for r in good.collect()] == [1, None] and [r.value for r in bad.collect()] == ["[1]", "{bad"]
 
 

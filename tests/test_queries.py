@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from postglean.plans.queries import ORACLES, QUERIES
+from postglean.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
