@@ -3,8 +3,11 @@
 Sets of word shingles are put in one order for all documents, rare shingles
 first: by the frequencies of their words, and last those known to be frequent. Two sets whose Jaccard similarity reaches the threshold differ in few
 shingles, so prefixes long enough to outlast these share an index entry: one
-rare shingle, or two frequent shingles of one class. Entries that two documents
-share make candidates; exact intersections decide.
+rare shingle, or two frequent shingles of one class. In long sets, which have
+too many rare shingles from passages that others share, all are dealt to hash
+classes, and the entry is the combination of a class's shingles: of more such
+classes than shingles that may differ one is the same in both sets. Entries that
+two documents share make candidates; exact intersections decide.
 
 Equal sets are one representative from the start. Candidates are first an
 entry's documents with its least one, which is linear in the index; only where
@@ -35,14 +38,17 @@ WORDS = 3
 #: Similarity in hundredths.
 LEAST = 90
 #: A shingle as often as this share of all documents, and FEW times at least, is frequent. There are at most (mean words) / share of them.
-FREQUENT = 1 / 5000
-FEW = 64
+FREQUENT = 1 / 2000
+FEW = 16
 #: A word in this share of all words has a weight of its own, others have the least. There are at most 1 / share of them.
 WORD_SHARE = 1e-6
 #: Hash classes of frequent shingles; a prefix has up to one more shingle for each.
 CLASSES = 8
 #: Sets of fewer shingles are indexed by single shingles alone, those within the threshold above it both ways.
 SHORT = 64
+#: Sets of as many shingles are long. Those of one scheme differ in size by GROWTH at most, and have up to DEEP shingles in a class.
+LONG = 1024
+GROWTH, DEEP = 2.9, 3.6
 #: Counts in a set's sketch; of two sets, the lesser counts sum to no less than their intersection.
 SKETCH = 256
 #: Rows of a block and shingles in all its sets, about; two blocks are compared at a time.
@@ -130,8 +136,35 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(_rolled(_hashed(text.lower().split()), words))
 
 
-def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
-    """Index entries of a set in the common order, of which the first ``rare`` aren't frequent.
+def combined(items: np.ndarray, least: int, k: int) -> tuple[np.ndarray, bool]:
+    """Entries of a long set: combinations of the shingles of each hash class that has ``k`` or more.
+
+    There is a scheme of classes for sizes from LONG times each power of GROWTH
+    on; sets within the threshold below a scheme's sizes are in it too. Of two
+    similar sets the larger one, of b shingles, differs in 2b(1-t)/(1+t) at most.
+    If it has more combinations than that (the second value), one is common.
+    """
+    n, scheme, out, enough = len(items), max(0, int(math.log(len(items) / LONG, GROWTH)) - 1), [], True
+    while True:
+        low = LONG * GROWTH**scheme
+        if 100 * n < least * low:
+            break
+        if n < low * GROWTH:
+            seed = np.uint64((scheme + 1) * int(_M[4]) % 2**64)
+            classes = (_mix(items + seed) % np.uint64(math.ceil(low * GROWTH / DEEP))).astype(np.int64)
+            by = np.argsort(classes, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(classes[by]) != 0]))
+            sizes = np.diff(np.append(first, n))
+            sums = np.add.reduceat(_mix(items[by] * _M[2] + _M[1]), first)
+            found = _mix(sums + classes[by][first].astype(np.uint64) * _M[0] + seed)[sizes >= k]
+            out.append(found)
+            enough &= n < low or len(found) * (100 + least) > 2 * (100 - least) * n
+        scheme += 1
+    return np.concatenate(out) if out else items[:0], enough
+
+
+def entries(order: np.ndarray, rare: int, least: int = LEAST, k: int = 2) -> tuple[np.ndarray, bool]:
+    """Index entries of a set in the common order, of which the first ``rare`` aren't frequent; and whether its combinations are enough (``k`` of 0: there are none).
 
     At most ``spare`` of its shingles are missing from any set as similar. A
     prefix in which the rare shingles, and in each class the frequent ones less
@@ -139,12 +172,12 @@ def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
     """
     n = len(order)
     if not n:
-        return order
+        return order, True
     spare = n - -(-least * n // 100)
-    out = []
+    out, enough = [], True
     if 100 * SHORT > least * n:
         out.append(_mix(order[: spare + 1] + _M[1]))
-    if n >= SHORT:
+    if n >= SHORT and (not k or least * n < 100 * LONG):
         out.append(_mix(order[: min(rare, spare + 1)] + _M[0]))
         if rare <= spare:
             tail = order[rare:]
@@ -156,7 +189,10 @@ def entries(order: np.ndarray, rare: int, least: int = LEAST) -> np.ndarray:
                 own = tail[:end][kind[:end] == c]
                 a, b = np.triu_indices(len(own), 1)
                 out.append(_mix(own[a] * _M[2] + own[b]))
-    return np.unique(np.concatenate(out))
+    if k and 100 * n >= least * LONG:
+        found, enough = combined(np.sort(order), least, k)
+        out.append(found)
+    return np.unique(np.concatenate(out)), enough
 
 
 def _tallied(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -224,16 +260,38 @@ def build_order(texts: DataFrame, words: int = WORDS) -> Order:
     return Order(width, np.sort(found.astype(np.uint64)), words["item"].to_numpy().astype(np.uint64), words["n"].to_numpy() / total)
 
 
-def _indexed(batches: Iterator[pa.RecordBatch], order, least: int) -> Iterator[pa.RecordBatch]:
+INDEX = "row long, doc_id long, n long, digest binary, sketch binary, entries array<long>, enough boolean"
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], order, least: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         ranked = [order.value.ranked(x.as_py()) for x in batch["bytes"]]
-        found = [entries(ranks, rare, least).astype(np.int64) for _, ranks, rare in ranked]
+        found, enough = zip(*(entries(ranks, rare, least, k) for _, ranks, rare in ranked)) if ranked else ((), ())
+        found = [x.astype(np.int64) for x in found]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         flat = np.concatenate(found) if found else np.empty(0, np.int64)
         digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s, *_ in ranked], pa.binary())
         sketches = [np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes() for s, *_ in ranked]
-        columns = [batch["row"], batch["doc_id"], pa.array([len(s) for s, *_ in ranked], pa.int64()), digests, pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "digest", "sketch", "entries"])
+        columns = [batch["row"], batch["doc_id"], pa.array([len(s) for s, *_ in ranked], pa.int64()), digests, pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(enough, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "digest", "sketch", "entries", "enough"])
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """Whether two sorted sets reach the threshold. They are compared range by range of hashes, until what is left can't."""
+    if len(a) < 256:
+        same = len(a) + len(b) - len(np.union1d(a, b))
+        return 100 * same >= least * (len(a) + len(b) - same)
+    cuts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
+    starts, stops = ([0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in (a, b))
+    same = 0
+    for k in range(16):
+        x, y = a[starts[k] : starts[k + 1]], b[stops[k] : stops[k + 1]]
+        if len(x) and len(y):
+            same += int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        most = same + min(len(a) - starts[k + 1], len(b) - stops[k + 1])
+        if 100 * most < least * (len(a) + len(b) - most):
+            return False
+    return True
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -252,8 +310,7 @@ def _verified(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
                 hub, own = h, items
                 continue
             assert h == hub
-            same = len(own) + len(items) - len(np.union1d(own, items))
-            if 100 * same >= least * (len(own) + len(items) - same):
+            if similar(own, items, least):
                 a.append(h)
                 b.append(r)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -357,9 +414,7 @@ def _forest(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             for m in near.tolist():
                 if roots[1][m] == roots[0][k]:
                     continue
-                x, y = sets[0][k], sets[1][m]
-                same = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * same >= least * (len(x) + len(y) - same):
+                if similar(sets[0][k], sets[1][m], least):
                     left.append(int(a.rows[k]))
                     right.append(int(b.rows[m]))
                     old, new = roots[1][m], roots[0][k]
@@ -407,7 +462,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     if not row:
         texts = written(texts, "texts")  # numbers must not change when a part is computed again
     order = spark.sparkContext.broadcast(build_order(texts, words))
-    index = written(texts.mapInArrow(lambda it: _indexed(it, order, least), "row long, doc_id long, n long, digest binary, sketch binary, entries array<long>"), "index")
+    for k in (2, 1, 0):  # if ever a long set has too few combinations of two, all index single ones too; then none, but prefixes
+        index = written(texts.mapInArrow(lambda it, k=k: _indexed(it, order, least, k), INDEX), "index")
+        if not k or not index.where("not enough").limit(1).count():
+            break
 
     same = index.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"))
     reps = index.join(same.select(F.col("rep").alias("row")), "row", "left_semi")

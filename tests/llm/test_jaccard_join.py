@@ -42,7 +42,7 @@ def test_components(spark, monkeypatch, frequent, width, share):
         monkeypatch.setattr(J, "BLOCK", 4)
     random.seed(5)
     words = [f"w{k}" for k in range(3000)]
-    bases = [[random.choice(words) for _ in range(random.choice([1, 2, 3, 9, 12, 30, 62, 66, 70, 75, 200, 400]))] for _ in range(60)]
+    bases = [[random.choice(words) for _ in range(random.choice([1, 2, 3, 9, 12, 30, 62, 66, 70, 75, 200, 400, 900, 1100, 1300, 4000]))] for _ in range(60)]
     common = random.choices(words, k=60)
     texts = []
     for b in bases:
@@ -77,9 +77,34 @@ def test_entries_meet():
             both = rng.permutation(np.union1d(a, b))
             rare = int(len(both) * rng.choice([0, 0.05, 0.5, 1]))
             place = {x: k for k, x in enumerate(both.tolist())}
-            found = [J.entries(np.array(sorted(x.tolist(), key=place.get), np.uint64), sum(place[v] < rare for v in x.tolist())) for x in (a, b)]
+            found = [J.entries(np.array(sorted(x.tolist(), key=place.get), np.uint64), sum(place[v] < rare for v in x.tolist()))[0] for x in (a, b)]
             assert len(np.intersect1d(*found))
 
 
+def test_long_sets_meet():
+    """Similar long sets share a combination, whatever their sizes; sets that share a passage hardly ever do."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    met = 0
+    for least in (80, 90):
+        for _ in range(150):
+            n = int(rng.integers(900, 9000))
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            gone = int(len(a) * rng.uniform(0, (100 - least) / 100))
+            new = int(len(a) * rng.uniform(0, (100 - least) / 100))
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**63, new).astype(np.uint64)]))
+            same = len(np.intersect1d(a, b))
+            alike = 100 * same >= least * (len(a) + len(b) - same)
+            assert J.similar(a, b, least) == alike
+            found = [J.entries(rng.permutation(x), 0, least) for x in (a, b)]
+            assert all(f[1] for f in found)
+            if alike and min(len(a), len(b)) >= J.LONG:
+                assert len(np.intersect1d(found[0][0], found[1][0])), (least, len(a), len(b), same)
+            c = np.unique(np.concatenate([a[:46], rng.integers(0, 2**63, n).astype(np.uint64)]))
+            met += len(a) >= 2000 and bool(len(np.intersect1d(J.combined(a, least, 2)[0], J.combined(c, least, 2)[0])))
+    assert met < 15
+
+
 def test_nothing(spark):
     assert J.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
