@@ -1,19 +1,21 @@
 """An n-gram language model in an Elias-Fano trie of shards, and the scores it gives.
 
 The base is a smoothed unigram model of all training tokens. On it stand all
-bigrams and trigrams of the training texts, counted in full by shuffle, so the
-trie grows with the corpus. A shard is built in one task from the contexts that
-fall to it by hash, and has about ``SHARD`` n-grams; no process holds more than
-one shard.
-
-A level of a shard holds the successors of each context in order. A bigram's
-context is a word; a trigram's is a bigram, and so is its successor, the last
-two words. With each range raised above the one before it a level is one rising
+bigrams and trigrams of the training texts, however rare, so the trie grows with
+the corpus. It is made of shards by hash of the context, about ``SHARD`` tokens
+each; a context that makes up much of the corpus is dealt to ``PARTS`` of them by
+successor. No process holds more than one shard.
+
+A level of a shard holds the successors of each context in order, by hash. With
+each context's range raised above the one before it a level is one rising
 sequence, kept in Elias-Fano blocks, with quantised log probabilities and
-context weights beside it.
+context weights beside it. A context's place is found first, its successor
+within its range.
 
-Texts are read once, into batches of hashed words. Each batch asks every shard
-for its different n-grams there, and puts its scores together from the answers.
+Texts are read once, into batches of hashed words. A batch sends each shard its
+different n-grams there, with their counts in training texts. The shard is built
+from what all batches send, and answers each in the order it was asked, so
+n-grams move once. Batches then put their scores together.
 """
 
 from __future__ import annotations
@@ -25,23 +27,28 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, written
 
-#: Least share of training tokens of a kept bigram or trigram; at 0 all are kept.
-SHARE = 0.0
 DISCOUNT = 0.75
 ADD = 0.1
 #: Log probabilities and weights are stored in steps of this, as 16 bits.
 STEP = 1 / 2048
-#: In place of a log probability: no such n-gram.
+#: In place of a log probability or weight: no such n-gram or context.
 NONE = 65535
-#: N-grams in one shard, about.
-SHARD = 300_000
-#: Tokens in a batch, about.
+#: Tokens in one shard, about; tokens in a batch, about.
+SHARD = 500_000
 RUN = 1_000_000
+#: A context of this share of all tokens is hot. There are at most twice its inverse of these, of either length.
+HOT = 1 / 1000
+#: Parts that a hot context is dealt to, and what its counts are divided by until its own count is known.
+PARTS = 256
+WHOLE = 10**12
+#: Bits of a context's hash within a shard; of a successor's within a context there are 32.
+BITS = 40
 END = b"\n"  # no word holds it
 BLOCK = 64
 _MOST = 300_000
@@ -116,59 +123,29 @@ class EliasFano:
         return out
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n], np.int64), self.base, self.bits, self.starts, self.unary.ravel(), self.low]
+        return [np.array([self.n], np.int64), self.base, self.bits, self.unary.ravel(), self.low]
+
+    @classmethod
+    def read(cls, parts: list[np.ndarray]) -> EliasFano:
+        n, base, bits, unary, low = parts
+        starts = np.concatenate([[0], np.cumsum(bits.astype(np.int64) * (BLOCK // 8))])[:-1]
+        return cls(int(n[0]), base, bits, starts.astype(np.int64), unary, low)
 
 
 def _quantised(x: np.ndarray) -> np.ndarray:
     return np.clip(np.round(x / -STEP), 0, NONE - 1).astype(np.uint16)
 
 
-class Level:
-    """Contexts by hash, each with its weight and its successors by hash, each with its log probability."""
-
-    def __init__(self, context: np.ndarray, successor: np.ndarray, p: np.ndarray, weight: np.ndarray):
-        """Rows by (context, successor); p and weight are log10."""
-        self.contexts, first, place = np.unique(context, return_index=True, return_inverse=True)
-        self.words, word = np.unique(successor, return_inverse=True)
-        self.weight, self.p = _quantised(weight[first]), _quantised(p)
-        self.sequence = EliasFano.of(place * len(self.words) + word)
-
-    @staticmethod
-    def _place(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
-        return np.where(known[at] == asked, at, -1) if len(known) else np.full(len(asked), -1)
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each successor after its context, or NONE; the context's weight, or 0."""
-        place, word = self._place(self.contexts, context), self._place(self.words, successor)
-        p, weight = np.full(len(context), NONE, np.uint16), np.zeros(len(context), np.uint16)
-        weight[place >= 0] = self.weight[place[place >= 0]]
-        own = np.flatnonzero((place >= 0) & (word >= 0))
-        keys, back = np.unique(place[own] * len(self.words) + word[own], return_inverse=True)
-        found = self.sequence.find(keys)[back] if len(keys) else keys
-        p[own[found >= 0]] = self.p[found[found >= 0]]
-        return p, weight
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.contexts, self.words, self.weight, self.p, *self.sequence.parts()]
-
-    @classmethod
-    def read(cls, parts: list[np.ndarray]) -> Level:
-        out = cls.__new__(cls)
-        out.contexts, out.words, out.weight, out.p = parts[:4]
-        out.sequence = EliasFano(int(parts[4][0]), *parts[5:10])
-        return out
-
-
-_KINDS = (np.int64, np.uint16, np.uint8)
+_KINDS = (np.int64, np.uint16, np.uint8, np.uint32, np.int32)
 
 
 def _packed(parts: list[np.ndarray]) -> bytes:
     head = np.array([len(parts), *chain.from_iterable((_KINDS.index(x.dtype), len(x)) for x in parts)], np.int64)
-    return b"".join([head.tobytes(), *(x.tobytes() + bytes(-x.nbytes % 8) for x in parts)])
+    return zstandard.compress(b"".join([head.tobytes(), *(x.tobytes() + bytes(-x.nbytes % 8) for x in parts)]), 1)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
     n = int(np.frombuffer(data, np.int64, 1)[0])
     head, at, out = np.frombuffer(data, np.int64, 2 * n, 8).reshape(-1, 2), 8 + 16 * n, []
     for kind, size in head.tolist():
@@ -177,8 +154,47 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
+class Level:
+    """Contexts, each with its weight and its successors, each with its log probability."""
+
+    def __init__(self, contexts: np.ndarray, sequence: EliasFano, p: np.ndarray, weight: np.ndarray):
+        self.contexts, self.sequence, self.p, self.weight = contexts, sequence, p, weight
+
+    @classmethod
+    def of(cls, context: np.ndarray, successor: np.ndarray, n: np.ndarray, hot: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
+        """From n-grams with counts, in any order and repeated; also the number of successors and of tokens of each context. Contexts of ``hot`` count as if they had WHOLE tokens."""
+        order = np.lexsort((successor, context))
+        context, successor, n = context[order], successor[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(context) != 0) | (successor[1:] != successor[:-1])])) if len(n) else np.empty(0, np.int64)
+        n = np.add.reduceat(n, first) if len(n) else n
+        context, successor = context[first][n > 0], successor[first][n > 0]
+        n = n[n > 0]
+        contexts, place, kinds = np.unique(context, return_inverse=True, return_counts=True)
+        tokens = np.bincount(place, n, len(contexts))
+        of = np.where(np.isin(contexts, hot), WHOLE, tokens)
+        p = _quantised(np.log10((n - DISCOUNT) / of[place])) if len(n) else np.empty(0, np.uint16)
+        weight = _quantised(np.log10(np.maximum(DISCOUNT * kinds / of, 1e-9))) if len(n) else np.empty(0, np.uint16)
+        return cls(contexts, EliasFano.of((place << 32) | successor.astype(np.int64)), p, weight), kinds, tokens
+
+    def find(self, contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each successor (``sizes`` of them for each context), and each context's weight; NONE for what isn't there."""
+        p, weight = np.full(len(successors), NONE, np.uint16), np.full(len(contexts), NONE, np.uint16)
+        if not len(self.contexts):
+            return p, weight
+        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+        known = self.contexts[at] == contexts
+        weight[known] = self.weight[at[known]]
+        own = np.flatnonzero(np.repeat(known, sizes))
+        found = self.sequence.find((np.repeat(at, sizes)[own] << 32) | successors[own].astype(np.int64))
+        p[own[found >= 0]] = self.p[found[found >= 0]]
+        return p, weight
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.contexts, self.p, self.weight, *self.sequence.parts()]
+
+
 class Shard:
-    """Counts of the words and successors of the contexts of one hash class."""
+    """Counts of the words, and the levels of the contexts, of one hash class."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, levels: list[Level]):
         self.words, self.counts, self.levels = words, counts, levels
@@ -189,13 +205,22 @@ class Shard:
     @classmethod
     def load(cls, data: bytes) -> Shard:
         words, counts, *rest = _unpacked(data)
-        return cls(words, counts, [Level.read(rest[:10]), Level.read(rest[10:])])
+        return cls(words, counts, [Level(c, EliasFano.read(more), p, w) for c, p, w, *more in (rest[:8], rest[8:])])
 
     def answer(self, asked: list[np.ndarray]) -> list[np.ndarray]:
-        """asked: words, contexts and successors of bigrams, then of trigrams. Counts of words, 0 for others; probabilities and weights of either level."""
-        place = Level._place(self.words, asked[0])
-        counts = np.where(place >= 0, self.counts[np.maximum(place, 0)] if len(self.counts) else 0, 0).astype(np.int64)
-        return [counts, *self.levels[0].find(*asked[1:3]), *self.levels[1].find(*asked[3:])]
+        """Counts of words, 0 for others; log probabilities and weights of either level. ``asked``: as a batch packs it."""
+        counts = np.zeros(len(asked[0]), np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, asked[0]), len(self.words) - 1)
+            counts = np.where(self.words[at] == asked[0], self.counts[at], 0)
+        out = [counts]
+        for level, own in zip(self.levels, (asked[2:7], asked[7:12])):
+            out += level.find(_contexts(own), own[2], own[3])
+        return out
+
+
+def _contexts(own: list[np.ndarray]) -> np.ndarray:
+    return own[0].astype(np.int64) | own[1].astype(np.int64) << 32
 
 
 def _tokens(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
@@ -215,8 +240,38 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+class _Grams:
+    """Of one batch: tokens by hash, the places where n-grams of each order end within a text, their contexts and last words."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray, ends: np.ndarray, held_out: np.ndarray):
+        h = words[ids]
+        self.ends, self.sizes = ends, np.diff(np.concatenate([[0], ends]))
+        self.training = ~np.repeat(held_out, self.sizes)
+        opens = np.zeros(len(h) + 2, bool)
+        opens[np.concatenate([[0], ends]).astype(np.int64)] = True
+        at2 = np.flatnonzero(~opens[: len(h)])
+        at3 = at2[~opens[at2 - 1]]
+        two = np.zeros(len(h), np.int64)
+        two[at2] = _pair(h[at2 - 1], h[at2])
+        self.h, self.at = h, [at2, at3]
+        self.context, self.last = [h[at2 - 1], two[at3 - 1]], [h[at2], h[at3]]
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, k: int) -> _Grams:
+        words, ids, ends = (np.frombuffer(batch[c][k].as_py(), kind) for c, kind in (("words", np.int64), ("ids", np.int32), ("ends", np.int64)))
+        return cls(words, ids, ends, np.array(batch["held_out"][k].as_py(), bool))
+
+
+BATCH = "batch long, doc_id array<long>, held_out array<boolean>, words binary, ids binary, ends binary, counts binary, frequent binary"
+
+
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about RUN tokens: ids and flags of their texts, their different words' hashes, tokens as places among these, ends of texts."""
+    """Batches of about RUN tokens: ids and flags of their texts, their different words' hashes, tokens as places among these, ends of texts.
+
+    Beside them the words' counts in training texts, and the contexts of at
+    least half the share of a hot one here: a hot one has that share somewhere,
+    and what it has elsewhere is less than half of its count.
+    """
     from pyspark import TaskContext
 
     number, held, n = TaskContext.get().partitionId() << 32, [], 0
@@ -224,12 +279,19 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         nonlocal number, n
         words, ids = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
-        ends = np.cumsum(np.concatenate([k for _, k, _ in held]))
-        docs = [pa.array([list(chain.from_iterable(d[c].to_pylist() for _, _, d in held))], pa.list_(kind)) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
-        out = [pa.array([number]), *docs, *(pa.array([x.tobytes()], pa.binary()) for x in (words.astype(np.int64), ids.astype(np.int32), ends.astype(np.int64)))]
+        ends = np.cumsum(np.concatenate([k for _, k, _ in held])).astype(np.int64)
+        docs = {c: list(chain.from_iterable(d[c].to_pylist() for _, _, d in held)) for c in ("doc_id", "held_out")}
+        grams = _Grams(words, ids, ends, np.array(docs["held_out"], bool))
+        counts = np.bincount(ids[grams.training], minlength=len(words)).astype(np.int64)
+        frequent = []
+        for order in (0, 1):
+            found, times = np.unique(grams.context[order], return_counts=True)
+            frequent.append(np.stack([np.full(len(found), order), found, times])[:, times >= HOT / 2 * len(ids)])
+        binary = (words.astype(np.int64), ids.astype(np.int32), ends, counts, np.concatenate(frequent, axis=1).astype(np.int64))
+        out = [pa.array([number]), pa.array([docs["doc_id"]], pa.list_(pa.int64())), pa.array([docs["held_out"]], pa.list_(pa.bool_())), *(pa.array([x.tobytes()], pa.binary()) for x in binary)]
         number, n = number + 1, 0
         held.clear()
-        return pa.RecordBatch.from_arrays(out, ["batch", "doc_id", "held_out", "words", "ids", "ends"])
+        return pa.RecordBatch.from_arrays(out, ["batch", "doc_id", "held_out", "words", "ids", "ends", "counts", "frequent"])
 
     for batch in slices(batches):
         if not batch.num_rows:
@@ -244,179 +306,141 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-BATCH = "batch long, doc_id array<long>, held_out array<boolean>, words binary, ids binary, ends binary"
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their training counts (kind 0), contexts that may be hot (1, 2), and the number of all tokens (3)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            words, counts, ends = (np.frombuffer(batch[c][k].as_py(), np.int64) for c in ("words", "counts", "ends"))
+            kinds, hot, times = np.frombuffer(batch["frequent"][k].as_py(), np.int64).reshape(3, -1)
+            own = counts > 0
+            columns = [np.concatenate([np.zeros(own.sum(), np.int64), kinds + 1, [3]]), np.concatenate([words[own], hot, [0]]), np.concatenate([counts[own], times, [ends[-1] if len(ends) else 0]])]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in columns[1:])], ["kind", "item", "n"])
 
 
-class _Grams:
-    """Of one row of the table of batches: the places where n-grams of each order end within a text, their contexts and successors."""
-
-    def __init__(self, batch: pa.RecordBatch, k: int, training: bool = False):
-        words, ids, self.ends = (np.frombuffer(batch[c][k].as_py(), kind) for c, kind in (("words", np.int64), ("ids", np.int32), ("ends", np.int64)))
-        h = words[ids]
-        self.sizes = np.diff(np.concatenate([[0], self.ends]))
-        if training:
-            own = ~np.array(batch["held_out"][k].as_py(), bool)
-            h = h[np.repeat(own, self.sizes)]
-            self.sizes = self.sizes[own]
-            self.ends = np.cumsum(self.sizes)
-        opens = np.zeros(len(h) + 2, bool)
-        opens[np.concatenate([[0], self.ends]).astype(np.int64)] = True
-        at2 = np.flatnonzero(~opens[: len(h)])
-        at3 = at2[~opens[at2 - 1]]
-        two = np.zeros(len(h), np.int64)
-        two[at2] = _pair(h[at2 - 1], h[at2])
-        self.at = [np.arange(len(h)), at2, at3]
-        self.context = [h, h[at2 - 1], two[at3 - 1]]
-        self.successor = [np.zeros(len(h), np.int64), h[at2], two[at3]]
-
-    def different(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts and successors of the different n-grams of an order, which of them each n-gram is, their counts."""
-        a, b = self.context[order], self.successor[order]
-        _, first, back, n = np.unique(_pair(a, b), return_index=True, return_inverse=True, return_counts=True)
-        return a[first], b[first], back, n
+class _Asked:
+    """What a batch asks: different words, and for either length different n-grams by shard, context and successor, with training counts.
 
+    ``back`` tells which of them each n-gram is, ``of`` which context each has, ``hot`` which hot context each n-gram has, or -1.
+    """
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts within each batch of training texts: words (kind 0), bigrams (1), trigrams (2)."""
+    def __init__(self, grams: _Grams, hot: list[np.ndarray], n_shards: int):
+        self.words, self.word_of = np.unique(grams.h, return_inverse=True)
+        shard = self.words.view(np.uint64) % np.uint64(n_shards)
+        by = np.argsort(shard, kind="stable")
+        self.words, self.word_of = self.words[by], np.argsort(by)[self.word_of]
+        self.counts = np.bincount(self.word_of, grams.training, len(self.words)).astype(np.uint32)
+        self.shards = [shard[by].astype(np.int64)]
+        self.levels = []
+        for order in (0, 1):
+            context, last = grams.context[order], grams.last[order]
+            at = np.minimum(np.searchsorted(hot[order], context), max(0, len(hot[order]) - 1))
+            is_hot = hot[order][at] == context if len(hot[order]) else np.zeros(len(context), bool)
+            context = np.where(is_hot, _pair(context, last & (PARTS - 1)), context)
+            _, first, back = np.unique(_pair(context, last), return_index=True, return_inverse=True)
+            n = np.bincount(back, grams.training[grams.at[order]], len(first)).astype(np.uint32)
+            own, successor = context[first], (last[first].view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+            shard = (_mix(own.view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
+            low = own & ((1 << BITS) - 1)
+            by = np.argsort(successor, kind="stable")
+            by = by[np.argsort(low[by], kind="stable")]
+            by = by[np.argsort(shard[by], kind="stable")]
+            low, shard = low[by], shard[by]
+            new = np.concatenate([[True], (np.diff(low) != 0) | (np.diff(shard) != 0)]) if len(by) else np.empty(0, bool)
+            self.shards.append(shard)
+            self.levels.append({
+                "back": np.argsort(by)[back] if len(by) else back, "hot": np.where(is_hot, at, -1), "context": low[new], "sizes": np.diff(np.append(np.flatnonzero(new), len(by))).astype(np.uint32),
+                "of": np.cumsum(new) - 1, "successor": successor[by], "n": n[by], "context_shard": shard[new],
+            })
+
+    def places(self, shard: int) -> list[slice]:
+        """Of a shard: its words, and of either level its n-grams and its contexts."""
+        cut = lambda x: slice(*np.searchsorted(x, [shard, shard + 1]).tolist())
+        return [cut(self.shards[0]), *(x for k in (0, 1) for x in (cut(self.shards[k + 1]), cut(self.levels[k]["context_shard"])))]
+
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        for shard in np.unique(np.concatenate(self.shards)).tolist():
+            words, *rest = self.places(shard)
+            parts = [self.words[words], self.counts[words]]
+            for level, (own, contexts) in zip(self.levels, (rest[:2], rest[2:])):
+                c = level["context"][contexts]
+                parts += [(c & 0xFFFFFFFF).astype(np.uint32), (c >> 32).astype(np.uint8), level["sizes"][contexts], level["successor"][own], level["n"][own]]
+            yield shard, _packed(parts)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], hot, n_shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            grams = _Grams(batch, k, training=True)
-            for order in range(3):
-                a, b, _, n = grams.different(order)
-                for lo in range(0, len(a), 100_000):
-                    part = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[part]), order, np.int32)), *(pa.array(x[part]) for x in (a, b, n))], ["kind", "a", "b", "n"])
+            shards, data = zip(*_Asked(_Grams.of(batch, k), hot.value, n_shards).blocks())
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([batch["batch"][k].as_py()] * len(shards), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """With each bigram's own hash."""
-    for batch in batches:
-        yield batch.append_column("key", pa.array(_pair(batch["a"].to_numpy(), batch["b"].to_numpy())))
-
-
-def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by (shard, kind, a, b): a file for each shard."""
-    held: list[pa.RecordBatch] = []
+def _served(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
+    """Rows by (shard, batch): each shard is built from what all batches send of it, saved, and answers each of them."""
+    parts = [(_pair(np.repeat(x, PARTS), np.tile(np.arange(PARTS), len(x))), np.repeat(np.arange(len(x)), PARTS)) for x in hot.value]
+    parts = [(p[by] & ((1 << BITS) - 1), which[by]) for p, which in parts for by in [np.argsort(p & ((1 << BITS) - 1))]]
+    held: list[tuple[int, list[np.ndarray]]] = []
     shard = None
 
-    def done() -> pa.RecordBatch:
-        rows = {c: np.concatenate([x[c].to_numpy(zero_copy_only=False) for x in held]) for c in held[0].schema.names}
-        own = lambda k, *names: [rows[c][rows["kind"] == k] for c in names]
-        levels = [Level(*own(k, "a", "b", "p", "weight")) for k in (1, 2)]
+    def done() -> Iterator[pa.RecordBatch]:
+        words, back = np.unique(np.concatenate([x[0] for _, x in held]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([x[1] for _, x in held]), len(words)).astype(np.int64)
+        levels, seen = [], []
+        for order, (low, which) in enumerate(parts):
+            a = 2 + 5 * order
+            contexts = np.concatenate([np.repeat(_contexts(x[a : a + 5]), x[a + 2]) for _, x in held])
+            successors, n = (np.concatenate([x[a + j] for _, x in held]) for j in (3, 4))
+            level, kinds, tokens = Level.of(contexts, successors, n.astype(np.int64), low)
+            levels.append(level)
+            at = np.minimum(np.searchsorted(low, level.contexts), max(0, len(low) - 1))
+            own = np.flatnonzero(low[at] == level.contexts) if len(low) else np.empty(0, np.int64)
+            seen += [(order, int(which[at[j]]), int(kinds[j]), int(tokens[j])) for j in own]
+        built = Shard(words[counts > 0], counts[counts > 0], levels)
+        names = ["shard", "batch", "answer", "trie", "hot"]
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("which", pa.int32()), ("kinds", pa.int64()), ("tokens", pa.int64())]))
+        rows = [dict(zip(("level", "which", "kinds", "tokens"), x)) for x in seen]
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([built.save()], pa.binary()), pa.array([rows], kind)], names)
+        for number, asked in held:
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([_packed(built.answer(asked))], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, kind)], names)
         held.clear()
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "data": pa.array([Shard(*own(0, "a", "n"), levels).save()], pa.binary())})
 
     for batch in batches:
-        shards = batch["shard"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if held and shards[a] != shard:
-                yield done()
-            shard = int(shards[a])
-            held.append(batch.slice(a, b - a))
+        for own, number, data in zip(batch["shard"].to_pylist(), batch["batch"].to_pylist(), batch["data"]):
+            if held and own != shard:
+                yield from done()
+            shard = own
+            held.append((number, _unpacked(data.as_py())))
     if held:
-        yield done()
-
-
-def train(batches: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """The shards of the model of all training texts in ``batches``, their number, the number of training tokens and that of their different words."""
-    counted = batches.mapInArrow(_counted, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    counted = written(counted, "grams")
-    n_grams, total, distinct = counted.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)), F.count_if(F.col("kind") == 0)).first()
-    n_shards = max(1, -(-n_grams // SHARD))
-    words = counted.where("kind = 0").select("a", "n")
-    kept = counted.where(F.col("n") >= max(1.0, SHARE * total))
-    two, three = kept.where("kind = 1").drop("kind"), kept.where("kind = 2").drop("kind")
-    gain = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0))
-    weight = F.greatest(1 - F.col("gains") / F.col("of"), F.lit(1e-9)).alias("weight")
-    gains = lambda grams: grams.groupBy("a").agg(F.sum(gain).alias("gains"))
-    base = (F.col("last") + ADD) / (total + ADD * (distinct + 1))
-    contexts = gains(two).join(words.withColumnRenamed("n", "of"), "a").select("a", "of", weight)
-    two = two.join(contexts, "a").join(words.select(F.col("a").alias("b"), F.col("n").alias("last")), "b")
-    two = two.select("a", "b", "n", (gain / F.col("of") + F.col("weight") * base).alias("p"), "weight")
-    two = written(two.mapInArrow(_keyed, "a long, b long, n long, p double, weight double, key long"), "bigrams")
-    contexts = gains(three).join(two.select(F.col("key").alias("a"), F.col("n").alias("of")), "a").select("a", "of", weight)
-    three = three.join(contexts, "a").join(two.select(F.col("key").alias("b"), F.col("p").alias("low")), "b")
-    three = three.select("a", "b", (gain / F.col("of") + F.col("weight") * F.col("low")).alias("p"), "weight")
-    none = F.lit(0.0)
-    logs = [F.log10("p").alias("p"), F.log10("weight").alias("weight")]
-    rows = words.select(F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "n", none.alias("p"), none.alias("weight"))
-    for kind, grams in ((1, two), (2, three)):
-        rows = rows.unionAll(grams.select(F.lit(kind), "a", "b", F.lit(0).cast("long"), *logs))
-    rows = rows.withColumn("shard", F.pmod("a", F.lit(n_shards)).cast("int")).repartition("shard").sortWithinPartitions("shard", "kind", "a", "b")
-    shards = rows.mapInArrow(_built, "shard int, data binary")
-    return written(shards, "shards"), n_shards, total, distinct
-
-
-class _Asked:
-    """What a batch asks: different n-grams of each order by shard; ``cuts`` are where each shard's begin, ``back`` tells which of them each n-gram is."""
-
-    def __init__(self, grams: _Grams, n_shards: int):
-        self.pairs, self.back, self.cuts = [], [], []
-        for order in range(3):
-            a, b, back, _ = grams.different(order)
-            shard = a % n_shards
-            by = np.argsort(shard, kind="stable")
-            at = np.empty(len(by), np.int64)
-            at[by] = np.arange(len(by))
-            self.pairs.append((a[by], b[by]))
-            self.back.append(at[back])
-            self.cuts.append(np.searchsorted(shard[by], np.arange(n_shards + 1)))
-
-
-def _asked(batches: Iterator[pa.RecordBatch], n_shards: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            asked, number = _Asked(_Grams(batch, k), n_shards), batch["batch"][k].as_py()
-            shards, data = [], []
-            for s in range(n_shards):
-                own = [slice(c[s], c[s + 1]) for c in asked.cuts]
-                if any(x.start < x.stop for x in own):
-                    shards.append(s)
-                    data.append(_packed([asked.pairs[0][0][own[0]], *(x[own[j]] for j in (1, 2) for x in asked.pairs[j])]))
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([number] * len(shards), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
-
-
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by (shard, batch): the shard itself as batch -1, then what batches ask."""
-    at, shard = None, None
-    for batch in batches:
-        for k in range(batch.num_rows):
-            own, number, data = (batch[c][k].as_py() for c in ("shard", "batch", "data"))
-            if number < 0:
-                at, shard = own, Shard.load(data)
-                continue
-            if at != own:  # nothing was counted there
-                at, shard = own, Shard(*[np.empty(0, np.int64)] * 2, [Level(*[np.empty(0, np.int64)] * 4) for _ in range(2)])
-            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([number]), pa.array([_packed(shard.answer(_unpacked(data)))], pa.binary())], ["shard", "batch", "data"])
+        yield from done()
 
 
-def _scored(batches: Iterator[pa.RecordBatch], n_shards: int, scale: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (batch, shard): the batch itself as shard -1, then its answers."""
+def _scored(batches: Iterator[pa.RecordBatch], hot, shares, n_shards: int, scale: float) -> Iterator[pa.RecordBatch]:
+    """Rows by (batch, shard): the batch itself as shard -1, then its answers. ``shares``: of hot contexts, WHOLE by their tokens, and their weight."""
     held, answers, docs = None, [], []
 
     def done() -> pa.RecordBatch:
-        back = held[1].back
-        sizes = [len(x[0]) for x in held[1].pairs]
-        counts = np.zeros(sizes[0], np.int64)
-        p, weight = ([np.zeros(n, np.uint16) for n in sizes[1:]] for _ in range(2))
-        for s, data in answers:
-            found = _unpacked(data)
-            own = [slice(c[s], c[s + 1]) for c in held[1].cuts]
-            counts[own[0]] = found[0]
-            for j in (0, 1):
-                p[j][own[j + 1]], weight[j][own[j + 1]] = found[1 + 2 * j : 3 + 2 * j]
-        counts = counts[back[0]]
+        grams, asked = held
+        counts = np.zeros(len(asked.words), np.int64)
+        found = [[np.full(len(x["successor"]), NONE, np.uint16), np.full(len(x["context"]), NONE, np.uint16)] for x in asked.levels]
+        for shard, data in answers:
+            own, answer = asked.places(shard), _unpacked(data)
+            counts[own[0]] = answer[0]
+            for k in (0, 1):
+                found[k][0][own[1 + 2 * k]], found[k][1][own[2 + 2 * k]] = answer[1 + 2 * k : 3 + 2 * k]
+        counts = counts[asked.word_of]
         base = np.log10(counts + ADD) - scale
-        out = base.copy()
-        for j, at in enumerate(held[0].at[1:]):  # what is missing backs off to what the order below gave
-            own, more = p[j][back[j + 1]], weight[j][back[j + 1]]
-            out[at] = np.where(own == NONE, out[at] - more * STEP, -(own * STEP))
-        starts = held[0].ends - held[0].sizes
+        p = 10.0**base
+        for level, at, (own, weight), (times, hot_weight) in zip(asked.levels, grams.at, found, shares.value):
+            back = level["back"]
+            own, weight = own[back], weight[level["of"]][back] if len(back) else weight[:0]
+            direct = np.where(own == NONE, 0.0, 10.0 ** (own * -STEP))
+            left = np.where(weight == NONE, 1.0, 10.0 ** (weight * -STEP))
+            hot_at = np.flatnonzero(level["hot"] >= 0)
+            direct[hot_at] *= times[level["hot"][hot_at]]
+            left[hot_at] = hot_weight[level["hot"][hot_at]]
+            p[at] = direct + left * p[at]
+        starts = grams.ends - grams.sizes
         per = lambda x: pa.array(np.add.reduceat(x, starts))
-        columns = [*docs, pa.array(held[0].sizes), per((counts > 0).astype(np.int64)), per(base), per(out)]
+        columns = [*docs, pa.array(grams.sizes), per((counts > 0).astype(np.int64)), per(base), per(np.log10(p))]
         answers.clear()
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
@@ -424,17 +448,20 @@ def _scored(batches: Iterator[pa.RecordBatch], n_shards: int, scale: float) -> I
         for k in range(batch.num_rows):
             shard = batch["shard"][k].as_py()
             if shard >= 0:
-                answers.append((shard, batch["data"][k].as_py()))
+                answers.append((shard, batch["answer"][k].as_py()))
                 continue
             if held:
                 yield done()
-            grams = _Grams(batch, k)
-            held = grams, _Asked(grams, n_shards)
+            grams = _Grams.of(batch, k)
+            held = grams, _Asked(grams, hot.value, n_shards)
             docs = [pa.array(batch[c][k].as_py(), kind) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
     if held:
         yield done()
 
 
+SERVED = "shard long, batch long, answer binary, trie binary, hot array<struct<level:int,which:int,kinds:long,tokens:long>>"
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Scores each text of ``docs`` (doc_id, text) by a model of those whose crc32(doc_id as text) mod 10 isn't 0.
 
@@ -442,18 +469,29 @@ def score(docs: DataFrame) -> DataFrame:
     a training count), train_tokens, base_score and score (log10 probabilities
     by the unigram base and by the model). Null texts are empty: an end alone. A
     null id counts as empty text and so is held out. Repeated rows are scored
-    each. Other columns are left out; an empty table gives no rows.
+    each, alike. A very long text is one batch. Other columns are left out,
+    whatever their names; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     texts = docs.select("doc_id", held.alias("held_out"), text_bytes().alias("bytes"))
     batches = written(texts.mapInArrow(_batched, BATCH), "batches")
-    shards, n_shards, total, distinct = train(batches)
+    tally = batches.select("words", "counts", "ends", "frequent").mapInArrow(_tallied, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    tally = written(tally, "tally")
+    total, distinct, tokens = tally.agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)), F.count_if(F.col("kind") == 0), F.coalesce(F.sum(F.when(F.col("kind") == 3, F.col("n"))), F.lit(0))).first()
+    frequent = tally.where(F.col("kind").isin(1, 2) & (F.col("n") >= HOT / 2 * tokens)).collect()  # of either length 2 / HOT at most
+    hot = spark.sparkContext.broadcast([np.sort(np.array([r["item"] for r in frequent if r["kind"] == k], np.int64)) for k in (1, 2)])
+    n_shards = max(1, -(-tokens // SHARD))
+    columns = ["batch", "held_out", "words", "ids", "ends"]
+    asked = batches.select(columns).mapInArrow(lambda it: _asked(it, hot, n_shards), "shard long, batch long, data binary")
+    served = written(asked.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(lambda it: _served(it, hot), SERVED), "served")
+    of_hot = served.where("batch < 0").select(F.inline("hot")).groupBy("level", "which").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).collect()
+    shares = [[np.ones(len(x)), np.ones(len(x))] for x in hot.value]
+    for r in of_hot:
+        shares[r.level][0][r.which], shares[r.level][1][r.which] = WHOLE / r.tokens, max(DISCOUNT * r.kinds / r.tokens, 1e-9)
+    told = spark.sparkContext.broadcast(shares)
     scale = math.log10(total + ADD * (distinct + 1))
-    asked = batches.mapInArrow(lambda it: _asked(it, n_shards), "shard int, batch long, data binary")
-    both = shards.select("shard", F.lit(-1).cast("long").alias("batch"), "data").unionAll(asked)
-    both = both.repartition("shard").sortWithinPartitions("shard", "batch")
-    answers = both.mapInArrow(_answered, "shard int, batch long, data binary")
-    both = batches.withColumn("shard", F.lit(-1)).unionByName(answers, allowMissingColumns=True)
+    both = batches.select("doc_id", *columns, F.lit(-1).cast("long").alias("shard")).unionByName(served.where("batch >= 0").select("shard", "batch", "answer"), allowMissingColumns=True)
     both = both.repartition("batch").sortWithinPartitions("batch", "shard")
-    out = both.mapInArrow(lambda it: _scored(it, n_shards, scale), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = both.mapInArrow(lambda it: _scored(it, hot, told, n_shards, scale), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
