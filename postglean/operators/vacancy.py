@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _identities(values: pd.Series) -> pd.Series:
-    return values.fillna("").map(lambda v: " ".join(unicodedata.normalize("NFKC", v).split()).lower())
-
-
-def identity_text(column: str) -> Column:
-    """Compatibility-normalised, trimmed, single-spaced, lower-case text: there is no built-in for the first."""
-    return F.pandas_udf(_identities, "string")(column)
+from ..functions.evidence import identity_text
+from .graph import connected, stored
 
 
 def _places_agree(a: dict, b: dict) -> bool:
     """Unknown agrees with everything, so this isn't transitive."""
     if a["place"] == b["place"]:
         return True
-    return all(not a[k] or not b[k] or a[k] == b[k] for k in ("country", "region", "city"))
+    if a["countries"] and b["countries"] and not set(a["countries"]) & set(b["countries"]):
+        return False
+    return all(not a[k] or not b[k] or a[k] == b[k] for k in ("region", "city"))
 
 
 def _one_role(a: dict, b: dict) -> bool:
@@ -39,13 +32,13 @@ def _one_role(a: dict, b: dict) -> bool:
 
 
 def _grouped(table: pa.Table) -> pa.Table:
-    """One company's profiles, strong evidence first; each joins the first group in which it is one role with every member."""
+    """Linked profiles of a company, strong evidence first; each joins the first group in which it is one role with every member."""
     rows = table.to_pylist()
     rows.sort(key=lambda r: (-(2 if r["requisitions"] else 1 if r["fingerprint"] else 0), r["first_id"]))
     groups: list[list[dict]] = []
     out = []
     for r in rows:
-        home = next((g for g in groups if all(_one_role(m, r) for m in g)), None) if r["company_key"] else None
+        home = next((g for g in groups if all(_one_role(m, r) for m in g)), None)
         if home is None:
             groups.append(home := [])
         home.append(r)
@@ -53,28 +46,43 @@ def _grouped(table: pa.Table) -> pa.Table:
     return pa.table({"profile": pa.array([o[0] for o in out], pa.int64()), "group_id": pa.array([o[1] for o in out], pa.string())})
 
 
-EVIDENCE = ["title_key", "place", "country", "region", "city", "requisitions", "fingerprint", "role_keys"]
+EVIDENCE = ["title_key", "place", "countries", "region", "city", "requisitions", "fingerprint", "role_keys"]
 
 
 def vacancy_groups(rows: DataFrame) -> DataFrame:
-    """``rows`` (id, company, title, place, country, region, city, requisitions, fingerprint, role_keys, posted, first_seen) with group_id, is_representative, group_size.
-
-    Rows with equal evidence are one profile, so a task gets a company's
-    different profiles, not its rows. A blank company groups nothing. The
-    newest row represents its group.
+    """``rows`` (id, company, title, place, countries, region, city, requisitions, fingerprint, role_keys, posted, first_seen) with group_id, is_representative, group_size.
+
+    Rows of one company with equal evidence are one profile. Two profiles can
+    only be one role if they share their requisitions, a text, a board's key or a
+    title, so profiles that such evidence links, directly or not, are grouped
+    together, each such component by itself; what shares nothing is a group
+    without a look at others. A blank company groups nothing. The newest row
+    represents its group.
     """
     keyed = rows.withColumn("company_key", identity_text("company")).withColumn("title_key", identity_text("title"))
     lone = F.when(F.col("company_key") == "", F.col("id"))
-    keyed = keyed.withColumn("profile", F.xxhash64("company_key", lone, *EVIDENCE))
-    # two rows are one role by their evidence if a profile is so with itself: by requisitions, text or title
-    alone = (F.size(F.coalesce("requisitions", F.array().cast("array<string>"))) == 0) & F.col("fingerprint").isNull() & (F.col("title_key") == "")
-    keyed = keyed.withColumn("profile", F.when(alone, F.xxhash64("id", F.lit("alone"))).otherwise(F.col("profile")))
+    # a profile is one role with itself by its requisitions, its text, its keys or its title; without any of them each row is its own
+    alone = (F.size(F.coalesce("requisitions", F.array().cast("array<string>"))) == 0) & F.col("fingerprint").isNull() & (F.size(F.coalesce("role_keys", F.array().cast("array<string>"))) == 0) & (F.col("title_key") == "")
+    several = F.size(F.coalesce("requisitions", F.array().cast("array<string>"))) > 1
+    keyed = keyed.withColumn("profile", F.xxhash64("company_key", F.coalesce(lone, F.when(alone, F.col("id"))), *EVIDENCE))
+    keyed = stored(keyed)
     profiles = keyed.groupBy("company_key", "profile", *EVIDENCE).agg(F.min("id").alias("first_id"))
-    bucket = F.when(F.col("company_key") == "", F.col("first_id")).otherwise(F.col("company_key"))
-    groups = profiles.groupBy(bucket.alias("bucket")).applyInArrow(_grouped, "profile long, group_id string")
-    out = keyed.join(groups, "profile").drop("profile", "company_key", "title_key")
-    newest = Window.partitionBy("group_id").orderBy(F.coalesce("posted", "first_seen").desc_nulls_last(), "id")
-    return out.withColumn("is_representative", F.row_number().over(newest) == 1).withColumn("group_size", F.count("*").over(Window.partitionBy("group_id")))
+    tagged = lambda tag, x: F.when(x.isNotNull() & (x != ""), F.xxhash64("company_key", F.lit(tag), x))
+    named = F.when(F.size("requisitions") > 0, F.array_join("requisitions", "|"))
+    tokens = F.array_compact(F.concat(
+        F.array(tagged("r", named), tagged("f", F.when(F.coalesce(F.size("requisitions"), F.lit(0)) <= 0, F.col("fingerprint"))), F.when(~several, tagged("t", F.col("title_key")))),
+        F.coalesce(F.when(~several, F.transform("role_keys", lambda k: F.xxhash64("company_key", F.lit("k"), k))), F.array().cast("array<bigint>")),
+    ))
+    posted = profiles.where("company_key <> ''").select("profile", F.explode(tokens).alias("token"))
+    hubs = posted.groupBy("token").agg(F.min("profile").alias("hub"))
+    links = posted.join(hubs, "token").where("profile <> hub").select(F.col("profile").alias("a"), F.col("hub").alias("b"))
+    parts = connected(links).withColumnsRenamed({"node": "profile", "root": "component"})
+    together = profiles.join(parts, "profile").groupBy("component").applyInArrow(_grouped, "profile long, group_id string")
+    apart = profiles.join(parts.select("profile"), "profile", "left_anti").select("profile", F.col("first_id").alias("group_id"))
+    out = keyed.join(together.unionAll(apart), "profile").drop("profile", "company_key", "title_key")
+    when = F.coalesce("posted", "first_seen")
+    best = out.groupBy("group_id").agg(F.min(F.struct((-when).isNull().alias("unknown"), (-when).alias("age"), F.col("id"))).alias("b"), F.count("*").alias("group_size"))
+    return out.join(best, "group_id").withColumn("is_representative", F.col("id") == F.col("b.id")).drop("b")
 
 
 def publication_dates(grouped: DataFrame) -> DataFrame:
@@ -86,3 +94,9 @@ def new_groups(grouped: DataFrame, visible: DataFrame) -> DataFrame:
     """Groups none of whose rows was visible."""
     shown = grouped.join(visible.select("id"), "id", "left_semi").select("group_id").distinct()
     return grouped.select("group_id").distinct().join(shown, "group_id", "left_anti")
+
+
+def numbered_groups(rows: DataFrame) -> DataFrame:
+    """Members of each group in the order in which they are shown: newest first."""
+    newest = Window.partitionBy("group_id").orderBy(F.coalesce("posted", "first_seen").desc_nulls_last(), "id")
+    return rows.withColumn("place_in_group", F.row_number().over(newest))

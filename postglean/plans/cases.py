@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import gate, places, texts
+from ..functions import evidence, gate, keyword, places, texts
 from ..operators import cohort, views, writes
 from .queries import ORACLES, QUERIES
 from .views import table
@@ -172,3 +172,50 @@ cases("quotes", [("5 years of Go", "Go", "Needs 5 years of Go."), ("5 years of G
     holds=(lambda: writes.quote_holds("c0", "c1", "c2"), [True, True, False, False, True, False, False]))
 cases("embedding_texts", [(" Dev", "Body\n"), ("Dev", None), (" ", "Body")], text=(lambda: texts.embedding_text("c0", "c1"), ["Dev\nDev\nBody", None, None]))
 cases("patch_modes", [("On-Site",), ("FULLY REMOTE",), ("h y b r i d",), ("office",), (None,)], mode=(lambda: texts.canonical_mode("c0"), ["on-site", "remote", "hybrid", None, None]))
+
+_JOBS = [
+    ("Full Stack Developer", "TypeScript, React and Node. AI agents."), ("AI Engineer", "LLM agents, mcp"), ("Angular Developer", "Angular required."), ("Developer", "Frameworks such as React, Angular, and Vue are welcome."),
+    ("Developer", "Angular is an advantage. We use React."), ("Staff Engineer", "React"), ("ML Engineer Intern", "python"), ("Developer", "8 years of experience. C++ needed."), ("Developer", "Experience with Docker and Kubernetes is required."),
+    ("Developer", "Experience with Docker or AWS required."), ("Developer", "Strong in Python."), ("Developer", "Strong Python or Java."), ("Developer", "Docker is a plus, required elsewhere"), ("Java Developer", "Java engineer"), (None, None),
+    ("Developer", "C# or similar languages"), ("Developer", "including React and then Angular experience is mandatory"), ("React Native Developer", "react-native apps"),
+]
+cases("keyword_scores", _JOBS,
+    score=(lambda: keyword.keyword_score("c0", "c1")["score"], [13, 0, -6, 3, 3, -5, -12, -18, -16, 0, -16, 0, 0, -8, 0, 0, -3, -1]),
+    matched=(lambda: keyword.keyword_score("c0", "c1")["matched"], [["typescript", "react", "node", "ai", "agents"], ["agents", "llm", "mcp"], [], ["react"], ["react"], ["react"], [], [], [], [], [], [], [], [], [], [], ["react"], ["react"]]),
+    negative=(lambda: keyword.keyword_score("c0", "c1")["negative"], [[], [], ["angular"], ["angular(example-list, waived)", "vue(example-list, waived)"], [], ["staff"], ["ml-engineer", "intern"], ["c++", "8-9+ years"], ["infra:docker", "infra:kubernetes"], [],
+        ["python-primary"], [], [], ["java-only"], [], [], ["angular"], ["react-native"]]),
+    core=(lambda: keyword.keyword_score("c0", "c1")["core_stack"], [True, False, False, True, True, True, False, False, False, False, False, False, False, False, False, False, True, True]),
+    gated=(lambda: keyword.keyword_score("c0", "c1")["gated"], [False, True] + [False] * 16))
+cases("posting_scores", [("Senior AI Developer", "card", "React", True), ("Developer", "", "React", True), ("Developer", "React card", "Vue", False), ("Lead", "x", "", True)],
+    whole=(lambda: keyword.score_posting("c0", "c1", "c2", "c3", ("ai-engineer", "react", "card"))["whole"]["score"], [4, 3, 0, 0]), title=(lambda: keyword.score_posting("c0", "c1", "c2", "c3")["score_title"], [0, 0, 0, 0]),
+    senior=(lambda: keyword.score_posting("c0", "c1", "c2", "c3")["senior_titled"], [True, False, False, True]))
+cases("rescored_rows", [(10, ["react", "ai"], ["vue"], "Developer"), (10, ["ai", "llm", "ai-engineer"], [], "QA Engineer Intern"), (10, ["agents"], ["intern"], "ML Engineer"), (0, [], [], "Staff")],
+    score=(lambda: keyword.rescored("c0", "c1", "c2", "c3")["score"], [10, -8, 7, 0]), negative=(lambda: keyword.rescored("c0", "c1", "c2", "c3")["negative"], [["vue"], ["qa-only", "intern"], ["intern", "ml-engineer"], []]),
+    gated=(lambda: keyword.rescored("c0", "c1", "c2", "c3")["gated"], [False, True, True, False]))
+cases("years_admission", [(t,) for t in (
+    "You must have 8 years of experience", "Requirements:\n- 7+ years of experience", "7 years of experience", "Requirements:\n- 7+ years of experience is a plus", "Minimum 10 years building software", "At least seven years of experience",
+    "8 years of experience or a degree", "Preferred:\n- 8+ years of experience", "8 years experience is required for this role", "with 9 years of experience required", "Our company has 20 years of experience", "6+ years of experience. You must have it",
+    "Requirements:\n- 8+ years of Python", "Qualifications: 12 years of experience", "10 years of experience are not required", None, "Requirements:\n- 8-10 years of experience\nBenefits:\n- 9+ years of experience")],
+    out=(lambda: keyword.blocks_by_years("c0"), [True, True, False, False, True, True, False, False, True, True, False, False, True, True, False, False, True]),
+    highest=(lambda: keyword.highest_minimum("c0"), [8, 7, 7, 7, 10, None, 8, 8, 8, 9, 20, 6, 8, 12, 10, None, 9]))
+cases("deadlines", [(t,) for t in (
+    "Apply now.\nApplication deadline: 2024-05-01", "**Applications close on May 3rd, 2024.**", "Application deadline: 5/6/2024", "Application deadline: 15/6/2024", "Application deadline: 2024-05-01\nApplication deadline extended to 2024-06-01",
+    "Application deadline: 2024-05-01\nApplication deadline: 2024-05-02", "The project deadline: 2024-05-01", "מועד אחרון להגשת מועמדות: 3 במאי 2024", "Application deadline: 2024-05-01T10:00:00+02:00", "Application deadline: soon", None, "Application deadline: 2024-02-31")],
+    deadline=(lambda: keyword.deadline("c0")["deadline"], ["2024-05-02T12:00:00Z", "2024-05-04T12:00:00Z", None, "2024-06-16T12:00:00Z", "2024-06-02T12:00:00Z", None, None, "2024-05-04T12:00:00Z", "2024-05-01T08:00:00Z", None, None, None]),
+    unclear=(lambda: keyword.deadline("c0")["unclear"], [False, False, True, False, False, True, False, False, False, True, False, True]))
+cases("role_keys", [(t,) for t in (
+    "https://boards.greenhouse.io/acme/jobs/12", "https://job-boards.eu.greenhouse.io/acme/jobs/12/", "https://apply.workable.com/acme/j/AB/", "https://apply.workable.com/acme/jobs/view/AB.md", "https://jobs.lever.co/acme/0123456789ab-0123456789ab-0123456789/apply",
+    "https://www.comeet.com/jobs/acme/1.2/dev/3.4", "https://il.linkedin.com/jobs/view/dev-at-acme-123", "https://acme.com/careers", "not an address", None)],
+    key=(lambda: evidence.role_key("c0"), ["greenhouse:us:acme:12", "greenhouse:eu:acme:12", "workable:acme:AB", "workable:acme:AB", "lever:acme:0123456789ab-0123456789ab-0123456789", "comeet:acme:1.2:dev", "linkedin:123", None, None, None]))
+cases("requisitions", [
+    ("https://boards.greenhouse.io/acme/jobs/12345", "Req ID: 12345 and requisition number R-77."), ("https://x.myworkdayjobs.com/site/job/Dev_JR00012-1", "JR99999 too, see https://a.b/JR88888"), ("https://a.b", "job requisition ab-12_3"), ("https://a.b", "no requirement 5 here"), (None, None),
+    ("https://www.linkedin.com/jobs/view/777/", "Req: JR777, req #778"),
+], found=(lambda: evidence.requisitions(F.array_compact(F.array("c0")), "c1"), [["R-77"], ["JR00012", "JR99999"], ["AB-12_3"], [], [], ["778"]]))
+_LONG_BODY = "Build things with us every day of the week. " * 12
+cases("body_fingerprints", [(_LONG_BODY, "<p>" + _LONG_BODY.replace("things", "**things**") + "</p>\n\nWe are an equal opportunity employer and more."), (_LONG_BODY, _LONG_BODY + "x"), ("short", "short"), (None, None), (_LONG_BODY, _LONG_BODY.upper())],
+    same=(lambda: F.coalesce(evidence.fingerprint("c0") == evidence.fingerprint("c1"), F.lit(False)), [True, False, False, False, True]))
+cases("place_hints", [(t,) for t in ("Tel Aviv-Yafo, Israel", "Haifa District", "Austin, TX", "Wayne", "Texas", "Berlin, Germany", "Remote, Germany", "London (HQ)", "Washington, DC", "", None, "New York, New York, United States", "Center District, Israel", "Seattle or Austin, TX, USA")],
+    countries=(lambda: evidence.place_hints("c0")["countries"], [["israel"], ["israel"], ["us"], ["us"], ["us"], ["germany"], ["germany"], [], ["us"], [], [], ["us"], ["israel"], ["us"]]),
+    region=(lambda: evidence.place_hints("c0")["region"], ["tel aviv", "haifa", "tx", "pa", "tx", None, None, None, None, None, None, "ny", "center", "tx"]),
+    city=(lambda: evidence.place_hints("c0")["city"], ["tel aviv", None, "austin", "wayne", None, "berlin", None, None, None, None, None, None, None, "seattle or austin"]))
+cases("company_identities", [(" Ａcme\t Co ",), ("ﬁrm",), ("ACME  co",), (None,)], key=(lambda: evidence.identity_text("c0"), ["acme co", "firm", "acme co", ""]))

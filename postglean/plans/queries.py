@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import postings as fn
+from ..functions.evidence import vacancy_evidence
 from ..operators import board as B
 from ..operators import cohort, globe, ingest, liveness, merge, selection, vacancy
 from .views import table, view, with_views
@@ -386,12 +387,12 @@ def board_membership(spark, d):
 
 
 def _vacancies(spark, d):
+    """Listings of 97 companies, some with requisitions in their texts, some with the text of another, with few titles and many places."""
     rows = view(spark, d, "v_postings")
-    place = F.coalesce(F.lower("location"), F.lit(""))
-    return rows.select("id", "company", "title", place.alias("place"), F.when(fn.location_group("location") == "israel", "il").when(fn.location_group("location") == "united-states", "us").alias("country"),
-        F.lit(None).cast("string").alias("region"), F.when(place.contains(","), F.substring_index(place, ",", 1)).alias("city"),
-        F.when(F.col("doc_id") % 9 == 0, F.array(F.concat(F.lit("R"), (F.col("doc_id") % 45).cast("string")))).alias("requisitions"),
-        F.when((F.col("doc_id") % 9 != 0) & (F.length("raw_jd") >= 400), F.md5("raw_jd")).alias("fingerprint"), F.array().cast("array<string>").alias("role_keys"), "posted", "first_seen", "doc_id")
+    n = F.col("doc_id")
+    jd = F.when(n % 9 == 0, F.concat(F.lit("Requisition ID: R"), (n % 45).cast("string"), F.lit(" "), "raw_jd")).otherwise(F.col("raw_jd"))
+    url = F.concat(F.lit("https://jobs.lever.co/acme/"), F.lpad((n % 400).cast("string"), 36, "0"))
+    return vacancy_evidence(rows.select("id", "company", "title", "location", url.alias("url"), F.lit(None).cast("string").alias("apply_url"), jd.alias("raw_jd"), "posted", "first_seen", "doc_id")).drop("raw_jd")
 
 
 @query()
