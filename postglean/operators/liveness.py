@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,31 +45,75 @@ def board_membership(snapshots: DataFrame, expected: DataFrame) -> DataFrame:
     return out.select("board", "id", F.when(~F.coalesce("whole", F.lit(False)), "unknown").when(F.col("there"), "present").otherwise("absent").alias("seen"))
 
 
-def strikes_stream(observations: DataFrame) -> DataFrame:
-    """``strikes`` over a stream: the fold's state by key is the open streak and the last observation.
+#: How many looks at a posting's own page may be inconclusive in a row, and how long, in minutes, it is left alone after.
+UNKNOWN_LIMIT = 3
+PAGE_BACKOFF = 24 * 60
+#: What is known of a posting between two observations.
+EMPTY = {"last_at": None, "alive": None, "misses": 0, "first_miss": None, "unknowns": 0, "next_look": None, "reason": None, "alerts": 0}
+
 
-    Rows of a micro-batch are put in order; those older than the last seen time
-    are repeats.
+def observed(state: dict, at: int, seen: str, reason: str | None, page_status: int | None, page_reason: str | None) -> tuple[dict, str]:
+    """The state after one observation of a board (and of the posting's own page, if it comes to that), and the verdict.
+
+    A second observation at one time is a repeat. Presence clears everything.
+    Absence strikes, twice only if STRIKE_SPACING after the first; then the
+    page decides: gone only by its status or by a redirect that proves it.
+    Uncertainty ends a streak, and alerts when its reason is another one, or the
+    board's list failed. A page that stays uncertain is left alone for a while.
+    """
+    if at == state["last_at"]:
+        return state, "duplicate-snapshot"
+    s = state | {"last_at": at}
+    if seen == "present":
+        return s | {"alive": True, "misses": 0, "first_miss": None, "unknowns": 0, "next_look": None, "reason": None}, "alive"
+    if seen != "absent":
+        again = state["reason"] == reason and not (reason or "").startswith("board-unknown:")
+        return s | {"misses": 0, "first_miss": None, "reason": reason, "alerts": state["alerts"] + (not again)}, "unknown"
+    first = at if not state["misses"] or state["first_miss"] is None or state["first_miss"] > at else state["first_miss"]
+    misses = 1 if state["misses"] < 2 and (not state["misses"] or at - first < STRIKE_SPACING) else 2
+    s |= {"first_miss": first, "misses": misses}
+    if misses < 2:
+        return s | {"reason": None}, "pending"
+    if state["alive"] is False:
+        return s, "gone"
+    if state["next_look"] is not None and at < state["next_look"]:
+        return s, "unknown"
+    if page_status in (404, 410) or page_reason in ("ats-generic-careers-redirect", "ashby-detail-missing"):
+        return s | {"alive": False, "unknowns": 0, "next_look": None, "reason": None}, "gone"
+    unknowns = min(UNKNOWN_LIMIT, state["unknowns"] + 1)
+    key = f"{page_reason}:{page_status}"
+    return s | {"unknowns": unknowns, "next_look": at + PAGE_BACKOFF if unknowns >= UNKNOWN_LIMIT else None, "reason": key, "alerts": state["alerts"] + (state["reason"] != key)}, "unknown"
+
+
+OBSERVED = "key long, at long, verdict string, alive boolean, misses int, alerts int"
+
+
+def _told(key, rows, state: dict) -> tuple[list[tuple], dict]:
+    out = []
+    for at, seen, reason, status, page in rows:
+        state, verdict = observed(state, at, seen, reason, status, page)
+        out.append((key, at, verdict, state["alive"], state["misses"], state["alerts"]))
+    return out, state
+
+
+def reliability(observations: DataFrame) -> DataFrame:
+    """The fold over each posting's observations (key, at: minutes, seen, reason, page_status, page_reason), in order of time.
+
+    A posting's observations are folded in one task: there is one for each run, so a key is bounded by its age.
     """
-    out = "key long, at long, seen string, strikes int, verdict string, alert boolean"
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, last_at, last_seen = state.get if state.exists else (None, None, None)
-        rows = []
-        for r in pd.concat(list(frames)).sort_values(["at", "seen"]).itertuples():
-            at, seen = int(r.at), r.seen
-            if last_at is not None and at <= last_at:
-                continue
-            n = 0
-            if seen == "absent":
-                first = at if first is None else first
-                n = 1 if at - first < STRIKE_SPACING else 2
-            else:
-                first = None
-            verdict = "alive" if seen == "present" else ("unknown", "pending", "confirm")[n]
-            rows.append((key[0], at, seen, n, verdict, seen == "unknown" and last_seen != "unknown"))
-            last_at, last_seen = at, seen
-        state.update((first, last_at, last_seen))
-        yield pd.DataFrame(rows, columns=["key", "at", "seen", "strikes", "verdict", "alert"])
-
-    return observations.groupBy("key").applyInPandasWithState(fold, out, "first long, last_at long, last_seen string", "append", "NoTimeout")
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("at", "ascending"), ("seen", "ascending")])
+        rows, _ = _told(key[0].as_py(), zip(*(table[c].to_pylist() for c in ("at", "seen", "reason", "page_status", "page_reason"))), dict(EMPTY))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["key", "at", "verdict", "alive", "misses", "alerts"])
+
+    return observations.groupBy("key").applyInArrow(fold, OBSERVED)
+
+
+def run_receipt(outcomes: DataFrame) -> DataFrame:
+    """What a run did: (checked, closed, alive, unknown, unsupported, alerts) of outcomes (alive, written, supported, alerts). A row that wasn't written is unknown, whatever was seen."""
+    alive = F.col("alive")
+    return outcomes.agg(
+        F.count("*").alias("checked"), F.count_if(F.col("written") & alive.eqNullSafe(F.lit(False))).alias("closed"), F.count_if(F.col("written") & alive.eqNullSafe(F.lit(True))).alias("alive"),
+        F.count_if(~F.col("written") | alive.isNull()).alias("unknown"), F.count_if(~F.col("supported")).alias("unsupported"), F.coalesce(F.sum("alerts"), F.lit(0)).alias("alerts"),
+    )

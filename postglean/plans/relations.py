@@ -556,3 +556,15 @@ def canonical_digests(spark, d):
 def normalised_vectors(spark, d):
     v = texts.l2_normalised("embedding")
     return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) * 1000).cast("long").alias("length"))
+
+
+@query("SELECT count(*) AS checked, count(*) FILTER (event_id % 5 > 0 AND event_type = 'error') AS closed, count(*) FILTER (event_id % 5 > 0 AND event_type = 'view') AS alive, count(*) FILTER (event_id % 5 = 0 OR event_type NOT IN ('error', 'view')) AS unknown, count(*) FILTER (event_id % 7 = 0) AS unsupported, sum(event_id % 2) AS alerts FROM events")
+def run_receipt(spark, d):
+    rows = table(spark, d, "events").selectExpr("CASE event_type WHEN 'error' THEN false WHEN 'view' THEN true END AS alive", "event_id % 5 > 0 AS written", "event_id % 7 > 0 AS supported", "event_id % 2 AS alerts")
+    return liveness.run_receipt(rows)
+
+
+@query()
+def availability_fold(spark, d):
+    rows = view(spark, d, "v_observations").selectExpr("key", "at", "seen", "CASE WHEN seen = 'unknown' THEN concat('r', CAST(at % 3 AS STRING)) END AS reason", "CASE WHEN at % 11 = 0 THEN 404 ELSE 200 END AS page_status", "'odd' AS page_reason")
+    return liveness.reliability(rows)

@@ -2,13 +2,15 @@
 
 import random
 import re
+import shutil
 
 import pandas as pd
 import pytest
 
 from postglean.functions import postings as fn
-from postglean.operators import board, ingest, liveness, merge, vacancy
-from postglean.sources import boards
+from postglean.operators import board, globe, ingest, liveness, merge, vacancy
+from postglean.sources import boards, feeds
+from postglean.streaming import availability
 from pyspark.sql import functions as F
 
 
@@ -108,15 +110,65 @@ def test_linkage_is_complete(spark):
 
 
 def test_strikes_stream_equals_batch(spark, tmp_path):
-    observations = spark.createDataFrame([(1, 0, "present"), (1, 10, "absent"), (1, 30, "absent"), (1, 60, "absent"), (1, 60, "absent"), (1, 70, "unknown"), (1, 71, "unknown"), (1, 80, "absent"), (2, 5, "absent"), (2, 50, "absent")], "key long, at long, seen string")
-    folder = str(tmp_path / "in")
-    for part in (observations.where("at <= 30"), observations.where("at > 30 and at <= 65"), observations.where("at > 65")):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(observations.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    query = liveness.strikes_stream(stream).writeStream.format("memory").queryName("struck").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
+    """Also where rows come late; far rows of another key push the watermark on, and what is out of time is dropped."""
+    parts = [
+        [(1, 1000, "present"), (1, 1030, "absent"), (2, 1005, "absent")], [(1, 1010, "absent"), (1, 1060, "absent"), (1, 1060, "absent"), (2, 1050, "absent")], [(1, 1070, "unknown"), (1, 1071, "unknown"), (1, 1080, "absent")],
+        [(9, 9000, "present")], [(1, 1001, "unknown"), (9, 9001, "present")], [(9, 20000, "present")], [(9, 20001, "present")],
+    ]
+    schema = "key long, at long, seen string"
+    folder = tmp_path / "in"
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+    folder.mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = availability.strikes_stream(stream).writeStream.format("memory").queryName("struck").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    for k in range(len(parts)):
+        file = next((tmp_path / f"p{k}").glob("*.parquet"))
+        shutil.copy(file, folder / f"{k}.parquet")
+        query.processAllAvailable()
     query.stop()
-    assert rows(spark.table("struck")) == rows(liveness.strikes(observations))
+    want = liveness.strikes(spark.createDataFrame([r for part in parts for r in part if r != (1, 1001, "unknown")], schema)).where("key < 9")
+    assert rows(spark.table("struck").where("key < 9")) == rows(want)
+
+
+def test_reliability(spark):
+    """Strikes, the page's word, back-off and alerts, by a table of what is expected."""
+    given = [
+        (0, "present", None, None, None), (60, "absent", None, None, None), (60, "absent", None, None, None), (90, "absent", None, None, None), (110, "absent", None, 200, "odd"), (120, "absent", None, 200, "odd"), (130, "absent", None, 200, "odd"),
+        (140, "absent", None, 404, "x"), (1600, "absent", None, 404, "x"), (1700, "absent", None, None, None), (1800, "unknown", "slow", None, None), (1810, "unknown", "slow", None, None), (1820, "unknown", "board-unknown:x", None, None),
+        (1830, "unknown", "board-unknown:x", None, None), (1900, "present", None, None, None),
+    ]
+    df = spark.createDataFrame([(7, *g) for g in given], "key long, at long, seen string, reason string, page_status int, page_reason string")
+    got = [(r["at"], r.verdict, r.alive, r.misses, r.alerts) for r in liveness.reliability(df).orderBy("at").collect()]
+    want = [
+        (0, "alive", True, 0, 0), (60, "pending", True, 1, 0), (60, "duplicate-snapshot", True, 1, 0), (90, "pending", True, 1, 0), (110, "unknown", True, 2, 1), (120, "unknown", True, 2, 1), (130, "unknown", True, 2, 1), (140, "unknown", True, 2, 1),
+        (1600, "gone", False, 2, 1), (1700, "gone", False, 2, 1), (1800, "unknown", False, 0, 2), (1810, "unknown", False, 0, 2), (1820, "unknown", False, 0, 3), (1830, "unknown", False, 0, 4), (1900, "alive", True, 0, 4),
+    ]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_feed_files(spark, tmp_path):
+    """A day's rows are appended, annotated and rewritten without touching other days."""
+    rows_of = lambda *ids: spark.createDataFrame([(i, f"T{i}", "Co", f"u{i}", 5) for i in ids], "id string, title string, company string, url string, score int")
+    path, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    feeds.append_feed(rows_of("1"), path, "2024-01-01")
+    feeds.append_feed(rows_of("2", "3"), path, "2024-01-02")
+    feeds.append_feed(rows_of("4"), path, "2024-01-02")
+    feed = spark.read.json(path)
+    assert {(r.id, str(r.feed_date), r.source, r.source_tenant, r.jd_text) for r in feed.collect()} == {(i, d, "linkedin", "linkedin-guest", "") for i, d in (("1", "2024-01-01"), ("2", "2024-01-02"), ("3", "2024-01-02"), ("4", "2024-01-02"))}
+    assert {r.id for r in ingest.prior_identities(feed, "2024-01-02").collect()} == {"1"}
+    notes = spark.createDataFrame([("3", "ok", 90)], "id string, luna_status string, fit_score int")
+    feeds.rewrite_annotated(path, "2024-01-01", notes, out)
+    feeds.rewrite_annotated(path, "2024-01-02", notes, out)
+    feeds.rewrite_annotated(path, "2024-01-02", notes, out)
+    assert sorted((r.id, r.fit_score) for r in spark.read.json(out).collect()) == [("1", None), ("2", None), ("3", 90), ("4", None)]
+
+
+def test_screen_clusters_in_order(spark):
+    """Each point joins the first cluster near it; anchors stay where they are."""
+    pts = [(1, k, k, float(x), float(y)) for k, (x, y) in enumerate([(0, 0), (20, 0), (45, 0), (30, 30), (200, 0), (-5, -5)])]
+    got = {r.id: r.cluster for r in globe.screen_clusters(spark.createDataFrame(pts, "view long, id long, at long, x double, y double")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2 if ((45 - 30) ** 2 + 30**2) ** 0.5 < 32 else 3, 4: 4, 5: 0}
 
 
 def test_linkage_against_the_letter(spark):
