@@ -16,6 +16,12 @@ def is_inactive(liveness: str) -> Column:
     return F.coalesce((F.schema_of_variant(alive) == "BOOLEAN") & ~F.try_variant_get(alive, "$", "boolean"), F.lit(False))
 
 
+def is_boolean_alive(liveness: str) -> Column:
+    """What ``alive`` says if it is a JSON boolean; null for anything else."""
+    alive = F.try_variant_get(F.try_parse_json(liveness), "$.alive", "variant")
+    return F.when(F.schema_of_variant(alive) == "BOOLEAN", F.try_variant_get(alive, "$", "boolean"))
+
+
 def is_active(liveness: str) -> Column:
     return ~is_inactive(liveness)
 

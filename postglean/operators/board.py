@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.postings import is_active, is_inactive, level_rank, location_group, score_band
+from ..functions.postings import is_active, is_boolean_alive, is_inactive, level_rank, location_group, score_band
 
 STATUSES = ("new", "seen", "worth_checking", "applied", "screen", "interview_technical", "interview_final", "offer", "contract", "rejected", "archived", "not_relevant")
 #: Minutes of each window.
@@ -144,6 +144,17 @@ def sources(board: Board, tab: str = "all", availability: str = "active") -> Dat
 
 
 def markers(board: Board) -> DataFrame:
-    """Map rows: fit is hidden where the gate filtered the posting; no description."""
+    """Map rows: fit is hidden where the gate filtered the posting, an empty stack falls back to what the description mentions (``list_stack``, if there); no description."""
     shown = ~F.col("relevance_filtered")
-    return board.rows().select("id", "title", "company", "source", F.when(shown, F.col("score")).alias("score"), F.when(shown, F.col("recommendation")).alias("recommendation"), "status", "first_seen")
+    rows = board.rows()
+    stack = F.coalesce(F.nullif("stack", F.lit("")), *(["list_stack"] if "list_stack" in rows.columns else []), F.lit("")).alias("stack")
+    return rows.select(
+        "id", "title", "company", "source", "location", "remote", "work_mode", "seniority", stack, "posted", "first_seen", "status", F.when(shown, F.col("score")).alias("score"),
+        F.when(shown, F.col("recommendation")).alias("recommendation"), "relevance_filtered", is_boolean_alive("liveness").alias("alive"),
+    )
+
+
+def since_last_visit(rows: DataFrame, visits: DataFrame) -> DataFrame:
+    """Rows first seen after the last visit; all if there was none. One value, joined to each row."""
+    cutoff = visits.agg(F.max("last_visit").alias("cutoff"))
+    return rows.join(F.broadcast(cutoff), F.col("cutoff").isNull() | (F.col("first_seen") > F.col("cutoff"))).drop("cutoff")

@@ -19,6 +19,12 @@ def retained(current: DataFrame, incoming: DataFrame, gone: DataFrame) -> DataFr
     return both.select("id", F.col("at").isNull().alias("is_new"), F.coalesce("fresh", "state").alias("state"))
 
 
+def refreshed(current: DataFrame, incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """``incoming`` (id, state) and, for rows on screen (id) that it left out, what is ``stored`` of them."""
+    missing = current.select("id").join(incoming.select("id"), "id", "left_anti").distinct()
+    return incoming.select("id", "state").unionByName(stored.select("id", "state").join(missing, "id", "left_semi"))
+
+
 def overlaid(rows: DataFrame, mutations: DataFrame) -> DataFrame:
     """Statuses of ``rows`` (id, status) with pending mutations (id, status; null takes the row away) laid over."""
     change = mutations.select("id", F.struct("status").alias("m"))

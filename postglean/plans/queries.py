@@ -107,9 +107,22 @@ def sources_vocabulary(spark, d):
     return B.sources(_board(spark, d), tab="new-for-me")
 
 
-@query(_ROWS + "SELECT id, title, company, source, CASE WHEN NOT relevance_filtered THEN score END AS score, CASE WHEN NOT relevance_filtered THEN recommendation END AS recommendation, status, first_seen FROM board", BOARD)
+@query(_ROWS + "SELECT id, title, company, source, location, remote, work_mode, seniority, CASE WHEN stack <> '' THEN stack ELSE 'SQL' END AS stack, posted, first_seen, status, CASE WHEN NOT relevance_filtered THEN score END AS score, CASE WHEN NOT relevance_filtered THEN recommendation END AS recommendation, relevance_filtered, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS alive FROM board", BOARD)
 def markers(spark, d):
-    return B.markers(_board(spark, d))
+    b = _board(spark, d)
+    return B.markers(B.Board(b.postings.withColumn("list_stack", F.lit("SQL")), b.statuses, b.scores))
+
+
+@query(_ROWS + "SELECT id FROM board WHERE first_seen > 5000", BOARD)
+def since_last_visit(spark, d):
+    visits = spark.createDataFrame([(4000,), (5000,)], "last_visit long")
+    return B.since_last_visit(_board(spark, d).rows(), visits).select("id")
+
+
+@query(" SELECT id, status AS state FROM v_new UNION ALL SELECT id, 'stored' FROM v_old WHERE id NOT IN (SELECT id FROM v_new)", SPLIT)
+def cohort_refreshed(spark, d):
+    old, new = view(spark, d, "v_old"), view(spark, d, "v_new")
+    return cohort.refreshed(old, new.select("id", F.col("status").alias("state")), old.select("id", F.lit("stored").alias("state")))
 
 
 @query(f" SELECT liveness, count(*) AS n, count(*) FILTER (NOT {_INACTIVE}) AS active FROM v_postings GROUP BY 1", ("v_postings",))
