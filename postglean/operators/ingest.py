@@ -175,6 +175,6 @@ def merged_registry(registry: DataFrame, candidates: DataFrame, key: tuple[str,
 def corpus_links(lines: DataFrame) -> DataFrame:
     """(reference, url) of each link in lines (reference, line): Markdown links, or bare addresses where there are none; each once a line."""
     linked = F.regexp_extract_all("line", F.lit(r"\[[^\]]*\]\((https?://[^)\s]+)\)"), 1)
-    bare = F.regexp_extract_all("line", F.lit(r"(https?://[^\s<>)\]]+)"), 1)
+    bare = F.regexp_extract_all("line", F.lit(r"(https?://[^\s)>|]+)"), 1)
     urls = F.array_distinct(F.when(F.size(linked) > 0, linked).otherwise(bare))
     return lines.select("reference", F.explode(urls).alias("url"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import descriptions as D
 from ..functions import verdicts as V
+from ..operators import registry as R
 from .cases import cases
 
 SHARED = ("lever.co", "greenhouse.io", "linkedin.com")
@@ -78,3 +79,13 @@ cases("company_places", [("Haifa", "We are headquartered in Haifa. Work in Haifa
 cases("utf16_lengths", [("abc",), ("🙂a",), ("",), (None,), ("é",)], n=(lambda: D.utf16_length("c0"), [3, 3, 0, None, 1]))
 cases("address_parts", [("https://A.b/x%20y?gh_jid=12&z=1",), ("https://a.b/%zz",), ("nope",), (None,)],
     host=(lambda: D.url_parts("c0", "gh_jid")["host"], ["a.b", None, None, None]), value=(lambda: D.url_parts("c0", "gh_jid")["value"], ["12", None, None, None]), path=(lambda: D.url_parts("c0", "gh_jid")["path"], ["/x y", None, "nope", None]))
+
+_ENTRY = '{"source":"lever","identifiers":{"account":"acme"},"company":"Acme","careers_url":"https://jobs.lever.co/acme","provenance":[{"kind":"k","reference":"r"}],"last_verified_at":"2024-01-10","enabled":true}'
+cases("registry_checks", [(t,) for t in (
+    _ENTRY, _ENTRY.replace('"Acme"', '" "'), _ENTRY.replace('"lever"', '"other"'), _ENTRY.replace('{"account":"acme"}', '{"board":"a b"}'), _ENTRY.replace("2024-01-10", "2025-01-10"), _ENTRY.replace("2024-01-10", "soon"), _ENTRY.replace("https://jobs.lever.co/acme", "https://jobs.lever.co/else"),
+    _ENTRY.replace("https://jobs.lever.co/acme", "http://jobs.lever.co/acme"), _ENTRY.replace("https://jobs.lever.co/acme", "https://x.com/acme"), _ENTRY.replace("true}", '"yes","z":1}'), _ENTRY.replace('[{"kind":"k","reference":"r"}]', "[]"), _ENTRY.replace('"reference":"r"', '"reference":""'), "[1]", None,
+    _ENTRY.replace('{"account":"acme"}', '"acme"'))],
+    errors=(lambda: R.entry_errors(F.col("c0"), F.lit("2024-01-20").cast("date")), [
+        [], ["company must be a non-empty string"], ["unsupported source"], ["missing tenant identifier(s): account", "unexpected identifier field(s): board", "invalid public identifier: board", "careers_url does not match tenant identifiers"], ["last_verified_at cannot be in the future"],
+        ["last_verified_at must be an ISO date or timestamp"], ["careers_url does not match tenant identifiers"], ["careers_url must be a canonical public HTTPS URL"], ["careers_url host does not match source"], ["unexpected entry field(s): z", "enabled must be a boolean"],
+        ["provenance must be a non-empty list"], ["each provenance item needs non-empty kind and reference"], ["entry must be an object"], ["entry must be an object"], ["identifiers must be an object"]]))

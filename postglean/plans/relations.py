@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import gate, texts
 from ..functions import postings as fn
 from ..operators import board as B
-from ..operators import globe, ingest, liveness, views, writes
+from ..operators import globe, ingest, liveness, registry, views, writes
 from ..sources import boards, feeds
 from .queries import _CARD, _INACTIVE, _PURSUED, _ROWS, BOARD, SPLIT, _board, query
 from .views import table, view
@@ -568,3 +568,24 @@ def run_receipt(spark, d):
 def availability_fold(spark, d):
     rows = view(spark, d, "v_observations").selectExpr("key", "at", "seen", "CASE WHEN seen = 'unknown' THEN concat('r', CAST(at % 3 AS STRING)) END AS reason", "CASE WHEN at % 11 = 0 THEN 404 ELSE 200 END AS page_status", "'odd' AS page_reason")
     return liveness.reliability(rows)
+
+
+@query("""SELECT c_custkey AS "at", 'lever' AS source, CASE WHEN c_custkey % 9 = 0 OR c_custkey % 2 = 1 AND (c_custkey - 1) % 9 <> 0 THEN 'invalid' WHEN c_custkey % 7 = 0 THEN 'disabled' WHEN c_custkey % 100 >= 46 THEN 'stale' ELSE 'valid' END AS state,
+  CASE WHEN c_custkey % 9 = 0 THEN 'company must be a non-empty string' WHEN c_custkey % 2 = 1 AND (c_custkey - 1) % 9 <> 0 THEN 'duplicate tenant identifiers' WHEN c_custkey % 7 = 0 THEN 'disabled by registry' WHEN c_custkey % 100 >= 46 THEN 'last verified ' || (c_custkey % 100) || ' days ago' END AS reason
+  FROM customer WHERE c_custkey > 1""")
+def registry_report(spark, d):
+    n = F.col("c_custkey")
+    name = F.concat(F.lit("t"), (n / 2).cast("long").cast("string"))
+    day = F.date_format(F.date_sub(F.lit("2024-06-01").cast("date"), (n % 100).cast("int")), "yyyy-MM-dd")
+    entry = F.to_json(F.struct(
+        F.lit("lever").alias("source"), F.create_map(F.lit("account"), name).alias("identifiers"), F.when(n % 9 == 0, " ").otherwise("Acme").alias("company"), F.concat(F.lit("https://jobs.lever.co/"), name).alias("careers_url"),
+        F.array(F.struct(F.lit("k").alias("kind"), F.lit("r").alias("reference"))).alias("provenance"), day.alias("last_verified_at"), (n % 7 != 0).alias("enabled"),
+    ))
+    return registry.registry_report(table(spark, d, "customer").where("c_custkey > 1").select(n.alias("at"), entry.alias("entry")), "2024-06-01")
+
+
+@query("SELECT c_custkey AS \"at\", CASE c_custkey % 4 WHEN 0 THEN 'Acme' WHEN 1 THEN 'unknown' ELSE 'Plain' END AS company, CASE WHEN c_custkey % 4 < 2 THEN 'https://a.b/' || c_custkey ELSE '' END AS url FROM customer WHERE c_custkey % 4 < 3")
+def formula_links(spark, d):
+    n = F.col("c_custkey")
+    link = lambda name: F.concat(F.lit('=HYPERLINK("https://a.b/'), n.cast("string"), F.lit(f'","{name}")'))
+    return registry.formula_links(table(spark, d, "customer").select(n.alias("at"), F.when(n % 4 == 0, link(" Acme ")).when(n % 4 == 1, link("")).when(n % 4 == 2, " Plain").otherwise(" ").alias("cell")))
