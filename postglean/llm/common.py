@@ -15,9 +15,11 @@ _scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset and all is one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="postglean-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -106,7 +106,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     Every row is packed, rows of one id or text as often as they occur. Null and
     empty texts are their end id alone; an empty table gives no rows. Only
     documents longer than ``capacity`` are cut, and of their pieces only the
-    first may be shorter. Other columns are left out.
+    first may be shorter. Pieces of equal length take places by their number, so
+    ties don't matter. Other columns are left out, whatever their names.
 
     Each task numbers its pieces by length; a running sum over (length, task)
     counts, at most ``capacity`` a task, makes these numbers global. To the

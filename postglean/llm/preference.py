@@ -34,7 +34,9 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     joined by commas. Turns go by number, equal ones by role and text, nulls
     first; a null role is "unknown", a null text empty. A side that is missing
     or ends with the prompt has an empty completion. Null ids make one pair.
-    Other columns are left out; empty tables give no rows.
+    Repeated turns are turns. Very long texts are rendered whole: a pair's text
+    must fit in a task. Other columns are left out, whatever their names; empty
+    tables give no rows.
 
     Turns are sorted and summed by windows of one pair, not gathered before
     they are rendered.

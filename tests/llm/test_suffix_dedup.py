@@ -89,3 +89,17 @@ def test_order():
 
 def test_nothing(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_are_hashed_in_runs(spark):
+    """Passages on the borders of runs, and one text longer than a run that repeats itself."""
+    random.seed(13)
+    noise = lambda n: "".join(random.choices("abcdefghijklmnop ", k=n))
+    passage = noise(300)
+    run = S._RUN
+    long = noise(run - 150) + passage + noise(run // 2)
+    rows = [(1, long, None), (2, noise(500) + passage + noise(500), None), (3, "z" * (run + 500), None), (4, noise(2 * run + 77), None)]
+    got = {r.doc_id: r for r in S.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (300, 1) and got[1].kept_sha256 == sha256((long[: run - 150] + long[run + 150 :]).encode()).hexdigest()
+    assert (got[2].n_removed, got[2].n_spans) == (300, 1)
+    assert (got[3].n_removed, got[3].n_spans) == (run + 500, 1) and got[4].n_removed == 0
