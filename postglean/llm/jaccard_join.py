@@ -56,6 +56,8 @@ BLOCK = 1024
 ITEMS = 1 << 20
 #: Hash buckets in which shingles are counted, and chunks in which their table travels.
 BUCKETS, CHUNKS = 1 << 22, 64
+#: Words with counts that a task holds before it merges them or lets them go.
+HELD = 2_000_000
 #: Documents compared with one hub in one task's run.
 SALT = 256
 _MOST = 300_000
@@ -196,17 +198,30 @@ def entries(order: np.ndarray, rare: int, least: int = LEAST, k: int = 2) -> tup
 
 
 def _tallied(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Counts of words by batch (kind 1; kind 2 holds their sum), and of shingles by hash bucket over the whole task, in compressed chunks (kind 0)."""
-    table = np.zeros(BUCKETS, np.uint32)
-    names = ["kind", "item", "n", "data"]
+    """Counts over the whole task: words (kind 1; kind 2 holds their sum), and shingles by hash bucket, in compressed chunks (kind 0)."""
+    table, held, total = np.zeros(BUCKETS, np.uint32), [], 0
+
+    def rows(kind: int, items: np.ndarray, n: np.ndarray, data: list | None = None) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(items), kind, np.int32)), pa.array(items.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(data or [None] * len(items), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "item", "n", "data"])
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        found, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        return found, np.bincount(back, np.concatenate([h[1] for h in held]), len(found))
+
     for batch in slices(batches, 2000):
         words = _hashed(list(chain.from_iterable(x.as_py().lower().split() for x in batch["bytes"])))
         np.add.at(table, (_rolled(words, width) % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))  # shingles across two texts are too few to matter
-        found, n = np.unique(words, return_counts=True)
-        kinds, items, counts = np.append(np.ones(len(found), np.int32), np.int32(2)), np.append(found.astype(np.int64), 0), np.append(n, len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(items), pa.array(counts), pa.nulls(len(kinds), pa.binary())], names)
-    chunks = [zlib.compress(c.tobytes(), 1) for c in table.reshape(CHUNKS, -1)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(CHUNKS, np.int32)), pa.array(np.arange(CHUNKS)), pa.array(np.zeros(CHUNKS, np.int64)), pa.array(chunks, pa.binary())], names)
+        held.append(np.unique(words, return_counts=True))
+        total += len(words)
+        if sum(len(h[0]) for h in held) > HELD:
+            held[:] = [merged()]
+            if len(held[0][0]) > HELD // 2:
+                yield rows(1, *held.pop())
+    if held:
+        yield rows(1, *merged())
+    yield rows(2, np.zeros(1), np.array([total]))
+    yield rows(0, np.arange(CHUNKS), np.zeros(CHUNKS), [zlib.compress(c.tobytes(), 1) for c in table.reshape(CHUNKS, -1)])
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +253,7 @@ def _in_heavy(batches: Iterator[pa.RecordBatch], width: int, heavy) -> Iterator[
 def build_order(texts: DataFrame, words: int = WORDS) -> Order:
     """Frequent shingles and words of all texts; both lists have a bounded share of the corpus.
 
-    Words are counted in full. Shingles are counted by hash bucket first, in a
+    Words are counted in full, task by task. Shingles are counted by hash bucket first, in a
     table of fixed size a task, added up in two steps; those in buckets as heavy
     as a frequent shingle are then counted in full.
     """
