@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import functions as F
 
 from ..functions import descriptions as D
@@ -89,3 +91,8 @@ cases("registry_checks", [(t,) for t in (
         [], ["company must be a non-empty string"], ["unsupported source"], ["missing tenant identifier(s): account", "unexpected identifier field(s): board", "invalid public identifier: board", "careers_url does not match tenant identifiers"], ["last_verified_at cannot be in the future"],
         ["last_verified_at must be an ISO date or timestamp"], ["careers_url does not match tenant identifiers"], ["careers_url must be a canonical public HTTPS URL"], ["careers_url host does not match source"], ["unexpected entry field(s): z", "enabled must be a boolean"],
         ["provenance must be a non-empty list"], ["each provenance item needs non-empty kind and reference"], ["entry must be an object"], ["entry must be an object"], ["identifiers must be an object"]]))
+_PRINT = '{"brain":"b","extractor_version":"3","jd_sha256":"%s","model":"m","schema_sha256":"s"}'
+cases("extraction_fingerprints", [(t,) for t in ("text", "é", "")], digest=(lambda: V.extraction_fingerprint(F.lit("b"), F.lit("m"), F.lit("3"), F.lit("s"), "c0"), [sha256((_PRINT % sha256(t.encode()).hexdigest()).encode()).hexdigest() for t in ("text", "é", "")]))
+cases("provider_payloads", [(" 7 ", "Dev", "Acme", None, "Text", "Applied"), ("8", None, "", "Haifa", None, "who knows")],
+    payload=(lambda: V.provider_payload("c0", "c1", "c2", "c3", "c4", "c5"), [
+        '{"id":"7","title":"Dev","company":"Acme","location":"","jd_text":"Text","explicit_human_recommendation":"apply"}', '{"id":"8","title":"","company":"","location":"Haifa","jd_text":""}']))
