@@ -342,8 +342,11 @@ def _possible(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
 
 def _open_pairs(pairs: DataFrame, index: DataFrame, least: int) -> DataFrame:
-    a, b = (index.select(F.col("row").alias(c), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for c, x in (("hub", "a"), ("row", "b")))
-    return written(pairs.join(a, "hub").join(b, "row").mapInArrow(lambda it: _possible(it, least), "hub long, row long"), "possible")
+    a, b = (index.select(F.col("row").alias(c), F.col("n").alias(f"n_{x}")) for c, x in (("hub", "a"), ("row", "b")))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * least
+    sized = written(pairs.join(a, "hub").join(b, "row").where(near), "sized")  # before sketches move
+    a, b = (index.select(F.col("row").alias(c), F.col("sketch").alias(f"sketch_{x}")) for c, x in (("hub", "a"), ("row", "b")))
+    return written(sized.join(a, "hub").join(b, "row").mapInArrow(lambda it: _possible(it, least), "hub long, row long"), "possible")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
@@ -484,15 +487,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
 
     same = index.where("digest is not null").groupBy("digest").agg(F.min("row").alias("rep"))
     reps = index.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
-    posted = reps.select("row", "n", F.explode("entries").alias("entry"))
-    stats = posted.groupBy("entry").agg(F.min(F.struct("row", "n")).alias("hub"), F.count("*").alias("docs")).where("docs > 1")
-    shared = written(posted.join(stats, "entry").select("entry", "row", "n", F.col("hub.row").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * least
-    pairs = _open_pairs(shared.where((F.col("hub") != F.col("row")) & near).select("hub", "row").distinct(), index, least)
+    posted = reps.select("row", F.explode("entries").alias("entry")).repartition("entry")  # moves once, for both uses; an entry's rows stream through
+    stats = posted.groupBy("entry").agg(F.min("row").alias("hub"), F.count("*").alias("docs")).where("docs > 1")
+    shared = written(posted.join(stats, "entry").select("entry", "row", "hub"), "shared")
+    pairs = _open_pairs(shared.where(F.col("hub") != F.col("row")).select("hub", "row").distinct(), index, least)
     links = _verify(pairs, texts, words, least)
 
     roots = components(links)
-    rest = shared.where(F.col("hub") != F.col("row")).select("entry", "row", "n")  # the hub has met all others
+    rest = shared.where(F.col("hub") != F.col("row")).select("entry", "row").join(index.select("row", "n"), "row")  # the hub has met all others
     open_ = written(rest.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "open")
     across = written(_dealt(_cells(open_, index)).mapInArrow(lambda it: _open_forest(it, least), "a long, b long").distinct(), "across")
     met = components(across).select(F.col("root").alias("entry"), F.col("node").alias("row"))  # rows that open pairs connect meet once, not at each entry
