@@ -32,3 +32,16 @@ def test_plans(spark):
     plan = QUERIES["board_fit_topk"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "raw_jd" not in plan and "Python" not in plan and "ReadSchema: struct<doc_id:bigint" in plan
     assert "CartesianProduct" not in QUERIES["dedupe_cross_source"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["rotating_recheck", "facts_by_alias", "search_expansion", "ambiguous_employers", "title_scope_subset", "scoring_candidates", "registry_merge"])
+def test_no_products_and_no_windows_over_all(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert name == "registry_merge" or "Window" not in plan
+
+
+def test_texts_without_a_match_stay_in_the_jvm(spark):
+    """What Python is given is null unless the text holds something that the rule looks at."""
+    plan = QUERIES["deadlines"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN RLIKE" in plan and "applications? close" in plan
