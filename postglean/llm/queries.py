@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import imatch, jaccard_join, lm_trie, mixing, packing, preference, quality, suffix_dedup, token_files, vector_search
+from . import imatch, jaccard_join, lm_trie, mixing, packing, periodic_runs, preference, quality, secret_scan, suffix_dedup, token_files, vector_search, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +55,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.secrets(_table(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), edit=periodic_runs.looped))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_imatch, op2_quality, op3_jaccard_join, op4_token_files, op5_preference, op6_pack, op7_suffix_dedup, op8_lm_trie, op9_top_k, op10_mix_sources)
+    found = (
+        op1_imatch, op2_quality, op3_jaccard_join, op4_token_files, op5_preference, op6_pack, op7_suffix_dedup, op8_lm_trie, op9_top_k, op10_mix_sources, op11_whitening, op12_secrets,
+        op13_periodic_runs,
+    )
     return {f.__name__: f for f in found}
 
 
