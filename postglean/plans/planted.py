@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..functions import eligibility, gazetteer
+from ..functions import eligibility, experience, gazetteer, salary, stack
+from ..operators import attribution, requirements
 from .queries import ORACLES, QUERIES
 from .views import table
 
@@ -74,3 +77,108 @@ planted(
           WHEN at_home OR vote = 'permits' THEN 'eligible' ELSE 'unknown' END AS verdict
       FROM says""",
 )
+
+_N = "(1 + doc_id % 15)"
+_ASKS = (
+    "Requirements:\n{n}+ years of experience in software development", "Nice to have:\n{n} years of experience with Go", "Our company has {n} years of experience.", "You have {n}-{m} years of professional experience.",
+    "Must have {n} years of experience or a relevant degree", "Tea is served at noon.", "Requirements:\n{n} years of experience\n{m} years of experience", "Minimum of {n} years'{s}experience", "דרישות:\nלפחות {n} שנות ניסיון",
+)
+
+
+def _said(templates: tuple[str, ...], by: int, **values: str) -> str:
+    """SQL, the same in both engines: one of ``templates`` by the id's remainder, with what ``values`` give put in."""
+
+    def spoken(template: str) -> str:
+        parts = re.split(r"\{(\w+)\}", template.replace("'", "''"))
+        return "concat(" + ", ".join(f"CAST({values[p]} AS STRING)" if k % 2 else f"'{p}'" for k, p in enumerate(parts)) + ")"
+
+    return f"CASE CAST(floor(doc_id / {by}) AS BIGINT) % {len(templates)} {' '.join(f'WHEN {k} THEN {spoken(t)}' for k, t in enumerate(templates))} END"
+
+
+planted(
+    "experience_phrases",
+    {"plant": _said(_ASKS, 1, n=_N, m=f"({_N} + 2)", s="' '"), "said": "concat(text, '\n\n', " + _said(_ASKS, 1, n=_N, m=f"({_N} + 2)", s="' '") + ")"},
+    lambda: {"phrase": experience.experience_phrase("said")},
+    """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN regexp_extract(plant, '\\d+\\+ years of experience') WHEN 3 THEN regexp_extract(plant, '\\d+-\\d+ years of professional experience')
+         WHEN 7 THEN regexp_extract(plant, '\\d+ years'' experience') WHEN 8 THEN regexp_extract(plant, 'לפחות \\d+ שנות ניסיון') END AS phrase FROM given""",
+)
+
+_PAYS = (
+    "Salary: ${n}0,000 - ${m}0,000 per year", "We raised ${n}M in our seed round", "Pay: {n}0k to {m}0k plus bonus", "We have {n}00 employees", "Series B ${n}M, salary ${m}0,000", "{n} days a week", "שכר עד {n}0 אלף",
+    "Our revenue of ${n}M and {m} customers",
+)
+planted(
+    "salary_spans",
+    {"plant": _said(_PAYS, 1, n=_N, m=f"({_N} + 2)"), "said": "concat(" + _said(_PAYS, 1, n=_N, m=f"({_N} + 2)") + ", '\n', regexp_replace(text, '[0-9%]+', '')" + ")"},
+    lambda: {"span": salary.salary_span("said"), "fact": salary.normalized_salary("plant", "plant", F.lit(None).cast("string"), "said")["remark"]},
+    """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN plant WHEN 2 THEN regexp_extract(plant, 'Pay: .*k') WHEN 4 THEN regexp_extract(plant, 'salary .*') WHEN 6 THEN plant END AS span,
+         CASE WHEN doc_id % 8 IN (0, 6) THEN NULL ELSE plant END AS fact FROM given""",
+)
+
+_SKILLS = ("Java", "Kotlin", "Python", "TypeScript", "Rust", "Scala", "React")
+_ROLES = ("Requirements\n- Experience with {a} or {b}\n- Knowledge of {c}, {d} and {a}\n", "Nice to have\n- Experience with {a}\n", "{a} is required.\n", "Responsibilities\n- Build services using {b}\n- like {c}\n")
+_SKILL = {k: _pick(_SKILLS, by) for k, by in (("a", 1), ("b", 7), ("c", 3), ("d", 5))}
+_SHOWN = "({}) % 3 = 0"
+
+
+def stack_gaps(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id AS id", "doc_id % 25 AS profile", f"concat({_said(_ROLES, 1, **_SKILL)}, '\n', text) AS description")
+    skills = ", ".join(f"struct('{s}' AS tag, {k} AS k)" for k, s in enumerate(_SKILLS))
+    shown = table(spark, d, "nation").selectExpr("n_nationkey AS profile", f"inline(array({skills}))").where(_SHOWN.format("profile + k")).select("profile", stack.technology("tag").alias("name"))
+    return requirements.stack_gaps(docs, shown, "profile").select(F.col("id").alias("doc_id"), F.array_join("gaps", "; ").alias("gaps"))
+
+
+def _index(sql: str) -> str:
+    return "CASE " + sql + " " + " ".join(f"WHEN '{s}' THEN {k}" for k, s in enumerate(_SKILLS)) + " END"
+
+
+QUERIES["stack_gaps"] = stack_gaps
+ORACLES["stack_gaps"] = f"""
+    WITH said AS (SELECT doc_id, doc_id % 25 AS profile, {", ".join(f"{sql} AS {k}" for k, sql in _SKILL.items())} FROM documents JOIN nation ON n_nationkey = doc_id % 25),
+    clauses AS (
+      SELECT doc_id, profile, least(a, b) AS x, greatest(a, b) AS y FROM said WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, profile, c, c FROM said WHERE doc_id % 4 = 0 UNION ALL
+      SELECT doc_id, profile, d, d FROM said WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, profile, a, a FROM said WHERE doc_id % 4 IN (0, 2) UNION ALL SELECT doc_id, profile, b, b FROM said WHERE doc_id % 4 = 3),
+    gaps AS (SELECT DISTINCT doc_id, CASE WHEN x = y THEN x ELSE concat(x, ' or ', y) END AS gap FROM clauses
+      WHERE NOT ({_SHOWN.format(f"profile + {_index('x')}")}) AND NOT ({_SHOWN.format(f"profile + {_index('y')}")}))
+    SELECT doc_id, coalesce(string_agg(gap, '; ' ORDER BY gap), '') AS gaps FROM documents LEFT JOIN gaps USING (doc_id) GROUP BY doc_id"""
+
+
+def experience_compared(spark, d):
+    says = "Requirements:\n- {n}+ years of React\n- must have {m} years experience in backend development\n- minimum {n} years of software engineering\nPerks\n- 9 years of Angular\n"
+    docs = table(spark, d, "documents").selectExpr("doc_id AS id", "doc_id % 25 AS profile", f"concat({_said((says,), 1, n=_N, m=f'({_N} + 2)')}, '\n', text) AS description")
+    nations = table(spark, d, "nation")
+    claims = nations.selectExpr("n_nationkey AS profile", "'verified' AS status", "concat(n_nationkey % 9, CASE WHEN n_nationkey % 2 = 0 THEN '+' ELSE '' END, ' years of React') AS claim", "concat('e', n_nationkey) AS evidence_id")
+    more = nations.selectExpr("n_nationkey AS profile", "CASE WHEN n_nationkey % 3 = 0 THEN 'stated' ELSE 'verified' END AS status", "concat(n_nationkey % 11, ' years of backend development.') AS claim", "concat('b', n_nationkey) AS evidence_id")
+    out = requirements.compared_experience(docs, claims.unionByName(more), nations.selectExpr("n_nationkey AS profile", "n_nationkey % 14 AS tenure_years"), "profile")
+    return out.select(F.col("id").alias("doc_id"), F.col("at").cast("long").alias("nth"), "requirement_quote", "candidate_years", "assessment")
+
+
+QUERIES["experience_compared"] = experience_compared
+ORACLES["experience_compared"] = f"""
+    WITH asked AS (SELECT doc_id, doc_id % 25 AS p, {_N} AS n FROM documents),
+    rows_ AS (
+      SELECT doc_id, 0 AS nth, concat(n, '+ years of React') AS q, n AS need, p % 9 AS own, p % 2 = 0 AS at_least FROM asked UNION ALL
+      SELECT doc_id, 1, concat(n + 2, ' years experience in backend development'), n + 2, CASE WHEN p % 3 <> 0 THEN p % 11 END, false FROM asked UNION ALL
+      SELECT doc_id, 2, concat(n, ' years of software engineering'), n, p % 14, false FROM asked)
+    SELECT doc_id, CAST(nth AS BIGINT) AS nth, q AS requirement_quote, CAST(own AS DOUBLE) AS candidate_years,
+      CASE WHEN own IS NULL THEN 'unknown' WHEN own >= need THEN 'met' WHEN at_least THEN 'unknown' ELSE 'below' END AS assessment FROM rows_"""
+
+_HIRING = (
+    "{c} is hiring engineers.", "Recruiting on behalf of Acme Robotics, for engineers.", "About the company\nAcme Robotics is a maker of arms.", "Acme Robotics is hiring.\nBeta Labs is hiring.", "Our client is hiring an engineer.",
+    "{c} is a leading staffing agency.\nAcme Robotics is hiring.", "The Data Team is hiring.", "Build things with us.", "Publisher One is hiring.", "\"Acme Robotics is hiring\", a customer said.",
+)
+
+
+def employers_attributed(spark, d):
+    docs = table(spark, d, "documents").withColumn("k", F.col("doc_id") % 10).join(table(spark, d, "supplier").selectExpr("s_suppkey AS k", "replace(replace(s_name, '#', ' '), '_', ' ') AS company"), "k")
+    rows = docs.selectExpr("doc_id AS id", "company", "CASE WHEN doc_id % 2 = 0 THEN 'lever' ELSE 'linkedin' END AS source", f"concat({_said(_HIRING, 10, c='company')}, '\n\n', text) AS description")
+    listed = table(spark, d, "nation").where("n_nationkey = 1").selectExpr("'Publisher One' AS name")
+    out = attribution.employer_attribution(rows, listed, listed.limit(0), ("lever",))
+    return out.select(F.col("id").alias("doc_id"), "hiring_employer", "relationship", F.col("agency_evidence").isNotNull().alias("agency"))
+
+
+QUERIES["employers_attributed"] = employers_attributed
+ORACLES["employers_attributed"] = """
+    WITH said AS (SELECT doc_id, replace(replace(s_name, '#', ' '), '_', ' ') AS company, CAST(floor(doc_id / 10) AS BIGINT) % 10 AS k, doc_id % 2 = 0 AS own_board FROM documents JOIN supplier ON s_suppkey = doc_id % 10),
+    won AS (SELECT *, CASE WHEN k = 0 THEN company WHEN k IN (1, 2, 5) THEN 'Acme Robotics' WHEN k IN (7, 9) AND own_board THEN company END AS hiring_employer FROM said)
+    SELECT doc_id, hiring_employer, CASE WHEN hiring_employer IS NULL THEN 'unknown' WHEN hiring_employer = company THEN 'unchanged' ELSE 'resolved-different' END AS relationship, k = 5 AS agency FROM won"""
