@@ -36,28 +36,43 @@ def _kind(values: list) -> str:
     return "boolean" if isinstance(known[0], bool) else "double" if isinstance(known[0], float) else "int"
 
 
-def cases(name: str, given: list[tuple], **wanted: tuple):
-    """Registers a query: ``given`` are rows of inputs, ``wanted`` columns of (what computes it from inputs c0, c1, …, its values)."""
+#: Line ends between a case and the text behind it: more than any rule looks ahead.
+APART = 250
+
+
+def cases(name: str, given: list[tuple], within: tuple[int, str] | None = None, once=None, **wanted: tuple):
+    """Registers a query: ``given`` are rows of inputs, ``wanted`` columns of (what computes it from inputs c0, c1, …, its values).
+
+    ``within`` (k, column) puts input k before each whole text of documents, or
+    each page's markup: what the rule says of the case must hold there too.
+    ``once`` makes a column ``made`` that several of ``wanted`` read.
+    """
     n, inputs = len(given), list(zip(*given))
+    source, key = ("pages", "page_id") if within and within[1] == "html" else ("documents", "doc_id")
 
     def run(spark, d):
-        rows = table(spark, d, "documents").select("doc_id")
+        rows = table(spark, d, source).select(F.col(key).alias("doc_id"), *([F.expr(within[1]).alias("whole")] if within else []))
         at = F.pmod("doc_id", F.lit(n)).cast("int")
         for k, values in enumerate(inputs):
             one = lambda v: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v)
             rows = rows.withColumn(f"c{k}", F.get(F.array(*[one(v) for v in values]).cast(f"array<{_kind(list(values))}>"), at))
+        if within:
+            rows = rows.withColumn(f"c{within[0]}", F.concat(f"c{within[0]}", F.lit("\n" * APART), "whole"))
+        rows = rows.withColumn("made", once()) if once else rows
         return rows.select("doc_id", *[make().alias(c) for c, (make, _) in wanted.items()])
 
     for c, (_, values) in wanted.items():
         assert len(values) == n, (name, c, len(values), n)
     typed = {"string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE", "array<string>": "VARCHAR[]"}
-    picked = ", ".join(f"CAST({_duck(list(values))} AS {typed[_kind(list(values))]}[])[doc_id % {n} + 1] AS {c}" for c, (_, values) in wanted.items())
-    QUERIES[name], ORACLES[name] = run, f"SELECT doc_id, {picked} FROM documents"
+    picked = ", ".join(f"CAST({_duck(list(values))} AS {typed[_kind(list(values))]}[])[{key} % {n} + 1] AS {c}" for c, (_, values) in wanted.items())
+    QUERIES[name], ORACLES[name] = run, f"SELECT {key} AS doc_id, {picked} FROM {source}"
 
 
+#: Texts in French hold a word that counts as a label.
+_NO_AI = "regexp_replace(text, '(?i)ai', 'o')"
 cases("hard_exclusions", [(t,) for t in ("Embedded Engineer", "Data Scientist", "data-sciences intern", "Staff Engineer", "Head of Growth", "Team Leads", "Leadership coach", "Principal", "Full Stack Developer", None)],
     out=(lambda: texts.hard_excluded("c0"), [True, True, True, True, True, True, False, True, False, False]))
-cases("employer_classes", [
+cases("employer_classes", within=(2, "text"), given=[
     ("linkedin", "Acme", "Executive search for a bank"), ("greenhouse", "Acme", "We build."), ("lever", "Got Friends Ltd", "We build."), ("linkedin", "Acme", "For our client, a bank"),
     ("linkedin", "Acme", "We build."), ("ashby", "Talent-HR", ""), ("comeet", "Talentless HR", None), ("linkedin", "Acme", "זו החברה המגייסת"),
 ], out=(lambda: texts.employer_class("c0", "c1", "c2"), ["headhunter", "direct", "staffing", "staffing", "unknown", "staffing", "direct", "staffing"]))
@@ -67,10 +82,10 @@ cases("role_types", [(t,) for t in (
     out=(lambda: texts.role_type("c0"), ["fullstack", "frontend", "ai", "voice", "voice", None, None, "frontend", None, None, "ai", None, "ai", None, None, "ai", None]))
 cases("title_seniorities", [(t,) for t in (
     "Senior Engineer", "Sr. Developer", "Senior Staff Engineer", "Junior QA", "Engineering Manager", "Product Manager", "Head of Data", "Headmaster", "Manager, Software Engineering", "Engineering Program Manager",
-    "VP Sales", "בכיר מפתח", "Developer", "Principal", "Senior Sr Engineer", None)],
-    level=(lambda: texts.title_seniority("c0")["level"], ["senior", "senior", None, "junior", "lead_manager", None, "lead_manager", None, "lead_manager", None, "lead_manager", "senior", None, "staff_principal", "senior", None]),
-    remark=(lambda: texts.title_seniority("c0")["remark"], [None, None, "Senior Staff Engineer", None, None, "Product Manager", None, None, None, "Engineering Program Manager", None, None, None, None, None, None]))
-cases("skill_lists", [
+    "VP Sales", "בכיר מפתח", "Developer", "Principal", "Senior Sr Engineer", None, "הבכיר מפתח", "seniorè dev", "Engineering\xa0Manager", "Product\u2009Manager")],
+    level=(lambda: texts.title_seniority("c0")["level"], ["senior", "senior", None, "junior", "lead_manager", None, "lead_manager", None, "lead_manager", None, "lead_manager", "senior", None, "staff_principal", "senior", None, None, None, "lead_manager", None]),
+    remark=(lambda: texts.title_seniority("c0")["remark"], [None, None, "Senior Staff Engineer", None, None, "Product Manager", None, None, None, "Engineering Program Manager", None, None, None, None, None, None, None, None, None, "Product\u2009Manager"]))
+cases("skill_lists", within=(1, "text"), given=[
     (["reactjs", "React", " k8s "], "We use TypeScript, Python and SQL Server."), (["Custom"], "React Native apps in react.js"), ([], "golang; experience with Go"), (["c#"], "C# and C++, .NET"), (None, None),
     (["Node js"], "let us go home"), ([], "Java and Spring with sql"), ([], "using express on node.js"),
 ], skills=(lambda: texts.skills_mentioned("c0", "c1"), [
@@ -99,16 +114,18 @@ cases("location_matches", _SITES,
     us=(lambda: places.location_matches("c0", "c1", "united states", KNOWN), [False, False, False, True, False, False, False, False, False, False, False]),
     germany=(lambda: places.location_matches("c0", "c1", "germany", KNOWN), [False, False, True, False, False, False, False, False, False, False, False]),
     remote=(lambda: places.location_matches("c0", "c1", "Remote", KNOWN), [False, False, False, False, False, False, True, True, False, False, False]))
-cases("gate_rules", [
+cases("gate_rules", within=(1, "text"), given=[
     ("Developer", "You must already live in the US."), ("Developer", "You must already live in the US or relocate."), ("QA Engineer", "x"), ("QA AI Engineer", "x"), ("Support Engineer", "x"), ("CTO", "x"), ("Team Lead", "x"),
     ("Senior to Staff Engineer", "x"), ("Java Developer", "x"), ("Developer (C++", "x"), ("Developer", "Equity-only role"), ("Developer", "This is not equity-only"), ("Developer", "At least eight years of experience"),
     ("Developer", "Our company has 10 years of experience"), ("Developer", "Bachelor degree required"), ("Developer", "Bachelor degree or equivalent required"), ("Developer", "Degree is not required"),
     ("Developer", "Bachelor degree required is a plus"), ("Developer", "Strong marketing background"), ("Developer", "Marketing background or sales, strong"), ("Developer", "דרישות:\nלפחות 8 שנות ניסיון בפיתוח"), ("Developer", "דרישות:\nלפחות 8 שנות ניסיון יתרון"),
     ("Developer", None), ("Developer", "Fine.\n7-10 years building things"), ("Developer", "6+ years of experience"),
+    ("Developer", "At least 8\xa0years of experience"), ("Developer", "8 or  more years of experience"), ("QA\u2009Engineer", "x"), ("Developer", "You must already\xa0live in the\u2009US."), ("CTOé", "x"), ("Developer", "8\u2003or more\xa0years of experience"),
 ], rule=(lambda: gate.gate_rule("c0", "c1"), [
     "already-us-resident", None, "pure-qa-title", None, "support-title", "technical-cofounder-title", "leadership-title-strict", None, "incompatible-stack-title", "incompatible-stack-title", "equity-only", None, "years-minimum-7-strict",
-    None, "mandatory-degree", None, None, None, "specialist-required", None, "years-minimum-7-strict", None, None, "years-minimum-7-strict", None]),
-   resident=(lambda: gate.already_resident("c1"), [True] + [False] * 24))
+    None, "mandatory-degree", None, None, None, "specialist-required", None, "years-minimum-7-strict", None, None, "years-minimum-7-strict", None,
+    "years-minimum-7-strict", None, "pure-qa-title", "already-us-resident", None, "years-minimum-7-strict"]),
+   resident=(lambda: gate.already_resident("c1"), [True] + [False] * 27 + [True, False, False]))
 _BODY = "As a backend engineer, you will build.\n\n"
 cases("quality_rules", [(t,) for t in (
     None, "  \n ", "We are hiring a [job title] to join us. [number] years of work.", "What role are you interested in?\n\nAs an engineer, you will build.\n\nAs a designer, you'll draw.", _BODY + "Nothing else.",
@@ -179,30 +196,30 @@ _JOBS = [
     ("Developer", "Experience with Docker or AWS required."), ("Developer", "Strong in Python."), ("Developer", "Strong Python or Java."), ("Developer", "Docker is a plus, required elsewhere"), ("Java Developer", "Java engineer"), (None, None),
     ("Developer", "C# or similar languages"), ("Developer", "including React and then Angular experience is mandatory"), ("React Native Developer", "react-native apps"),
 ]
-cases("keyword_scores", _JOBS,
-    score=(lambda: keyword.keyword_score("c0", "c1")["score"], [13, 0, -6, 3, 3, -5, -12, -18, -16, 0, -16, 0, 0, -8, 0, 0, -3, -1]),
-    matched=(lambda: keyword.keyword_score("c0", "c1")["matched"], [["typescript", "react", "node", "ai", "agents"], ["agents", "llm", "mcp"], [], ["react"], ["react"], ["react"], [], [], [], [], [], [], [], [], [], [], ["react"], ["react"]]),
-    negative=(lambda: keyword.keyword_score("c0", "c1")["negative"], [[], [], ["angular"], ["angular(example-list, waived)", "vue(example-list, waived)"], [], ["staff"], ["ml-engineer", "intern"], ["c++", "8-9+ years"], ["infra:docker", "infra:kubernetes"], [],
+cases("keyword_scores", within=(1, _NO_AI), given=_JOBS, once=lambda: keyword.keyword_score("c0", "c1"),
+    score=(lambda: F.col("made")["score"], [13, 0, -6, 3, 3, -5, -12, -18, -16, 0, -16, 0, 0, -8, 0, 0, -3, -1]),
+    matched=(lambda: F.col("made")["matched"], [["typescript", "react", "node", "ai", "agents"], ["agents", "llm", "mcp"], [], ["react"], ["react"], ["react"], [], [], [], [], [], [], [], [], [], [], ["react"], ["react"]]),
+    negative=(lambda: F.col("made")["negative"], [[], [], ["angular"], ["angular(example-list, waived)", "vue(example-list, waived)"], [], ["staff"], ["ml-engineer", "intern"], ["c++", "8-9+ years"], ["infra:docker", "infra:kubernetes"], [],
         ["python-primary"], [], [], ["java-only"], [], [], ["angular"], ["react-native"]]),
-    core=(lambda: keyword.keyword_score("c0", "c1")["core_stack"], [True, False, False, True, True, True, False, False, False, False, False, False, False, False, False, False, True, True]),
-    gated=(lambda: keyword.keyword_score("c0", "c1")["gated"], [False, True] + [False] * 16))
-cases("posting_scores", [("Senior AI Developer", "card", "React", True), ("Developer", "", "React", True), ("Developer", "React card", "Vue", False), ("Lead", "x", "", True)],
+    core=(lambda: F.col("made")["core_stack"], [True, False, False, True, True, True, False, False, False, False, False, False, False, False, False, False, True, True]),
+    gated=(lambda: F.col("made")["gated"], [False, True] + [False] * 16))
+cases("posting_scores", within=(2, _NO_AI), given=[("Senior AI Developer", "card", "React", True), ("Developer", "", "React", True), ("Developer", "React card", "Vue", False), ("Lead", "x", "", True)],
     whole=(lambda: keyword.score_posting("c0", "c1", "c2", "c3", ("ai-engineer", "react", "card"))["whole"]["score"], [4, 3, 0, 0]), title=(lambda: keyword.score_posting("c0", "c1", "c2", "c3")["score_title"], [0, 0, 0, 0]),
     senior=(lambda: keyword.score_posting("c0", "c1", "c2", "c3")["senior_titled"], [True, False, False, True]))
 cases("rescored_rows", [(10, ["react", "ai"], ["vue"], "Developer"), (10, ["ai", "llm", "ai-engineer"], [], "QA Engineer Intern"), (10, ["agents"], ["intern"], "ML Engineer"), (0, [], [], "Staff")],
     score=(lambda: keyword.rescored("c0", "c1", "c2", "c3")["score"], [10, -8, 7, 0]), negative=(lambda: keyword.rescored("c0", "c1", "c2", "c3")["negative"], [["vue"], ["qa-only", "intern"], ["intern", "ml-engineer"], []]),
     gated=(lambda: keyword.rescored("c0", "c1", "c2", "c3")["gated"], [False, True, True, False]))
-cases("years_admission", [(t,) for t in (
+cases("years_admission", within=(0, "text"), given=[(t,) for t in (
     "You must have 8 years of experience", "Requirements:\n- 7+ years of experience", "7 years of experience", "Requirements:\n- 7+ years of experience is a plus", "Minimum 10 years building software", "At least seven years of experience",
     "8 years of experience or a degree", "Preferred:\n- 8+ years of experience", "8 years experience is required for this role", "with 9 years of experience required", "Our company has 20 years of experience", "6+ years of experience. You must have it",
-    "Requirements:\n- 8+ years of Python", "Qualifications: 12 years of experience", "10 years of experience are not required", None, "Requirements:\n- 8-10 years of experience\nBenefits:\n- 9+ years of experience")],
-    out=(lambda: keyword.blocks_by_years("c0"), [True, True, False, False, True, True, False, False, True, True, False, False, True, True, False, False, True]),
-    highest=(lambda: keyword.highest_minimum("c0"), [8, 7, 7, 7, 10, None, 8, 8, 8, 9, 20, 6, 8, 12, 10, None, 9]))
-cases("deadlines", [(t,) for t in (
+    "Requirements:\n- 8+ years of Python", "Qualifications: 12 years of experience", "10 years of experience are not required", None, "Requirements:\n- 8-10 years of experience\nBenefits:\n- 9+ years of experience", "You must have 8\xa0years\u2009of experience")],
+    out=(lambda: keyword.blocks_by_years("c0"), [True, True, False, False, True, True, False, False, True, True, False, False, True, True, False, False, True, True]),
+    highest=(lambda: keyword.highest_minimum("c0"), [8, 7, 7, 7, 10, None, 8, 8, 8, 9, 20, 6, 8, 12, 10, None, 9, 8]))
+cases("deadlines", within=(0, "text"), once=lambda: keyword.deadline("c0"), given=[(t,) for t in (
     "Apply now.\nApplication deadline: 2024-05-01", "**Applications close on May 3rd, 2024.**", "Application deadline: 5/6/2024", "Application deadline: 15/6/2024", "Application deadline: 2024-05-01\nApplication deadline extended to 2024-06-01",
     "Application deadline: 2024-05-01\nApplication deadline: 2024-05-02", "The project deadline: 2024-05-01", "מועד אחרון להגשת מועמדות: 3 במאי 2024", "Application deadline: 2024-05-01T10:00:00+02:00", "Application deadline: soon", None, "Application deadline: 2024-02-31")],
-    deadline=(lambda: keyword.deadline("c0")["deadline"], ["2024-05-02T12:00:00Z", "2024-05-04T12:00:00Z", None, "2024-06-16T12:00:00Z", "2024-06-02T12:00:00Z", None, None, "2024-05-04T12:00:00Z", "2024-05-01T08:00:00Z", None, None, None]),
-    unclear=(lambda: keyword.deadline("c0")["unclear"], [False, False, True, False, False, True, False, False, False, True, False, True]))
+    deadline=(lambda: F.col("made")["deadline"], ["2024-05-02T12:00:00Z", "2024-05-04T12:00:00Z", None, "2024-06-16T12:00:00Z", "2024-06-02T12:00:00Z", None, None, "2024-05-04T12:00:00Z", "2024-05-01T08:00:00Z", None, None, None]),
+    unclear=(lambda: F.col("made")["unclear"], [False, False, True, False, False, True, False, False, False, True, False, True]))
 cases("role_keys", [(t,) for t in (
     "https://boards.greenhouse.io/acme/jobs/12", "https://job-boards.eu.greenhouse.io/acme/jobs/12/", "https://apply.workable.com/acme/j/AB/", "https://apply.workable.com/acme/jobs/view/AB.md", "https://jobs.lever.co/acme/0123456789ab-0123456789ab-0123456789/apply",
     "https://www.comeet.com/jobs/acme/1.2/dev/3.4", "https://il.linkedin.com/jobs/view/dev-at-acme-123", "https://acme.com/careers", "not an address", None)],

@@ -63,20 +63,20 @@ _CARD = (
     '<ul><li><div class="base-card job-search-card" data-entity-urn="urn:li:jobPosting:%s"><a class="base-card__full-link" href="https://x/%s?r=1"></a><h3 class="base-search-card__title"> Dev &amp; <b>Ops</b></h3>'
     '<div><h4 class="base-search-card__subtitle">Acme</h4><span class="job-search-card__location">Haifa</span><time class="job-search-card__listdate" datetime="2024-01-02">2 days ago</time></div></div></li></ul>'
 )
-cases("guest_cards", [(_CARD % ("1", "a") + _CARD % ("2", "b"),), (_CARD % ("", "a"),), ("<p>none</p>",), (None,)],
+cases("guest_cards", within=(0, "html"), given=[(_CARD % ("1", "a") + _CARD % ("2", "b"),), (_CARD % ("", "a"),), ("<p>none</p>",), (None,)],
     ids=(lambda: F.transform(V.guest_cards("c0"), lambda c: c["id"]), [["1", "2"], [], [], []]),
     titles=(lambda: F.transform(V.guest_cards("c0"), lambda c: F.concat_ws("|", c["title"], c["company"], c["location"], c["url"], c["posted_at"], c["posted_ago"])),
         [[f"Dev & Ops|Acme|Haifa|https://x/{x}|2024-01-02T00:00:00Z|2 days ago" for x in "ab"], [], [], []]))
 _PAGE = '<body><script>var x = "<p>no</p>";</script><div class="description__text">Outer <div class="show-more-less-html__markup x"><h2>About &amp; us</h2><p>We  build <strong>good<br>things</strong>.</p><ul><li>One</li><li>Two<br>lines</li></ul><style>.a</style></div> after</div></body>'
-cases("descriptions", [(_PAGE,), (_PAGE.replace("show-more-less-html__markup x", "other"),), ("<p>none</p>",), (None,), ('<div class="show-more-less-html__markup"> </div><section class="description__text"><p>Back</p></section>',)],
+cases("descriptions", within=(0, "html"), given=[(_PAGE,), (_PAGE.replace("show-more-less-html__markup x", "other"),), ("<p>none</p>",), (None,), ('<div class="show-more-less-html__markup"> </div><section class="description__text"><p>Back</p></section>',)],
     markdown=(lambda: D.description_markdown("c0"), [
         "## About & us\n\nWe build **good**\n**things**.\n\n- One\n- Two\nlines", "Outer\n## About & us\n\nWe build **good**\n**things**.\n\n- One\n- Two\nlines\n\nafter".replace("Outer\n##", "Outer\n\n##"), "", "", "Back"]),
     text=(lambda: D.description_text("c0"), ["About & us We build good things. One Two lines", "Outer About & us We build good things. One Two lines after", None, None, "Back"]))
-cases("attendances", [(t,) for t in (
+cases("attendances", within=(0, "text"), given=[(t,) for t in (
     "We meet three days a week in the office.", "Five days a week in our office.", "This is a hybrid role.", "You may work three days a week in the office.", "Remote or hybrid, your choice.", "Some teams work 2 days per week in the office.", "During onboarding: 5 days a week in the office",
     "Hybrid cloud systems", "Hybrid", "This role is fully in-person", "Hybrid working is optional", "Hybrid working depending on team", "2 ימים בשבוע במשרד", None, "No office, but this is a hybrid position")],
     mode=(lambda: D.attendance("c0")["mode"], ["hybrid", "on-site", "hybrid", None, "unknown", None, None, None, "hybrid", "on-site", None, "unknown", "hybrid", None, "hybrid"]))
-cases("company_places", [("Haifa", "We are headquartered in Haifa. Work in Haifa."), ("Haifa", "Work in Haifa. Headquarters in Berlin."), ("Haifa", "The company is based in Haifa"), ("Haifa", "nothing"), ("", "x"), (None, "x"), ("C++ (x)", "Offices in C++ (x); ok")],
+cases("company_places", within=(1, "text"), given=[("Haifa", "We are headquartered in Haifa. Work in Haifa."), ("Haifa", "Work in Haifa. Headquarters in Berlin."), ("Haifa", "The company is based in Haifa"), ("Haifa", "nothing"), ("", "x"), (None, "x"), ("C++ (x)", "Offices in C++ (x); ok")],
     vetoed=(lambda: D.names_company_place("c0", "c1"), [True, False, True, False, False, False, True]))
 cases("utf16_lengths", [("abc",), ("🙂a",), ("",), (None,), ("é",)], n=(lambda: D.utf16_length("c0"), [3, 3, 0, None, 1]))
 cases("address_parts", [("https://A.b/x%20y?gh_jid=12&z=1",), ("https://a.b/%zz",), ("nope",), (None,)],
