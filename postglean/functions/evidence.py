@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .places import let, located, names_in
+
 
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -80,12 +82,11 @@ REQUISITION = (
 def requisitions(urls: Column, description) -> Column:
     """Requisitions that a description names, but for postings' own numbers, and those that one board's addresses hold; sorted."""
     prose = F.regexp_replace(F.coalesce(_col(description), F.lit("")), F.lit(r"(?i)https?://\S+"), F.lit(" "))
-    whole, own = (F.regexp_extract_all(prose, F.lit(REQUISITION), k) for k in (0, 1))
-    named = F.transform(F.zip_with(whole, own, lambda w, o: F.when(o != "", o).otherwise(w)), F.upper)
-    ids = F.flatten(F.transform(urls, posting_ids))
+    whole = F.regexp_extract_all(prose, F.lit(REQUISITION), 0)  # a number of its own, or words before one
+    named = F.transform(whole, lambda w: F.upper(F.coalesce(F.nullif(F.regexp_extract(w, REQUISITION, 1), F.lit("")), w)))
     number = lambda x: F.nullif(F.regexp_extract(x, r"^(?:JR)?(\d+)$", 1), F.lit(""))
-    numbers = F.array_compact(F.transform(ids, number))
-    told = F.filter(named, lambda x: ~F.array_contains(ids, x) & ~F.coalesce(F.array_contains(numbers, number(x)), F.lit(False)))
+    own = let(F.flatten(F.transform(urls, posting_ids)), lambda ids: F.struct(ids.alias("ids"), F.array_compact(F.transform(ids, number)).alias("numbers")))
+    told = let(own, lambda x: F.filter(named, lambda r: ~F.array_contains(x["ids"], r) & ~F.coalesce(F.array_contains(x["numbers"], number(r)), F.lit(False))))
     workday = F.array_compact(F.transform(urls, lambda u: F.upper(_first(u, r"\.myworkdayjobs\.com$", r"(?i)_(JR\d+|R\d{5,})(?:-\d+)?(?:/apply)?/?$", 1, True))))
     return F.array_sort(F.array_distinct(F.concat(told, workday)))
 
@@ -103,7 +104,7 @@ def fingerprint(description) -> Column:
     text = reduce(lambda t, m: F.regexp_replace(t, F.lit(m[0]), F.lit(m[1])), _MARKUP, nfkc(F.coalesce(_col(description), F.lit(""))))
     kept = F.filter(F.split(text, r"\n\s*\n"), lambda p: ~p.rlike(_SHARED))
     body = F.lower(F.btrim(F.regexp_replace(F.array_join(kept, " "), F.lit(r"(?U)\s+"), F.lit(" "))))
-    return F.when(F.length(body) >= LEAST_BODY, F.concat_ws(":", F.length(body).cast("string"), F.md5(body)))
+    return let(body, lambda b: F.when(F.length(b) >= LEAST_BODY, F.concat_ws(":", F.length(b).cast("string"), F.md5(b))))
 
 
 #: Cities with their region and spellings; cities and states of the United States; names of countries.
@@ -132,37 +133,46 @@ COUNTRIES = (
 def place_hints(location) -> Column:
     """(text, countries, region, city): hints of identity, not geocoding. What isn't known is null or empty."""
     lit = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    table = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs for x in kv])
     text = F.regexp_replace(F.lower(nfkc(F.coalesce(_col(location), F.lit("")))), F.lit(r"\([^)]*\)"), F.lit(""))
     text = F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, F.lit("[.’']"), F.lit("")), F.lit("[-–/|]"), F.lit(" ")), F.lit(r"(?U)\s+"), F.lit(" ")))
-    named = lambda names: text.rlike(f"(?:^|[ ,])(?:{names})(?:$|[ ,])")
-    parts = F.transform(F.split(text, ","), lambda x: F.btrim(x))
-    first = parts[0]
-    countries = F.array_compact(F.array(*[F.when(named(names), key) for key, names in COUNTRIES]))
-    none = F.size(countries) == 0
-    israel = [(first.isin(*names.split("|")), city, area) for city, area, names in ISRAEL_CITIES]
-    il_city = F.coalesce(*[F.when(hit, city) for hit, city, _ in israel])
-    districts = [F.when(F.contains(text, F.lit(f"{a} district")), a) for a in reversed(AREAS)]  # the last that is named
-    il_region = F.coalesce(*districts, *[F.when(hit, area) for hit, _, area in israel])
-    abroad = none & il_city.isNull() & il_region.isNull()
-    us_city = F.coalesce(*[F.when(abroad & (first == city), city) for city, _ in US_CITIES])
-    us_area = F.coalesce(*[F.when(abroad & (first == city), area) for city, area in US_CITIES])
-    states = F.array_compact(F.array(*[F.when(named(name), code) for name, code in US_STATES.items()]))
-    american = abroad & (us_city.isNotNull() | (F.size(states) > 0))
-    where = F.when(none & (il_city.isNotNull() | il_region.isNotNull()), lit(["israel"])).when(american, lit(["us"])).otherwise(countries)
-    codes = F.array_intersect(F.array_distinct(F.transform(parts, lambda p: F.regexp_replace(p, F.lit("^or "), F.lit("")))), lit(STATE_CODES))
-    areas = F.array_distinct(F.concat(codes, states))
-    in_us = (F.size(where) == 1) & (where[0] == "us")
-    region = F.when(in_us & (F.size(areas) == 1), areas[0]).otherwise(F.coalesce(us_area, il_region))
-    known = [n for _, names in COUNTRIES for n in names.split("|")] + list(US_STATES)
-    plain = (F.size(countries) == 1) & (F.size(parts) > 1) & ~first.isin(*known) & ~first.rlike("district|region|remote|central|customer")
-    city = F.coalesce(il_city, us_city, F.when(plain, first))
-    return F.struct(text.alias("place"), where.alias("countries"), region.alias("region"), city.alias("city"))
+    of_country = {n: key for key, names in COUNTRIES for n in names.split("|")}
+    il = {n: (city, area) for city, area, names in ISRAEL_CITIES for n in names.split("|")}
+    edges = ("(?<![^ ,])", "(?![^ ,])")
+
+    def read(text: Column) -> Column:
+        """What single patterns find in the text."""
+        named = F.transform(names_in(text, list(of_country), *edges), lambda n: F.element_at(table(of_country.items()), n))
+        first = F.btrim(F.get(F.split(text, ","), F.lit(0)))
+        states = F.transform(names_in(text, list(US_STATES), *edges), lambda n: F.element_at(table(US_STATES.items()), n))
+        parts = F.transform(F.split(text, ","), lambda x: F.btrim(x))
+        return F.struct(
+            text.alias("text"), parts.alias("parts"), first.alias("first"), F.array_intersect(lit([k for k, _ in COUNTRIES]), named).alias("countries"), F.array_intersect(lit(list(US_STATES.values())), states).alias("states"),
+            F.element_at(table((n, c) for n, (c, _) in il.items()), first).alias("il_city"), F.element_at(table(US_CITIES), first).alias("us_area"),
+            F.coalesce(*[F.when(F.contains(text, F.lit(f"{a} district")), a) for a in reversed(AREAS)], F.element_at(table((n, a) for n, (_, a) in il.items()), first)).alias("il_region"),
+        )
+
+    def told(x: Column) -> Column:
+        none = F.size(x["countries"]) == 0
+        at_home = x["il_city"].isNotNull() | x["il_region"].isNotNull()
+        us_area = F.when(none & ~at_home, x["us_area"])
+        american = none & ~at_home & (us_area.isNotNull() | (F.size(x["states"]) > 0))
+        where = F.when(none & at_home, lit(["israel"])).when(american, lit(["us"])).otherwise(x["countries"])
+        codes = F.array_intersect(F.array_distinct(F.transform(x["parts"], lambda p: F.regexp_replace(p, F.lit("^or "), F.lit("")))), lit(STATE_CODES))
+        areas = F.array_distinct(F.concat(codes, x["states"]))
+        in_us = (F.size(where) == 1) & (where[0] == "us")
+        region = F.when(in_us & (F.size(areas) == 1), areas[0]).otherwise(F.coalesce(us_area, x["il_region"]))
+        plain = (F.size(x["countries"]) == 1) & (F.size(x["parts"]) > 1) & ~x["first"].isin(*of_country, *US_STATES) & ~x["first"].rlike("district|region|remote|central|customer")
+        city = F.coalesce(x["il_city"], F.when(us_area.isNotNull(), x["first"]), F.when(plain, x["first"]))
+        return F.struct(x["text"].alias("place"), where.alias("countries"), region.alias("region"), city.alias("city"))
+
+    return let(let(text, read), told)
 
 
 def vacancy_evidence(rows):
     """``rows`` (id, company, title, location, url, apply_url, raw_jd, …) with what grouping needs of each."""
     urls = F.array_distinct(F.array_compact(F.array(F.nullif(F.col("apply_url"), F.lit("")), F.col("url"))))
-    rows = rows.withColumn("urls", urls).withColumn("hints", place_hints("location"))
+    rows = located(rows.withColumn("urls", urls), "location", place_hints, "hints")
     return (
         rows.withColumn("requisitions", requisitions(F.col("urls"), "raw_jd")).withColumn("fingerprint", fingerprint("raw_jd"))
         .withColumn("role_keys", F.array_distinct(F.array_compact(F.transform("urls", role_key)))).select("*", "hints.*").drop("urls", "hints")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .postings import STATE_CITIES
@@ -56,29 +56,47 @@ def _fact(country: str, region: str | None = None, city: str | None = None) -> C
     return F.struct(*[F.lit(v).cast("string").alias(k) for k, v in (("country", country), ("region", region), ("city", city))])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def names_in(text: Column, names: list[str], before: str, after: str) -> Column:
+    """At each place of a text the first of ``names`` that begins there, by one pattern of them all."""
+    spelled = "|".join("".join("\\" + c if not c.isalnum() and c != " " else c for c in n) for n in names)
+    return F.regexp_extract_all(text, F.lit(f"{before}(?=({spelled}){after})"), 1)
+
+
 def resolved_place(place) -> Column:
     """(country, region, city) of one place: a known name; ``City, ST``; the longest known name in it; a country in it; else null."""
-    p = _col(place)
-    key, known = _key(p), _places()
+    p, known = _col(place), _places()
     countries = {k: (c, None, None) for k, c in COUNTRY_NAMES.items()}
-    exact = F.create_map(*[x for k, v in (known | countries).items() for x in (F.lit(k), _fact(*v))])
+    facts = F.create_map(*[x for k, v in (known | countries).items() for x in (F.lit(k), _fact(*v))])
     town, state = (F.regexp_extract(F.btrim(p), r"^([^,]+),\s*([A-Z]{2})$", k) for k in (1, 2))
     of_country = F.element_at(F.create_map(*[F.lit(v) for kv in COUNTRY_NAMES.items() for v in kv]), _key(town)) == "US"
     in_state = F.struct(F.lit("US").alias("country"), F.concat(F.lit("US-"), state).alias("region"), F.when(~F.coalesce(of_country, F.lit(False)), F.btrim(town)).alias("city"))
-    out = F.lit(None).cast(RESOLVED)
-    ordered = sorted(known.items(), key=lambda kv: -len(kv[0])) + list(countries.items())
-    for name, fact in reversed(ordered):
-        spelled = "".join("\\" + c if not c.isalnum() and c != " " else c for c in name)
-        out = F.when(key.rlike(f"(?<![a-z]){spelled}(?![a-z])"), _fact(*fact)).otherwise(out)
-    return F.coalesce(F.element_at(exact, key), F.when(state.isin(*STATES), in_state), out)
+    ordered = sorted(known, key=lambda k: -len(k)) + list(countries)
+    rank = F.create_map(*[x for k, name in enumerate(ordered) for x in (F.lit(name), F.lit(k))])
+    named = names_in(_key(p), ordered, "(?<![a-z])", "(?![a-z])")
+    best = F.element_at(F.array_sort(F.transform(named, lambda n: F.struct(F.element_at(rank, n).alias("rank"), n.alias("name")))), 1)["name"]
+    return let(F.coalesce(F.when(F.map_contains_key(facts, _key(p)), _key(p)), F.when(state.isin(*STATES), F.lit("")), F.when(F.size(named) > 0, best)), lambda n: F.when(n == "", in_state).otherwise(F.element_at(facts, n)))
 
 
 def location_facts(location) -> Column:
     """(countries, regions, cities, unresolved): what the places of a location resolve to, each once, in order; words that name no place aren't unresolved."""
-    placed = F.transform(location_parts(location), lambda x: F.struct(x.alias("x"), resolved_place(x).alias("f")))
-    each = lambda c: F.array_distinct(F.array_compact(F.transform(placed, lambda p: p["f"][c])))
-    unresolved = F.transform(F.filter(placed, lambda p: p["f"].isNull() & ~_key(p["x"]).isin(*NOT_PLACES)), lambda p: p["x"])
-    return F.struct(each("country").alias("countries"), each("region").alias("regions"), each("city").alias("cities"), unresolved.alias("unresolved"))
+
+    def told(placed: Column) -> Column:
+        each = lambda c: F.array_distinct(F.array_compact(F.transform(placed, lambda p: p["f"][c])))
+        unresolved = F.transform(F.filter(placed, lambda p: p["f"].isNull() & ~_key(p["x"]).isin(*NOT_PLACES)), lambda p: p["x"])
+        return F.struct(each("country").alias("countries"), each("region").alias("regions"), each("city").alias("cities"), unresolved.alias("unresolved"))
+
+    return let(F.transform(location_parts(location), lambda x: F.struct(x.alias("x"), resolved_place(x).alias("f"))), told)
+
+
+def located(rows: DataFrame, column: str, made, name: str) -> DataFrame:
+    """``rows`` with ``name``, what ``made`` makes of a location: each different one is resolved once and joined back."""
+    each = rows.select(column).distinct().withColumn(name, made(column)).withColumnRenamed(column, "of")
+    return rows.join(each, F.col(column).eqNullSafe(F.col("of")), "left").drop("of")
 
 
 def normalized_location(text) -> Column:

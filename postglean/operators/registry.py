@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.places import let
+
 #: An entry's fields; each source's identifiers, those it may have besides, and its hosts.
 FIELDS = ("source", "identifiers", "company", "careers_url", "provenance", "last_verified_at", "enabled")
 IDENTIFIERS = {
@@ -38,9 +40,12 @@ def careers_url(source: Column, identifiers: Column) -> Column:
 
 
 def entry_errors(entry: Column, today: Column) -> Column:
-    """Everything that is wrong with an entry (JSON), in order; empty if nothing is."""
-    e, keys = F.from_json(entry, ENTRY), F.json_object_keys(entry)
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(F.try_parse_json(entry), path, "variant"))
+    """Everything that is wrong with an entry (JSON), in order; empty if nothing is. An entry is parsed once for its kinds and once for its values."""
+    kinds = let(F.try_parse_json(entry), lambda v: F.struct(*[F.schema_of_variant(F.try_variant_get(v, path, "variant")).alias(path[2:] or "whole") for path in ("$", "$.enabled", "$.identifiers")]))
+    return let(F.struct(F.from_json(entry, ENTRY).alias("e"), F.json_object_keys(entry).alias("keys"), kinds.alias("kinds")), lambda x: _errors(x["e"], x["keys"], x["kinds"], today))
+
+
+def _errors(e: Column, keys: Column, kinds: Column, today: Column) -> Column:
     names, source, known = e["identifiers"], e["source"], F.create_map(*[F.lit(v) for s in IDENTIFIERS for v in (s, True)])
     supported = F.coalesce(F.element_at(known, source), F.lit(False))
     listed = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
@@ -57,11 +62,11 @@ def entry_errors(entry: Column, today: Column) -> Column:
     canonical = url.rlike(r"^https://[^/?#@\s]+(?:/[^?#]*)?$")
     host = F.lower(F.regexp_extract(url, r"^https://([^/?#:]+)", 1))
     of_source = reduce(lambda rest, s: F.when(source == s, host.isin(*HOSTS[s])).otherwise(rest), HOSTS, F.endswith(host, F.lit(".myworkdayjobs.com")))
-    is_map = kind("$.identifiers").startswith("OBJECT")
+    is_map = kinds["identifiers"].startswith("OBJECT")
     wrong = lambda when, *said: F.when(F.coalesce(when, F.lit(True)), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in said]))
     first = F.array(
         wrong(F.size(odd) > 0, "unexpected entry field(s): ", F.array_join(odd, ", ")), wrong(~supported, "unsupported source"), wrong(~_text(e["company"]), "company must be a non-empty string"),
-        wrong(kind("$.enabled") != "BOOLEAN", "enabled must be a boolean"), wrong(~is_map, "identifiers must be an object"),
+        wrong(kinds["enabled"] != "BOOLEAN", "enabled must be a boolean"), wrong(~is_map, "identifiers must be an object"),
         wrong(F.coalesce(is_map, F.lit(False)) & supported & (F.size(missing) > 0), "missing tenant identifier(s): ", F.array_join(missing, ", ")),
         wrong(F.coalesce(is_map, F.lit(False)) & supported & (F.size(more) > 0), "unexpected identifier field(s): ", F.array_join(more, ", ")),
     )
@@ -74,7 +79,7 @@ def entry_errors(entry: Column, today: Column) -> Column:
         wrong(canonical & supported & of_source & F.coalesce(is_map, F.lit(False)) & (url != careers_url(source, have)), "careers_url does not match tenant identifiers"),
     )
     errors = F.array_compact(F.concat(first, F.when(supported & F.coalesce(is_map, F.lit(False)), bad).otherwise(F.array().cast("array<string>")), last))
-    return F.when(F.coalesce(kind("$").startswith("OBJECT"), F.lit(False)), errors).otherwise(F.array(F.lit("entry must be an object")))
+    return F.when(F.coalesce(kinds["whole"].startswith("OBJECT"), F.lit(False)), errors).otherwise(F.array(F.lit("entry must be an object")))
 
 
 def registry_report(entries: DataFrame, today: str, stale_after: int = STALE_AFTER) -> DataFrame:

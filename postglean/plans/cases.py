@@ -100,12 +100,12 @@ cases("posting_modes", [
 ], mode=(lambda: texts.posting_mode("c0", "c1", "c2")["mode"], ["hybrid", "remote", "remote", "on-site", "hybrid", "remote", "remote", None, None, "on-site", "remote", None, None, "on-site"]),
    source=(lambda: texts.posting_mode("c0", "c1", "c2")["source"], ["structured", "structured", "structured", "structured", "location", "location", "location", None, None, "location", "location", None, None, "structured"]),
    facts=(lambda: texts.facts_mode("c0", "c1", "c2"), ["hybrid", "remote", "remote", "onsite", "hybrid", "remote", "remote", "remote", "remote", "onsite", "remote", "onsite", "onsite", "onsite"]))
-cases("location_facts", [(t,) for t in (
+cases("location_facts", once=lambda: places.location_facts("c0"), given=[(t,) for t in (
     "Tel Aviv, Israel", "Austin, TX", "Israel, TX", "Springfield, IL", "Greater Chicago Area; Haifa", "Remote | Berlin", "USA", "Herzliya / New York", "Paris · ", "Israel, CO", "Columbia, South Carolina Metropolitan Area", None, "Ra’anana\nRa'anana")],
-    countries=(lambda: places.location_facts("c0")["countries"], [["IL"], ["US"], ["US"], ["US"], ["US", "IL"], [], ["US"], ["IL", "US"], [], ["US"], ["US"], [], ["IL"]]),
-    regions=(lambda: places.location_facts("c0")["regions"], [["IL-TA"], ["US-TX"], ["US-TX"], ["US-IL"], ["US-IL", "IL-HA"], [], [], ["IL-TA", "US-NY"], [], ["US-CO"], ["US-SC"], [], ["IL-TA"]]),
-    cities=(lambda: places.location_facts("c0")["cities"], [["Tel Aviv"], ["Austin"], ["Israel"], ["Springfield"], ["Chicago", "Haifa"], [], [], ["Herzliya", "New York"], [], ["Israel"], ["Columbia"], [], ["Ra'anana"]]),
-    unresolved=(lambda: places.location_facts("c0")["unresolved"], [[], [], [], [], [], ["Berlin"], [], [], ["Paris"], [], [], [], []]))
+    countries=(lambda: F.col("made")["countries"], [["IL"], ["US"], ["US"], ["US"], ["US", "IL"], [], ["US"], ["IL", "US"], [], ["US"], ["US"], [], ["IL"]]),
+    regions=(lambda: F.col("made")["regions"], [["IL-TA"], ["US-TX"], ["US-TX"], ["US-IL"], ["US-IL", "IL-HA"], [], [], ["IL-TA", "US-NY"], [], ["US-CO"], ["US-SC"], [], ["IL-TA"]]),
+    cities=(lambda: F.col("made")["cities"], [["Tel Aviv"], ["Austin"], ["Israel"], ["Springfield"], ["Chicago", "Haifa"], [], [], ["Herzliya", "New York"], [], ["Israel"], ["Columbia"], [], ["Ra'anana"]]),
+    unresolved=(lambda: F.col("made")["unresolved"], [[], [], [], [], [], ["Berlin"], [], [], ["Paris"], [], [], [], []]))
 cases("israeli_locations", [(t,) for t in ("Tel Aviv-Yafo", "3 Locations, Israel", "TLV and across Israel", "Gush Dan Area", "Center District, Israel", "Petach-Tikva", "north district", "תל אביב", "Tel Aviv District", "Berlin")],
     out=(lambda: places.normalized_israeli_location("c0"), ["Tel Aviv", "Israel", "Tel Aviv and Israel", "Gush Dan", "Central Israel, Israel", "Petah Tikva", "northern Israel", "Tel Aviv", "Tel Aviv", "Berlin"]))
 _SITES = [("Tel Aviv, Israel", None), ("Haifa", None), ("Haifa, Germany", None), ("Austin, TX", None), ("Austin, Canada", None), ("Berlin, TX", None), ("Remote", None), ("Paris", True), ("Greater Israel area", None), ("ERETZ", None), (None, None)]
@@ -231,8 +231,8 @@ cases("requisitions", [
 _LONG_BODY = "Build things with us every day of the week. " * 12
 cases("body_fingerprints", [(_LONG_BODY, "<p>" + _LONG_BODY.replace("things", "**things**") + "</p>\n\nWe are an equal opportunity employer and more."), (_LONG_BODY, _LONG_BODY + "x"), ("short", "short"), (None, None), (_LONG_BODY, _LONG_BODY.upper())],
     same=(lambda: F.coalesce(evidence.fingerprint("c0") == evidence.fingerprint("c1"), F.lit(False)), [True, False, False, False, True]))
-cases("place_hints", [(t,) for t in ("Tel Aviv-Yafo, Israel", "Haifa District", "Austin, TX", "Wayne", "Texas", "Berlin, Germany", "Remote, Germany", "London (HQ)", "Washington, DC", "", None, "New York, New York, United States", "Center District, Israel", "Seattle or Austin, TX, USA")],
-    countries=(lambda: evidence.place_hints("c0")["countries"], [["israel"], ["israel"], ["us"], ["us"], ["us"], ["germany"], ["germany"], [], ["us"], [], [], ["us"], ["israel"], ["us"]]),
-    region=(lambda: evidence.place_hints("c0")["region"], ["tel aviv", "haifa", "tx", "pa", "tx", None, None, None, None, None, None, "ny", "center", "tx"]),
-    city=(lambda: evidence.place_hints("c0")["city"], ["tel aviv", None, "austin", "wayne", None, "berlin", None, None, None, None, None, None, None, "seattle or austin"]))
+cases("place_hints", once=lambda: evidence.place_hints("c0"), given=[(t,) for t in ("Tel Aviv-Yafo, Israel", "Haifa District", "Austin, TX", "Wayne", "Texas", "Berlin, Germany", "Remote, Germany", "London (HQ)", "Washington, DC", "", None, "New York, New York, United States", "Center District, Israel", "Seattle or Austin, TX, USA")],
+    countries=(lambda: F.col("made")["countries"], [["israel"], ["israel"], ["us"], ["us"], ["us"], ["germany"], ["germany"], [], ["us"], [], [], ["us"], ["israel"], ["us"]]),
+    region=(lambda: F.col("made")["region"], ["tel aviv", "haifa", "tx", "pa", "tx", None, None, None, None, None, None, "ny", "center", "tx"]),
+    city=(lambda: F.col("made")["city"], ["tel aviv", None, "austin", "wayne", None, "berlin", None, None, None, None, None, None, None, "seattle or austin"]))
 cases("company_identities", [(" Ａcme\t Co ",), ("ﬁrm",), ("ACME  co",), (None,)], key=(lambda: evidence.identity_text("c0"), ["acme co", "firm", "acme co", ""]))
