@@ -2,27 +2,31 @@
 
 The base is a smoothed unigram model of all training tokens. On it stand all
 bigrams and trigrams of the training texts, however rare, so the trie grows with
-the corpus. It is made of shards by hash of the context, about ``SHARD`` tokens
-each; a context that makes up much of the corpus is dealt to ``PARTS`` of them by
-successor. No process holds more than one shard.
-
-A level of a shard holds the successors of each context in order, by hash. With
-each context's range raised above the one before it a level is one rising
-sequence, kept in Elias-Fano blocks, with quantised log probabilities and
-context weights beside it. A context's place is found first, its successor
-within its range.
-
-Texts are read once, into batches of hashed words. A batch sends each shard its
-different n-grams there, with their counts in training texts. The shard is built
-from what all batches send, and answers each in the order it was asked, so
-n-grams move once. Batches then put their scores together.
+the corpus: p(w | context) = (count + MU * p of the shorter context) / (count of
+the context + MU). A shard is a whole trie of the n-grams whose first two words
+fall to it by hash, about ``SHARD`` tokens each, so a frequent first word is
+spread over all of them. No process holds more than one shard.
+
+Levels of a shard are one buffer, as it is stored and mapped: words, then for
+each word a pointer to its successors, these, for each bigram a pointer to what
+follows it, and that. Pointers rise, and so do successors once each context's
+range is raised above the one before it; both are Elias-Fano coded, with
+quantised log probabilities beside them. A context's pointers give its range, a
+successor is sought within.
+
+Texts are read once, into batches of about ``RUN`` tokens. A batch sends each
+shard its different n-grams there with their training counts, the shard is built
+from what all batches send, and answers each from its buffer. Blocks are as many
+as a shuffle has segments whose tasks read ``RUN`` tokens and whose partitions
+hold ``SHARD``. Words are 64-bit hashes under a seed that gives no two words of
+the corpus the same one, which is checked; the most frequent are numbers.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +37,18 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, written
 
-DISCOUNT = 0.75
+#: Weight of the shorter context, in tokens; what is added to each count of the base.
+MU = 2.0
 ADD = 0.1
 #: Log probabilities and weights are stored in steps of this, as 16 bits.
 STEP = 1 / 2048
-#: In place of a log probability or weight: no such n-gram or context.
+#: In place of a value: no such n-gram.
 NONE = 65535
 #: Tokens in one shard, about; tokens in a batch, about.
-SHARD = 500_000
-RUN = 1_000_000
-#: A context of this share of all tokens is hot. There are at most twice its inverse of these, of either length.
-HOT = 1 / 1000
-#: Parts that a hot context is dealt to, and what its counts are divided by until its own count is known.
-PARTS = 256
-WHOLE = 10**12
-#: Bits of a context's hash within a shard; of a successor's within a context there are 32.
-BITS = 40
+SHARD = 4_000_000
+RUN = 4_000_000
+#: Words that are sent as numbers of 16 bits; others as hashes.
+FREQUENT = 65_535
 END = b"\n"  # no word holds it
 BLOCK = 64
 _MOST = 300_000
@@ -60,11 +60,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of hashes."""
-    return _mix(_mix(a.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)).view(np.int64)
-
-
 class EliasFano:
     """A rising sequence in blocks of 64: a base, low bits packed, high bits in unary. Places of low bits rise too."""
 
@@ -133,19 +128,25 @@ class EliasFano:
 
 
 def _quantised(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(x / -STEP), 0, NONE - 1).astype(np.uint16)
+    """Logarithms in steps, from 16 (a count) down."""
+    return np.clip(np.round((16 - x) / STEP), 0, NONE - 1).astype(np.uint16)
+
+
+def _unquantised(x: np.ndarray) -> np.ndarray:
+    return 16 - x * STEP
 
 
 _KINDS = (np.int64, np.uint16, np.uint8, np.uint32, np.int32)
 
 
-def _packed(parts: list[np.ndarray]) -> bytes:
+def _joined(parts: list[np.ndarray]) -> bytes:
+    """Arrays in one buffer, each where it can be mapped."""
     head = np.array([len(parts), *chain.from_iterable((_KINDS.index(x.dtype), len(x)) for x in parts)], np.int64)
-    return zstandard.compress(b"".join([head.tobytes(), *(x.tobytes() + bytes(-x.nbytes % 8) for x in parts)]), 1)
+    return b"".join([head.tobytes(), *(x.tobytes() + bytes(-x.nbytes % 8) for x in parts)])
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    data = zstandard.decompress(data)
+def _views(data) -> list[np.ndarray]:
+    """The arrays of a buffer; nothing is copied."""
     n = int(np.frombuffer(data, np.int64, 1)[0])
     head, at, out = np.frombuffer(data, np.int64, 2 * n, 8).reshape(-1, 2), 8 + 16 * n, []
     for kind, size in head.tolist():
@@ -154,253 +155,272 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
+_packed = lambda parts: zstandard.compress(_joined(parts), 3)
+_unpacked = lambda data: _views(zstandard.decompress(data))
+
+
+def _short(codes: np.ndarray) -> list[np.ndarray]:
+    """Codes as 16 bits where they are numbers of frequent words; the others apart."""
+    rare = (codes < 0) | (codes >= FREQUENT)
+    return [np.where(rare, FREQUENT, codes).astype(np.uint16), codes[rare]]
+
+
+def _long(short: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    out = short.astype(np.int64)
+    out[short == FREQUENT] = rare
+    return out
+
+
+def _sizes(of: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(of, minlength=n).astype(np.uint32)
+
+
 class Level:
-    """Contexts, each with its weight and its successors, each with its log probability."""
+    """Successors of contexts: pointers to each context's range, and the raised successors, with values of each."""
 
-    def __init__(self, contexts: np.ndarray, sequence: EliasFano, p: np.ndarray, weight: np.ndarray):
-        self.contexts, self.sequence, self.p, self.weight = contexts, sequence, p, weight
+    def __init__(self, width: int, starts: EliasFano, sequence: EliasFano, values: list[np.ndarray]):
+        self.width, self.starts, self.sequence, self.values = width, starts, sequence, values
 
     @classmethod
-    def of(cls, context: np.ndarray, successor: np.ndarray, n: np.ndarray, hot: np.ndarray) -> tuple[Level, np.ndarray, np.ndarray]:
-        """From n-grams with counts, in any order and repeated; also the number of successors and of tokens of each context. Contexts of ``hot`` count as if they had WHOLE tokens."""
-        order = np.lexsort((successor, context))
-        context, successor, n = context[order], successor[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(context) != 0) | (successor[1:] != successor[:-1])])) if len(n) else np.empty(0, np.int64)
-        n = np.add.reduceat(n, first) if len(n) else n
-        context, successor = context[first][n > 0], successor[first][n > 0]
-        n = n[n > 0]
-        contexts, place, kinds = np.unique(context, return_inverse=True, return_counts=True)
-        tokens = np.bincount(place, n, len(contexts))
-        of = np.where(np.isin(contexts, hot), WHOLE, tokens)
-        p = _quantised(np.log10((n - DISCOUNT) / of[place])) if len(n) else np.empty(0, np.uint16)
-        weight = _quantised(np.log10(np.maximum(DISCOUNT * kinds / of, 1e-9))) if len(n) else np.empty(0, np.uint16)
-        return cls(contexts, EliasFano.of((place << 32) | successor.astype(np.int64)), p, weight), kinds, tokens
-
-    def find(self, contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each successor (``sizes`` of them for each context), and each context's weight; NONE for what isn't there."""
-        p, weight = np.full(len(successors), NONE, np.uint16), np.full(len(contexts), NONE, np.uint16)
-        if not len(self.contexts):
-            return p, weight
-        at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-        known = self.contexts[at] == contexts
-        weight[known] = self.weight[at[known]]
-        own = np.flatnonzero(np.repeat(known, sizes))
-        found = self.sequence.find((np.repeat(at, sizes)[own] << 32) | successors[own].astype(np.int64))
-        p[own[found >= 0]] = self.p[found[found >= 0]]
-        return p, weight
+    def of(cls, width: int, contexts: int, of: np.ndarray, successor: np.ndarray, values: list[np.ndarray]) -> Level:
+        """From (context, successor) in order."""
+        starts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=contexts))])
+        return cls(width, EliasFano.of(starts), EliasFano.of((of.astype(np.int64) << width) | successor), values)
+
+    def find(self, contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Place of each successor (``sizes`` of them for each context), or -1; contexts and successors of -1 have none."""
+        out = np.full(len(successors), -1, np.int64)
+        if not self.sequence.n:
+            return out
+        known = np.flatnonzero(contexts >= 0)
+        lo, hi = self.starts.at(contexts[known]), self.starts.at(contexts[known] + 1)
+        full = np.zeros(len(contexts), bool)
+        full[known[lo < hi]] = True
+        asked = np.flatnonzero(np.repeat(full, sizes) & (successors >= 0))
+        out[asked] = self.sequence.find((np.repeat(contexts, sizes)[asked] << self.width) | successors[asked])
+        return out
 
     def parts(self) -> list[np.ndarray]:
-        return [self.contexts, self.p, self.weight, *self.sequence.parts()]
+        return [np.array([self.width], np.int64), *self.starts.parts(), *self.sequence.parts(), *self.values]
 
+    @classmethod
+    def read(cls, parts: list[np.ndarray], values: int) -> Level:
+        return cls(int(parts[0][0]), EliasFano.read(parts[1:6]), EliasFano.read(parts[6:11]), parts[11 : 11 + values])
 
-class Shard:
-    """Counts of the words, and the levels of the contexts, of one hash class."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, levels: list[Level]):
-        self.words, self.counts, self.levels = words, counts, levels
+class Trie:
+    """One shard: its words, the bigrams behind each, the trigrams behind these."""
+
+    def __init__(self, words: np.ndarray, two: Level, three: Level):
+        self.words, self.two, self.three = words, two, three
+
+    @classmethod
+    def of(cls, first: np.ndarray, second: np.ndarray, n2: np.ndarray, of: np.ndarray, third: np.ndarray, n3: np.ndarray) -> Trie:
+        """From bigrams (codes, counts) and trigrams (of which bigram, code, count), in any order and repeated; what was never seen in training is left out."""
+        words, ids = np.unique(np.concatenate([first, second, third]), return_inverse=True)
+        ids = ids.reshape(-1)
+        first, second, third = np.split(ids, [len(first), 2 * len(first)])
+        width = max(1, int(len(words)).bit_length())
+        pairs, back = np.unique((first << width) | second, return_inverse=True)
+        n2 = np.bincount(back.reshape(-1), n2, len(pairs)).astype(np.int64)
+        kept = n2 > 0
+        place = np.cumsum(kept) - 1
+        own = kept[back.reshape(-1)[of]] & (n3 > 0)
+        triples, again = np.unique((place[back.reshape(-1)[of[own]]] << width) | third[own], return_inverse=True)
+        n3 = np.bincount(again.reshape(-1), n3[own], len(triples)).astype(np.int64)
+        pairs, n2 = pairs[kept], n2[kept]
+        low = (1 << width) - 1
+        with np.errstate(divide="ignore"):
+            two = Level.of(width, len(words), pairs >> width, pairs & low, [_quantised(np.log10(n2)), _quantised(np.log10(MU / (n2 + MU)))])
+            three = Level.of(width, len(pairs), triples >> width, triples & low, [_quantised(np.log10(n3 / (n2[triples >> width] + MU)))])
+        return cls(words, two, three)
 
     def save(self) -> bytes:
-        return _packed([self.words, self.counts, *chain.from_iterable(x.parts() for x in self.levels)])
+        return _joined([self.words, *self.two.parts(), *self.three.parts()])
 
     @classmethod
-    def load(cls, data: bytes) -> Shard:
-        words, counts, *rest = _unpacked(data)
-        return cls(words, counts, [Level(c, EliasFano.read(more), p, w) for c, p, w, *more in (rest[:8], rest[8:])])
-
-    def answer(self, asked: list[np.ndarray]) -> list[np.ndarray]:
-        """Counts of words, 0 for others; log probabilities and weights of either level. ``asked``: as a batch packs it."""
-        counts = np.zeros(len(asked[0]), np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, asked[0]), len(self.words) - 1)
-            counts = np.where(self.words[at] == asked[0], self.counts[at], 0)
-        out = [counts]
-        for level, own in zip(self.levels, (asked[2:7], asked[7:12])):
-            out += level.find(_contexts(own), own[2], own[3])
-        return out
+    def load(cls, data) -> Trie:
+        """Views of a buffer, which may be a mapped file's."""
+        parts = _views(data)
+        return cls(parts[0], Level.read(parts[1:14], 2), Level.read(parts[14:], 1))
 
+    def _ids(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(codes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
+        return np.where(self.words[at] == codes, at, -1)
 
-def _contexts(own: list[np.ndarray]) -> np.ndarray:
-    return own[0].astype(np.int64) | own[1].astype(np.int64) << 32
+    def answer(self, first: np.ndarray, seconds: np.ndarray, second: np.ndarray, thirds: np.ndarray, third: np.ndarray) -> list[np.ndarray]:
+        """Values of bigrams (count, weight of what is shorter) and of trigrams (probability): each first word has ``seconds`` bigrams, each of these ``thirds`` trigrams."""
+        places = self.two.find(self._ids(first), seconds, self._ids(second))
+        deeper = self.three.find(places, thirds, self._ids(third))
+        taken = lambda values, at: np.where(at >= 0, values[np.maximum(at, 0)], NONE).astype(np.uint16) if len(values) else np.full(len(at), NONE, np.uint16)
+        return [*(taken(v, places) for v in self.two.values), taken(self.three.values[0], deeper)]
 
 
 def _tokens(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """Tokens of all texts, each with its end, and where each text ends."""
+    """Tokens of all texts, each with its end, and the number of each text's."""
     split = [[*x.as_py().lower().split(), END] for x in column]
-    return list(chain.from_iterable(split)), np.cumsum([len(s) for s in split])
+    return list(chain.from_iterable(split)), np.array([len(s) for s in split])
 
 
 class _Hashes(dict):
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MOST:
             self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        out = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return out
 
 
-_hashes = _Hashes()
-
-
-class _Grams:
-    """Of one batch: tokens by hash, the places where n-grams of each order end within a text, their contexts and last words."""
-
-    def __init__(self, words: np.ndarray, ids: np.ndarray, ends: np.ndarray, held_out: np.ndarray):
-        h = words[ids]
-        self.ends, self.sizes = ends, np.diff(np.concatenate([[0], ends]))
-        self.training = ~np.repeat(held_out, self.sizes)
-        opens = np.zeros(len(h) + 2, bool)
-        opens[np.concatenate([[0], ends]).astype(np.int64)] = True
-        at2 = np.flatnonzero(~opens[: len(h)])
-        at3 = at2[~opens[at2 - 1]]
-        two = np.zeros(len(h), np.int64)
-        two[at2] = _pair(h[at2 - 1], h[at2])
-        self.h, self.at = h, [at2, at3]
-        self.context, self.last = [h[at2 - 1], two[at3 - 1]], [h[at2], h[at3]]
-
-    @classmethod
-    def of(cls, batch: pa.RecordBatch, k: int) -> _Grams:
-        words, ids, ends = (np.frombuffer(batch[c][k].as_py(), kind) for c, kind in (("words", np.int64), ("ids", np.int32), ("ends", np.int64)))
-        return cls(words, ids, ends, np.array(batch["held_out"][k].as_py(), bool))
-
-
-BATCH = "batch long, doc_id array<long>, held_out array<boolean>, words binary, ids binary, ends binary, counts binary, frequent binary"
+BATCH = "batch long, doc_id array<long>, held_out array<boolean>, words binary, checks binary, ids binary, ends binary, counts binary"
 
 
-def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about RUN tokens: ids and flags of their texts, their different words' hashes, tokens as places among these, ends of texts.
-
-    Beside them the words' counts in training texts, and the contexts of at
-    least half the share of a hot one here: a hot one has that share somewhere,
-    and what it has elsewhere is less than half of its count.
-    """
+def _batched(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about RUN tokens: ids and flags of their texts, their different words' hashes, tokens as places among these, ends of texts, the words' training counts; and 32 other bits of each word."""
     from pyspark import TaskContext
 
-    number, held, n = TaskContext.get().partitionId() << 32, [], 0
+    number, held, n, hashes = TaskContext.get().partitionId() << 32, [], 0, _Hashes(seed)
 
     def flush() -> pa.RecordBatch:
         nonlocal number, n
-        words, ids = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
-        ends = np.cumsum(np.concatenate([k for _, k, _ in held])).astype(np.int64)
-        docs = {c: list(chain.from_iterable(d[c].to_pylist() for _, _, d in held)) for c in ("doc_id", "held_out")}
-        grams = _Grams(words, ids, ends, np.array(docs["held_out"], bool))
-        counts = np.bincount(ids[grams.training], minlength=len(words)).astype(np.int64)
-        frequent = []
-        for order in (0, 1):
-            found, times = np.unique(grams.context[order], return_counts=True)
-            frequent.append(np.stack([np.full(len(found), order), found, times])[:, times >= HOT / 2 * len(ids)])
-        binary = (words.astype(np.int64), ids.astype(np.int32), ends, counts, np.concatenate(frequent, axis=1).astype(np.int64))
+        words, first, ids = np.unique(np.concatenate([h for h, *_ in held]), return_index=True, return_inverse=True)
+        checks = np.concatenate([c for _, c, *_ in held])[first]
+        ends = np.cumsum(np.concatenate([k for *_, k, _ in held])).astype(np.int64)
+        docs = {c: list(chain.from_iterable(d[c].to_pylist() for *_, d in held)) for c in ("doc_id", "held_out")}
+        training = ~np.repeat(np.array(docs["held_out"], bool), np.diff(np.concatenate([[0], ends])))
+        counts = np.bincount(ids.reshape(-1)[training], minlength=len(words)).astype(np.uint32)
+        binary = (words, checks, ids.reshape(-1).astype(np.int32), ends, counts)
         out = [pa.array([number]), pa.array([docs["doc_id"]], pa.list_(pa.int64())), pa.array([docs["held_out"]], pa.list_(pa.bool_())), *(pa.array([x.tobytes()], pa.binary()) for x in binary)]
         number, n = number + 1, 0
         held.clear()
-        return pa.RecordBatch.from_arrays(out, ["batch", "doc_id", "held_out", "words", "ids", "ends", "counts", "frequent"])
+        return pa.RecordBatch.from_arrays(out, ["batch", "doc_id", "held_out", "words", "checks", "ids", "ends", "counts"])
 
     for batch in slices(batches):
-        if not batch.num_rows:
-            continue
-        tokens, ends = _tokens(batch["bytes"])
-        h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens)).view(np.int64)
-        held.append((h, np.diff(np.concatenate([[0], ends])), batch.select(["doc_id", "held_out"])))
-        n += len(h)
-        if n >= RUN:
-            yield flush()
+        if batch.num_rows:
+            tokens, sizes = _tokens(batch["bytes"])
+            h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)).view(np.int64)
+            _, first = np.unique(h, return_index=True)
+            checks = np.zeros(len(h), np.int32)
+            checks[first] = [xxhash.xxh32_intdigest(tokens[k]) & 0x7FFFFFFF for k in first.tolist()]
+            held.append((h, checks, sizes, batch.select(["doc_id", "held_out"])))
+            n += len(h)
+            if n >= RUN:
+                yield flush()
     if held:
         yield flush()
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their training counts (kind 0), contexts that may be hot (1, 2), and the number of all tokens (3)."""
+    """Words with their training counts and other bits; a batch's tokens as word 0, which no word may have."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            words, counts, ends = (np.frombuffer(batch[c][k].as_py(), np.int64) for c in ("words", "counts", "ends"))
-            kinds, hot, times = np.frombuffer(batch["frequent"][k].as_py(), np.int64).reshape(3, -1)
-            own = counts > 0
-            columns = [np.concatenate([np.zeros(own.sum(), np.int64), kinds + 1, [3]]), np.concatenate([words[own], hot, [0]]), np.concatenate([counts[own], times, [ends[-1] if len(ends) else 0]])]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in columns[1:])], ["kind", "item", "n"])
+        for words, checks, counts, ends in zip(*(batch[c] for c in ("words", "checks", "counts", "ends"))):
+            words, checks, counts, ends = (np.frombuffer(x.as_py(), kind) for x, kind in ((words, np.int64), (checks, np.int32), (counts, np.uint32), (ends, np.int64)))
+            columns = [np.append(words, 0), np.append(counts.astype(np.int64), ends[-1] if len(ends) else 0), np.append(checks, -1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["item", "n", "bits"])
 
 
-class _Asked:
-    """What a batch asks: different words, and for either length different n-grams by shard, context and successor, with training counts.
+class _Grams:
+    """The n-grams of one batch: its words' codes, different bigrams and trigrams in the order of shards, and which of them ends at each token."""
+
+    def __init__(self, columns: dict, frequent: np.ndarray, n_shards: int):
+        words, ids, ends = (np.frombuffer(columns[c], kind) for c, kind in (("words", np.int64), ("ids", np.int32), ("ends", np.int64)))
+        self.sizes = np.diff(np.concatenate([[0], ends]))
+        self.ends, self.ids = ends, ids
+        training = ~np.repeat(np.array(columns["held_out"], bool), self.sizes)
+        codes = words.copy()
+        if len(frequent):  # hashes in order, with their numbers
+            at = np.minimum(np.searchsorted(frequent[0], words), frequent.shape[1] - 1)
+            codes = np.where(frequent[0][at] == words, frequent[1][at], words)
+        by = np.argsort(codes.view(np.uint64), kind="stable")  # numbers come first, so n-grams of a shard come by code
+        place = np.argsort(by)
+        self.codes, n = codes[by], len(codes)
+        self.counts = np.frombuffer(columns["counts"], np.uint32)[by]
+        self.known = np.zeros(n, np.int64)
+        if len(frequent):
+            self.known[place[np.flatnonzero(codes != words)]] = frequent[2][at[codes != words]]
+        self.words = np.flatnonzero((self.codes < 0) | (self.codes >= FREQUENT))
+        of_shard = _mix(self.codes[self.words].view(np.uint64)) % np.uint64(n_shards)
+        self.words, self.word_shard = self.words[np.argsort(of_shard, kind="stable")], np.sort(of_shard).astype(np.int64)
+        tokens = place[ids]
+        opens = np.zeros(len(tokens) + 1, bool)
+        opens[np.concatenate([[0], ends]).astype(np.int64)] = True
+        at2 = np.flatnonzero(~opens[: len(tokens)])
+        self.at = [at2, at2[~opens[at2 - 1]]]
+        pairs, back = np.unique(tokens[at2 - 1] * n + tokens[at2], return_inverse=True)
+        first, second = np.divmod(pairs, max(1, n))
+        shard = (_mix(_mix(self.codes[first].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + self.codes[second].view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        rank = np.argsort(order)
+        self.first, self.second, self.shard = first[order], second[order], shard[order]
+        self.two = rank[back.reshape(-1)]
+        self.n2 = np.bincount(self.two, training[at2], len(pairs)).astype(np.uint32)
+        of = np.zeros(len(tokens), np.int64)
+        of[at2] = self.two
+        triples, self.three = np.unique(of[self.at[1] - 1] * n + tokens[self.at[1]], return_inverse=True)
+        self.three = self.three.reshape(-1)
+        self.of, self.third = np.divmod(triples, max(1, n))
+        self.n3 = np.bincount(self.three, training[self.at[1]], len(triples)).astype(np.uint32)
+        self.tokens = tokens
+
+    def shards(self) -> Iterator[tuple[int, slice, slice, slice]]:
+        """Each shard that is asked, with its rare words, bigrams and trigrams."""
+        asked = np.unique(np.concatenate([self.shard, self.word_shard]))
+        cut = lambda x: np.searchsorted(x, np.append(asked, asked[-1:] + 1))
+        words, two = cut(self.word_shard), cut(self.shard)
+        three = np.searchsorted(self.of, two)
+        for k, shard in enumerate(asked.tolist()):
+            yield shard, *(slice(int(x[k]), int(x[k + 1])) for x in (words, two, three))
 
-    ``back`` tells which of them each n-gram is, ``of`` which context each has, ``hot`` which hot context each n-gram has, or -1.
-    """
+    def blocks(self) -> Iterator[tuple[int, bytes]]:
+        """What each shard is asked: words and counts; first words, how many bigrams each has, second words, counts, how many trigrams each has, third words, counts."""
+        for shard, words, two, three in self.shards():
+            first, own = self.first[two], self.words[words]
+            new = np.flatnonzero(np.diff(first, prepend=-1))
+            seconds = np.diff(np.append(new, len(first))).astype(np.uint32)
+            thirds = _sizes(self.of[three] - two.start, two.stop - two.start)
+            grams = [*_short(self.codes[first[new]]), seconds, *_short(self.codes[self.second[two]]), self.n2[two], thirds, *_short(self.codes[self.third[three]]), self.n3[three]]
+            yield shard, _packed([self.codes[own], self.counts[own], *grams])
 
-    def __init__(self, grams: _Grams, hot: list[np.ndarray], n_shards: int):
-        self.words, self.word_of = np.unique(grams.h, return_inverse=True)
-        shard = self.words.view(np.uint64) % np.uint64(n_shards)
-        by = np.argsort(shard, kind="stable")
-        self.words, self.word_of = self.words[by], np.argsort(by)[self.word_of]
-        self.counts = np.bincount(self.word_of, grams.training, len(self.words)).astype(np.uint32)
-        self.shards = [shard[by].astype(np.int64)]
-        self.levels = []
-        for order in (0, 1):
-            context, last = grams.context[order], grams.last[order]
-            at = np.minimum(np.searchsorted(hot[order], context), max(0, len(hot[order]) - 1))
-            is_hot = hot[order][at] == context if len(hot[order]) else np.zeros(len(context), bool)
-            context = np.where(is_hot, _pair(context, last & (PARTS - 1)), context)
-            _, first, back = np.unique(_pair(context, last), return_index=True, return_inverse=True)
-            n = np.bincount(back, grams.training[grams.at[order]], len(first)).astype(np.uint32)
-            own, successor = context[first], (last[first].view(np.uint64) >> np.uint64(32)).astype(np.uint32)
-            shard = (_mix(own.view(np.uint64)) % np.uint64(n_shards)).astype(np.int64)
-            low = own & ((1 << BITS) - 1)
-            by = np.argsort(successor, kind="stable")
-            by = by[np.argsort(low[by], kind="stable")]
-            by = by[np.argsort(shard[by], kind="stable")]
-            low, shard = low[by], shard[by]
-            new = np.concatenate([[True], (np.diff(low) != 0) | (np.diff(shard) != 0)]) if len(by) else np.empty(0, bool)
-            self.shards.append(shard)
-            self.levels.append({
-                "back": np.argsort(by)[back] if len(by) else back, "hot": np.where(is_hot, at, -1), "context": low[new], "sizes": np.diff(np.append(np.flatnonzero(new), len(by))).astype(np.uint32),
-                "of": np.cumsum(new) - 1, "successor": successor[by], "n": n[by], "context_shard": shard[new],
-            })
-
-    def places(self, shard: int) -> list[slice]:
-        """Of a shard: its words, and of either level its n-grams and its contexts."""
-        cut = lambda x: slice(*np.searchsorted(x, [shard, shard + 1]).tolist())
-        return [cut(self.shards[0]), *(x for k in (0, 1) for x in (cut(self.shards[k + 1]), cut(self.levels[k]["context_shard"])))]
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
-        for shard in np.unique(np.concatenate(self.shards)).tolist():
-            words, *rest = self.places(shard)
-            parts = [self.words[words], self.counts[words]]
-            for level, (own, contexts) in zip(self.levels, (rest[:2], rest[2:])):
-                c = level["context"][contexts]
-                parts += [(c & 0xFFFFFFFF).astype(np.uint32), (c >> 32).astype(np.uint8), level["sizes"][contexts], level["successor"][own], level["n"][own]]
-            yield shard, _packed(parts)
+_READ = ["held_out", "words", "ids", "ends", "counts"]
 
 
-def _asked(batches: Iterator[pa.RecordBatch], hot, n_shards: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], frequent, n_shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            shards, data = zip(*_Asked(_Grams.of(batch, k), hot.value, n_shards).blocks())
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array([batch["batch"][k].as_py()] * len(shards), pa.int64()), pa.array(data, pa.binary())], ["shard", "batch", "data"])
+            for shard, data in _Grams({c: batch[c][k].as_py() for c in _READ}, frequent.value, n_shards).blocks():
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), batch["batch"].slice(k, 1), pa.array([data], pa.binary())], ["shard", "batch", "data"])
+
+
+def _block(data: bytes) -> list[np.ndarray]:
+    """(first, seconds, second, n2, thirds, third, n3, words, counts) of a block."""
+    words, counts, a, b, seconds, c, d, n2, thirds, e, f, n3 = _unpacked(data)
+    return [_long(a, b), seconds, _long(c, d), n2, thirds, _long(e, f), n3, words, counts]
+
 
+def _built(blocks: list[list[np.ndarray]]) -> Trie:
+    first = np.concatenate([np.repeat(x[0], x[1]) for x in blocks])
+    second, n2, third, n3 = (np.concatenate([x[j] for x in blocks]) for j in (2, 3, 5, 6))
+    of = np.repeat(np.arange(len(second)), np.concatenate([x[4] for x in blocks]))
+    return Trie.of(first, second, n2.astype(np.int64), of, third, n3.astype(np.int64))
 
-def _served(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
-    """Rows by (shard, batch): each shard is built from what all batches send of it, saved, and answers each of them."""
-    parts = [(_pair(np.repeat(x, PARTS), np.tile(np.arange(PARTS), len(x))), np.repeat(np.arange(len(x)), PARTS)) for x in hot.value]
-    parts = [(p[by] & ((1 << BITS) - 1), which[by]) for p, which in parts for by in [np.argsort(p & ((1 << BITS) - 1))]]
+
+def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by (shard, batch): each shard is built from what all batches send of it, laid out in its buffer, and answers each of them from there."""
     held: list[tuple[int, list[np.ndarray]]] = []
     shard = None
 
     def done() -> Iterator[pa.RecordBatch]:
-        words, back = np.unique(np.concatenate([x[0] for _, x in held]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([x[1] for _, x in held]), len(words)).astype(np.int64)
-        levels, seen = [], []
-        for order, (low, which) in enumerate(parts):
-            a = 2 + 5 * order
-            contexts = np.concatenate([np.repeat(_contexts(x[a : a + 5]), x[a + 2]) for _, x in held])
-            successors, n = (np.concatenate([x[a + j] for _, x in held]) for j in (3, 4))
-            level, kinds, tokens = Level.of(contexts, successors, n.astype(np.int64), low)
-            levels.append(level)
-            at = np.minimum(np.searchsorted(low, level.contexts), max(0, len(low) - 1))
-            own = np.flatnonzero(low[at] == level.contexts) if len(low) else np.empty(0, np.int64)
-            seen += [(order, int(which[at[j]]), int(kinds[j]), int(tokens[j])) for j in own]
-        built = Shard(words[counts > 0], counts[counts > 0], levels)
-        names = ["shard", "batch", "answer", "trie", "hot"]
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("which", pa.int32()), ("kinds", pa.int64()), ("tokens", pa.int64())]))
-        rows = [dict(zip(("level", "which", "kinds", "tokens"), x)) for x in seen]
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([-1]), pa.nulls(1, pa.binary()), pa.array([built.save()], pa.binary()), pa.array([rows], kind)], names)
-        for number, asked in held:
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([_packed(built.answer(asked))], pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, kind)], names)
+        trie = Trie.load(_built([x for _, x in held]).save())
+        words, back = np.unique(np.concatenate([x[7] for _, x in held]), return_inverse=True)
+        counts = np.bincount(back.reshape(-1), np.concatenate([x[8] for _, x in held]), len(words)).astype(np.int64)
+        for number, (first, seconds, second, _, thirds, third, _, own, _) in held:
+            answer = _packed([counts[np.searchsorted(words, own)], *trie.answer(first, seconds, second, thirds, third)])
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([answer], pa.binary())], ["shard", "batch", "answer"])
         held.clear()
 
     for batch in batches:
@@ -408,58 +428,104 @@ def _served(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
             if held and own != shard:
                 yield from done()
             shard = own
-            held.append((number, _unpacked(data.as_py())))
+            held.append((number, _block(data.as_py())))
     if held:
         yield from done()
 
 
-def _scored(batches: Iterator[pa.RecordBatch], hot, shares, n_shards: int, scale: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (batch, shard): the batch itself as shard -1, then its answers. ``shares``: of hot contexts, WHOLE by their tokens, and their weight."""
-    held, answers, docs = None, [], []
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard: each shard's buffer."""
+    held: list = []
+    shard = None
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([_built(held).save()], pa.binary())], ["shard", "trie"])
+    for batch in batches:
+        for own, data in zip(batch["shard"].to_pylist(), batch["data"]):
+            if held and own != shard:
+                yield row()
+                held.clear()
+            shard = own
+            held.append(_block(data.as_py()))
+    if held:
+        yield row()
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(batches: Iterator[pa.RecordBatch], frequent, n_shards: int, scale: float) -> Iterator[pa.RecordBatch]:
+    """Rows by (batch, shard): the batch itself as shard -1, then its answers."""
+    held, answers, docs = None, {}, []
 
     def done() -> pa.RecordBatch:
-        grams, asked = held
-        counts = np.zeros(len(asked.words), np.int64)
-        found = [[np.full(len(x["successor"]), NONE, np.uint16), np.full(len(x["context"]), NONE, np.uint16)] for x in asked.levels]
-        for shard, data in answers:
-            own, answer = asked.places(shard), _unpacked(data)
-            counts[own[0]] = answer[0]
-            for k in (0, 1):
-                found[k][0][own[1 + 2 * k]], found[k][1][own[2 + 2 * k]] = answer[1 + 2 * k : 3 + 2 * k]
-        counts = counts[asked.word_of]
-        base = np.log10(counts + ADD) - scale
+        grams, counts = held, held.known
+        found = [np.full(len(grams.second), NONE, np.uint16), np.full(len(grams.second), NONE, np.uint16), np.full(len(grams.third), NONE, np.uint16)]
+        for shard, words, two, three in grams.shards():
+            n, *values = _unpacked(answers[shard])
+            counts[grams.words[words]] = n
+            for out, where, data in zip(found, (two, two, three), values):
+                out[where] = data
+        own = counts[grams.tokens]
+        base = np.log10(own + ADD) - scale
         p = 10.0**base
-        for level, at, (own, weight), (times, hot_weight) in zip(asked.levels, grams.at, found, shares.value):
-            back = level["back"]
-            own, weight = own[back], weight[level["of"]][back] if len(back) else weight[:0]
-            direct = np.where(own == NONE, 0.0, 10.0 ** (own * -STEP))
-            left = np.where(weight == NONE, 1.0, 10.0 ** (weight * -STEP))
-            hot_at = np.flatnonzero(level["hot"] >= 0)
-            direct[hot_at] *= times[level["hot"][hot_at]]
-            left[hot_at] = hot_weight[level["hot"][hot_at]]
-            p[at] = direct + left * p[at]
+        at2, at3 = grams.at
+        n2 = np.where(found[0] == NONE, 0.0, 10.0 ** _unquantised(found[0].astype(np.float64)))[grams.two]
+        p[at2] = (n2 + MU * p[at2]) / (own[at2 - 1] + MU)
+        place = np.zeros(len(p), np.int64)
+        place[at2] = grams.two
+        context = place[at3 - 1]
+        weight = np.where(found[1][context] == NONE, 1.0, 10.0 ** _unquantised(found[1][context].astype(np.float64)))
+        direct = np.where(found[2] == NONE, 0.0, 10.0 ** _unquantised(found[2].astype(np.float64)))[grams.three]
+        p[at3] = direct + weight * p[at3]
         starts = grams.ends - grams.sizes
         per = lambda x: pa.array(np.add.reduceat(x, starts))
-        columns = [*docs, pa.array(grams.sizes), per((counts > 0).astype(np.int64)), per(base), per(np.log10(p))]
+        out = pa.RecordBatch.from_arrays([*docs, pa.array(grams.sizes), per((own > 0).astype(np.int64)), per(base), per(np.log10(p))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
         answers.clear()
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return out
 
     for batch in batches:
         for k in range(batch.num_rows):
-            shard = batch["shard"][k].as_py()
-            if shard >= 0:
-                answers.append((shard, batch["answer"][k].as_py()))
-                continue
-            if held:
-                yield done()
-            grams = _Grams.of(batch, k)
-            held = grams, _Asked(grams, hot.value, n_shards)
-            docs = [pa.array(batch[c][k].as_py(), kind) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+            if batch["shard"][k].as_py() >= 0:
+                answers[batch["shard"][k].as_py()] = batch["answer"][k].as_py()
+            else:
+                if held:
+                    yield done()
+                held = _Grams({c: batch[c][k].as_py() for c in _READ}, frequent.value, n_shards)
+                docs = [pa.array(batch[c][k].as_py(), kind) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
     if held:
         yield done()
 
 
-SERVED = "shard long, batch long, answer binary, trie binary, hot array<struct<level:int,which:int,kinds:long,tokens:long>>"
+def _prepared(docs: DataFrame) -> tuple[DataFrame, int, int, object, int]:
+    """Stored batches of the texts, number and kinds of training tokens, the frequent words (hashes in order, numbers, counts), the number of shards."""
+    spark = docs.sparkSession
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    texts = docs.select("doc_id", held.alias("held_out"), text_bytes().alias("bytes"))
+    for seed in count():
+        batches = written(texts.mapInArrow(lambda it, seed=seed: _batched(it, seed), BATCH), "batches")
+        tally = batches.select("words", "checks", "counts", "ends").mapInArrow(_tallied, "item long, n long, bits int")
+        tally = written(tally.groupBy("item").agg(F.sum("n").alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi")), "tally")
+        word = F.col("item") != 0
+        odd = (F.col("lo") != F.col("hi")) | (word & F.col("item").between(0, FREQUENT))
+        total, distinct, tokens, clash = tally.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum(F.when(word, F.col("n"))), F.count_if(word & (F.col("n") > 0)), F.sum(F.when(~word, F.col("n"))), F.count_if(odd))]).first()
+        if not clash:  # else two words have one hash: another seed
+            break
+    top = tally.where("item <> 0 AND n > 0").orderBy(F.col("n").desc(), "item").limit(FREQUENT).select("item", "n").collect()  # FREQUENT rows at most
+    items, n = np.array([r.item for r in top], np.int64), np.array([r.n for r in top], np.int64)
+    by = np.argsort(items)
+    frequent = spark.sparkContext.broadcast(np.stack([items[by], by, n[by]]) if len(top) else np.empty((0, 0), np.int64))
+    return batches, total, distinct, frequent, max(1, -(-tokens // SHARD))
+
+
+def _dealt(batches: DataFrame, frequent, n_shards: int) -> DataFrame:
+    """What batches ask, by shard."""
+    asked = batches.select("batch", *_READ).mapInArrow(lambda it: _asked(it, frequent, n_shards), "shard long, batch long, data binary")
+    return asked.repartition("shard").sortWithinPartitions("shard", "batch")
+
+
+def trie(docs: DataFrame) -> DataFrame:
+    """(shard, trie): the model of the training texts of ``docs`` (doc_id, text), a buffer a shard that ``Trie.load`` maps."""
+    batches, _, _, frequent, n_shards = _prepared(docs)
+    return _dealt(batches, frequent, n_shards).mapInArrow(_stored, "shard long, trie binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -472,26 +538,10 @@ def score(docs: DataFrame) -> DataFrame:
     each, alike. A very long text is one batch. Other columns are left out,
     whatever their names; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
-    texts = docs.select("doc_id", held.alias("held_out"), text_bytes().alias("bytes"))
-    batches = written(texts.mapInArrow(_batched, BATCH), "batches")
-    tally = batches.select("words", "counts", "ends", "frequent").mapInArrow(_tallied, "kind int, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n"))
-    tally = written(tally, "tally")
-    total, distinct, tokens = tally.agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)), F.count_if(F.col("kind") == 0), F.coalesce(F.sum(F.when(F.col("kind") == 3, F.col("n"))), F.lit(0))).first()
-    frequent = tally.where(F.col("kind").isin(1, 2) & (F.col("n") >= HOT / 2 * tokens)).collect()  # of either length 2 / HOT at most
-    hot = spark.sparkContext.broadcast([np.sort(np.array([r["item"] for r in frequent if r["kind"] == k], np.int64)) for k in (1, 2)])
-    n_shards = max(1, -(-tokens // SHARD))
-    columns = ["batch", "held_out", "words", "ids", "ends"]
-    asked = batches.select(columns).mapInArrow(lambda it: _asked(it, hot, n_shards), "shard long, batch long, data binary")
-    served = written(asked.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(lambda it: _served(it, hot), SERVED), "served")
-    of_hot = served.where("batch < 0").select(F.inline("hot")).groupBy("level", "which").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).collect()
-    shares = [[np.ones(len(x)), np.ones(len(x))] for x in hot.value]
-    for r in of_hot:
-        shares[r.level][0][r.which], shares[r.level][1][r.which] = WHOLE / r.tokens, max(DISCOUNT * r.kinds / r.tokens, 1e-9)
-    told = spark.sparkContext.broadcast(shares)
+    batches, total, distinct, frequent, n_shards = _prepared(docs)
+    served = written(_dealt(batches, frequent, n_shards).mapInArrow(_served, "shard long, batch long, answer binary"), "served")
     scale = math.log10(total + ADD * (distinct + 1))
-    both = batches.select("doc_id", *columns, F.lit(-1).cast("long").alias("shard")).unionByName(served.where("batch >= 0").select("shard", "batch", "answer"), allowMissingColumns=True)
+    both = batches.select("batch", "doc_id", *_READ, F.lit(-1).cast("long").alias("shard")).unionByName(served, allowMissingColumns=True)
     both = both.repartition("batch").sortWithinPartitions("batch", "shard")
-    out = both.mapInArrow(lambda it: _scored(it, hot, told, n_shards, scale), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = both.mapInArrow(lambda it: _scored(it, frequent, n_shards, scale), SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
