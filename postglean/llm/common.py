@@ -39,14 +39,20 @@ def scratch_tables() -> list[str]:
     return list(_scratch)
 
 
+def made_since(before: list[str], *names: str) -> list[str]:
+    """Tables that ``written`` has made since ``scratch_tables`` gave ``before``, of these names if any are given."""
+    return [x for x in _scratch if x not in set(before) and (not names or x.rpartition("/scratch-")[2].rpartition("-")[0] in names)]
+
+
 def clear_scratch(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables of ``written``; only for callers that have stored what was derived from them."""
+    """Deletes tables of ``written``, and shuffles that nothing refers to; only for callers that have stored what was derived from them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
         if name in _scratch:
             _scratch.remove(name)
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()  # the driver removes shuffle files once it finds that their data can't be asked for any more
 
 
 def slices(batches, rows: int = 1000):

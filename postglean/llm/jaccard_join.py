@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import clear_scratch, made_since, scratch_tables, slices, text_bytes, written
 from .components import components
 
 WORDS = 3
@@ -475,7 +475,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     are left out, whatever their names; an empty table gives no rows. A ``row``
     column must be stored, so that its numbers are the same at each reading.
     """
-    spark = docs.sparkSession
+    spark, start = docs.sparkSession, scratch_tables()
     texts = docs.select(F.col(row).alias("row") if row else F.monotonically_increasing_id().alias("row"), "doc_id", text_bytes().alias("bytes"))
     if not row:
         texts = written(texts, "texts")  # numbers must not change when a part is computed again
@@ -492,6 +492,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     shared = written(posted.join(stats, "entry").select("entry", "row", "hub"), "shared")
     pairs = _open_pairs(shared.where(F.col("hub") != F.col("row")).select("hub", "row").distinct(), index, least)
     links = _verify(pairs, texts, words, least)
+    clear_scratch(spark, made_since(start, "tallied", "sized", "possible", "sets"))
 
     roots = components(links)
     rest = shared.where(F.col("hub") != F.col("row")).select("entry", "row").join(index.select("row", "n"), "row")  # the hub has met all others
@@ -500,10 +501,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: int = LEAST, row
     met = components(across).select(F.col("root").alias("entry"), F.col("node").alias("row"))  # rows that open pairs connect meet once, not at each entry
     met = met.join(index.select("row", "n"), "row").join(roots.withColumnRenamed("node", "row"), "row", "left")
     met = written(met.select("entry", "row", "n", F.coalesce("root", "row").alias("root")), "met")
+    clear_scratch(spark, made_since(start, "shared", "open", "groups", "across"))
     sets = written(texts.select("row", "bytes").join(met.select("row"), "row", "left_semi").mapInArrow(lambda it: _sets(it, words), "row long, items binary"), "across-sets")
     cells = _cells(met, index).join(sets, "row").select(*CELL, "items")
     more = _dealt(cells).mapInArrow(lambda it: _forest(it, least), "a long, b long")
     roots = components(links.unionAll(written(more, "more")))
+    clear_scratch(spark, made_since(start, "verified", "more", "met", "groups", "across-sets"))
 
     own = index.select("row", "doc_id", "n", "digest").join(same, "digest", "left")
     own = own.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep", "row"))
