@@ -45,9 +45,9 @@ STEP = 1 / 2048
 #: In place of a value: no such n-gram.
 NONE = 65535
 #: Tokens in one shard, about; tokens in a batch, about.
-SHARD = 4_000_000
-RUN = 4_000_000
-#: Words that are sent as numbers of 16 bits; others as hashes.
+SHARD = 2_000_000
+RUN = 2_000_000
+#: Words that are sent as numbers of 16 bits; others as hashes. A batch proposes those of at least the share 1 / (2 * FREQUENT) in it.
 FREQUENT = 65_535
 END = b"\n"  # no word holds it
 BLOCK = 64
@@ -276,36 +276,38 @@ class _Hashes(dict):
         return out
 
 
-BATCH = "batch long, doc_id array<long>, held_out array<boolean>, words binary, checks binary, ids binary, ends binary, counts binary"
+BATCH = "batch long, doc_id array<long>, held_out array<boolean>, words binary, checks binary, ids binary, ends binary, counts binary, proposed binary"
 
 
 def _batched(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Batches of about RUN tokens: ids and flags of their texts, their different words' hashes, tokens as places among these, ends of texts, the words' training counts; and 32 other bits of each word."""
+    """Batches of about RUN tokens: ids and flags of their texts, their different words' hashes, most frequent first, 16 other bits of each, tokens as places among these, ends of texts, the words' training counts, the counts of frequent ones."""
     from pyspark import TaskContext
 
     number, held, n, hashes = TaskContext.get().partitionId() << 32, [], 0, _Hashes(seed)
 
     def flush() -> pa.RecordBatch:
         nonlocal number, n
-        words, first, ids = np.unique(np.concatenate([h for h, *_ in held]), return_index=True, return_inverse=True)
+        words, first, ids, times = np.unique(np.concatenate([h for h, *_ in held]), return_index=True, return_inverse=True, return_counts=True)
+        by = np.argsort(-times, kind="stable")
+        words, first, times, ids = words[by], first[by], times[by], np.argsort(by)[ids.reshape(-1)]
         checks = np.concatenate([c for _, c, *_ in held])[first]
         ends = np.cumsum(np.concatenate([k for *_, k, _ in held])).astype(np.int64)
         docs = {c: list(chain.from_iterable(d[c].to_pylist() for *_, d in held)) for c in ("doc_id", "held_out")}
         training = ~np.repeat(np.array(docs["held_out"], bool), np.diff(np.concatenate([[0], ends])))
-        counts = np.bincount(ids.reshape(-1)[training], minlength=len(words)).astype(np.uint32)
-        binary = (words, checks, ids.reshape(-1).astype(np.int32), ends, counts)
+        counts = np.bincount(ids[training], minlength=len(words)).astype(np.uint32)
+        binary = (words, checks, ids.astype(np.int32), ends, counts, times[times * 2 * FREQUENT >= len(ids)])
         out = [pa.array([number]), pa.array([docs["doc_id"]], pa.list_(pa.int64())), pa.array([docs["held_out"]], pa.list_(pa.bool_())), *(pa.array([x.tobytes()], pa.binary()) for x in binary)]
         number, n = number + 1, 0
         held.clear()
-        return pa.RecordBatch.from_arrays(out, ["batch", "doc_id", "held_out", "words", "checks", "ids", "ends", "counts"])
+        return pa.RecordBatch.from_arrays(out, ["batch", "doc_id", "held_out", "words", "checks", "ids", "ends", "counts", "proposed"])
 
     for batch in slices(batches):
         if batch.num_rows:
             tokens, sizes = _tokens(batch["bytes"])
             h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens)).view(np.int64)
             _, first = np.unique(h, return_index=True)
-            checks = np.zeros(len(h), np.int32)
-            checks[first] = [xxhash.xxh32_intdigest(tokens[k]) & 0x7FFFFFFF for k in first.tolist()]
+            checks = np.zeros(len(h), np.uint16)
+            checks[first] = [xxhash.xxh32_intdigest(tokens[k]) & 0xFFFF for k in first.tolist()]
             held.append((h, checks, sizes, batch.select(["doc_id", "held_out"])))
             n += len(h)
             if n >= RUN:
@@ -314,13 +316,12 @@ def _batched(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Record
         yield flush()
 
 
-def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their training counts and other bits; a batch's tokens as word 0, which no word may have."""
+def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequent words with their counts in a batch; the batch's tokens as word 0."""
     for batch in batches:
-        for words, checks, counts, ends in zip(*(batch[c] for c in ("words", "checks", "counts", "ends"))):
-            words, checks, counts, ends = (np.frombuffer(x.as_py(), kind) for x, kind in ((words, np.int64), (checks, np.int32), (counts, np.uint32), (ends, np.int64)))
-            columns = [np.append(words, 0), np.append(counts.astype(np.int64), ends[-1] if len(ends) else 0), np.append(checks, -1).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["item", "n", "bits"])
+        for words, times, ends in zip(*(batch[c] for c in ("words", "proposed", "ends"))):
+            words, times, ends = (np.frombuffer(x.as_py(), np.int64) for x in (words, times, ends))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(words[: len(times)], 0)), pa.array(np.append(times, ends[-1] if len(ends) else 0))], ["item", "n"])
 
 
 class _Grams:
@@ -338,13 +339,9 @@ class _Grams:
         by = np.argsort(codes.view(np.uint64), kind="stable")  # numbers come first, so n-grams of a shard come by code
         place = np.argsort(by)
         self.codes, n = codes[by], len(codes)
-        self.counts = np.frombuffer(columns["counts"], np.uint32)[by]
-        self.known = np.zeros(n, np.int64)
-        if len(frequent):
-            self.known[place[np.flatnonzero(codes != words)]] = frequent[2][at[codes != words]]
-        self.words = np.flatnonzero((self.codes < 0) | (self.codes >= FREQUENT))
-        of_shard = _mix(self.codes[self.words].view(np.uint64)) % np.uint64(n_shards)
-        self.words, self.word_shard = self.words[np.argsort(of_shard, kind="stable")], np.sort(of_shard).astype(np.int64)
+        self.counts, self.checks = (np.frombuffer(columns[c], kind)[by] for c, kind in (("counts", np.uint32), ("checks", np.uint16)))
+        of_shard = _mix(self.codes.view(np.uint64)) % np.uint64(n_shards)
+        self.words, self.word_shard = np.argsort(of_shard, kind="stable"), np.sort(of_shard).astype(np.int64)
         tokens = place[ids]
         opens = np.zeros(len(tokens) + 1, bool)
         opens[np.concatenate([[0], ends]).astype(np.int64)] = True
@@ -367,7 +364,7 @@ class _Grams:
         self.tokens = tokens
 
     def shards(self) -> Iterator[tuple[int, slice, slice, slice]]:
-        """Each shard that is asked, with its rare words, bigrams and trigrams."""
+        """Each shard that is asked, with its words, bigrams and trigrams."""
         asked = np.unique(np.concatenate([self.shard, self.word_shard]))
         cut = lambda x: np.searchsorted(x, np.append(asked, asked[-1:] + 1))
         words, two = cut(self.word_shard), cut(self.shard)
@@ -376,17 +373,17 @@ class _Grams:
             yield shard, *(slice(int(x[k]), int(x[k + 1])) for x in (words, two, three))
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
-        """What each shard is asked: words and counts; first words, how many bigrams each has, second words, counts, how many trigrams each has, third words, counts."""
+        """What each shard is asked: words, their other bits and counts; first words, how many bigrams each has, second words, counts, how many trigrams each has, third words, counts."""
         for shard, words, two, three in self.shards():
             first, own = self.first[two], self.words[words]
             new = np.flatnonzero(np.diff(first, prepend=-1))
             seconds = np.diff(np.append(new, len(first))).astype(np.uint32)
             thirds = _sizes(self.of[three] - two.start, two.stop - two.start)
             grams = [*_short(self.codes[first[new]]), seconds, *_short(self.codes[self.second[two]]), self.n2[two], thirds, *_short(self.codes[self.third[three]]), self.n3[three]]
-            yield shard, _packed([self.codes[own], self.counts[own], *grams])
+            yield shard, _packed([*_short(self.codes[own]), self.checks[own], self.counts[own], *grams])
 
 
-_READ = ["held_out", "words", "ids", "ends", "counts"]
+_READ = ["held_out", "words", "checks", "ids", "ends", "counts"]
 
 
 def _asked(batches: Iterator[pa.RecordBatch], frequent, n_shards: int) -> Iterator[pa.RecordBatch]:
@@ -397,9 +394,17 @@ def _asked(batches: Iterator[pa.RecordBatch], frequent, n_shards: int) -> Iterat
 
 
 def _block(data: bytes) -> list[np.ndarray]:
-    """(first, seconds, second, n2, thirds, third, n3, words, counts) of a block."""
-    words, counts, a, b, seconds, c, d, n2, thirds, e, f, n3 = _unpacked(data)
-    return [_long(a, b), seconds, _long(c, d), n2, thirds, _long(e, f), n3, words, counts]
+    """(first, seconds, second, n2, thirds, third, n3, words, counts, checks) of a block."""
+    v, w, checks, counts, a, b, seconds, c, d, n2, thirds, e, f, n3 = _unpacked(data)
+    return [_long(a, b), seconds, _long(c, d), n2, thirds, _long(e, f), n3, _long(v, w), counts, checks]
+
+
+def _words(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words of a shard with their training counts, and how many are two words of one hash."""
+    items, counts, checks = (np.concatenate([x[j] for x in blocks]) for j in (7, 8, 9))
+    words, first, back = np.unique(items, return_index=True, return_inverse=True)
+    odd = checks != checks[first][back.reshape(-1)]
+    return words, np.bincount(back.reshape(-1), counts, len(words)).astype(np.int64), int(odd.sum())
 
 
 def _built(blocks: list[list[np.ndarray]]) -> Trie:
@@ -409,6 +414,10 @@ def _built(blocks: list[list[np.ndarray]]) -> Trie:
     return Trie.of(first, second, n2.astype(np.int64), of, third, n3.astype(np.int64))
 
 
+SERVED = "shard long, batch long, answer binary, total long, distinct long, clash long"
+SERVED_NAMES = ["shard", "batch", "answer", "total", "distinct", "clash"]
+
+
 def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by (shard, batch): each shard is built from what all batches send of it, laid out in its buffer, and answers each of them from there."""
     held: list[tuple[int, list[np.ndarray]]] = []
@@ -416,11 +425,11 @@ def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> Iterator[pa.RecordBatch]:
         trie = Trie.load(_built([x for _, x in held]).save())
-        words, back = np.unique(np.concatenate([x[7] for _, x in held]), return_inverse=True)
-        counts = np.bincount(back.reshape(-1), np.concatenate([x[8] for _, x in held]), len(words)).astype(np.int64)
-        for number, (first, seconds, second, _, thirds, third, _, own, _) in held:
-            answer = _packed([counts[np.searchsorted(words, own)], *trie.answer(first, seconds, second, thirds, third)])
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([answer], pa.binary())], ["shard", "batch", "answer"])
+        words, counts, clash = _words([x for _, x in held])
+        row = lambda number, answer, *figures: pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([answer], pa.binary()), *(pa.array([f], pa.int64()) for f in figures)], SERVED_NAMES)
+        yield row(-1, None, int(counts.sum()), int((counts > 0).sum()), clash)
+        for number, (first, seconds, second, _, thirds, third, _, own, *_) in held:
+            yield row(number, _packed([counts[np.searchsorted(words, own)].astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64), *trie.answer(first, seconds, second, thirds, third)]), None, None, None)
         held.clear()
 
     for batch in batches:
@@ -437,7 +446,12 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by shard: each shard's buffer."""
     held: list = []
     shard = None
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([_built(held).save()], pa.binary())], ["shard", "trie"])
+
+    def row() -> pa.RecordBatch:
+        if _words(held)[2]:
+            raise ValueError("two words have one hash: build with another seed")
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([_built(held).save()], pa.binary())], ["shard", "trie"])
+
     for batch in batches:
         for own, data in zip(batch["shard"].to_pylist(), batch["data"]):
             if held and own != shard:
@@ -457,7 +471,7 @@ def _scored(batches: Iterator[pa.RecordBatch], frequent, n_shards: int, scale: f
     held, answers, docs = None, {}, []
 
     def done() -> pa.RecordBatch:
-        grams, counts = held, held.known
+        grams, counts = held, np.zeros(len(held.codes), np.int64)
         found = [np.full(len(grams.second), NONE, np.uint16), np.full(len(grams.second), NONE, np.uint16), np.full(len(grams.third), NONE, np.uint16)]
         for shard, words, two, three in grams.shards():
             n, *values = _unpacked(answers[shard])
@@ -495,25 +509,20 @@ def _scored(batches: Iterator[pa.RecordBatch], frequent, n_shards: int, scale: f
         yield done()
 
 
-def _prepared(docs: DataFrame) -> tuple[DataFrame, int, int, object, int]:
-    """Stored batches of the texts, number and kinds of training tokens, the frequent words (hashes in order, numbers, counts), the number of shards."""
+def _prepared(docs: DataFrame, seed: int) -> tuple[DataFrame, object, int]:
+    """Stored batches of the texts, the frequent words (hashes in order, numbers), the number of shards."""
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     texts = docs.select("doc_id", held.alias("held_out"), text_bytes().alias("bytes"))
-    for seed in count():
-        batches = written(texts.mapInArrow(lambda it, seed=seed: _batched(it, seed), BATCH), "batches")
-        tally = batches.select("words", "checks", "counts", "ends").mapInArrow(_tallied, "item long, n long, bits int")
-        tally = written(tally.groupBy("item").agg(F.sum("n").alias("n"), F.min("bits").alias("lo"), F.max("bits").alias("hi")), "tally")
-        word = F.col("item") != 0
-        odd = (F.col("lo") != F.col("hi")) | (word & F.col("item").between(0, FREQUENT))
-        total, distinct, tokens, clash = tally.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum(F.when(word, F.col("n"))), F.count_if(word & (F.col("n") > 0)), F.sum(F.when(~word, F.col("n"))), F.count_if(odd))]).first()
-        if not clash:  # else two words have one hash: another seed
-            break
-    top = tally.where("item <> 0 AND n > 0").orderBy(F.col("n").desc(), "item").limit(FREQUENT).select("item", "n").collect()  # FREQUENT rows at most
-    items, n = np.array([r.item for r in top], np.int64), np.array([r.n for r in top], np.int64)
+    batches = written(texts.mapInArrow(lambda it: _batched(it, seed), BATCH), "batches")
+    found = batches.select("words", "proposed", "ends").mapInArrow(_proposed, "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    # no more than FREQUENT rows, word 0 besides; a word that looks like a number stays a hash
+    top = found.where((F.col("item") < 0) | (F.col("item") >= FREQUENT) | (F.col("item") == 0)).orderBy(F.col("item") != 0, F.col("n").desc(), "item").limit(FREQUENT).collect()
+    tokens = sum(r.n for r in top if not r.item)
+    items = np.array([r.item for r in top if r.item], np.int64)
     by = np.argsort(items)
-    frequent = spark.sparkContext.broadcast(np.stack([items[by], by, n[by]]) if len(top) else np.empty((0, 0), np.int64))
-    return batches, total, distinct, frequent, max(1, -(-tokens // SHARD))
+    frequent = spark.sparkContext.broadcast(np.stack([items[by], by]) if len(items) else np.empty((0, 0), np.int64))
+    return batches, frequent, max(1, -(-tokens // SHARD))
 
 
 def _dealt(batches: DataFrame, frequent, n_shards: int) -> DataFrame:
@@ -522,10 +531,9 @@ def _dealt(batches: DataFrame, frequent, n_shards: int) -> DataFrame:
     return asked.repartition("shard").sortWithinPartitions("shard", "batch")
 
 
-def trie(docs: DataFrame) -> DataFrame:
+def trie(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(shard, trie): the model of the training texts of ``docs`` (doc_id, text), a buffer a shard that ``Trie.load`` maps."""
-    batches, _, _, frequent, n_shards = _prepared(docs)
-    return _dealt(batches, frequent, n_shards).mapInArrow(_stored, "shard long, trie binary")
+    return _dealt(*_prepared(docs, seed)).mapInArrow(_stored, "shard long, trie binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -538,10 +546,15 @@ def score(docs: DataFrame) -> DataFrame:
     each, alike. A very long text is one batch. Other columns are left out,
     whatever their names; an empty table gives no rows.
     """
-    batches, total, distinct, frequent, n_shards = _prepared(docs)
-    served = written(_dealt(batches, frequent, n_shards).mapInArrow(_served, "shard long, batch long, answer binary"), "served")
-    scale = math.log10(total + ADD * (distinct + 1))
-    both = batches.select("batch", "doc_id", *_READ, F.lit(-1).cast("long").alias("shard")).unionByName(served, allowMissingColumns=True)
+    for seed in count():
+        batches, frequent, n_shards = _prepared(docs, seed)
+        served = written(_dealt(batches, frequent, n_shards).mapInArrow(_served, SERVED), "served")
+        total, distinct, clash = served.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "clash")]).first()
+        if not clash:  # else two words have one hash: another seed
+            break
+    scale = math.log10(total + ADD * (distinct + 1)) if total else math.log10(ADD)
+    answers = served.where("batch >= 0").select("shard", "batch", "answer")
+    both = batches.select("batch", "doc_id", *_READ, F.lit(-1).cast("long").alias("shard")).unionByName(answers, allowMissingColumns=True)
     both = both.repartition("batch").sortWithinPartitions("batch", "shard")
     out = both.mapInArrow(lambda it: _scored(it, frequent, n_shards, scale), SCORED)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
