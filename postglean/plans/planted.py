@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions import eligibility, experience, gazetteer, salary, stack
+from ..functions import eligibility, experience, gazetteer, salary, stack, validators
 from ..operators import attribution, requirements
 from .queries import ORACLES, QUERIES
 from .views import table
@@ -182,3 +182,40 @@ ORACLES["employers_attributed"] = """
     WITH said AS (SELECT doc_id, replace(replace(s_name, '#', ' '), '_', ' ') AS company, CAST(floor(doc_id / 10) AS BIGINT) % 10 AS k, doc_id % 2 = 0 AS own_board FROM documents JOIN supplier ON s_suppkey = doc_id % 10),
     won AS (SELECT *, CASE WHEN k = 0 THEN company WHEN k IN (1, 2, 5) THEN 'Acme Robotics' WHEN k IN (7, 9) AND own_board THEN company END AS hiring_employer FROM said)
     SELECT doc_id, hiring_employer, CASE WHEN hiring_employer IS NULL THEN 'unknown' WHEN hiring_employer = company THEN 'unchanged' ELSE 'resolved-different' END AS relationship, k = 5 AS agency FROM won"""
+
+
+_PLACE = _pick(("Haifa", "Oslo", "Lima"), 1)
+_WORK = ("A remote role in {p}. We use Go.", "Our team in {p} works mostly remote. We use Go.", "No remote work in {p}. We use Go.", "Offices in {p}. A remote role. We use Go.", "In {p}. We use Rust.", "A remote role in {p}. Not remote on Fridays. We use Go.")
+planted(
+    "facts_checked",
+    {"place": _PLACE, "plant": _said(_WORK, 3, p=_PLACE), "said": "concat(" + _said(_WORK, 3, p=_PLACE) + ", '\n', text)"},
+    lambda: {
+        "remote": validators.remote_fact(F.when(F.contains("plant", F.lit("emote")), F.regexp_substr("plant", F.lit("(No )?remote( work)?"))), "said")["value"],
+        "error": F.concat_ws(":", *[validators.facts_error(F.struct(
+            F.struct(F.col("place").alias("value"), F.col("place").alias("quote")).alias("location"), F.struct(F.lit(True).alias("value"), F.lit("remote").alias("quote")).alias("remote"),
+            F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("quote")).alias("seniority"), F.array(F.struct(F.lit("Go").alias("value"), F.lit("use Go").alias("quote"))).alias("stack"),
+        ).cast(validators.FACTS), "said", F.lit("Developer"))[c] for c in ("category", "field")]),
+    },
+    """, k AS (SELECT doc_id, CAST(floor(doc_id / 3) AS BIGINT) % 6 AS w FROM given)
+      SELECT doc_id, CASE w WHEN 0 THEN true WHEN 2 THEN false WHEN 3 THEN true END AS remote,
+        CASE w WHEN 0 THEN '' WHEN 3 THEN 'location_context:location' WHEN 4 THEN 'evidence_quote:remote' ELSE 'remote_consistency:remote' END AS error FROM k""",
+)
+
+_ADVICE = '{"employer_type":"direct","seniority_real":null,"fit_score":{n},"fit_tier":"{t}","recommendation":"apply","reasons":[{r}],"fit_line":"{l}","fit_line_evidence_ids":["p","{e}"]}'
+
+
+def annotations_checked(spark, d):
+    """Annotations whose score, tier and evidence come from rows; lines hold the whole text of a document."""
+    reasons = ",".join(f'{{"factor":"{f}","basis":"{b}","assessment":"mixed","evidence_ids":["p"{", " + chr(34) + "e" + chr(34) if b == "comparison" else ""}],"detail":"About it"}}' for f, b in validators.BASES.items())
+    score, tier = "doc_id % 101", _pick(tuple(validators.TIERS), 101)
+    made = _ADVICE.replace("{n}", f"', {score}, '").replace("{t}", f"', {tier}, '").replace("{r}", reasons).replace("{l}", "', line, '").replace("{e}", "', CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE 'e' END, '")
+    line = f"concat(CASE WHEN {tier} = 'weak' AND doc_id % 2 = 0 THEN 'Weak fit — ' ELSE '' END, regexp_replace(text, '[^A-Za-z0-9 .]', ' '))"
+    rows = table(spark, d, "documents").selectExpr("doc_id", f"{line} AS line").selectExpr("doc_id", f"concat('{made}') AS annotation")
+    return rows.select("doc_id", validators.annotation_error("annotation", F.array(F.lit("p"), F.lit("e")), F.lit("p")).alias("error"))
+
+
+QUERIES["annotations_checked"] = annotations_checked
+ORACLES["annotations_checked"] = """
+    WITH a AS (SELECT doc_id, doc_id % 101 AS n, CAST(floor(doc_id / 101) AS BIGINT) % 4 AS t, regexp_matches(text, '(^|[^A-Za-z0-9])MCP([^A-Za-z0-9]|$)') AS mcp, trim(regexp_replace(text, '[^A-Za-z0-9 .]', ' ', 'g')) = '' AS blank FROM documents)
+    SELECT doc_id, CASE WHEN NOT (CASE t WHEN 0 THEN n BETWEEN 80 AND 100 WHEN 1 THEN n BETWEEN 60 AND 79 WHEN 2 THEN n BETWEEN 40 AND 59 ELSE n BETWEEN 0 AND 39 END) THEN 'fit_tier'
+      WHEN doc_id % 7 = 0 THEN 'line_evidence' WHEN blank AND NOT (t = 3 AND doc_id % 2 = 0) THEN 'fit_line' WHEN mcp THEN 'unproven_mcp' WHEN t = 3 AND doc_id % 2 <> 0 THEN 'weak_line' END AS error FROM a"""
