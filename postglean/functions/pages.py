@@ -17,15 +17,17 @@ class Node:
     tag: str = ""
     given: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
-    #: Of the root: whether each element was closed, and closed in turn.
+    #: Of the root: whether each element was closed in turn and has no attribute twice; whether it declares a document.
     sound: bool = True
+    declared: bool = False
 
     @classmethod
     def of(cls, page: str) -> Node:
         reader = _Reader()
         reader.feed(page)
+        whole = not reader.rawdata
         reader.close()
-        reader.open[0].sound &= len(reader.open) == 1
+        reader.open[0].sound &= len(reader.open) == 1 and whole
         return reader.open[0]
 
     @property
@@ -71,13 +73,18 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open = [Node()]
 
+    def handle_decl(self, decl):
+        self.open[0].declared = True
+
     def handle_starttag(self, tag, attrs):
+        self.open[0].sound &= len(dict(attrs)) == len(attrs)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        self.open[0].sound &= len(dict(attrs)) == len(attrs)
         self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_data(self, data):

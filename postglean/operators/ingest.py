@@ -53,12 +53,16 @@ def dedupe_postings(rows: DataFrame, prior: DataFrame | None = None, prior_keys:
 
     Only a kept row marks its identity and claims its key. So where one (source,
     id) comes under several keys, rows that such keys link are taken in order,
-    component by component; all others follow from two windows.
+    component by component; all others follow from two windows. Of rows of one
+    (source, id, key) only the first can be kept, whatever becomes of it, so the
+    fold sees each such triple once, however many rows it has.
     """
     rows = secondary_key(rows.where(F.coalesce("id", F.lit("")) != ""))
     if prior is not None:
         rows = rows.join(prior.select(F.coalesce("source", F.lit(SOURCES[0])).alias("source"), "id"), ["source", "id"], "left_anti")
     columns = rows.columns
+    same = Window.partitionBy("source", "id", "key").orderBy("arrival")
+    rows = rows.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth")
     if prior_keys is not None:
         known = rows.join(prior_keys.select("key").distinct(), "key", "left_semi").join(prior_keys.select("key", "source").distinct(), ["key", "source"], "left_semi")
         rows = rows.join(prior_keys.select("key").distinct(), "key", "left_anti").unionByName(known.select(columns))

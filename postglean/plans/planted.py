@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions import eligibility, experience, gazetteer, salary, stack, validators
+from ..functions import eligibility, experience, gazetteer, guest, places, salary, stack, validators
 from ..operators import attribution, requirements
 from .queries import ORACLES, QUERIES
 from .views import table
@@ -191,10 +191,10 @@ planted(
     {"place": _PLACE, "plant": _said(_WORK, 3, p=_PLACE), "said": "concat(" + _said(_WORK, 3, p=_PLACE) + ", '\n', text)"},
     lambda: {
         "remote": validators.remote_fact(F.when(F.contains("plant", F.lit("emote")), F.regexp_substr("plant", F.lit("(No )?remote( work)?"))), "said")["value"],
-        "error": F.concat_ws(":", *[validators.facts_error(F.struct(
+        "error": places.let(validators.facts_error(F.struct(
             F.struct(F.col("place").alias("value"), F.col("place").alias("quote")).alias("location"), F.struct(F.lit(True).alias("value"), F.lit("remote").alias("quote")).alias("remote"),
             F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("quote")).alias("seniority"), F.array(F.struct(F.lit("Go").alias("value"), F.lit("use Go").alias("quote"))).alias("stack"),
-        ).cast(validators.FACTS), "said", F.lit("Developer"))[c] for c in ("category", "field")]),
+        ).cast(validators.FACTS), "said", F.lit("Developer")), lambda e: F.concat_ws(":", e["category"], e["field"])),
     },
     """, k AS (SELECT doc_id, CAST(floor(doc_id / 3) AS BIGINT) % 6 AS w FROM given)
       SELECT doc_id, CASE w WHEN 0 THEN true WHEN 2 THEN false WHEN 3 THEN true END AS remote,
@@ -219,3 +219,21 @@ ORACLES["annotations_checked"] = """
     WITH a AS (SELECT doc_id, doc_id % 101 AS n, CAST(floor(doc_id / 101) AS BIGINT) % 4 AS t, regexp_matches(text, '(^|[^A-Za-z0-9])MCP([^A-Za-z0-9]|$)') AS mcp, trim(regexp_replace(text, '[^A-Za-z0-9 .]', ' ', 'g')) = '' AS blank FROM documents)
     SELECT doc_id, CASE WHEN NOT (CASE t WHEN 0 THEN n BETWEEN 80 AND 100 WHEN 1 THEN n BETWEEN 60 AND 79 WHEN 2 THEN n BETWEEN 40 AND 59 ELSE n BETWEEN 0 AND 39 END) THEN 'fit_tier'
       WHEN doc_id % 7 = 0 THEN 'line_evidence' WHEN blank AND NOT (t = 3 AND doc_id % 2 = 0) THEN 'fit_line' WHEN mcp THEN 'unproven_mcp' WHEN t = 3 AND doc_id % 2 <> 0 THEN 'weak_line' END AS error FROM a"""
+
+_FRAGMENT = '<section class="top-card-layout"><h2 class="top-card-layout__title">Job</h2>{}</section><div class="decorated-job-posting__details">'
+_STATES = ("", '<figure class="closed-job"><figcaption class="closed-job__flavor--closed">{}</figcaption></figure>', '<a href="https://www.linkedin.com/jobs/view/other-1">x</a>', "<div hidden>", '<span class="posted-time-ago__text">Reposted 3 days ago</span>')
+
+
+def guest_observations(spark, d):
+    """Fragments with a posting's description from pages: the words of their markup, as the details."""
+    states = _pick(tuple(s.replace("{}", "No longer accepting applications") for s in _STATES), 1, "page_id")
+    words = "regexp_replace(html, '[<>&]', ' ')"
+    head, tail = _FRAGMENT.split("{}")
+    rows = table(spark, d, "pages").selectExpr("page_id", f"concat('{head}', {states}, '{tail}', {words}, '</div>') AS page", "CAST(2 + page_id AS STRING) AS job")
+    seen = guest.guest_observation("page", "job")
+    return rows.select("page_id", seen.alias("o")).select("page_id", "o.*")
+
+
+QUERIES["guest_observations"] = guest_observations
+ORACLES["guest_observations"] = """
+    SELECT page_id, CASE WHEN page_id % 5 = 1 THEN 'no longer accepting applications' END AS closure, page_id % 5 IN (0, 4) AS opened, CASE WHEN page_id % 5 = 4 THEN 'Reposted 3 days ago' END AS reposted FROM pages"""
