@@ -117,3 +117,50 @@ def run_receipt(outcomes: DataFrame) -> DataFrame:
         F.count("*").alias("checked"), F.count_if(F.col("written") & alive.eqNullSafe(F.lit(False))).alias("closed"), F.count_if(F.col("written") & alive.eqNullSafe(F.lit(True))).alias("alive"),
         F.count_if(~F.col("written") | alive.isNull()).alias("unknown"), F.count_if(~F.col("supported")).alias("unsupported"), F.coalesce(F.sum("alerts"), F.lit(0)).alias("alerts"),
     )
+
+
+#: Hosts of hosted boards, and what answers redirect.
+HOSTED = ("boards.greenhouse.io", "boards.eu.greenhouse.io", "job-boards.greenhouse.io", "job-boards.eu.greenhouse.io")
+REDIRECTS = (301, 302, 303, 307, 308)
+
+
+def direct_verdicts(postings: DataFrame, responses: DataFrame) -> DataFrame:
+    """(id, alive, reason, status, final_url, control_id) of postings (id, source, tenant, url, canonical_url) by landed ``responses`` (url, status, location, generic).
+
+    404 and 410 say that a posting is gone, and so does a redirect to a
+    ``generic`` page; anything else is unknown. On a hosted board an absence
+    counts only on the canonical page, where 410 is no proof, and only beside a
+    control: a sibling of the same tenant whose canonical page answers 200, the
+    one of the least id. Where the posting's own page is inconclusive, the
+    canonical one is asked, beside a control too.
+
+    Siblings are two ids a tenant, the least ones that answer, joined back; no
+    posting meets another.
+    """
+    host = F.lower(F.regexp_extract("url", r"^https://([^/?#:]+)", 1))
+    rows = postings.withColumn("hosted", (F.col("source") == "greenhouse") & host.isin(*HOSTED)).withColumn("other", F.col("canonical_url").isNotNull() & (F.col("canonical_url") != F.col("url")))
+    answer = responses.select(F.col("url").alias("of"), F.struct("status", "location", "generic").alias("r"))
+    rows = rows.join(answer.withColumnsRenamed({"of": "url", "r": "own"}), "url", "left").join(answer.withColumnsRenamed({"of": "canonical_url", "r": "canon"}), "canonical_url", "left")
+
+    def gone(r: Column, canonical: Column) -> Column:
+        by_status = (r["status"] == 404) | ((r["status"] == 410) & ~canonical)
+        return F.coalesce(by_status | (r["status"].isin(*REDIRECTS) & r["generic"]), F.lit(False))
+
+    def told(r: Column, gone_: Column, url: str) -> Column:
+        reason = F.when(~gone_, "posting-url-unknown").when(r["status"].isin(404, 410), F.concat(F.lit("http-"), r["status"].cast("string"))).otherwise("ats-generic-careers-redirect")
+        final = F.coalesce(F.when(r["status"].isin(*REDIRECTS), r["location"]), F.col(url))
+        return F.struct(F.when(gone_, False).alias("alive"), reason.alias("reason"), r["status"].alias("status"), final.alias("final_url"))
+
+    answering = rows.where((F.col("canon.status") == 200) & F.col("tenant").isNotNull()).select("source", "tenant", "id").distinct()
+    two = answering.groupBy("source", "tenant").agg(F.min("id").alias("first"))
+    second = answering.join(two, ["source", "tenant"]).where("id <> first").groupBy("source", "tenant").agg(F.min("id").alias("second"))
+    rows = rows.join(two.join(second, ["source", "tenant"], "left"), ["source", "tenant"], "left")
+    control = F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+    own_gone = gone(F.col("own"), F.col("hosted"))
+    elsewhere = F.col("hosted") & (F.col("other") | F.col("canonical_url").isNull()) & own_gone  # an absence that no control can vouch for
+    unknown = ~own_gone | elsewhere
+    needs = (F.col("hosted") & own_gone & ~elsewhere) | (unknown & F.coalesce("other", F.lit(False)))
+    own, canon = told(F.col("own"), own_gone, "url"), told(F.col("canon"), gone(F.col("canon"), F.lit(True)), "canonical_url")
+    bare = F.struct(F.lit(None).cast("boolean").alias("alive"), F.when(needs, "greenhouse-control-unknown").otherwise(own["reason"]).alias("reason"), own["status"].alias("status"), own["final_url"].alias("final_url"))
+    verdict = F.when(needs & control.isNull(), bare).when(unknown & F.coalesce("other", F.lit(False)), canon).when(elsewhere, bare).otherwise(own)
+    return rows.select("id", verdict.alias("v"), F.when(needs, control).alias("control_id")).select("id", "v.*", "control_id")

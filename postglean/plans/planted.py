@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import eligibility, experience, gazetteer, guest, places, salary, stack, validators
-from ..operators import attribution, requirements
+from ..operators import attribution, liveness, requirements
 from .queries import ORACLES, QUERIES
 from .views import table
 
@@ -237,3 +237,36 @@ def guest_observations(spark, d):
 QUERIES["guest_observations"] = guest_observations
 ORACLES["guest_observations"] = """
     SELECT page_id, CASE WHEN page_id % 5 = 1 THEN 'no longer accepting applications' END AS closure, page_id % 5 IN (0, 4) AS opened, CASE WHEN page_id % 5 = 4 THEN 'Reposted 3 days ago' END AS reposted FROM pages"""
+
+_POSTED = """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'lever' ELSE 'greenhouse' END AS source, CAST(doc_id % 211 AS STRING) AS tenant,
+  CASE WHEN doc_id % 3 = 0 THEN concat('https://jobs.lever.co/a/', doc_id) WHEN doc_id % 3 = 1 THEN concat('https://boards.greenhouse.io/a/jobs/', doc_id) ELSE concat('https://a.com/jobs/', doc_id) END AS url,
+  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN concat('https://boards.greenhouse.io/a/jobs/', doc_id) ELSE concat('https://job-boards.greenhouse.io/a/jobs/', doc_id) END AS canonical_url,
+  n_chars FROM documents"""
+_ANSWERED = """SELECT url, CASE WHEN n_chars % 7 < 2 THEN 404 WHEN n_chars % 7 = 2 THEN 410 WHEN n_chars % 7 = 3 THEN 302 WHEN n_chars % 7 = 4 THEN 500 ELSE 200 END AS status, 'https://a.com/careers' AS location, n_chars % 2 = 0 AS generic FROM posted
+  UNION SELECT canonical_url, CASE WHEN n_chars % 11 < 4 THEN 404 WHEN n_chars % 11 = 4 THEN 410 WHEN n_chars % 11 = 5 THEN 302 ELSE 200 END, 'https://a.com/careers', n_chars % 2 = 1 FROM posted WHERE canonical_url IS NOT NULL AND canonical_url <> url"""
+
+
+def direct_checks(spark, d):
+    """Postings and their landed answers by documents; sizes of texts tell what answered."""
+    posted = table(spark, d, "documents").selectExpr("doc_id", "n_chars")
+    posted.createOrReplaceTempView("posted_documents")
+    rows = spark.sql(_POSTED.replace("FROM documents", "FROM posted_documents"))
+    rows.createOrReplaceTempView("posted")
+    return liveness.direct_verdicts(rows.drop("n_chars"), spark.sql(_ANSWERED))
+
+
+QUERIES["direct_checks"] = direct_checks
+ORACLES["direct_checks"] = f"""
+    WITH posted AS ({_POSTED}), answered AS ({_ANSWERED}),
+    r AS (SELECT p.*, p.source = 'greenhouse' AND p.url LIKE 'https://boards.greenhouse.io/%' AS hosted, coalesce(p.canonical_url <> p.url, false) AS other, o.status AS os, o.location AS ol, o.generic AS og, c.status AS cs, c.location AS cl, c.generic AS cg
+      FROM posted p LEFT JOIN answered o ON o.url = p.url LEFT JOIN answered c ON c.url = p.canonical_url),
+    g AS (SELECT *, coalesce(os = 404 OR (os = 410 AND NOT hosted) OR (os = 302 AND og), false) AS own_gone, coalesce(cs = 404 OR (cs = 302 AND cg), false) AS canon_gone,
+      (SELECT min(s.id) FROM r s WHERE s.source = r.source AND s.tenant = r.tenant AND s.id <> r.id AND s.cs = 200) AS control FROM r),
+    n AS (SELECT *, hosted AND own_gone AND other AS elsewhere, NOT own_gone OR (hosted AND other) AS unknown FROM g),
+    k AS (SELECT *, (hosted AND own_gone AND NOT elsewhere) OR (unknown AND other) AS needs FROM n),
+    v AS (SELECT *, CASE WHEN needs AND control IS NULL THEN 'none' WHEN unknown AND other THEN 'canon' ELSE 'own' END AS pick FROM k)
+    SELECT id, CASE WHEN pick = 'canon' AND canon_gone OR pick = 'own' AND own_gone THEN false END AS alive,
+      CASE pick WHEN 'none' THEN 'greenhouse-control-unknown' WHEN 'canon' THEN CASE WHEN NOT canon_gone THEN 'posting-url-unknown' WHEN cs = 404 THEN 'http-404' ELSE 'ats-generic-careers-redirect' END
+        ELSE CASE WHEN NOT own_gone THEN 'posting-url-unknown' WHEN os IN (404, 410) THEN concat('http-', os) ELSE 'ats-generic-careers-redirect' END END AS reason,
+      CASE pick WHEN 'canon' THEN cs ELSE os END AS status, CASE WHEN pick = 'canon' THEN CASE WHEN cs = 302 THEN cl ELSE canonical_url END ELSE CASE WHEN os = 302 THEN ol ELSE url END END AS final_url,
+      CASE WHEN needs THEN control END AS control_id FROM v"""
