@@ -99,7 +99,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     copies; a null source is a source, the last. Each source's taken words
     differ from its target by half its last open document at most. Choices
     depend on (doc_id, text) and ``seed`` alone, so reruns agree; rows equal in
-    both are interchangeable. An empty table gives no rows.
+    both are interchangeable. Very long texts count whole. Other columns are
+    left out, whatever their names. An empty table gives no rows.
     """
     sizes = docs.select(F.col(carry).alias("carry"), "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("key"))
     sizes = written(_told_apart(sizes), "sizes")

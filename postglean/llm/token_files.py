@@ -130,8 +130,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     Order: null ids first, rows of one id by their text's hash, so reruns
     agree. Null and empty texts are their end id alone; an empty table gives a
-    folder without rows. Other columns are left out. Texts move once, by range
-    of id; rows of one hot id are dealt by hash too.
+    folder without rows. Rows that repeat are each written. Very long texts are
+    encoded whole and run over as many blocks as they need. Other columns are
+    left out, whatever their names. Texts move once, by range of id; rows of one
+    hot id are dealt by hash too.
     """
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select("doc_id", text_bytes().alias("bytes")).withColumn("tie", F.xxhash64("bytes"))
