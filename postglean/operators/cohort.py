@@ -101,6 +101,32 @@ def claimed(leases: DataFrame, candidates: DataFrame, now: int, length: int = 15
     return both.select("id", F.when(takes, now + length).otherwise(F.col("until")).alias("until"), F.when(takes, F.coalesce("attempts", F.lit(0)) + 1).otherwise(F.col("attempts")).alias("attempts"))
 
 
+def new_roles(rows: DataFrame, since: int, tab: str = "all", availability: str = "all", pinned: DataFrame | None = None, most: int = 100) -> DataFrame:
+    """Rows (id, first_seen, status, alive, relevance_filtered) found after ``since``, newest first, one more than ``most`` if there are.
+
+    ``tab``: all, not-scored (what the gate filtered, which no other tab shows),
+    new-for-me, or a status. ``availability``: all, active (what isn't known to be
+    gone) or inactive. ``pinned`` (id): the cohort that a probe has seen; rows that
+    came since then don't enter before the limit.
+    """
+    found = rows.where((F.col("first_seen") > since) & (F.col("relevance_filtered") == (tab == "not-scored")))
+    if tab not in ("all", "not-scored"):
+        found = found.where(F.col("status") == ("new" if tab == "new-for-me" else tab))
+    if availability != "all":
+        found = found.where(F.col("alive").eqNullSafe(F.lit(False)) == (availability == "inactive"))
+    if pinned is not None:
+        found = found.join(pinned.select("id").distinct(), "id", "left_semi")
+    return found.orderBy(F.col("first_seen").desc(), "id").limit(most + 1)
+
+
+def applications_listed(history: DataFrame, company: str | None = None) -> DataFrame:
+    """The history of applications, of a company whatever the case of its name, or of all: latest date first, none last, then latest recorded. A blank filter is refused."""
+    if company is not None and not company.strip():
+        raise ValueError("company filter must be null or nonblank")
+    rows = history if company is None else history.where(F.lower(F.btrim("company")) == company.strip().lower())
+    return rows.orderBy(F.col("applied").desc_nulls_last(), F.col("recorded").desc(), "id")
+
+
 def history_listed(events: DataFrame, company: str, most: int = 20) -> DataFrame:
     """Applications to a company, whatever the case of its name: latest date first, none last, then latest recorded."""
     rows = events.where(F.lower(F.btrim("company")) == company.strip().lower())

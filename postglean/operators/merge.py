@@ -15,6 +15,13 @@ def _sides(stored: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame
     return old.join(new, key, "full_outer")
 
 
+def _liveness_merged(old: Column, new: Column) -> Column:
+    """Evidence (map) after newer evidence: its keys over the old ones', if it was checked no earlier or the old check has no time."""
+    at = lambda m: F.element_at(m, "liveness_checked_at").try_cast("timestamp")
+    counts = (F.size(new) > 0) & F.when(at(old).isNotNull(), F.coalesce(at(new) >= at(old), F.lit(False))).otherwise(True)
+    return F.when(counts, F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)).otherwise(old)
+
+
 def upsert_postings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The stored postings after an upsert of ``incoming`` (one row an id each).
 
@@ -22,6 +29,13 @@ def upsert_postings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     mode only yields to a structured one; first publication is the least, last
     ones the greatest, unknown dates aside; a stack that names something wins.
     The check's time only moves forward. ``disposition`` says what happened.
+
+    Further columns are merged if ``stored`` has them: company (overwritten);
+    remote (with the work mode that brings it); seniority, salary, raw_jd (known
+    ones are replaced by known ones); apply_url (the first stays, unless the
+    incoming row's ``apply_url_wins``); liveness (a map whose
+    ``liveness_checked_at`` only moves forward: newer keys over older); source,
+    external_id, first_seen_at (of the first row).
     """
     old, new = F.col("old"), F.col("new")
     keeps = (old["work_mode_source"] == "structured") & ~new["work_mode_source"].eqNullSafe(F.lit("structured"))
@@ -33,6 +47,16 @@ def upsert_postings(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         "last_seen_at": F.greatest(new["last_seen_at"], old["last_seen_at"]), "stack": F.when(new["stack"] != "", new["stack"]).otherwise(old["stack"]),
         "checked_at": F.when(new["checked_at"] >= old["checked_at"], new["checked_at"]).otherwise(old["checked_at"]),
     }
+    have = set(stored.columns)
+    newer = lambda c: F.coalesce(new[c], old[c])
+    further = {
+        "company": lambda: new["company"], "seniority": lambda: newer("seniority"), "salary": lambda: newer("salary"), "raw_jd": lambda: newer("raw_jd"), "source": lambda: old["source"],
+        "external_id": lambda: old["external_id"], "first_seen_at": lambda: old["first_seen_at"],
+        "remote": lambda: F.when(F.coalesce(keeps, F.lit(False)), old["remote"]).when(new["work_mode"].isNotNull(), new["remote"]).when(old["work_mode"].isNotNull(), old["remote"]).otherwise(newer("remote")),
+        "apply_url": lambda: F.when(F.coalesce(new["apply_url_wins"], F.lit(False)), new["apply_url"]).otherwise(F.coalesce(old["apply_url"], new["apply_url"])) if "apply_url_wins" in incoming.columns else F.coalesce(old["apply_url"], new["apply_url"]),
+        "liveness": lambda: _liveness_merged(old["liveness"], new["liveness"]),
+    }
+    merged |= {c: make() for c, make in further.items() if c in have}
     pick = lambda c, x: F.when(new.isNull(), old[c]).when(old.isNull(), new[c]).otherwise(x).alias(c)
     disposition = F.when(new.isNull(), "kept").when(old.isNull(), "inserted").otherwise("updated")
     return _sides(stored, incoming).select("id", *[pick(c, x) for c, x in merged.items()], disposition.alias("disposition"))

@@ -27,6 +27,22 @@ def cards(board: Board, extractions: DataFrame, ids: DataFrame | None = None) ->
     return shown.withColumn("url", job_link_url("apply_url", "url")).select(CARD)
 
 
+def whole_cards(postings: DataFrame, statuses: DataFrame, scores: DataFrame, extractions: DataFrame) -> DataFrame:
+    """All fields of a card, by keyed joins: postings by id with status, score and whether an extraction exists. Payloads are maps; a liveness that isn't true or false is unknown."""
+    rows = postings.join(statuses.withColumnRenamed("posting_id", "id").withColumnsRenamed({"reason": "status_reason"}), "id", "left").join(scores.withColumnRenamed("posting_id", "id"), "id", "left")
+    rows = with_extraction(rows, extractions.withColumnRenamed("posting_id", "id"))
+    alive = F.element_at("liveness", "alive")
+    link = job_link_url("apply_url", "url")
+    return rows.select(
+        "id", "title", "company", "location", "score", "reasons", link.alias("apply_url"), "stack", "remote", "seniority", "source", F.col("last_seen_at").alias("updated_at"), F.lit(None).cast("string").alias("logo"),
+        F.coalesce(F.btrim("raw_jd") != "", F.lit(False)).alias("has_description"), F.when(F.col("seniority").isNotNull(), "extracted").otherwise("unknown").alias("seniority_source"),
+        F.when(F.col("extracted"), "extracted").otherwise("not-extracted").alias("extraction"), "salary", job_link_url("url", "url").alias("listing_url"), "posted_at", "first_seen_at", F.coalesce("status", F.lit("new")).alias("status"),
+        "status_reason", F.element_at("payload", "fit_line").alias("fit_line"), F.element_at("payload", "recommendation").alias("recommendation"), F.when(alive.isin("true", "false"), alive.cast("boolean")).alias("alive"),
+        link.alias("link_url"), score_band("score").alias("score_band"), F.element_at("payload", "fit_tier").alias("fit_tier"), F.coalesce("seen", F.lit(False)).alias("seen"), "seen_at",
+        F.when(~F.col("status").isin("new", "seen"), F.col("status")).alias("pipeline_status"), "last_published_at", "work_mode",
+    )
+
+
 def details(board: Board, extractions: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Cards with the description, by name: a card's new column shifts none."""
     return cards(board, extractions, ids).join(board.postings.select("id", "raw_jd"), "id").select(*CARD, "raw_jd")
