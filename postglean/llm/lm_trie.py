@@ -46,7 +46,7 @@ STEP = 1 / 2048
 NONE = 65535
 #: Tokens in one shard, about; tokens in a batch, about.
 SHARD = 2_000_000
-RUN = 2_000_000
+RUN = 3_000_000
 #: Words that are sent as numbers of 16 bits; others as hashes. A batch proposes those of at least the share 1 / (2 * FREQUENT) in it.
 FREQUENT = 65_535
 END = b"\n"  # no word holds it
@@ -339,7 +339,8 @@ class _Grams:
         by = np.argsort(codes.view(np.uint64), kind="stable")  # numbers come first, so n-grams of a shard come by code
         place = np.argsort(by)
         self.codes, n = codes[by], len(codes)
-        self.counts, self.checks = (np.frombuffer(columns[c], kind)[by] for c, kind in (("counts", np.uint32), ("checks", np.uint16)))
+        if "counts" in columns:
+            self.counts, self.checks = (np.frombuffer(columns[c], kind)[by] for c, kind in (("counts", np.uint32), ("checks", np.uint16)))
         of_shard = _mix(self.codes.view(np.uint64)) % np.uint64(n_shards)
         self.words, self.word_shard = np.argsort(of_shard, kind="stable"), np.sort(of_shard).astype(np.int64)
         tokens = place[ids]
@@ -383,13 +384,14 @@ class _Grams:
             yield shard, _packed([*_short(self.codes[own]), self.checks[own], self.counts[own], *grams])
 
 
-_READ = ["held_out", "words", "checks", "ids", "ends", "counts"]
+_READ = ["held_out", "words", "ids", "ends"]
+_TOLD = ["checks", "counts"]
 
 
 def _asked(batches: Iterator[pa.RecordBatch], frequent, n_shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            for shard, data in _Grams({c: batch[c][k].as_py() for c in _READ}, frequent.value, n_shards).blocks():
+            for shard, data in _Grams({c: batch[c][k].as_py() for c in _READ + _TOLD}, frequent.value, n_shards).blocks():
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), batch["batch"].slice(k, 1), pa.array([data], pa.binary())], ["shard", "batch", "data"])
 
 
@@ -407,11 +409,34 @@ def _words(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, int]
     return words, np.bincount(back.reshape(-1), counts, len(words)).astype(np.int64), int(odd.sum())
 
 
-def _built(blocks: list[list[np.ndarray]]) -> Trie:
-    first = np.concatenate([np.repeat(x[0], x[1]) for x in blocks])
-    second, n2, third, n3 = (np.concatenate([x[j] for x in blocks]) for j in (2, 3, 5, 6))
-    of = np.repeat(np.arange(len(second)), np.concatenate([x[4] for x in blocks]))
-    return Trie.of(first, second, n2.astype(np.int64), of, third, n3.astype(np.int64))
+class _Merged:
+    """What all batches ask of a shard: different bigrams and trigrams in order with their training counts, and which of them each batch's are."""
+
+    def __init__(self, blocks: list[list[np.ndarray]]):
+        first = np.concatenate([np.repeat(x[0], x[1]) for x in blocks])
+        second, n2, third, n3 = (np.concatenate([x[j] for x in blocks]) for j in (2, 3, 5, 6))
+        of = np.repeat(np.arange(len(second)), np.concatenate([x[4] for x in blocks]))
+        words, ids = np.unique(np.concatenate([first, second, third]), return_inverse=True)
+        ids, n = ids.reshape(-1), max(1, len(words))
+        pairs, self.two = np.unique(ids[: len(first)] * n + ids[len(first) : 2 * len(first)], return_inverse=True)
+        self.two = self.two.reshape(-1)
+        triples, self.three = np.unique(self.two[of] * n + ids[2 * len(first) :], return_inverse=True)
+        self.three = self.three.reshape(-1)
+        self.n2, self.n3 = (np.bincount(x, w, len(y)).astype(np.int64) for x, w, y in ((self.two, n2, pairs), (self.three, n3, triples)))
+        self.first, self.second = words[pairs // n], words[pairs % n]
+        self.of, self.third = triples // n, words[triples % n]
+        self.ends2, self.ends3 = (np.cumsum([len(x[j]) for x in blocks]) for j in (2, 5))
+
+    def trie(self) -> Trie:
+        return Trie.of(self.first, self.second, self.n2, self.of, self.third, self.n3)
+
+    def answers(self, trie: Trie) -> Iterator[list[np.ndarray]]:
+        """Each batch's values in its order: every different n-gram is sought once."""
+        new = np.flatnonzero(np.append(True, self.first[1:] != self.first[:-1])) if len(self.first) else np.empty(0, np.int64)
+        count, weight, direct = trie.answer(self.first[new], np.diff(np.append(new, len(self.first))), self.second, _sizes(self.of, len(self.first)), self.third)
+        for a, b, c, d in zip(np.append(0, self.ends2), self.ends2, np.append(0, self.ends3), self.ends3):
+            two, three = self.two[a:b], self.three[c:d]
+            yield [count[two], weight[two], direct[three]]
 
 
 SERVED = "shard long, batch long, answer binary, total long, distinct long, clash long"
@@ -424,12 +449,14 @@ def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard = None
 
     def done() -> Iterator[pa.RecordBatch]:
-        trie = Trie.load(_built([x for _, x in held]).save())
+        merged = _Merged([x for _, x in held])
+        trie = Trie.load(merged.trie().save())
         words, counts, clash = _words([x for _, x in held])
         row = lambda number, answer, *figures: pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([answer], pa.binary()), *(pa.array([f], pa.int64()) for f in figures)], SERVED_NAMES)
         yield row(-1, None, int(counts.sum()), int((counts > 0).sum()), clash)
-        for number, (first, seconds, second, _, thirds, third, _, own, *_) in held:
-            yield row(number, _packed([counts[np.searchsorted(words, own)].astype(np.uint32 if counts.max(initial=0) < 2**32 else np.int64), *trie.answer(first, seconds, second, thirds, third)]), None, None, None)
+        told = counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts
+        for (number, (*_, own, _, _)), values in zip(held, merged.answers(trie)):
+            yield row(number, _packed([told[np.searchsorted(words, own)], *values]), None, None, None)
         held.clear()
 
     for batch in batches:
@@ -450,7 +477,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row() -> pa.RecordBatch:
         if _words(held)[2]:
             raise ValueError("two words have one hash: build with another seed")
-        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([_built(held).save()], pa.binary())], ["shard", "trie"])
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([_Merged(held).trie().save()], pa.binary())], ["shard", "trie"])
 
     for batch in batches:
         for own, data in zip(batch["shard"].to_pylist(), batch["data"]):
@@ -527,7 +554,7 @@ def _prepared(docs: DataFrame, seed: int) -> tuple[DataFrame, object, int]:
 
 def _dealt(batches: DataFrame, frequent, n_shards: int) -> DataFrame:
     """What batches ask, by shard."""
-    asked = batches.select("batch", *_READ).mapInArrow(lambda it: _asked(it, frequent, n_shards), "shard long, batch long, data binary")
+    asked = batches.select("batch", *_READ, *_TOLD).mapInArrow(lambda it: _asked(it, frequent, n_shards), "shard long, batch long, data binary")
     return asked.repartition("shard").sortWithinPartitions("shard", "batch")
 
 
