@@ -41,7 +41,12 @@ def test_no_products_and_no_windows_over_all(spark, name):
     assert name == "registry_merge" or "Window" not in plan
 
 
+def _optimized(spark, name: str) -> str:
+    return QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_texts_without_a_match_stay_in_the_jvm(spark):
-    """What Python is given is null unless the text holds something that the rule looks at."""
-    plan = QUERIES["deadlines"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
-    assert "CASE WHEN RLIKE" in plan and "applications? close" in plan
+    """What Python is given is null unless the text holds something that the rule looks at; deadlines never leave the JVM."""
+    assert "CASE WHEN RLIKE" in _optimized(spark, "years_admission")
+    plan = _optimized(spark, "deadlines")
+    assert "applications? close" in plan.lower() and "Python" not in plan and "ArrowEval" not in plan
