@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,7 @@ def made_since(before: list[str], *names: str) -> list[str]:
 
 def clear_scratch(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables of ``written``, and shuffles that nothing refers to; only for callers that have stored what was derived from them."""
+    gc.collect()  # lets go of frames that only the JVM's side of them holds
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in paths:
         if name in _scratch:

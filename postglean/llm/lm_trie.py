@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, written
+from .common import clear_scratch, slices, text_bytes, written
 
 #: Weight of the shorter context, in tokens; what is added to each count of the base.
 MU = 2.0
@@ -577,6 +577,7 @@ def score(docs: DataFrame) -> DataFrame:
         batches, frequent, n_shards = _prepared(docs, seed)
         served = written(_dealt(batches, frequent, n_shards).mapInArrow(_served, SERVED), "served")
         total, distinct, clash = served.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "clash")]).first()
+        clear_scratch(docs.sparkSession, [])  # what batches have sent isn't asked for any more
         if not clash:  # else two words have one hash: another seed
             break
     scale = math.log10(total + ADD * (distinct + 1)) if total else math.log10(ADD)
