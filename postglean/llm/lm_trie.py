@@ -530,6 +530,7 @@ def _scored(batches: Iterator[pa.RecordBatch], frequent, n_shards: int, scale: f
             else:
                 if held:
                     yield done()
+                    held = None  # not two batches at a time
                 held = _Grams({c: batch[c][k].as_py() for c in _READ}, frequent.value, n_shards)
                 docs = [pa.array(batch[c][k].as_py(), kind) for c, kind in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
     if held:
