@@ -2,7 +2,7 @@
 
 import pytest
 
-from postglean.functions import gazetteer
+from postglean.functions import gazetteer, keyword
 
 
 @pytest.mark.parametrize("text, meant", [
@@ -11,3 +11,10 @@ from postglean.functions import gazetteer
 ])
 def test_codes_among_capitals(spark, text, meant):
     assert gazetteer.known_places().speaks_of_places(text) is meant
+
+
+@pytest.mark.parametrize("text, labels", [("password=d2e6eda4eef73f", []), ('token = "8eda45dd"', []), ("EDA tools", ["semiconductor/eda"]), ("an eda-tool", ["semiconductor/eda"])])
+def test_labels_within_secrets(spark, text, labels):
+    made = keyword.keyword_score("title", "text")
+    row = spark.createDataFrame([("Developer", text)], "title string, text string").select(made.alias("made")).first()["made"]
+    assert row.negative == labels and row.score == -10 * len(labels)
