@@ -3,6 +3,7 @@
 import pytest
 
 from postglean.functions import gazetteer, keyword
+from postglean.operators import views
 
 
 @pytest.mark.parametrize("text, meant", [
@@ -18,3 +19,9 @@ def test_labels_within_secrets(spark, text, labels):
     made = keyword.keyword_score("title", "text")
     row = spark.createDataFrame([("Developer", text)], "title string, text string").select(made.alias("made")).first()["made"]
     assert row.negative == labels and row.score == -10 * len(labels)
+
+
+def test_all_related_listings(spark):
+    rows = spark.range(1203).selectExpr("CAST(id AS STRING) AS id", "1 AS group_id", "id AS posted", "id AS first_seen")
+    got = [r.id for r in views.related(rows, "7").collect()]
+    assert got == [str(k) for k in range(1202, -1, -1) if k != 7]
