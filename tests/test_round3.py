@@ -2,7 +2,7 @@
 
 import pytest
 
-from postglean.functions import gazetteer, keyword
+from postglean.functions import gazetteer, keyword, salary
 from postglean.operators import views
 
 
@@ -25,3 +25,10 @@ def test_all_related_listings(spark):
     rows = spark.range(1203).selectExpr("CAST(id AS STRING) AS id", "1 AS group_id", "id AS posted", "id AS first_seen")
     got = [r.id for r in views.related(rows, "7").collect()]
     assert got == [str(k) for k in range(1202, -1, -1) if k != 7]
+
+
+@pytest.mark.parametrize("text, span", [
+    ("Series B $5M, salary $70,000\nb foo", "salary $70,000"), ("Series B $5M, salary $70,000\n$ foo", "salary $70,000"), ("שכר עד 50 אלף\n€ x", "שכר עד 50 אלף"), ("salary $70 k\nm x", "salary $70 k"), ("salary 70,000 USD\nx", "salary 70,000 USD"),
+])
+def test_amounts_end_with_their_line(text, span):
+    assert salary.salary_span_of(text) == span
