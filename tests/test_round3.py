@@ -2,7 +2,7 @@
 
 import pytest
 
-from postglean.functions import gazetteer, keyword, salary
+from postglean.functions import gate, gazetteer, keyword, salary
 from postglean.operators import views
 
 
@@ -32,3 +32,14 @@ def test_all_related_listings(spark):
 ])
 def test_amounts_end_with_their_line(text, span):
     assert salary.salary_span_of(text) == span
+
+
+@pytest.mark.parametrize("text, word, held", [("no ALREADY here", "already", True), ("none", "already", False), ("DEGREEſ", "degrees", True), ("YEARİ", "yeari", True), (None, "year", False), ("", "year", False)])
+def test_holds_whatever_the_case(spark, text, word, held):
+    row = spark.createDataFrame([(text,)], "text string").select(gate.holds("text", word).alias("held")).first()
+    assert row.held is held
+
+
+@pytest.mark.parametrize("text, told", [("8 years\nplain\nmore", "8 years"), ("8 years of experience,\n  or a degree. No", "8 years of experience,\n  or a degree"), ("none", ""), ("a; 9 YEARS", "a; 9 YEARS")])
+def test_texts_are_read_up_to_their_years(text, told):
+    assert keyword._up_to_years(text) == told
