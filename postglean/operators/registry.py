@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.places import let
+from .graph import stored
 
 #: An entry's fields; each source's identifiers, those it may have besides, and its hosts.
 FIELDS = ("source", "identifiers", "company", "careers_url", "provenance", "last_verified_at", "enabled")
@@ -87,7 +88,8 @@ def registry_report(entries: DataFrame, today: str, stale_after: int = STALE_AFT
     day = F.lit(today).cast("date")
     rows = entries.withColumn("errors", entry_errors(F.col("entry"), day)).withColumn("e", F.from_json("entry", ENTRY))
     tenant = F.to_json(F.struct("e.source", F.array_sort(F.map_entries("e.identifiers")).alias("i")))
-    rows = rows.withColumn("tenant", F.when(F.size("errors") == 0, tenant))
+    # checked once, though read for the first of each tenant and again for all
+    rows = stored(rows.select("at", "errors", F.struct("e.source", "e.enabled", "e.last_verified_at").alias("e"), F.when(F.size("errors") == 0, tenant).alias("tenant")))
     first = rows.where("tenant is not null").groupBy("tenant").agg(F.min("at").alias("first"))
     rows = rows.join(first, "tenant", "left")
     age = F.date_diff(day, F.left(F.col("e.last_verified_at"), F.lit(10)).try_cast("date"))

@@ -3,7 +3,7 @@
 import pytest
 
 from postglean.functions import gate, gazetteer, keyword, salary
-from postglean.operators import views
+from postglean.operators import registry, views
 
 
 @pytest.mark.parametrize("text, meant", [
@@ -43,3 +43,10 @@ def test_holds_whatever_the_case(spark, text, word, held):
 @pytest.mark.parametrize("text, told", [("8 years\nplain\nmore", "8 years"), ("8 years of experience,\n  or a degree. No", "8 years of experience,\n  or a degree"), ("none", ""), ("a; 9 YEARS", "a; 9 YEARS")])
 def test_texts_are_read_up_to_their_years(text, told):
     assert keyword._up_to_years(text) == told
+
+
+def test_registry_entries_are_checked_once(spark):
+    """What follows the checks reads their stored result."""
+    rows = spark.range(2, 9).selectExpr("id AS at", "'{}' AS entry")
+    plan = registry.registry_report(rows, "2024-06-01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "from_json" not in plan.lower() and "JsonToStructs" not in plan
