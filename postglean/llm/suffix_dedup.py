@@ -6,8 +6,9 @@ places, so only windows of one anchor can be equal, and an anchor that occurs
 once has no repeats. Neighbouring windows of one anchor make a snippet. Equal
 snippets are counted; where an anchor has several different ones, their windows
 are sorted as suffixes, in two stages, and common prefixes of neighbours in
-that order tell which windows repeat. Windows of an anchor with too many
-different snippets for one array are counted by a digest of their bytes.
+that order tell which windows repeat. Of an anchor with too many different
+snippets for one array, blocks of neighbouring windows are counted by a digest
+of their bytes; windows one by one where blocks differ that share their core.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ _ROWS = 50_000
 SNIPPETS = 3000
 #: Of an anchor with more different snippets each window is counted by its digest; no task has to hold them together.
 HOT = 2000
+#: Neighbouring windows of a hot anchor that are counted together.
+BLOCK = 8
+#: Places of equal snippets in one row, at most.
+PACK = 4096
 #: What the removal returns of each text.
 REMOVED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 #: Places within a run, of at most _RUN bytes or of texts that end to end have no more.
@@ -112,6 +117,22 @@ def _texts(column: pa.Array, run: int = _RUN, width: int = WIDTH) -> Iterator[tu
         a = b
 
 
+def _packed(row: np.ndarray, at: np.ndarray, key: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """One place of each different snippet, and a list of its other places (null if it has none), so that a common line is few rows wherever it is joined."""
+    order = np.lexsort((digest, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(digest[order]) != 0)
+    starts = np.flatnonzero(new)
+    new |= (np.arange(len(order)) - np.repeat(starts, np.diff([*starts, len(order)]))) % PACK == 0
+    starts = np.flatnonzero(new)
+    others = np.diff([*starts, len(order)]) - 1
+    rest = order[~new]
+    places = pa.StructArray.from_arrays([pa.array(row[rest], pa.int64()), pa.array(at[rest], pa.int64())], ["row", "at"])
+    more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(others)]), pa.int32()), places, mask=pa.array(others == 0))
+    back = np.argsort(order[starts])
+    return order[starts][back], more.take(pa.array(back))
+
+
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch["row"].to_numpy()
@@ -119,7 +140,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, n, place, key, digest = snippets(data, ends)
             doc = np.searchsorted(ends, first, side="right")
             at = first - np.concatenate([[0], ends])[doc] + before
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[a + doc], at, (n << 8 | place), key, digest)], ["row", "at", "shape", "anchor", "digest"])
+            one, more = _packed(rows[a + doc], at, key, digest)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[one]) for x in (rows[a + doc], at, (n << 8 | place), key, digest)), more], ["row", "at", "shape", "anchor", "digest", "more"])
 
 
 def two_stage_order(text: np.ndarray, ends: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -211,26 +233,48 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the snippets to be sorted; of those of a hot anchor, a digest of each window (its number is ``skip``)."""
-    names = ["anchor", "digest", "skip", "n", "data", "window"]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    """Bytes of the snippets to be sorted; of those of a hot anchor, blocks of windows.
+
+    A block's windows, ``n`` from number ``skip`` on, are those whose anchor
+    lies at one of ``BLOCK`` places. ``core``: digest of what all windows of
+    such places have in common; ``whole``: of all bytes. Equal windows are in
+    blocks of one core.
+    """
+    names = ["anchor", "digest", "skip", "n", "data", "core", "whole"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    told = lambda said, *by: blake2b(said + bytes(by), digest_size=16).digest()
     for batch in batches:
         out: list[tuple] = []
-        record = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names)
+        record = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names)
         for data, wanted in zip(batch["bytes"], batch["wanted"].to_pylist()):
             data = data.as_py()
             for w in wanted:
                 n, at = w["shape"] >> 8, w["at"]
                 if w["hot"]:
-                    out += [(w["anchor"], w["digest"], k, 1, None, blake2b(data[at + k : at + k + WIDTH], digest_size=16).digest()) for k in range(n)]
+                    place = w["shape"] & 255
+                    for low in range((place - n + 1) // BLOCK * BLOCK, place + 1, BLOCK):  # places of the anchor in a window
+                        a, b = max(low, place - n + 1), min(low + BLOCK - 1, place)
+                        block = data[at + place - b : at + place - a + WIDTH]
+                        core = data[at + place - low : at + place - low - BLOCK + 1 + WIDTH]
+                        out.append((w["anchor"], w["digest"], place - b, b - a + 1, block, told(core, low), told(block, a, b)))
                 else:
-                    out.append((w["anchor"], w["digest"], 0, n, data[at : at + n - 1 + WIDTH], None))
+                    out.append((w["anchor"], w["digest"], 0, n, data[at : at + n - 1 + WIDTH], None, None))
                 if len(out) >= _ROWS:
                     yield record()
                     out = []
         yield record()
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of each window of a block."""
+    for batch in batches:
+        out = []
+        for anchor, digest, skip, n, data in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "skip", "n", "data"))):
+            out += [(anchor, digest, skip + k, blake2b(data[k : k + WIDTH], digest_size=16).digest()) for k in range(n)]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], ["anchor", "digest", "skip", "window"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of the windows ``skips`` of each snippet."""
     for batch in batches:
@@ -301,34 +345,45 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Dat
 
     Counts per anchor are partial before they move, and joins back to places
     can be split where an anchor is hot. One copy of each different snippet of
-    an anchor is read and sorted, however often it occurs. Windows of a hot
-    anchor are counted by digest, partially before they move, and joined back.
-    What repeats in a snippet is one row, so an occurrence meets one.
+    an anchor is read and sorted, however often it occurs. Equal snippets of a
+    run are one row until the last join is done. Blocks of windows of a hot
+    anchor are counted by digest, partially before they move, and joined back;
+    single windows are counted only of blocks that share their core with
+    different ones. What repeats in a snippet is one row, so an occurrence
+    meets one.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text_bytes().alias("bytes"), *[F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)])
     texts = written(texts, "texts")  # numbers must not change when a part is computed again
-    places = written(texts.select("row", "bytes").mapInArrow(_found, "row long, at long, shape long, anchor long, digest long"), "places")
-    stats = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
+    places = written(texts.select("row", "bytes").mapInArrow(_found, "row long, at long, shape long, anchor long, digest long, more array<struct<row:long,at:long>>"), "places")
+    times = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)).alias("n")
+    stats = places.groupBy("anchor").agg(times, F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("n > 1")
     again = written(places.join(stats.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "again")
-    mixed = again.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "shape")).alias("one"))
+    mixed = again.where("mixed").groupBy("anchor", "digest").agg(times, F.min(F.struct("row", "at", "shape")).alias("one"))
     mixed = written(mixed.select("anchor", "digest", "n", "one.*"), "mixed")
     hot = mixed.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     wanted = mixed.join(hot, "anchor", "left").groupBy("row").agg(F.collect_list(F.struct("at", "shape", "anchor", "digest", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
-    cut = texts.select("row", "bytes").join(wanted, "row").mapInArrow(_cut_out, "anchor long, digest long, skip int, n int, data binary, window binary")
+    cut = texts.select("row", "bytes").join(wanted, "row").mapInArrow(_cut_out, "anchor long, digest long, skip int, n int, data binary, core binary, whole binary")
     cut = written(cut, "cut")
-    dealt = cut.where("window is null").select("anchor", "digest", "n", "data").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = cut.where("core is null").select("anchor", "digest", "n", "data").repartition("anchor").sortWithinPartitions("anchor")
     alike = dealt.mapInArrow(_sorted, "anchor long, digest long, a long, b long")
-    windows = cut.where("window is not null").select("anchor", "digest", "skip", "window")
+    blocks = cut.where("core is not null")
+    kinds = blocks.groupBy("core", "whole").agg(F.count("*").alias("times"), F.min(F.struct("anchor", "digest", "skip", "n", "data")).alias("one"))
+    kinds = written(kinds, "kinds")
+    equal = blocks.join(kinds.where("times > 1").select("whole"), "whole").selectExpr("anchor", "digest", "CAST(skip AS BIGINT) AS a", "CAST(skip + n AS BIGINT) AS b")
+    differ = kinds.groupBy("core").count().where("count > 1").select("core")
+    windows = written(kinds.join(differ, "core").select("one.*").mapInArrow(_windows, "anchor long, digest long, skip int, window binary"), "windows")
     twice = windows.groupBy("window").count().where("count > 1").select("window")
     skips = windows.join(twice, "window").groupBy("anchor", "digest").agg(F.collect_list("skip").alias("skips"))
-    alike = alike.unionAll(skips.mapInArrow(_runs, "anchor long, digest long, a long, b long"))
+    alike = alike.unionAll(equal).unionAll(skips.mapInArrow(_runs, "anchor long, digest long, a long, b long"))
     copies = mixed.where("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("a"), F.shiftright("shape", 8).alias("b"))
     span = F.array("a", "b")
     alike = written(alike.unionAll(copies).groupBy("anchor", "digest").agg(F.collect_set(span).alias("within")), "alike")
-    plain = again.where("not mixed").select("row", "at", F.array(F.array(F.lit(0).cast("long"), F.shiftright("shape", 8))).alias("within"))
-    sorted_ = again.where("mixed").join(alike, ["anchor", "digest"]).select("row", "at", "within")
-    spans = plain.unionAll(sorted_).groupBy("row").agg(F.collect_list(F.struct("at", "within")).alias("spans"))
-    kinds = [StructField(f"carry_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)]
+    plain = again.where("not mixed").select("row", "at", "more", F.array(F.array(F.lit(0).cast("long"), F.shiftright("shape", 8))).alias("within"))
+    sorted_ = again.where("mixed").join(alike, ["anchor", "digest"]).select("row", "at", "more", "within")
+    own = F.array(F.struct("row", "at"))
+    each = F.explode(F.when(F.col("more").isNull(), own).otherwise(F.concat(own, "more"))).alias("place")
+    spans = plain.unionAll(sorted_).select(each, "within").select("place.*", "within").groupBy("row").agg(F.collect_list(F.struct("at", "within")).alias("spans"))
+    fields = [StructField(f"carry_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)]
     more = [StructField(c, StringType() if c.startswith("kept") else LongType()) for c in REMOVED]
-    out = texts.join(spans, "row", "left").mapInArrow(_removed, StructType([*kinds, *more]))
+    out = texts.join(spans, "row", "left").mapInArrow(_removed, StructType([*fields, *more]))
     return out.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry)})

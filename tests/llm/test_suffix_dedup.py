@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postglean.llm import suffix_dedup as S
@@ -103,3 +104,34 @@ def test_long_texts_are_hashed_in_runs(spark):
     assert (got[1].n_removed, got[1].n_spans) == (300, 1) and got[1].kept_sha256 == sha256((long[: run - 150] + long[run + 150 :]).encode()).hexdigest()
     assert (got[2].n_removed, got[2].n_spans) == (300, 1)
     assert (got[3].n_removed, got[3].n_spans) == (run + 500, 1) and got[4].n_removed == 0
+
+
+def test_equal_places_are_one_row():
+    """A line that all texts of a run hold is joined as few rows, whatever their number; all its places are told."""
+    random.seed(17)
+    noise = lambda n: "".join(random.choices("abcdefgh ", k=n))
+    line = noise(700)
+    texts = [noise(150) + line + noise(150) for _ in range(40)]
+    out = pa.Table.from_batches(S._found(iter([pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([t.encode() for t in texts])], ["row", "bytes"])]))).to_pylist()
+    assert len({(r["anchor"], r["digest"]) for r in out}) == len(out)
+    places = sorted((p["row"], p["at"], r["anchor"]) for r in out for p in [r, *(r["more"] or [])])
+    assert any(len(r["more"] or []) == 39 for r in out)
+    for k, t in enumerate(texts):
+        data = np.frombuffer(t.encode(), np.uint8)
+        first, _, _, anchor, _ = S.snippets(data, np.array([len(data)]))
+        assert sorted(zip(first.tolist(), anchor.tolist())) == [(at, a) for row, at, a in places if row == k]
+
+
+def test_windows_of_a_hot_anchor_are_counted_in_blocks(spark, monkeypatch):
+    """Where all texts hold one line, only windows at its borders are counted one by one."""
+    monkeypatch.setattr(S, "HOT", 20)
+    made, inner = {}, S.written
+    monkeypatch.setattr(S, "written", lambda df, name: made.setdefault(name, inner(df, name)))
+    random.seed(19)
+    noise = lambda n: "".join(random.choices("abcdefgh ", k=n))
+    line = noise(260)
+    rows = [(k, noise(150) + line + noise(150), None) for k in range(90)]
+    got = S.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == brute(rows)
+    blocks = made["cut"].where("core is not null")
+    assert 0 < made["windows"].count() <= 2 * S.BLOCK * 90 < blocks.selectExpr("sum(n)").first()[0] / 3 and blocks.count() < blocks.selectExpr("sum(n)").first()[0] / 5
