@@ -2,10 +2,12 @@
 
 import copy
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from postglean.functions import descriptions
 from postglean.functions import validators as v
 
 REMOTE = [
@@ -90,3 +92,17 @@ def test_annotations(spark):
     got = {r.id: r.e for r in df.select("id", v.annotation_error("a", "allowed", "p", "x", "n", "m").alias("e")).collect()}
     assert got == {k: want for k, (_, want) in enumerate(RULES)} | {900: "fields", 901: "fields"}
     assert df.select(v.annotation_error("a", "allowed", "p").alias("e")).where(F.col("id") == 0).first().e is None
+
+
+def test_attendance_is_looked_for_where_its_words_are(monkeypatch):
+    """The same statements where every pattern reads every text."""
+    random.seed(3)
+    parts = (
+        "3 days|five days|two day|a week|per week|weekly|in the office|at our office|office|from office|5/5 days|full-time|full time|fully in-person|in person|role|position|is|:|this|hybrid|Hybrid working|work model: hybrid|hybrıd role|HYBRİD|"
+        "on-ſite|remote|fully remote|on-site|onsite|on site|/|, or|or|work|location: TLV|3 ימים|יומיים|בשבוע|במשרד|היברידית|עבודה|משרה|not|optional|initially|but|.|;|\n|tea"
+    ).split("|")
+    texts = [" ".join(random.choices(parts, k=random.randrange(2, 10))) for _ in range(20000)]
+    told = [list(descriptions._statements(t)) for t in texts]
+    assert sum(map(bool, told)) > 500 and descriptions._may_state("A remote role in Haifa. We meet in the office.") == (False, False, False)
+    monkeypatch.setattr(descriptions, "_may_state", lambda text: (True, True, True))
+    assert told == [list(descriptions._statements(t)) for t in texts]
